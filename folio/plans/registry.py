@@ -1,0 +1,18 @@
+"""All registered queries of the library itself."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def queries() -> dict:
+    return QUERIES
+
+
+def oracles() -> dict:
+    return ORACLES
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
