@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import in_slices
 
 #: White space as the tokenizer's normaliser sees it.
-UNICODE_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-CACHED_WORDS = 400_000
+UNICODE_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CACHED_CHUNKS = 400_000
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words of more bytes are merged one by one.
 FOREST_WIDTH = 32
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -146,7 +148,7 @@ class WordBpe:
         self.inner_ids, self.last_ids = np.array(self.inner, dtype=np.int64), np.array(self.last, dtype=np.int64)
         self.pieces = regex.compile(pre[0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in self.added) + ")")
-        self.cache: dict[str, tuple[list[int], str, str]] = {}
+        self.cache: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: merge the lowest-ranked pair, leftmost first, until none is left."""
@@ -177,7 +179,7 @@ class WordBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as the library does for a file without a decoder; unknown ids are skipped."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for pairs that never merge."""
@@ -211,37 +213,43 @@ class WordBpe:
             out[i] = self.merge(words[i])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids, their text and the decoded text of new words into the cache."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHED_WORDS:
+    def learn(self, chunks: set[str]) -> None:
+        """Put the number of ids, their text and the decoded text of new chunks into the cache."""
+        new = [c for c in chunks if c not in self.cache]
+        if len(self.cache) + len(new) > CACHED_CHUNKS:
             self.cache.clear()
-            new = list(words)
-        plain = [w for w in new if w not in self.added]
-        for w, ids in zip(plain, self.merge_all(plain), strict=True):
-            self.cache[w] = (ids, " ".join(map(str, ids)), self.decode(ids))
-        for w in set(new) - set(plain):
-            self.cache[w] = ([self.added[w]], str(self.added[w]), w)
+            new = list(chunks)
+        words = [[c] if c in self.added else self.pieces.findall(c) for c in new]
+        plain = list({w for own in words for w in own if w not in self.added})
+        made = {w: (len(ids), " ".join([str(i) for i in ids]), self.decode(ids)) for w, ids in zip(plain, self.merge_all(plain), strict=True)}
+        made |= {t: (1, str(i), t) for t, i in self.added.items()}
+        for chunk, own in zip(new, words, strict=True):
+            parts = [made[w] for w in own]
+            self.cache[chunk] = parts[0] if len(parts) == 1 else (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
 
     def split(self, text: str) -> list[str]:
-        words: list[str] = []
+        """Special tokens and the normalised text between them, cut at white space, which no word contains."""
+        chunks: list[str] = []
         for part in self.specials.split(text) if "<|" in text else (text,):
             if part in self.added:
-                words.append(part)
+                chunks.append(part)
             elif part:
                 part = part if part.isascii() else unicodedata.normalize("NFC", part)
-                part = UNICODE_SPACE.sub(" ", part)
                 # lower case by character, without the final form of sigma
-                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                words += self.pieces.findall(part)
-        return words
+                part = "".join(map(str.lower, part)) if "\u03a3" in part else part.lower()
+                # str.split knows four more separators than the tokenizer
+                chunks += UNICODE_SPACE.split(part) if SEPARATORS.search(part) else part.split()
+        return chunks
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[list[int], str, str]]]:
-        """For each text its words' ids, their text and the decoded text."""
+    def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """For each text the number of ids, the ids and the decoded text, both joined by spaces."""
         split = [self.split(t or "") for t in texts]
         self.learn(set().union(*split) if split else set())
-        get = self.cache.__getitem__
-        return [list(map(get, words)) for words in split]
+        out = []
+        for chunks in split:
+            parts = [p for p in map(self.cache.__getitem__, chunks) if p[0]]
+            out.append((sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -249,17 +257,10 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _row(parts: list[tuple[list[int], str, str]], outputs: list[str]) -> list:
-    made = []
-    for name in outputs:
-        if name == "n_tokens":
-            made.append(sum([len(p[0]) for p in parts]))
-        elif name == "ids":
-            made.append([i for p in parts for i in p[0]])
-        else:
-            joined = " ".join([p[1 if name == "ids_sha256" else 2] for p in parts])
-            made.append(joined if name == "decoded" else hashlib.sha256(joined.encode()).hexdigest())
-    return made
+def _row(n: int, ids: str, decoded: str, outputs: list[str]) -> list:
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    make = {"n_tokens": lambda: n, "ids": lambda: np.array(ids.split(), dtype=np.int32), "decoded": lambda: decoded, "ids_sha256": lambda: sha(ids), "decoded_sha256": lambda: sha(decoded)}
+    return [make[name]() for name in outputs]
 
 
 def bpe_encode(docs: DataFrame, path: str, outputs: list[str] | None = None) -> DataFrame:
@@ -275,7 +276,7 @@ def bpe_encode(docs: DataFrame, path: str, outputs: list[str] | None = None) ->
         model = load(path)
         for part in in_slices(frames, "text", 2_000_000):
             texts = [t if isinstance(t, str) else None for t in part["text"]]
-            rows = [_row(parts, names) for parts in model.encode(texts)]
+            rows = [_row(*made, names) for made in model.encode(texts)]
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()} | {n: [r[i] for r in rows] for i, n in enumerate(names)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
