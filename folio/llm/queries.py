@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, minhash, mixing, substring
+from . import ann, bpe, exact, langid, minhash, mixing, quality, substring, suffix, toxicity
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,13 +45,44 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, modulus: int, held: int) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(fold(modulus) != held)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _labelled(spark, sf_dir, 3, 1))
+    found = toxicity.predict(docs, model)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_segments")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _labelled(spark, sf_dir, 4, 2))
+    return quality.predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_minhash": op6_minhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLES = {
