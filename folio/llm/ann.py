@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .near import sorted_groups
 
 #: Bounds: sampled vectors (those of smallest hash), lists, vectors of the sample in one list.
 SAMPLE, MAX_LISTS, LIST_SIZE = 20_000, 2_048, 24
@@ -166,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     right = probed.join(sizes_by, ["list", "dim"]).select("list", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "embedding", F.lit(True).alias("asks"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, ["list", "dim", "block"]):
+        for group in sorted_groups(frames, ["list", "dim", "block"]):
             asks, held = group[group["asks"]], group[~group["asks"]]
             if not len(asks) or not len(held):
                 continue
@@ -189,17 +190,3 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     score = dot("embedding", "other") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("other", "other")))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.select("query_id", "vec_id", score.alias("score")).distinct().withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
-
-
-def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that arrive sorted by keys."""
-    rest = None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        if len(frame):
-            last = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
-            for _, group in frame[~last].groupby(keys, sort=False):
-                yield group
-            rest = frame[last]
-    if rest is not None and len(rest):
-        yield rest

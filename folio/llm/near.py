@@ -205,17 +205,22 @@ def _blocked(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
                 found += [(min(own, z), max(own, z)) for z in ids[near].tolist()]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
+    for group in sorted_groups(frames, ["key", "mb", "rb"]):
+        yield pairs(group)
+
+
+def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that arrive sorted by keys."""
     rest = None
     for frame in frames:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        last = (frame[["key", "mb", "rb"]] == frame[["key", "mb", "rb"]].iloc[-1]).all(axis=1)
-        for _, group in frame[~last].groupby(["key", "mb", "rb"], sort=False):
-            yield pairs(group)
-        rest = frame[last]
-    if rest is not None:
-        yield pairs(rest)
+        if len(frame):
+            last = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
+            for _, group in frame[~last].groupby(keys, sort=False):
+                yield group
+            rest = frame[last]
+    if rest is not None and len(rest):
+        yield rest
 
 
 def near_groups(units: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = 30, rows: int = 4) -> DataFrame:

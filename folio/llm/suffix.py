@@ -6,8 +6,8 @@
    suffixes ordered by their first MIN_LENGTH bytes (prefix doubling). The previous smaller position in
    suffix order gives the longest previous factor, cut at that length: a window repeats an earlier one
    where it reaches MIN_LENGTH.
-3. Anchors with very many pieces are settled by digests of their windows, one row each, so no group of
-   pieces has to fit in a task.
+3. Pieces of an anchor with very many uses are cut into blocks. The first window of each class of a block is
+   compared with those of the other blocks by digest, so no group of pieces has to fit in a task.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, written
-from .near import mixed
+from .near import mixed, sorted_groups
 
 MIN_LENGTH, GRAM = 200, 32
-#: Uses of an anchor beyond which its windows are compared by digest.
+#: An anchor's pieces are cut into blocks when it has more uses; a block has about so many at most.
 MANY = 4_096
 SLICE, BATCH = 1_000_000, 1_500_000
 _POSITION = np.uint64((1 << 20) - 1)
@@ -105,34 +106,48 @@ def _cut(length: int):
     return run
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes at all positions by their first `length` bytes; equal ranks mean equal bytes."""
-    padded = np.concatenate([data, np.zeros(2 * length, dtype=np.uint8)]).astype(np.uint64)
-    n = len(data) + length
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """starts in suffix order, and which of them has the same first `length` bytes as the one before.
+
+    The order is that of the first eight bytes, below it that of a fingerprint of the first `length`, and
+    among equal suffixes that of position; equal fingerprints are confirmed byte by byte.
+    """
+    padded = np.concatenate([data, np.zeros(length, dtype=np.uint8)]).astype(np.uint64)
+    n = len(padded) - 7
     packed = np.zeros(n, dtype=np.uint64)
     for i in range(8):
         packed |= padded[i : i + n] << np.uint64(56 - 8 * i)
-    rank, size = np.unique(packed, return_inverse=True)[1].astype(np.int64), 8
+    print_, size, step = mixed(packed), 8, 0
     while size < length:
-        step = min(size, length - size)
-        rank = np.unique(rank[: n - step] * np.int64(n) + rank[step:n], return_inverse=True)[1].astype(np.int64)
-        n, size = len(rank), size + step
-    return rank[: len(data)]
+        add = min(size, length - size)
+        print_ = mixed(print_[: len(print_) - add] * _STEPS[step % 8] + print_[add:])
+        size, step = size + add, step + 1
+    order = starts[np.lexsort((starts, print_[starts], packed[starts]))]
+    same = print_[order[1:]] == print_[order[:-1]]
+    left, right = order[:-1][same], order[1:][same]
+    good = np.ones(len(left), dtype=bool)
+    for at in [*range(0, length - 7, 8), length - 8]:
+        good &= packed[left + at] == packed[right + at]
+    same[np.flatnonzero(same)[~good]] = False
+    return order, same
+
+
+def _laid_out(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The concatenation, where each piece begins, the piece of every byte, and all window starts."""
+    sizes = np.array([len(p) for p in pieces])
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    starts = np.flatnonzero(np.arange(sizes.sum()) + length <= (begins + sizes)[owner])
+    return np.frombuffer(b"".join(pieces), dtype=np.uint8), begins, owner, starts
 
 
 def repeats(pieces: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pieces in order of first occurrence: where each begins in their concatenation, which window starts repeat anywhere, and which repeat earlier bytes."""
-    sizes = np.array([len(p) for p in pieces])
-    begins = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    rank = ranks(data, length)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    starts = np.flatnonzero(np.arange(len(data)) + length <= (begins + sizes)[owner])
-    order = starts[np.argsort(rank[starts], kind="stable")]  # suffix order; ties by position
-    same = rank[order[1:]] == rank[order[:-1]]
+    data, begins, owner, starts = _laid_out(pieces, length)
+    order, same = suffix_order(data, starts, length)
     anywhere, earlier = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
-    # within equal first bytes the previous smaller position is the one just before: the longest previous
-    # factor reaches the length there, and the longest next factor at the one before
+    # among suffixes with equal first bytes the previous smaller position is the one just before: there the
+    # longest previous factor reaches the length; the next factor of the one before does too
     earlier[order[1:][same]] = True
     anywhere[order[1:][same]] = True
     anywhere[order[:-1][same]] = True
@@ -146,7 +161,7 @@ def _runs(flags: np.ndarray) -> list[dict]:
 
 
 def _settle(length: int):
-    """Rows arrive sorted by key: settle whole keys, several at a time."""
+    """Rows arrive sorted by (key, block): settle whole blocks, several at a time."""
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "lo"], kind="stable", na_position="first")
@@ -157,16 +172,16 @@ def _settle(length: int):
         return out[out["runs"].map(len) > 0]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, size = [], 0
+        rest, size, last = [], 0, None
         for frame in frames:
             if not len(frame):
                 continue
-            first_of_key = (frame["key"] != frame["key"].shift()).to_numpy()
-            if rest and rest[-1]["key"].iloc[-1] == frame["key"].iloc[0]:
-                first_of_key[0] = False
+            new = ((frame["key"] != frame["key"].shift()) | (frame["block"] != frame["block"].shift())).to_numpy()
+            new[0] = last != (frame["key"].iloc[0], frame["block"].iloc[0])
+            last = (frame["key"].iloc[-1], frame["block"].iloc[-1])
             at, sizes = 0, frame["piece"].str.len().to_numpy()
             for i in range(len(frame)):
-                if size + sizes[i] > BATCH and first_of_key[i] and size:
+                if new[i] and size and size + sizes[i] > BATCH:
                     yield done(pd.concat([*rest, frame.iloc[at:i]], ignore_index=True))
                     rest, size, at = [], 0, i
                 size += sizes[i]
@@ -177,14 +192,30 @@ def _settle(length: int):
     return run
 
 
-def _by_digest(pieces: DataFrame, length: int) -> DataFrame:
-    """The same result as _settle() for pieces of any number, by a row for each window."""
-    windows = pieces.withColumn("off", F.explode(F.sequence(F.lit(0), F.length("piece") - length)))
-    window = F.expr(f"substring(piece, off + 1, {length})")
-    windows = windows.select("key", "pa", "pb", "off", "copies", F.struct("doc_id", (F.col("lo") + F.col("off")).alias("at"), "pa", "pb").alias("place"), F.xxhash64(window).alias("wa"), F.xxhash64(F.lit(7), window).alias("wb"))
-    windows = written(windows)
-    again = windows.groupBy("wa", "wb").agg(F.sum("copies").alias("n"), F.min("place").alias("least")).where("n > 1").drop("n")
-    found = windows.join(again, ["wa", "wb"]).select("key", "pa", "pb", "off", (F.col("place") != F.col("least")).alias("late"))
+def _first_windows(length: int):
+    """The first window of each class of equal windows of a block, with two digests of its bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in sorted_groups(frames, ["key", "block"]):
+            rows = block.sort_values(["doc_id", "lo"], kind="stable", na_position="first").reset_index(drop=True)
+            data, begins, owner, starts = _laid_out(rows["piece"].tolist(), length)
+            order, same = suffix_order(data, starts, length)
+            at = np.sort(order[np.concatenate([[True], ~same])])
+            own = owner[at]
+            raw = data.tobytes()
+            digests = np.array([(xxhash.xxh3_64_intdigest(w := raw[i : i + length]), xxhash.xxh64_intdigest(w)) for i in at.tolist()], dtype=np.uint64).view(np.int64).reshape(-1, 2)
+            off = (at - begins[own]).astype(np.int32)
+            yield rows.loc[own, ["key", "pa", "pb", "doc_id", "lo"]].assign(off=off, at=rows["lo"].to_numpy()[own] + off, wa=digests[:, 0], wb=digests[:, 1]).drop(columns="lo")
+
+    return run
+
+
+def _across_blocks(pieces: DataFrame, length: int) -> DataFrame:
+    """What _settle() cannot see: windows that repeat in another block of the same key."""
+    firsts = written(pieces.mapInPandas(_first_windows(length), "key long, pa long, pb long, doc_id long, off int, at int, wa long, wb long"))
+    firsts = firsts.select("key", "pa", "pb", "off", "wa", "wb", F.struct("doc_id", "at", "pa", "pb").alias("place"))
+    again = firsts.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").drop("n")
+    found = firsts.join(again, ["wa", "wb"]).select("key", "pa", "pb", "off", (F.col("place") != F.col("least")).alias("late"))
     run = F.struct(F.col("off").alias("a"), F.col("off").alias("b"))
     return found.groupBy("key", "pa", "pb").agg(F.collect_list(run).alias("runs"), F.collect_list(F.when(F.col("late"), run)).alias("later"))
 
@@ -199,9 +230,13 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none"
     first = F.min(F.struct("doc_id", "lo"))
     unique = pieces.groupBy("key", "pa", "pb").agg(F.count("*").alias("copies"), first.alias("_first"), F.max("uses").alias("uses"), F.any_value("piece").alias("piece"))
     unique = written(unique.select("key", "pa", "pb", "copies", "uses", "_first.doc_id", "_first.lo", "piece"))
-    few = unique.where(f"uses <= {many}").repartition("key").sortWithinPartitions("key")
-    settled = few.select("key", "pa", "pb", "copies", "doc_id", "lo", "piece").mapInPandas(_settle(length), f"key long, pa long, pb long, runs {RUNS}, later {RUNS}")
-    settled = written(settled.unionByName(_by_digest(unique.where(f"uses > {many}"), length)))
+    blocks = unique.withColumn("_blocks", F.ceil(F.col("uses") / many)).withColumn("block", F.pmod(F.col("pa"), F.col("_blocks")).cast("int"))
+    blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block")
+    columns = ["key", "block", "pa", "pb", "copies", "doc_id", "lo", "piece"]
+    settled = blocks.select(columns).mapInPandas(_settle(length), f"key long, pa long, pb long, runs {RUNS}, later {RUNS}")
+    split = unique.where(f"uses > {many}").withColumn("block", F.pmod(F.col("pa"), F.ceil(F.col("uses") / many)).cast("int"))
+    split = split.repartition("key", "block").sortWithinPartitions("key", "block").select(columns)
+    settled = written(settled.unionByName(_across_blocks(split, length)))
     own = pieces.select("rk", "doc_id", "lo", "key", "pa", "pb", F.length("piece").alias("size"))
     if keep == "first":
         origin = unique.select("key", "pa", "pb", F.col("doc_id").alias("_doc"), F.col("lo").alias("_lo"))
