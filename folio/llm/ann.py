@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import solid, written
 from .near import sorted_groups
 
 #: Bounds: sampled vectors (those of smallest hash), lists, vectors of the sample in one list.
 SAMPLE, MAX_LISTS, LIST_SIZE = 20_000, 2_048, 24
 COPIES, CLOSURE = 8, 1.25
 #: Lists searched at most (the larger of a number and a share), and the ratio to the nearest centroid's squared distance that ends the search.
-PROBES, PROBED, RATIO = 48, 0.15, 1.5
+PROBES, PROBED, RATIO = 48, 0.15, 3.0
 NEIGHBOURS, BEAM = 24, 64
 #: A list is cut into blocks of about so many vectors.
 BLOCK = 2_048
@@ -108,7 +108,7 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of rows that take part: not null, not zero, of finite components only, and of the commonest length."""
+    """vec_id, embedding of rows that take part: not null, not zero, of finite components only."""
     array = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), array.alias("embedding")).where("vec_id is not null and size(embedding) > 0")
     good = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -157,10 +157,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     kinds = {"rep": "rep long", "ids": "ids array<long>", "embedding": "embedding array<double>"}
     schema = lambda columns: ", ".join([*(kinds[c] for c in columns), "list int", "dim int"])
-    posted = written(unique.mapInPandas(lists(["rep", "embedding"], COPIES, 0, CLOSURE), schema(["rep", "embedding"])))
+    posted = written(unique.mapInPandas(solid(lists(["rep", "embedding"], COPIES, 0, CLOSURE)), schema(["rep", "embedding"])))
     wanted = valid(queries).select("vec_id", "embedding").distinct()
     asked = written(wanted.groupBy("embedding").agg(F.min("vec_id").alias("rep")))  # equal queries are asked once
-    probed = asked.mapInPandas(lists(["rep", "embedding"], PROBES, PROBED, RATIO), schema(["rep", "embedding"]))
+    probed = asked.mapInPandas(solid(lists(["rep", "embedding"], PROBES, PROBED, RATIO)), schema(["rep", "embedding"]))
 
     sizes_by = posted.groupBy("list", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     left = posted.join(sizes_by, ["list", "dim"]).select("list", "dim", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "embedding", F.lit(False).alias("asks"))
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
                 yield pd.DataFrame({"query": np.repeat(part["rep"].to_numpy(), top), "rep": names[best].ravel(), "near": np.take_along_axis(cos, best, 1).ravel()})
 
-    met = left.unionByName(right).repartition("list", "dim", "block").sortWithinPartitions("list", "dim", "block").mapInPandas(compare, "query long, rep long, near double").groupBy("query", "rep").agg(F.max("near").alias("near"))
+    met = left.unionByName(right).repartition("list", "dim", "block").sortWithinPartitions("list", "dim", "block").mapInPandas(solid(compare), "query long, rep long, near double").groupBy("query", "rep").agg(F.max("near").alias("near"))
     top = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
     # one row is the query's own vector; its copies' ids are candidates like others
     best = met.withColumn("_n", F.row_number().over(top)).where(f"_n <= {k + 2}").select("query", "rep")

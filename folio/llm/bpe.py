@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import in_slices, solid
 
 #: White space as the tokenizer's normaliser sees it.
 UNICODE_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -280,7 +280,7 @@ def bpe_encode(docs: DataFrame, path: str, outputs: list[str] | None = None) ->
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()} | {n: [r[i] for r in rows] for i, n in enumerate(names)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{n} {OUTPUTS[n]}" for n in names))
+    return docs.select("doc_id", "text").mapInPandas(solid(run), f"doc_id {kind}, " + ", ".join(f"{n} {OUTPUTS[n]}" for n in names))
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -293,4 +293,4 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text": texts})
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInPandas(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInPandas(solid(run), f"doc_id {kind}, text string")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import solid, SPACE, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -146,8 +146,8 @@ def digest_index(docs: DataFrame) -> DataFrame:
     digests are then dealt out by their hash and merged in the same way.
     """
     rows = docs.select(text_digest().alias("text_sha256"), F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    partial = rows.mapInPandas(_combine(COMBINE_ROWS), INDEX_COLUMNS)
-    return partial.repartition("text_sha256").mapInPandas(_combine(None), INDEX_COLUMNS)
+    partial = rows.mapInPandas(solid(_combine(COMBINE_ROWS)), INDEX_COLUMNS)
+    return partial.repartition("text_sha256").mapInPandas(solid(_combine(None)), INDEX_COLUMNS)
 
 
 def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> D
     gone = deleted.select(text_digest().alias("text_sha256")).distinct()
     gone = gone.select("text_sha256", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(_DELETE).alias("_kind"))
     rows = index.withColumn("_kind", F.lit(_KEPT)).select(names).unionByName(gone).unionByName(digest_index(inserted).withColumn("_kind", F.lit(_INSERT)).select(names))
-    return rows.repartition("text_sha256").sortWithinPartitions("_kind").mapInPandas(_combine(None), INDEX_COLUMNS)
+    return rows.repartition("text_sha256").sortWithinPartitions("_kind").mapInPandas(solid(_combine(None)), INDEX_COLUMNS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

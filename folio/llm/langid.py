@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import fold, in_slices
+from .common import fold, in_slices, solid
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -86,7 +86,7 @@ def fit(docs: DataFrame) -> LanguageModel:
             at = np.flatnonzero(got)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": got[at]})
 
-    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInPandas(count, "lang string, bucket int, n long")
+    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInPandas(solid(count), "lang string, bucket int, n long")
     found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     shares = np.full((len(languages), BUCKETS), SMOOTHING)
@@ -146,7 +146,7 @@ def predict_columns(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     docs = docs.drop(*RESULTS)
     schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in RESULTS.items())])
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(solid(run), schema)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, written
+from .common import in_slices, solid, written
 from .components import components
 
 SKETCH_BITS = 2048
@@ -149,7 +149,7 @@ def signatures(units: DataFrame, words: int, bands: int, rows: int) -> DataFrame
                     keys[i] = row
             yield pd.DataFrame({"unit_id": part["unit_id"].to_numpy(), "n": n, "sig_a": a, "sig_b": b, "keys": keys})
 
-    return units.select("unit_id", "text").mapInPandas(run, "unit_id long, n long, sig_a long, sig_b long, keys array<long>")
+    return units.select("unit_id", "text").mapInPandas(solid(run), "unit_id long, n long, sig_a long, sig_b long, keys array<long>")
 
 
 def _sets(units: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _sets(units: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame({"id": part["unit_id"].to_numpy(), "n": [len(s) for s in sets], "sketch": [odd_sketch(s) for s in sets], "members": [s.tobytes() for s in sets]})
 
     wanted = units.join(ids.select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
-    return wanted.select("unit_id", "text").mapInPandas(run, "id long, n long, sketch binary, members binary").dropDuplicates(["id"])
+    return wanted.select("unit_id", "text").mapInPandas(solid(run), "id long, n long, sketch binary, members binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -186,9 +186,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     small = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     met = pairs.join(small("a"), "a").join(small("b"), "b")
     met = met.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-    kept = written(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(screen, "a long, b long"))
+    kept = written(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(solid(screen), "a long, b long"))
     full = kept.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+    return full.select("a", "b", "x", "y").mapInPandas(solid(compare), "a long, b long")
 
 
 def _blocked(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -260,7 +260,7 @@ def near_groups(units: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     rights = over.select("key", "id", "comp", place("_m").alias("mb"), every("_r").alias("rb"), F.lit(False).alias("left_side"))
     lefts = over.where("comp <> main").select("key", "id", "comp", every("_m").alias("mb"), place("_r").alias("rb"), F.lit(True).alias("left_side"))
     blocks = rights.unionByName(lefts).join(sets.select("id", "n", "sketch"), "id").repartition("key", "mb", "rb").sortWithinPartitions("key", "mb", "rb")
-    many = blocks.select("key", "mb", "rb", "id", "comp", "left_side", "n", "sketch").mapInPandas(lambda it: _blocked(it, num / den), "a long, b long").distinct()
+    many = blocks.select("key", "mb", "rb", "id", "comp", "left_side", "n", "sketch").mapInPandas(solid(lambda it: _blocked(it, num / den)), "a long, b long").distinct()
     more = _verified(written(few.unionByName(many).distinct()), sets, num, den)
     joined = written(components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
 

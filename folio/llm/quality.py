@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, written
+from .common import in_slices, solid, written
 
 #: Bound of what is fitted: labelled rows, those of smallest hash.
 LABELLED = 20_000
@@ -160,7 +160,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield part.drop(columns="text").assign(features=rows)
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInPandas(run, ", ".join([*rest, "features array<double>"]))
+    return docs.mapInPandas(solid(run), ", ".join([*rest, "features array<double>"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> AdditiveModel:
@@ -191,4 +191,4 @@ def predict(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": 1 / (1 + np.exp(-np.clip(margin, -30, 30)))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInPandas(solid(run), f"doc_id {kind}, score double")

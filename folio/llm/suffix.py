@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, written
+from .common import in_slices, solid, written
 from .near import mixed, sorted_groups
 
 MIN_LENGTH, GRAM = 200, 32
@@ -212,7 +212,7 @@ def _first_windows(length: int):
 
 def _across_blocks(pieces: DataFrame, length: int) -> DataFrame:
     """What _settle() cannot see: windows that repeat in another block of the same key."""
-    firsts = written(pieces.mapInPandas(_first_windows(length), "key long, pa long, pb long, doc_id long, off int, at int, wa long, wb long"))
+    firsts = written(pieces.mapInPandas(solid(_first_windows(length)), "key long, pa long, pb long, doc_id long, off int, at int, wa long, wb long"))
     firsts = firsts.select("key", "pa", "pb", "off", "wa", "wb", F.struct("doc_id", "at", "pa", "pb").alias("place"))
     again = firsts.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").drop("n")
     found = firsts.join(again, ["wa", "wb"]).select("key", "pa", "pb", "off", (F.col("place") != F.col("least")).alias("late"))
@@ -222,10 +222,10 @@ def _across_blocks(pieces: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none", many: int = MANY) -> DataFrame:
     """rk, spans: byte ranges [start, end) to remove from the rows of docs(rk, doc_id, raw)."""
-    found = written(docs.select("rk", "raw").mapInPandas(_find(length), "rk long, key long, lo int, hi int"))
+    found = written(docs.select("rk", "raw").mapInPandas(solid(_find(length)), "rk long, key long, lo int, hi int"))
     used = found.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1")
     wanted = found.join(used, "key").groupBy("rk").agg(F.collect_set(F.struct("lo", "hi", "key", "uses")).alias("runs"))
-    cut = docs.join(wanted, "rk").select("rk", "doc_id", "raw", "runs").mapInPandas(_cut(length), "rk long, doc_id long, lo int, key long, uses long, piece binary")
+    cut = docs.join(wanted, "rk").select("rk", "doc_id", "raw", "runs").mapInPandas(solid(_cut(length)), "rk long, doc_id long, lo int, key long, uses long, piece binary")
     pieces = written(cut.withColumn("pa", F.xxhash64("piece")).withColumn("pb", F.xxhash64(F.lit(3), "piece")))
     first = F.min(F.struct("doc_id", "lo"))
     unique = pieces.groupBy("key", "pa", "pb").agg(F.count("*").alias("copies"), first.alias("_first"), F.max("uses").alias("uses"), F.any_value("piece").alias("piece"))
@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none"
     blocks = unique.withColumn("_blocks", F.ceil(F.col("uses") / many)).withColumn("block", F.pmod(F.col("pa"), F.col("_blocks")).cast("int"))
     blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block")
     columns = ["key", "block", "pa", "pb", "copies", "doc_id", "lo", "piece"]
-    settled = blocks.select(columns).mapInPandas(_settle(length), f"key long, pa long, pb long, runs {RUNS}, later {RUNS}")
+    settled = blocks.select(columns).mapInPandas(solid(_settle(length)), f"key long, pa long, pb long, runs {RUNS}, later {RUNS}")
     split = unique.where(f"uses > {many}").withColumn("block", F.pmod(F.col("pa"), F.ceil(F.col("uses") / many)).cast("int"))
     split = split.repartition("key", "block").sortWithinPartitions("key", "block").select(columns)
     settled = written(settled.unionByName(_across_blocks(split, length)))
@@ -282,4 +282,4 @@ def suffix_dedup(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none",
             yield pd.concat([part[["doc_id"]].reset_index(drop=True).astype("Int64"), pd.DataFrame(made, columns=names)], axis=1)
 
     joined = rows.join(spans, "rk", "left").select("doc_id", "raw", "spans")
-    return joined.mapInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInPandas(solid(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, written
+from .common import in_slices, solid, written
 
 #: Bounds of what is fitted: labelled rows (those of smallest hash), and tokens of largest weight.
 LABELLED = 20_000
@@ -25,10 +25,11 @@ TOKENS = 50_000
 BEGINNING = 5
 #: Strength of the prior, the least z-score of a token that counts as toxic, and the cost of any other.
 PRIOR = 50.0
-PSEUDO = 0.5
+PSEUDO = 1.0
 LEAST_Z = 3.3
 LEAST_SEEN = 3
 DRIFT = 0.7
+CONTEXT = 5
 SPLIT = r"[\s.,;:!?\"'()\[\]]+"
 
 
@@ -38,7 +39,7 @@ class ToxicModel:
     beginnings: dict[str, float]
     scale: float = 1.0  # lambda and K of the extreme-value law
     size: float = 0.01
-    logistic: tuple[float, ...] = (-2.0, 1.0, 0.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (-3.0, 1.0, 0.5, 1.5, 0.0)
 
 
 def log_odds(counts: pd.DataFrame, toxic: str, clean: str, n_toxic: float, n_clean: float, total: float) -> pd.Series:
@@ -79,13 +80,14 @@ def _fold_of(name: str) -> Column:
 def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """token, every (documents of the corpus with it), and of labelled ones by fold 0 and 1 the toxic and clean: t0, c0, t1, c1.
 
-    In labelled texts a token counts once for each different token before it, so that copies of one text count once.
+    In labelled texts a token counts once for each different token CONTEXT places before it, so that copies of
+    one text count once, and words of a fixed phrase as often as the phrase.
     """
     tokens = lambda text: F.filter(F.split(F.lower(text), SPLIT), lambda t: t != "")
     every = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("every"))
     known = F.broadcast(labels.select(F.col("doc_id").alias("_id"), "toxic", _fold_of("doc_id").alias("_fold")))
     rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("toxic", "_fold", tokens("text").alias("_tokens"))
-    pairs = rows.withColumn("_before", F.concat(F.array(F.lit("")), "_tokens")).select("toxic", "_fold", F.explode(F.arrays_zip("_tokens", "_before")).alias("_pair"))
+    pairs = rows.withColumn("_before", F.concat(F.array(*[F.lit("")] * CONTEXT), "_tokens")).select("toxic", "_fold", F.explode(F.arrays_zip("_tokens", "_before")).alias("_pair"))
     pairs = pairs.select("toxic", "_fold", F.col("_pair._tokens").alias("token"), F.xxhash64("_pair._before").alias("_before")).where("token is not null").distinct()
     one = lambda label, part: F.sum(F.when((F.col("toxic") == label) & (F.col("_fold") == part), 1).otherwise(0))
     seen = pairs.groupBy("token").agg(one(1, 0).alias("t0"), one(0, 0).alias("c0"), one(1, 1).alias("t1"), one(0, 1).alias("c1"))
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ToxicMo
 
     known = sample.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"), _fold_of("doc_id").alias("_fold"))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic", "_fold")
-    seen = rows.mapInPandas(score, "toxic int, n long, best double, found long").toPandas()
+    seen = rows.mapInPandas(solid(score), "toxic int, n long, best double, found long").toPandas()
     clean = seen[seen["toxic"] == 0]
     tops = clean["best"].to_numpy()
     if (tops > 0).sum() >= 10:
@@ -186,7 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ToxicMo
         whole.size = float((tops > 0).sum() / max(clean["n"].sum(), 1))
     if seen["toxic"].nunique() > 1:
         x = features(seen["n"].to_numpy(), seen["best"].to_numpy(), seen["found"].to_numpy(), whole)
-        whole.logistic = tuple(_fit_logistic(x, seen["toxic"].to_numpy(dtype=float)))
+        fitted = _fit_logistic(x, seen["toxic"].to_numpy(dtype=float))
+        weak, strong = features(np.array([200, 200]), np.array([0.0, 8.0]), np.array([0, 1]), whole) @ fitted
+        if strong > weak:  # else the folds were too small to learn from; the default stays
+            whole.logistic = tuple(fitted)
     return whole
 
 
@@ -210,4 +215,4 @@ def predict(docs: DataFrame, model: ToxicModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": score, "n_segments": [len(s) for s in spans], "spans": spans})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, n_segments int, spans array<struct<start:int,end:int,score:double>>")
+    return docs.select("doc_id", "text").mapInPandas(solid(run), f"doc_id {kind}, score double, n_segments int, spans array<struct<start:int,end:int,score:double>>")
