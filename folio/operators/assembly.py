@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,29 @@ def imposition(counts: DataFrame, layout: str = "booklet", direction: str = "ltr
         order = F.when(F.col("side") % 2 == 0, F.array(back, front)).otherwise(F.array(front, back))
         slots = sides.select("*", F.posexplode(F.reverse(order) if direction == "rtl" else order).alias("slot", "_page"))
     return slots.where("page_count > 0").select("doc_id", "side", "slot", F.when(F.col("_page") <= F.col("page_count"), F.col("_page")).cast("int").alias("page_number"))
+
+
+def insert_blank_pages(pages: DataFrame, count: int, at: str = "end", width: float = 612, height: float = 792) -> DataFrame:
+    """doc_id, page_number, text, width, height: 1 to 20 blank pages (null text) before or after the pages of every document; their sides are 72 to 2880."""
+    n = max(1, min(20, count))
+    side = lambda v: F.lit(float(max(72, min(2880, v))))
+    last = F.lit(0) if at == "start" else F.col("_last")
+    blanks = pages.groupBy("doc_id").agg(F.max("page_number").alias("_last")).select("doc_id", F.explode(F.sequence(last + 1, last + n)).alias("page_number"), F.lit(None).cast("string").alias("text"), side(width).alias("width"), side(height).alias("height"))
+    moved = F.col("page_number") + (n if at == "start" else 0)
+    return blanks.unionByName(pages.select("doc_id", moved.cast("int").alias("page_number"), "text", F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height")))
+
+
+def bates_numbers(pages: DataFrame, prefix: str = "", digits: int = 6, start: int = 1, suffix: str = "", span: int = 100_000) -> DataFrame:
+    """doc_id, page_number, label: one running number over all the pages, in order of document and page.
+
+    Counts add up by page, document and block of span document ids; only the blocks, a row for each, go through one task.
+    """
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("doc_id") / span))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    so_far = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_block", so_far(Window.orderBy("_block"), "_sum").alias("_base"))
+    docs = counts.withColumn("_within", so_far(Window.partitionBy("_block").orderBy("doc_id"), "_n")).join(blocks, "_block").select("doc_id", (F.col("_base") + F.col("_within")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))
+    number = (F.col("_before") + rank + (start - 1)).cast("string")
+    padded = F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))
+    return pages.select("doc_id", "page_number").join(docs, "doc_id").select("doc_id", "page_number", F.concat(F.lit(prefix), padded, F.lit(suffix)).alias("label"))
