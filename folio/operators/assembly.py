@@ -80,3 +80,12 @@ def bates_numbers(pages: DataFrame, prefix: str = "", digits: int = 6, start: in
     number = (F.col("_before") + rank + (start - 1)).cast("string")
     padded = F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))
     return pages.select("doc_id", "page_number").join(docs, "doc_id").select("doc_id", "page_number", F.concat(F.lit(prefix), padded, F.lit(suffix)).alias("label"))
+
+
+def merge_documents(pages: DataFrame) -> DataFrame:
+    """merge_id, page_number, doc_id, source_page, lead (the first source, whose metadata wins) of pages(merge_id, source_index, doc_id, page_number)."""
+    sources = pages.groupBy("merge_id", "source_index").agg(F.max("page_number").alias("_n"), F.min("doc_id").alias("_doc"))
+    order = Window.partitionBy("merge_id").orderBy("source_index")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sources.select("merge_id", "source_index", before.alias("_before"), F.first("_doc").over(order).alias("lead"))
+    return pages.join(offsets, ["merge_id", "source_index"]).select("merge_id", (F.col("_before") + F.col("page_number")).alias("page_number"), "doc_id", F.col("page_number").alias("source_page"), "lead")

@@ -57,3 +57,10 @@ def merge_history(entries: DataFrame, most: int = HISTORY) -> DataFrame:
     last = rows.groupBy("owner", "_group").agg(F.max(F.struct("at_ms", "id", "merge_key")).alias("_last"), F.count("*").alias("merged"))
     back = Window.partitionBy("owner").orderBy(F.desc("_group"))
     return last.withColumn("position", F.row_number().over(back) - 1).where(F.col("position") <= most).select("owner", "position", "_last.id", "_last.merge_key", "merged")
+
+
+def receipts_csv(receipts: DataFrame) -> DataFrame:
+    """id, line: the time in ISO form and seven fields, each in quotes, quotes inside doubled; nulls are empty."""
+    cells = [F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), *(F.col(c).cast("string") for c in ("kind", "filename", "mime_type", "byte_length", "sha256", "route", "release"))]
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]
+    return receipts.select("id", F.concat_ws(",", *quoted).alias("line"))

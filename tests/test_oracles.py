@@ -17,7 +17,7 @@ def rows(columns, found):
     return sorted([tuple(plain(r[i]) for i in order) for r in found], key=str)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
