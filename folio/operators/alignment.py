@@ -99,18 +99,17 @@ def word_changes(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     while tail < min(len(left), len(right)) and left[-1 - tail] == right[-1 - tail]:
         tail += 1
     a, b = left[: len(left) - tail], right[: len(right) - tail]
-    longest = [[0] * (len(b) + 1)]
-    for word in a:
-        last, row = longest[-1], [0]
-        for j, other in enumerate(b):
-            row.append(last[j] + 1 if word == other else max(last[j + 1], row[j]))
-        longest.append(row)
+    place: dict[str, int] = {}
+    x, y = (np.array([place.setdefault(w, len(place)) for w in side], dtype=np.int64) for side in (a, b))
+    longest = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    for row, word in enumerate(x, start=1):  # a row never falls, so a running maximum stands for the word to the left
+        longest[row, 1:] = np.maximum.accumulate(np.where(y == word, longest[row - 1, :-1] + 1, longest[row - 1, 1:]))
     out, i, j = [("same", w) for w in reversed(left[len(a) :])], len(a), len(b)
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("same", a[i]))
-        elif not i or (j and longest[i][j - 1] >= longest[i - 1][j]):
+        elif not i or (j and longest[i, j - 1] >= longest[i - 1, j]):
             j -= 1
             out.append(("added", b[j]))
         else:

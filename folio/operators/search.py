@@ -25,3 +25,22 @@ def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, who
     snippet = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), "…").otherwise(""))
     found = pages.where(F.lit(bool(query))).withColumn("match_count", F.regexp_count(text, F.lit(pattern)))
     return found.where("match_count > 0").select("doc_id", "page_number", "match_count", snippet.alias("snippet"))
+
+
+def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """query, doc_id, page_number, match_count of every page with a whole word of queries(query), each one word of letters, digits or _.
+
+    Words meet in an equi-join, so neither side is compared with all of the other. Other queries find nothing.
+    """
+    fold = (lambda c: c) if case_sensitive else F.lower
+    asked = queries.where(F.col("query").rlike("^[A-Za-z0-9_]+$")).select("query", fold(F.col("query")).alias("_word")).distinct()
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1))
+    found = pages.select("doc_id", "page_number", F.explode(words).alias("_w")).select("doc_id", "page_number", fold(F.col("_w")).alias("_word"))
+    return found.join(asked, "_word").groupBy("query", "doc_id", "page_number").agg(F.count("*").alias("match_count"))
+
+
+def page_text(items: DataFrame) -> DataFrame:
+    """doc_id, page_number, text: the texts of items(doc_id, page_number, pos, text) in order of pos, white space collapsed; a null text counts as empty."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))))
+    joined = F.array_join(F.transform(ordered, lambda i: i["text"]), " ")
+    return items.groupBy("doc_id", "page_number").agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"))

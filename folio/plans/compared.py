@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import alignment, assembly, compliance, records
+from folio.operators import alignment, assembly, compliance, jobs, records, search
 from folio.plans.governed import _docs, _events, _pages
 from folio.sources import views
 
@@ -15,6 +15,31 @@ def b9_script_profile(spark, sf_dir):
     return compliance.script_profile(_docs(spark, sf_dir).select(mixed.alias("text")))
 
 
+def c2_search_many(spark, sf_dir):
+    first = views.table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("query"))
+    asked = first.unionByName(spark.createDataFrame([("the",), ("une",)], "query string"))
+    return search.search_many(_pages(spark, sf_dir), asked)
+
+
+def c3_page_text(spark, sf_dir):
+    items = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return search.page_text(items.withColumn("page_number", (F.floor(F.col("pos") / views.LINES) + 1).cast("int")))
+
+
+def e8_annotation_inventory(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    kinds = F.array(*map(F.lit, ["Link", "Widget", "Highlight", "Link"]))
+    notes = pages.select("doc_id", "page_number", F.element_at(kinds, (F.col("page_number") % 4 + 1).cast("int")).alias("subtype"))
+    return jobs.annotation_inventory(notes, pages.where("page_number % 5 <> 0"))
+
+
+def i2_pending_pages(spark, sf_dir):
+    pages = views.ocr_pages(views.table(spark, sf_dir, "conversations"))
+    recipe = lambda scale: jobs.recipe_fingerprint(F.lit("e1").alias("engine"), F.lit("en").alias("languages"), scale.alias("scale"))
+    stored = pages.select("job_id").distinct().select("job_id", F.when(F.col("job_id") % 4 == 1, "complete").otherwise("paused").alias("status"), recipe(F.when(F.col("job_id") % 3 == 0, 3).otherwise(2)).alias("fingerprint"))
+    return jobs.pending_pages(pages.select("job_id", "page_number", recipe(F.lit(2)).alias("fingerprint")), stored, pages)
+
+
 def _aligned(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     return alignment.align_sequences(pages, views.revised_pages(pages))
@@ -68,13 +93,20 @@ def s8_receipts_csv(spark, sf_dir):
     return records.receipts_csv(events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("kind"), F.concat(F.lit('f"'), "event_id").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("user_id").alias("byte_length"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("sha256"), F.lit("/activity").alias("route"), F.lit("1").alias("release")))
 
 
-QUERIES = {f.__name__: f for f in (b9_script_profile, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}
+QUERIES = {f.__name__: f for f in (b9_script_profile, c2_search_many, c3_page_text, e8_annotation_inventory, i2_pending_pages, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}
 
 _WITH = "with " + views.SQL
 
 ORACLES = {
     "b9_script_profile": """with s as (select case when doc_id % 7 = 6 then 'unknown' when doc_id % 7 = 5 then 'complex' when doc_id % 7 = 4 then 'cjk-zh-hant' when doc_id % 7 = 3 then 'cjk-zh-hans' when doc_id % 7 = 2 then 'cjk-ja' when doc_id % 7 = 1 then 'cjk-ko' else 'latin' end as script
         from documents where doc_id % 7 <> 0 or regexp_matches(text, '[A-Za-z]')) select script, count(*) as texts, case script when 'latin' then 'fixed-box' when 'complex' then 'overlay-only' when 'unknown' then 'unsupported' else 'cjk-fixed-box' end as editability from s group by 1""",
+    "c2_search_many": _WITH + r""", q as (select distinct query from (select regexp_extract(text, '^[A-Za-z]+') as query from benchmark union all select unnest(['the', 'une'])) where query <> ''),
+        w as (select doc_id, page_number, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as word from doc_pages)
+        select query, doc_id, page_number, count(*) as match_count from w join q on lower(query) = word group by all""",
+    "c3_page_text": _WITH + " select * from doc_pages",
+    "e8_annotation_inventory": _WITH + """ select doc_id, count(*) filter (page_number % 4 in (0, 3)) as links, count(*) filter (page_number % 4 = 1) as widgets, count(*) filter (page_number % 4 = 2) as others
+        from doc_pages where page_number % 5 <> 0 group by 1""",
+    "i2_pending_pages": _WITH + " select job_id, page_number from ocr_pages where not (status = 'complete' and job_id % 3 <> 0 and job_id % 4 <> 1)",
     "f4_verify_form_updates": """with f as (select o_custkey as doc_id, o_orderkey as id, o_orderstatus as value, o_orderkey % 2 = 0 as box from orders where o_orderkey % 3 = 0),
         u as (select *, id % 9 = 0 as moved, id % 7 = 0 and id <> 0 as other, case when id % 4 = 0 then 'Off' else value end as want from f)
         select doc_id, case when other then -id else id end as id, not (moved and other) as matched, not (moved and other) and (case when box then want <> 'Off' else want = value end) as passed from u""",
