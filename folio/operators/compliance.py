@@ -69,3 +69,12 @@ def verify_form_updates(updates: DataFrame, fields: DataFrame) -> DataFrame:
     on = lambda c: ~F.lower(F.trim(c)).isin(OFF)
     same = F.when(F.col("type").isin("checkbox", "radiobutton", "button"), on(have) == on(want)).otherwise(have == want)
     return both.select("doc_id", "id", have.isNotNull().alias("matched"), F.coalesce(same, F.lit(False)).alias("passed"))
+
+
+def sanitize_objects(objects: DataFrame, remove: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The objects(doc_id, category, object_id, subtype) that stay, and doc_id, category, removed: how many went.
+
+    remove names categories; of comments, redactions stay. A null category stays.
+    """
+    goes = F.coalesce(F.col("category").isin(*remove) & ~((F.col("category") == "comments") & F.coalesce(F.col("subtype").isin("Redact", "Redaction"), F.lit(False))), F.lit(False))
+    return objects.where(~goes), objects.where(goes).groupBy("doc_id", "category").agg(F.count("*").alias("removed"))

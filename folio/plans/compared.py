@@ -66,6 +66,13 @@ def f4_verify_form_updates(spark, sf_dir):
     return compliance.verify_form_updates(new.withColumn("id", F.when(F.col("id") % 7 == 0, -F.col("id")).otherwise(F.col("id"))), fields.drop("type"))
 
 
+def f5_sanitize_objects(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ["links", "comments", "attachments", "metadata", "scripts", "open-actions"]))
+    kind = F.element_at(kinds, (F.col("page_number") % 6 + 1).cast("int"))
+    objects = _pages(spark, sf_dir).select("doc_id", kind.alias("category"), F.concat(F.lit("o:"), "page_number").alias("object_id"), F.when(F.col("doc_id") % 2 == 0, "Redact").alias("subtype"))
+    return compliance.sanitize_objects(objects, ("links", "comments", "scripts"))[1]
+
+
 def f9_signature_coverage(spark, sf_dir):
     pad = F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int"))
     d = F.lpad((34 + F.col("doc_id") % 50 + F.element_at(F.array(*map(F.lit, [0, -10, 5])), (F.col("doc_id") % 3 + 1).cast("int"))).cast("string"), 6, "0")
@@ -93,7 +100,7 @@ def s8_receipts_csv(spark, sf_dir):
     return records.receipts_csv(events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("kind"), F.concat(F.lit('f"'), "event_id").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("user_id").alias("byte_length"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("sha256"), F.lit("/activity").alias("route"), F.lit("1").alias("release")))
 
 
-QUERIES = {f.__name__: f for f in (b9_script_profile, c2_search_many, c3_page_text, e8_annotation_inventory, i2_pending_pages, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}
+QUERIES = {f.__name__: f for f in (b9_script_profile, c2_search_many, c3_page_text, e8_annotation_inventory, i2_pending_pages, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f5_sanitize_objects, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}
 
 _WITH = "with " + views.SQL
 
@@ -110,6 +117,8 @@ ORACLES = {
     "f4_verify_form_updates": """with f as (select o_custkey as doc_id, o_orderkey as id, o_orderstatus as value, o_orderkey % 2 = 0 as box from orders where o_orderkey % 3 = 0),
         u as (select *, id % 9 = 0 as moved, id % 7 = 0 and id <> 0 as other, case when id % 4 = 0 then 'Off' else value end as want from f)
         select doc_id, case when other then -id else id end as id, not (moved and other) as matched, not (moved and other) and (case when box then want <> 'Off' else want = value end) as passed from u""",
+    "f5_sanitize_objects": _WITH + """ select doc_id, ['links', 'comments', '', '', 'scripts'][page_number % 6 + 1] as category, count(*) as removed from doc_pages
+        where page_number % 6 in (0, 4) or (page_number % 6 = 1 and doc_id % 2 = 1) group by 1, 2""",
     "f9_signature_coverage": """with r as (select doc_id, 54 + doc_id % 50 as size, 34 + doc_id % 50 + [0, -10, 5][doc_id % 3 + 1] as d from documents)
         select doc_id, 0::int as pos, 10 + d as covered, 10 as gap, size - 20 - d as tail, case when doc_id % 3 = 2 then 'invalid-range' when doc_id % 3 = 0 then 'covers-current-file' else 'covers-prior-revision' end as status from r""",
     "f12_archival_claims": """select doc_id, doc_id % 3 < 2 as claimed, case doc_id % 3 when 0 then 'PDF/A-' || (1 + doc_id % 4) || 'b' when 1 then 'PDF/A-' || (1 + doc_id % 4) || 'a' else '' end as profile from documents""",
