@@ -1,19 +1,31 @@
-"""Substring dedup by paragraphs: MinHash bands, exact Jaccard, removal by components (operator 3)."""
+"""Substring dedup by paragraphs: MinHash bands, exact Jaccard, removal by components (operator 3).
+
+Lines are compared as wholes. A passage inside other text is a paragraph too: 25 words from each place
+whose next three words have the smallest hash of the 26 places around, so texts that share 50 words in a
+row, in whatever lines, always share such a passage. Passages are equal by a 128-bit digest.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, in_slices, solid, written
 from .mixing import word_count
-from .near import near_groups
+from .near import _LOWER, _SPACE, mixed, near_groups, word_hashes
 
 #: A paragraph is a line of at least so many words; shorter lines are never removed.
 MIN_WORDS = 25
 #: 16 bands of 4 rows lose 2 in 10,000 pairs at a similarity of 0.8, 3 in 10 million at 0.9.
 BANDS, ROWS = 16, 4
 PLACES = 1 << 22
+#: Words of a passage, and how many neighbouring places choose one; a run of their sum less one words is always found.
+PASSAGE, AROUND = 25, 26
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -29,11 +41,57 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.select(unit.alias("unit_id"), "doc_id", "paragraph", "text")
 
 
+def passages_of(text: str, words: int = PASSAGE, around: int = AROUND) -> list[np.ndarray]:
+    """First word, line, and two digests of the chosen passages of a text; of equal ones the first."""
+    raw = text.encode("utf-8", "replace").translate(_LOWER)
+    w = word_hashes(raw)
+    places = len(w) - words + 1
+    if places < 1:
+        return [np.zeros(0, dtype=np.int64)] * 4
+    gram = mixed(mixed(w[:places] * np.uint64(0xD1342543DE82EF95) + w[1 : places + 1]) * np.uint64(0xD1342543DE82EF95) + w[2 : places + 2])
+    near = np.lib.stride_tricks.sliding_window_view(gram, min(around, places))
+    first = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    one, two = np.zeros(len(first), dtype=np.uint64), np.zeros(len(first), dtype=np.uint64)
+    for i in range(words):
+        one = mixed(one * np.uint64(0xD1342543DE82EF95) + w[first + i])
+        two = mixed(two * np.uint64(0xA24BAED4963EE407) + mixed(w[first + i] ^ np.uint64(0x5851F42D4C957F2D)))
+    _, kept = np.unique(one, return_index=True)
+    first, one, two = first[kept], one[kept], two[kept]
+    data = np.frombuffer(raw, dtype=np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    line = np.searchsorted(np.flatnonzero(data == 10), starts[first])
+    return [first, line, one.view(np.int64), two.view(np.int64)]
+
+
+def passages(docs: DataFrame, words: int = PASSAGE, around: int = AROUND) -> DataFrame:
+    """doc_id, paragraph (line of the first word), first_word (its number in the text, from 0), one, two (digests) of all chosen passages."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in in_slices(frames, "text"):
+            found = [passages_of(t, words, around) for t in part["text"]]
+            first, line, one, two = (np.concatenate(column) for column in zip(*found, strict=True))
+            yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), [len(f[0]) for f in found]), "paragraph": line, "first_word": first, "one": one, "two": two})
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInPandas(solid(run), "doc_id long, paragraph int, first_word long, one long, two long")
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE, around: int = AROUND) -> DataFrame:
+    """doc_id, paragraph, first_word, keep_doc_id, keep_paragraph, copies (rows that have it), removed of passages that several documents share."""
+    every = written(passages(docs, words, around))
+    first = F.min(F.struct("doc_id", "paragraph")).alias("_keep")
+    shared = every.groupBy("one", "two").agg(first, F.max("doc_id").alias("_last"), F.count("*").alias("copies")).where("_keep.doc_id < _last")
+    held = every.join(shared, ["one", "two"])
+    return held.select("doc_id", "paragraph", "first_word", F.col("_keep.doc_id").alias("keep_doc_id"), F.col("_keep.paragraph").alias("keep_paragraph"), "copies", (F.col("doc_id") != F.col("_keep.doc_id")).alias("removed")).distinct()
+
+
 def repeated_paragraphs(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, paragraph, n_shingles, keep_doc_id, keep_paragraph, copies, removed for each paragraph that has a near copy.
+    """doc_id, paragraph, first_word, n_shingles, keep_doc_id, keep_paragraph, copies, removed for each paragraph that has a near copy.
 
-    Paragraphs are near copies when the Jaccard similarity of their word shingles is num / den or more;
-    components of near copies keep their first paragraph (by doc_id, then line), the others are removed.
+    Lines (first_word is null) are near copies when the Jaccard similarity of their word shingles is num / den
+    or more; components of near copies keep their first line (by doc_id, then line), the others are removed.
+    Passages (first_word is set, of PASSAGE words) that another document has too are kept in the first.
     Documents that share no paragraph have no rows. Null texts and null doc_ids have no paragraphs; rows that
     repeat a doc_id are one document. An empty table gives no rows.
     """
@@ -42,11 +100,34 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, num: int = 80, den: int
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("copies")).where("copies > 1")
     unpack = lambda c: (F.floor(F.col(c) / PLACES).cast("long"), F.pmod(F.col(c), F.lit(PLACES)).cast("int"))
     (doc, line), (keep_doc, keep_line) = unpack("unit_id"), unpack("group_id")
-    return groups.join(sizes, "group_id").select(doc.alias("doc_id"), line.alias("paragraph"), F.col("n").alias("n_shingles"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_paragraph"), "copies", (F.col("unit_id") != F.col("group_id")).alias("removed"))
+    lines = groups.join(sizes, "group_id").select(doc.alias("doc_id"), line.alias("paragraph"), F.lit(None).cast("long").alias("first_word"), F.col("n").alias("n_shingles"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_paragraph"), "copies", (F.col("unit_id") != F.col("group_id")).alias("removed"))
+    inside = repeated_passages(docs).withColumn("n_shingles", F.lit(max(1, PASSAGE - words + 1)).cast("long"))
+    return lines.unionByName(inside)
+
+
+def without(text: str, lines: list[int], starts: list[int], words: int = PASSAGE) -> str:
+    """text without the given lines and without the passages that start at the given words."""
+    gone = np.zeros(len(text) + 1, dtype=bool)
+    if len(starts):
+        spans = [m.span() for m in re.finditer(WORD, text)]
+        for i in starts:
+            gone[spans[i][0] : spans[i + words - 1][1]] = True
+    out, at, skipped = [], 0, set(lines)
+    for number, line in enumerate(text.split("\n")):
+        if number not in skipped:
+            out.append("".join(c for c, g in zip(line, gone[at : at + len(line)], strict=True) if not g))
+        at += len(line) + 1
+    return "\n".join(out)
 
 
 def substring_dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and text without the removed paragraphs, for every row with a doc_id that loses some."""
-    gone = repeated_paragraphs(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    return docs.select("doc_id", "text").join(gone, "doc_id").select("doc_id", kept.alias("text"))
+    """doc_id and text without the removed lines and passages, for every row with a doc_id that loses some."""
+    gone = repeated_paragraphs(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("_lines"), F.collect_set("first_word").alias("_starts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in in_slices(frames, "text"):
+            kept = [without(t, x, y) for t, x, y in zip(part["text"], part["_lines"], part["_starts"], strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text": kept})
+
+    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id")
+    return found.mapInPandas(solid(run), "doc_id long, text string")

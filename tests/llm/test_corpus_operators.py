@@ -143,6 +143,24 @@ def test_substring_dedup(spark):
     assert {r.doc_id: r.text for r in substring.substring_dedup(docs).collect()} == {2: "other", 3: ""}
 
 
+def test_passages_inside_other_text_are_found(spark):
+    draw = random.Random(8)
+    word = lambda: f"v{draw.randrange(10**6)}"
+    shared = [[word() for _ in range(50)] for _ in range(20)]
+    rows = [(i * 20 + k, " ".join([*(word() for _ in range(draw.randint(1, 200))), *s[:13]]) + ("\n" if i else " ") + " ".join([*s[13:], *(word() for _ in range(draw.randint(1, 200)))])) for i in range(3) for k, s in enumerate(shared)]
+    rows += [(100 + i, " ".join(word() for _ in range(300))) for i in range(20)] + [(200, "of " * 3000), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.repeated_passages(docs).collect()
+    # a place may be chosen by words around the shared ones, so a passage need not be kept in the first document that has it
+    assert {r.doc_id for r in found} == set(range(60)) and all(r.keep_doc_id % 20 == r.doc_id % 20 for r in found)
+    assert {r.doc_id for r in found if r.removed} == set(range(20, 60))
+    left = {r.doc_id: r.text for r in substring.substring_dedup(docs).collect()}
+    assert sorted(left) == list(range(20, 60))
+    texts = dict(rows)
+    assert all(set(left[d].split()) <= set(texts[d].split()) and len(left[d].split()) <= len(texts[d].split()) - 25 for d in left)
+    assert substring.repeated_passages(docs.limit(0)).count() == 0
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs, block=16).collect()
     assert len(rows) == docs.count()
