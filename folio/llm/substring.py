@@ -41,37 +41,66 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.select(unit.alias("unit_id"), "doc_id", "paragraph", "text")
 
 
-def passages_of(text: str, words: int = PASSAGE, around: int = AROUND) -> list[np.ndarray]:
-    """First word, line, and two digests of the chosen passages of a text; of equal ones the first."""
-    raw = text.encode("utf-8", "replace").translate(_LOWER)
+def _slide(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
+    """op over every n neighbours of x, by doubling."""
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        x, width = op(x[:-step], x[step:]), width + step
+    return x
+
+
+def passages_of(texts: list[str], words: int = PASSAGE, around: int = AROUND) -> list[np.ndarray]:
+    """Number of the text, first word, line, and two digests of the chosen passages of texts; of equal ones in a text the first."""
+    raws = [t.encode("utf-8", "replace").translate(_LOWER) for t in texts]
+    raw = b"\n".join(raws)
     w = word_hashes(raw)
     places = len(w) - words + 1
     if places < 1:
-        return [np.zeros(0, dtype=np.int64)] * 4
+        return [np.zeros(0, dtype=np.int64)] * 5
+    data = np.frombuffer(raw, dtype=np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
+    owner = np.searchsorted(offsets, starts, side="right") - 1
     gram = mixed(mixed(w[:places] * np.uint64(0xD1342543DE82EF95) + w[1 : places + 1]) * np.uint64(0xD1342543DE82EF95) + w[2 : places + 2])
-    near = np.lib.stride_tricks.sliding_window_view(gram, min(around, places))
-    first = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    inside = owner[:places] == owner[words - 1 :]
+
+    # a place is chosen where it is the smallest of some span of neighbours in its own text
+    chosen = np.zeros(places, dtype=bool)
+    if places >= around:
+        least = np.where(inside[around - 1 :] & (owner[: places - around + 1] == owner[around - 1 : places]), _slide(gram, around, np.minimum), np.uint64(0))
+        edge = np.zeros(around - 1, dtype=np.uint64)
+        chosen = _slide(np.concatenate([edge, least, edge]), around, np.maximum) == gram
+    which, begin, count = np.unique(owner[:places][inside], return_index=True, return_counts=True)
+    begin = np.flatnonzero(inside)[begin] if len(which) else begin
+    for at, n in zip(begin[count < around], count[count < around], strict=True):
+        chosen[at + gram[at : at + n].argmin()] = True
+    first = np.flatnonzero(chosen & inside)
+
     one, two = np.zeros(len(first), dtype=np.uint64), np.zeros(len(first), dtype=np.uint64)
     for i in range(words):
         one = mixed(one * np.uint64(0xD1342543DE82EF95) + w[first + i])
-        two = mixed(two * np.uint64(0xA24BAED4963EE407) + mixed(w[first + i] ^ np.uint64(0x5851F42D4C957F2D)))
-    _, kept = np.unique(one, return_index=True)
-    first, one, two = first[kept], one[kept], two[kept]
-    data = np.frombuffer(raw, dtype=np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    line = np.searchsorted(np.flatnonzero(data == 10), starts[first])
-    return [first, line, one.view(np.int64), two.view(np.int64)]
+        two = two * np.uint64(0xA24BAED4963EE407) + (w[first + i] ^ (w[first + i] >> np.uint64(31)))
+    order = np.lexsort([first, one, owner[first]])
+    text, one_ = owner[first][order], one[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (one_[1:] != one_[:-1])
+    order = np.sort(order[fresh])
+    first, one, two = first[order], one[order], two[order]
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts[first]) - np.searchsorted(breaks, offsets[owner[first]])
+    number = first - np.searchsorted(owner, owner[first])
+    return [owner[first], number, line, one.view(np.int64), two.view(np.int64)]
 
 
 def passages(docs: DataFrame, words: int = PASSAGE, around: int = AROUND) -> DataFrame:
     """doc_id, paragraph (line of the first word), first_word (its number in the text, from 0), one, two (digests) of all chosen passages."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in in_slices(frames, "text"):
-            found = [passages_of(t, words, around) for t in part["text"]]
-            first, line, one, two = (np.concatenate(column) for column in zip(*found, strict=True))
-            yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), [len(f[0]) for f in found]), "paragraph": line, "first_word": first, "one": one, "two": two})
+        for part in in_slices(frames, "text", 1_000_000):
+            owner, number, line, one, two = passages_of(part["text"].tolist(), words, around)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner], "paragraph": line, "first_word": number, "one": one, "two": two})
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(solid(run), "doc_id long, paragraph int, first_word long, one long, two long")
