@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from folio.llm import ann, bpe, exact, langid, minhash, mixing, quality, substring, suffix, toxicity
+from folio.llm import ann, bpe, exact, langid, minhash, mixing, near, quality, substring, suffix, toxicity
 from folio.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, _start long"
@@ -161,6 +161,21 @@ def test_passages_inside_other_text_are_found(spark):
     assert substring.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_are_the_smallest_places():
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(500)}" if draw.random() < 0.9 else "\n" for _ in range(n)) for n in (0, 5, 24, 25, 26, 40, 50, 51, 80, 300, 3000)] + ["of " * 500, ""]
+    owner, number, line, _, _ = substring.passages_of(texts)
+    for i, text in enumerate(texts):
+        words = [(k, w) for k, row in enumerate(text.split("\n")) for w in row.split()]
+        hashes = near.word_hashes(text.encode())
+        step = np.uint64(0xD1342543DE82EF95)
+        grams = [int(near.mixed(near.mixed(hashes[p : p + 1] * step + hashes[p + 1]) * step + hashes[p + 2])[0]) for p in range(len(words) - 24)]
+        chosen = {s + j for s in range(len(grams) - 25) for j in range(26) if grams[s + j] == min(grams[s : s + 26])} or ({grams.index(min(grams))} if grams else set())
+        firsts = {tuple(w for _, w in words[p : p + 25]): p for p in sorted(chosen, reverse=True)}
+        assert set(number[owner == i].tolist()) == set(firsts.values())
+        assert [words[p][0] for p in number[owner == i]] == line[owner == i].tolist()
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs, block=16).collect()
     assert len(rows) == docs.count()
