@@ -1,8 +1,8 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, removal by components (operator 3).
 
-Lines are compared as wholes. A passage inside other text is a paragraph too: 25 words from each place
-whose next three words have the smallest hash of the 26 places around, so texts that share 50 words in a
-row, in whatever lines, always share such a passage. Passages are equal by a 128-bit digest.
+Lines are compared as wholes. A passage inside other text is a paragraph too: every 25 words in a row, in
+whatever lines. Seeds of 13 words, at places whose next three words have the smallest hash of 13 neighbours,
+tell where texts can share so many words; there every 25 words are compared, by a 128-bit digest.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, in_slices, solid, written
@@ -24,8 +24,10 @@ MIN_WORDS = 25
 #: 16 bands of 4 rows lose 2 in 10,000 pairs at a similarity of 0.8, 3 in 10 million at 0.9.
 BANDS, ROWS = 16, 4
 PLACES = 1 << 22
-#: Words of a passage, and how many neighbouring places choose one; a run of their sum less one words is always found.
+#: Words of a passage; AROUND is only for passages_of().
 PASSAGE, AROUND = 25, 26
+#: Words of a seed; any PASSAGE words in a row hold one.
+SEED = 13
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,33 +96,120 @@ def passages_of(texts: list[str], words: int = PASSAGE, around: int = AROUND) ->
     return [owner[first], number, line, one.view(np.int64), two.view(np.int64)]
 
 
-def passages(docs: DataFrame, words: int = PASSAGE, around: int = AROUND) -> DataFrame:
-    """doc_id, paragraph (line of the first word), first_word (its number in the text, from 0), one, two (digests) of all chosen passages."""
+def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, number of the text, number within the text, and line of every word."""
+    raws = [t.encode("utf-8", "replace").translate(_LOWER) for t in texts]
+    raw = b"\n".join(raws)
+    w, data = word_hashes(raw), np.frombuffer(raw, dtype=np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(w) else np.zeros(0, dtype=np.int64)
+    offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[owner])
+    return w, owner, np.arange(len(w)) - np.searchsorted(owner, owner), line
+
+
+def _digest(w: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of the words from each place of first on."""
+    one, two = np.zeros(len(first), dtype=np.uint64), np.zeros(len(first), dtype=np.uint64)
+    for i in range(words):
+        one = mixed(one * np.uint64(0xD1342543DE82EF95) + w[first + i])
+        two = two * np.uint64(0xA24BAED4963EE407) + (w[first + i] ^ (w[first + i] >> np.uint64(31)))
+    return one, two
+
+
+def _seed_places(w: np.ndarray, owner: np.ndarray, words: int = SEED, around: int = PASSAGE - SEED + 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are smallest of some around neighbours of their text, and the digest of the words from there on: every PASSAGE words hold one."""
+    places = len(w) - words + 1
+    if places < around:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    gram = mixed(mixed(w[:places] * np.uint64(0xD1342543DE82EF95) + w[1 : places + 1]) * np.uint64(0xD1342543DE82EF95) + w[2 : places + 2])
+    spans = owner[: places - around + 1] == owner[words + around - 2 :]
+    edge = np.zeros(around - 1, dtype=np.uint64)
+    least = np.where(spans, _slide(gram, around, np.minimum), np.uint64(0))
+    first = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), around, np.maximum) == gram)
+    first = first[owner[first] == owner[first + words - 1]]
+    return first, _digest(w, first, words)[0]
+
+
+def seeds(docs: DataFrame) -> DataFrame:
+    """doc_id, seed, n (places in the row) of the chosen places of every text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text", 1_000_000):
-            owner, number, line, one, two = passages_of(part["text"].tolist(), words, around)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner], "paragraph": line, "first_word": number, "one": one, "two": two})
+            w, owner, _, _ = _words_of(part["text"].tolist())
+            first, seed = _seed_places(w, owner)
+            order = np.lexsort([seed, owner[first]])
+            text, seed = owner[first][order], seed[order]
+            fresh = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])])) if len(seed) else order
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text[fresh]], "seed": seed[fresh].view(np.int64), "n": np.diff(np.append(fresh, len(seed)))})
+
+    return docs.select("doc_id", "text").mapInPandas(solid(run), "doc_id long, seed long, n int")
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(solid(run), "doc_id long, paragraph int, first_word long, one long, two long")
 
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, first_word, paragraph, one, two (digests) of every PASSAGE words around a seed of docs(doc_id, text, seeds, lines), but not inside one of lines."""
 
-def repeated_passages(docs: DataFrame, words: int = PASSAGE, around: int = AROUND) -> DataFrame:
-    """doc_id, paragraph, first_word, keep_doc_id, keep_paragraph, copies (rows that have it), removed of passages that several documents share."""
-    every = written(passages(docs, words, around))
-    first = F.min(F.struct("doc_id", "paragraph")).alias("_keep")
-    shared = every.groupBy("one", "two").agg(first, F.max("doc_id").alias("_last"), F.count("*").alias("copies")).where("_keep.doc_id < _last")
-    held = every.join(shared, ["one", "two"])
-    return held.select("doc_id", "paragraph", "first_word", F.col("_keep.doc_id").alias("keep_doc_id"), F.col("_keep.paragraph").alias("keep_paragraph"), "copies", (F.col("doc_id") != F.col("_keep.doc_id")).alias("removed")).distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in in_slices(frames, "text", 1_000_000):
+            w, owner, number, line = _words_of(part["text"].tolist())
+            first, seed = _seed_places(w, owner)
+            wanted = np.zeros(len(first), dtype=bool)
+            at = np.searchsorted(owner[first], np.arange(len(part) + 1))
+            inside = np.zeros(len(w), dtype=bool)
+            begin = np.searchsorted(owner, np.arange(len(part) + 1))
+            for i, (mine, gone) in enumerate(zip(part["seeds"], part["lines"], strict=True)):
+                wanted[at[i] : at[i + 1]] = np.isin(seed[at[i] : at[i + 1]].view(np.int64), np.asarray(mine, dtype=np.int64))
+                if gone is not None and len(gone):
+                    inside[begin[i] : begin[i + 1]] = np.isin(line[begin[i] : begin[i + 1]], np.asarray(gone))
+            edge = np.zeros(len(w) + 1, dtype=np.int64)
+            np.add.at(edge, np.maximum(first[wanted] - (PASSAGE - SEED), begin[owner[first[wanted]]]), 1)
+            np.add.at(edge, first[wanted] + 1, -1)
+            place = np.flatnonzero(np.cumsum(edge)[:-1][: max(0, len(w) - PASSAGE + 1)] > 0)
+            end = place + PASSAGE - 1
+            place = place[(owner[place] == owner[end]) & ~(inside[place] & (line[place] == line[end]))]
+            one, two = _digest(w, place, PASSAGE)
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner[place]], "first_word": number[place], "paragraph": line[place], "one": one.view(np.int64), "two": two.view(np.int64)})
+
+    return docs.select("doc_id", "text", "seeds", "lines").mapInPandas(solid(run), "doc_id long, first_word int, paragraph int, one long, two long")
+
+
+def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, keep_first_word, copies, removed of runs of PASSAGE words or more that several documents share.
+
+    Every PASSAGE words in a row that several documents have are kept at the first place (by doc_id, then word) and
+    removed in all other documents; a row is a longest run of such places with one kept run. copies is the most
+    places that any PASSAGE words of the run have. lines(doc_id, lines) are lines removed already; what lies inside one is not compared.
+    """
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = written(seeds(rows))
+    often = every.groupBy("seed").agg(F.sum("n").alias("_n")).where("_n > 1").select("seed")
+    mine = every.join(often, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    held = rows.join(mine, "doc_id")
+    held = held.withColumn("lines", F.lit(None).cast("array<int>")) if lines is None else held.join(lines, "doc_id", "left")
+    places = written(windows(held))
+    here = F.struct("doc_id", "first_word", "paragraph")
+    shared = places.groupBy("one", "two").agg(F.min(here).alias("_keep"), F.max(here).alias("_last"), F.count("*").alias("copies"))
+    shared = shared.where("_keep.doc_id < _last.doc_id").drop("_last")
+    own = F.col("doc_id") == F.col("_keep.doc_id")
+    shift = F.col("first_word") - F.col("_keep.first_word")
+    met = places.join(shared, ["one", "two"]).withColumns({"_doc": F.col("_keep.doc_id"), "_shift": shift}).where(~own | (shift == 0))
+    met = met.select("doc_id", "first_word", "paragraph", "_doc", "_shift", F.col("_keep.paragraph").alias("_line"), "copies").repartition("doc_id", "_doc", "_shift").distinct()
+    order = Window.partitionBy("doc_id", "_doc", "_shift").orderBy("first_word")
+    met = met.withColumn("_run", F.col("first_word") - F.row_number().over(order))
+    runs = met.groupBy("doc_id", "_doc", "_shift", "_run").agg(F.min(F.struct("first_word", "paragraph", "_line")).alias("_first"), (F.count("*") + PASSAGE - 1).alias("n_words"), F.max("copies").alias("copies"))
+    removed = (F.col("doc_id") != F.col("_doc")) | (F.col("_shift") != 0)
+    first = F.col("_first.first_word").cast("long")
+    return runs.select("doc_id", F.col("_first.paragraph").alias("paragraph"), first.alias("first_word"), "n_words", F.col("_doc").alias("keep_doc_id"), F.col("_first._line").alias("keep_paragraph"), (first - F.col("_shift")).alias("keep_first_word"), "copies", removed.alias("removed"))
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, paragraph, first_word, n_shingles, keep_doc_id, keep_paragraph, copies, removed for each paragraph that has a near copy.
+    """doc_id, paragraph, first_word, n_words, n_shingles, keep_doc_id, keep_paragraph, keep_first_word, copies, removed for each paragraph that has a near copy.
 
     Lines (first_word is null) are near copies when the Jaccard similarity of their word shingles is num / den
     or more; components of near copies keep their first line (by doc_id, then line), the others are removed.
-    Passages (first_word is set, of PASSAGE words) that another document has too are kept in the first.
+    Passages (first_word is set) are the whole runs of repeated_passages(), without those inside a removed line.
     Documents that share no paragraph have no rows. Null texts and null doc_ids have no paragraphs; rows that
     repeat a doc_id are one document. An empty table gives no rows.
     """
@@ -129,18 +218,22 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, num: int = 80, den: int
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("copies")).where("copies > 1")
     unpack = lambda c: (F.floor(F.col(c) / PLACES).cast("long"), F.pmod(F.col(c), F.lit(PLACES)).cast("int"))
     (doc, line), (keep_doc, keep_line) = unpack("unit_id"), unpack("group_id")
-    lines = groups.join(sizes, "group_id").select(doc.alias("doc_id"), line.alias("paragraph"), F.lit(None).cast("long").alias("first_word"), F.col("n").alias("n_shingles"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_paragraph"), "copies", (F.col("unit_id") != F.col("group_id")).alias("removed"))
-    inside = repeated_passages(docs).withColumn("n_shingles", F.lit(max(1, PASSAGE - words + 1)).cast("long"))
+    lines = groups.join(sizes, "group_id").select(doc.alias("doc_id"), line.alias("paragraph"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("n_words"), F.col("n").alias("n_shingles"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_paragraph"), F.lit(None).cast("long").alias("keep_first_word"), "copies", (F.col("unit_id") != F.col("group_id")).alias("removed"))
+    lines = written(lines)
+    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("lines"))
+    inside = repeated_passages(docs, gone).withColumn("n_shingles", F.greatest(F.lit(1), F.col("n_words") - words + 1))
     return lines.unionByName(inside)
 
 
-def without(text: str, lines: list[int], starts: list[int], words: int = PASSAGE) -> str:
-    """text without the given lines and without the passages that start at the given words."""
+def without(text: str, lines: list[int], runs: list[tuple[int, int]]) -> str:
+    """text without the given lines and without the given runs (number of the first word, words)."""
     gone = np.zeros(len(text) + 1, dtype=bool)
-    if len(starts):
+    if len(runs):
         spans = [m.span() for m in re.finditer(WORD, text)]
-        for i in starts:
-            gone[spans[i][0] : spans[i + words - 1][1]] = True
+        for first, words in runs:
+            held = spans[first : first + words]
+            if held:
+                gone[held[0][0] : held[-1][1]] = True
     out, at, skipped = [], 0, set(lines)
     for number, line in enumerate(text.split("\n")):
         if number not in skipped:
@@ -151,11 +244,11 @@ def without(text: str, lines: list[int], starts: list[int], words: int = PASSAGE
 
 def substring_dedup(docs: DataFrame, **options) -> DataFrame:
     """doc_id and text without the removed lines and passages, for every row with a doc_id that loses some."""
-    gone = repeated_paragraphs(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("_lines"), F.collect_set("first_word").alias("_starts"))
+    gone = repeated_paragraphs(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("_lines"), F.collect_set(F.when(F.col("first_word").isNotNull(), F.array("first_word", "n_words"))).alias("_runs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text"):
-            kept = [without(t, x, y) for t, x, y in zip(part["text"], part["_lines"], part["_starts"], strict=True)]
+            kept = [without(t, x, y) for t, x, y in zip(part["text"], part["_lines"], part["_runs"], strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "text": kept})
 
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id")

@@ -161,6 +161,45 @@ def test_passages_inside_other_text_are_found(spark):
     assert substring.repeated_passages(docs.limit(0)).count() == 0
 
 
+def brute_left(texts, within=False, words=25):
+    """The words of every text less all runs of so many words that stand at an earlier place."""
+    first, gone = {}, {d: set() for d in texts}
+    for d in sorted(texts):
+        w = texts[d].split()
+        for p in range(len(w) - words + 1):
+            doc, at = first.setdefault(tuple(w[p : p + words]), (d, p))
+            if doc != d or (within and p - at >= words):
+                gone[d] |= set(range(p, p + words))
+    return {d: [x for i, x in enumerate(t.split()) if i not in gone[d]] for d, t in texts.items()}
+
+
+def shared_texts(seed, most):
+    """Texts of random words with pieces of others, over lines; no word is there twice but in such pieces."""
+    draw = random.Random(seed)
+    pool = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate((25, 26, 40, 50, 80, 200))]
+    texts = {}
+    for d in range(40):
+        words = []
+        for k in draw.sample(range(len(pool)), draw.randint(1, 3)):
+            cut = draw.choice([0, 0, draw.randrange(20)])
+            words += [f"v{draw.randrange(10**9)}" for _ in range(draw.randint(0, 60))] + pool[k][cut : len(pool[k]) - draw.choice([0, draw.randrange(20)])]
+            words += pool[k][cut:] * draw.randrange(most)
+        words += [f"v{draw.randrange(10**9)}" for _ in range(30)]
+        texts[d] = "".join(w + ("\n" if draw.random() < 0.02 else " ") for w in words)
+    return texts
+
+
+def test_shared_runs_go_whole(spark):
+    texts = shared_texts(5, 1)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    wanted = brute_left(texts)
+    left = {r.doc_id: r.text.split() for r in substring.substring_dedup(docs, min_words=10**6).collect()}
+    assert left == {d: w for d, w in wanted.items() if w != texts[d].split()} and len(left) > 20
+    for r in substring.repeated_passages(docs).collect():
+        run, kept = (texts[d].split()[p : p + r.n_words] for d, p in ((r.doc_id, r.first_word), (r.keep_doc_id, r.keep_first_word)))
+        assert run == kept and len(run) == r.n_words >= 25
+
+
 def test_passages_are_the_smallest_places():
     draw = random.Random(3)
     texts = [" ".join(f"w{draw.randrange(500)}" if draw.random() < 0.9 else "\n" for _ in range(n)) for n in (0, 5, 24, 25, 26, 40, 50, 51, 80, 300, 3000)] + ["of " * 500, ""]
