@@ -149,7 +149,7 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, first_word, paragraph, one, two (digests) of every PASSAGE words around a seed of docs(doc_id, text, seeds, lines), but not inside one of lines."""
+    """doc_id, first_word, paragraph, one, two (digests), flat (one word only) of every PASSAGE words around a seed of docs(doc_id, text, seeds, lines), but not inside one of lines."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text", 1_000_000):
@@ -170,17 +170,20 @@ def windows(docs: DataFrame) -> DataFrame:
             end = place + PASSAGE - 1
             place = place[(owner[place] == owner[end]) & ~(inside[place] & (line[place] == line[end]))]
             one, two = _digest(w, place, PASSAGE)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner[place]], "first_word": number[place], "paragraph": line[place], "one": one.view(np.int64), "two": two.view(np.int64)})
+            changes = np.cumsum(np.concatenate([[0], w[1:] != w[:-1]])) if len(w) else w
+            flat = changes[place] == changes[place + PASSAGE - 1]
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner[place]], "first_word": number[place], "paragraph": line[place], "one": one.view(np.int64), "two": two.view(np.int64), "flat": flat})
 
-    return docs.select("doc_id", "text", "seeds", "lines").mapInPandas(solid(run), "doc_id long, first_word int, paragraph int, one long, two long")
+    return docs.select("doc_id", "text", "seeds", "lines").mapInPandas(solid(run), "doc_id long, first_word int, paragraph int, one long, two long, flat boolean")
 
 
 def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, keep_first_word, copies, removed of runs of PASSAGE words or more that several documents share.
+    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, keep_first_word, copies, removed of runs of PASSAGE words or more that stand at several places.
 
-    Every PASSAGE words in a row that several documents have are kept at the first place (by doc_id, then word) and
-    removed in all other documents; a row is a longest run of such places with one kept run. copies is the most
-    places that any PASSAGE words of the run have. lines(doc_id, lines) are lines removed already; what lies inside one is not compared.
+    Every PASSAGE words in a row that stand at several places, of one document or more, are kept at the first (by
+    doc_id, then word) and removed at all others, unless those overlap it; a row is a longest run of such places
+    with one kept run. copies is the most places that any PASSAGE words of the run have. One word said over and
+    over is no repeat within its document. lines(doc_id, lines) are lines removed already; what lies inside one is not compared.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = written(seeds(rows))
@@ -190,11 +193,11 @@ def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFr
     held = held.withColumn("lines", F.lit(None).cast("array<int>")) if lines is None else held.join(lines, "doc_id", "left")
     places = written(windows(held))
     here = F.struct("doc_id", "first_word", "paragraph")
-    shared = places.groupBy("one", "two").agg(F.min(here).alias("_keep"), F.max(here).alias("_last"), F.count("*").alias("copies"))
-    shared = shared.where("_keep.doc_id < _last.doc_id").drop("_last")
+    shared = places.groupBy("one", "two").agg(F.min(here).alias("_keep"), F.max(here).alias("_last"), F.count("*").alias("copies"), F.first("flat").alias("_flat"))
+    shared = shared.where("_keep < _last and not (_flat and _keep.doc_id = _last.doc_id)").drop("_last")
     own = F.col("doc_id") == F.col("_keep.doc_id")
     shift = F.col("first_word") - F.col("_keep.first_word")
-    met = places.join(shared, ["one", "two"]).withColumns({"_doc": F.col("_keep.doc_id"), "_shift": shift}).where(~own | (shift == 0))
+    met = places.join(shared, ["one", "two"]).withColumns({"_doc": F.col("_keep.doc_id"), "_shift": shift}).where(~own | (shift == 0) | ((shift >= PASSAGE) & ~F.col("_flat")))
     met = met.select("doc_id", "first_word", "paragraph", "_doc", "_shift", F.col("_keep.paragraph").alias("_line"), "copies").repartition("doc_id", "_doc", "_shift").distinct()
     order = Window.partitionBy("doc_id", "_doc", "_shift").orderBy("first_word")
     met = met.withColumn("_run", F.col("first_word") - F.row_number().over(order))

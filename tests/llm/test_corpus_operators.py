@@ -200,6 +200,15 @@ def test_shared_runs_go_whole(spark):
         assert run == kept and len(run) == r.n_words >= 25
 
 
+def test_runs_repeated_within_a_document_go(spark):
+    texts = shared_texts(6, 3) | {50: " ".join(f"own{i}" for i in range(30)) + " " + " ".join(f"own{i}" for i in range(30)) + " end", 51: "a b c d e f g h i j " * 9}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    wanted = brute_left(texts, within=True)
+    left = {r.doc_id: r.text.split() for r in substring.substring_dedup(docs, min_words=10**6).collect()}
+    assert left == {d: w for d, w in wanted.items() if w != texts[d].split()}
+    assert left[50] == [f"own{i}" for i in range(30)] + ["end"] and left[51] == texts[51].split()[:30]
+
+
 def test_passages_are_the_smallest_places():
     draw = random.Random(3)
     texts = [" ".join(f"w{draw.randrange(500)}" if draw.random() < 0.9 else "\n" for _ in range(n)) for n in (0, 5, 24, 25, 26, 40, 50, 51, 80, 300, 3000)] + ["of " * 500, ""]
