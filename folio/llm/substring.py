@@ -19,8 +19,8 @@ from .common import WORD, in_slices, solid, written
 from .mixing import word_count
 from .near import _LOWER, _SPACE, mixed, near_groups, word_hashes
 
-#: A paragraph is a line of at least so many words; shorter lines are never removed.
-MIN_WORDS = 25
+#: A paragraph is a line of at least so many words, one shingle; shorter lines are never removed.
+MIN_WORDS = 5
 #: 16 bands of 4 rows lose 2 in 10,000 pairs at a similarity of 0.8, 3 in 10 million at 0.9.
 BANDS, ROWS = 16, 4
 PLACES = 1 << 22

@@ -209,6 +209,13 @@ def test_runs_repeated_within_a_document_go(spark):
     assert left[50] == [f"own{i}" for i in range(30)] + ["end"] and left[51] == texts[51].split()[:30]
 
 
+def test_short_lines_that_repeat_go(spark):
+    rows = [(1, "one two three four five\nnever said elsewhere at all here"), (2, "own words\nOne two  three four five"), (3, "one two three four\nanother line " + " ".join(f"u{i}" for i in range(16))), (4, " ".join(f"u{i}" for i in range(16)) + " end"), (5, " ".join(f"u{i}" for i in range(16)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.paragraph): (r.keep_doc_id, r.keep_paragraph, r.removed) for r in substring.repeated_paragraphs(docs).collect()}
+    assert found == {(1, 0): (1, 0, False), (2, 1): (1, 0, True), (3, 1): (3, 1, False), (4, 0): (3, 1, True), (5, 0): (3, 1, True)}
+
+
 def test_passages_are_the_smallest_places():
     draw = random.Random(3)
     texts = [" ".join(f"w{draw.randrange(500)}" if draw.random() < 0.9 else "\n" for _ in range(n)) for n in (0, 5, 24, 25, 26, 40, 50, 51, 80, 300, 3000)] + ["of " * 500, ""]
