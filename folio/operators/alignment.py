@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,24 +15,25 @@ from folio.operators.compare import text_fingerprint
 
 # fixed values of the alignment: cost of a gap, gain and cost of a match, similarity from which pages are the same
 GAP, GAIN, COST, SAME = -0.55, 2.0, 1.3, 0.96
-CELLS = 4_000_000
+#: Pages of the right side that are compared at once.
+COLUMNS = 2048
 
 
 def _similarities(left: list, right: list) -> np.ndarray:
     """The similarity of every page of left with every page of right."""
     place: dict[str, int] = {}
-    for page in (*left, *right):
+    for page in left:
         for token in page["tokens"]:
             place.setdefault(token, len(place))
     found = []
     for pages in (left, right):
         has = np.zeros((len(pages), len(place)), dtype=np.float32)
         for row, page in enumerate(pages):
-            has[row, [place[t] for t in page["tokens"]]] = 1
-        found.append((has, np.array([len(p["normalized"]) for p in pages], dtype=float)))
-    (a, na), (b, nb) = found
+            has[row, [place[t] for t in page["tokens"] if t in place]] = 1
+        found.append((has, np.array([len(set(p["tokens"])) for p in pages], dtype=float), np.array([len(p["normalized"]) for p in pages], dtype=float)))
+    (a, ta, na), (b, tb, nb) = found
     both = (a @ b.T).astype(float)
-    either = np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :] - both, 1)
+    either = np.maximum(ta[:, None] + tb[None, :] - both, 1)
     longer = np.maximum(na[:, None], nb[None, :])
     out = np.minimum(1.0, both / either * 0.78 + np.minimum(na[:, None], nb[None, :]) / np.maximum(longer, 1) * 0.22)
     equal = np.array([p["normalized"] for p in left], dtype=object)[:, None] == np.array([p["normalized"] for p in right], dtype=object)[None, :]
@@ -41,33 +43,49 @@ def _similarities(left: list, right: list) -> np.ndarray:
 
 
 def align(left: list, right: list) -> list[tuple[int | None, int | None, float, str]]:
-    """left_page, right_page, similarity, status of the best global alignment; at equal scores a match goes before a deletion, that before an insertion."""
+    """left_page, right_page, similarity, status of the best global alignment; at equal scores a match goes before a deletion, that before an insertion.
+
+    Scores are kept for one row in a block of rows only; the moves of a block are made again on the way back.
+    """
     if not left or not right:
         return [(i + 1, None, 0.0, "deleted") for i in range(len(left))] + [(None, j + 1, 0.0, "inserted") for j in range(len(right))]
-    alike = _similarities(left, right)
-    above, came = [GAP * j for j in range(len(right) + 1)], []
-    for i, gains in enumerate((alike * GAIN - COST).tolist(), start=1):
-        here, how = [GAP * i], []
-        for j, gain in enumerate(gains):
-            choices = (above[j] + gain, above[j + 1] + GAP, here[j] + GAP)
-            best = max(choices)
-            here.append(best)
-            how.append(choices.index(best))
-        above = here
-        came.append(how)
+    step = max(1, math.isqrt(len(left)))
+
+    def block(above: list, base: int) -> tuple[list, np.ndarray, list]:
+        """The last scores, similarities and moves of the rows from base on."""
+        alike = np.hstack([_similarities(left[base : base + step], right[at : at + COLUMNS]) for at in range(0, len(right), COLUMNS)])
+        came = []
+        for i, row in enumerate(alike, start=base + 1):
+            here, how = [GAP * i], bytearray()
+            for j, gain in enumerate((row * GAIN - COST).tolist()):
+                choices = (above[j] + gain, above[j + 1] + GAP, here[j] + GAP)
+                best = max(choices)
+                here.append(best)
+                how.append(choices.index(best))
+            above = here
+            came.append(how)
+        return above, alike, came
+
+    tops = [[GAP * j for j in range(len(right) + 1)]]
+    for base in range(0, len(left), step):
+        last, alike, came = block(tops[-1], base)
+        tops.append(last)
     rows, i, j = [], len(left), len(right)
     while i or j:
-        move = came[i - 1][j - 1] if i and j else 1 if i else 2
-        score = float(alike[i - 1, j - 1]) if move == 0 else 0.0
+        if i and i - 1 < base:
+            base -= step
+            _, alike, came = block(tops[base // step], base)
+        move = came[i - 1 - base][j - 1] if i and j else 1 if i else 2
+        score = float(alike[i - 1 - base, j - 1]) if move == 0 else 0.0
         rows.append((i if move != 2 else None, j if move != 1 else None, score, ("same" if score >= SAME else "modified") if move == 0 else ("deleted", "inserted")[move - 1]))
         i, j = i - (move != 2), j - (move != 1)
     return rows[::-1]
 
 
-def align_sequences(left: DataFrame, right: DataFrame, cells: int = CELLS) -> DataFrame:
+def align_sequences(left: DataFrame, right: DataFrame, cells: int | None = None) -> DataFrame:
     """doc_id, pos (from 0), left_page, right_page, similarity, status for the documents of either side.
 
-    A document with more than cells pairs of pages gets one row with status too-large and null pages, and no alignment.
+    If cells is given, a document with more pairs of pages gets one row with status too-large and null pages, and no alignment.
     """
     side = lambda df, name: text_fingerprint(df).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "normalized", "tokens"))).alias(name))
     pairs = side(left, "left").join(side(right, "right"), "doc_id", "full")
@@ -77,7 +95,7 @@ def align_sequences(left: DataFrame, right: DataFrame, cells: int = CELLS) -> Da
             rows = []
             for doc, a, b in zip(frame["doc_id"], frame["left"], frame["right"], strict=True):
                 a, b = (list(x) if x is not None else [] for x in (a, b))
-                found = align(a, b) if len(a) * len(b) <= cells else [(None, None, 0.0, "too-large")]
+                found = align(a, b) if cells is None or len(a) * len(b) <= cells else [(None, None, 0.0, "too-large")]
                 rows += [(doc, pos, *row) for pos, row in enumerate(found)]
             if rows:
                 out = pd.DataFrame(rows, columns=["doc_id", "pos", "left_page", "right_page", "similarity", "status"])
@@ -101,15 +119,29 @@ def word_changes(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     a, b = left[: len(left) - tail], right[: len(right) - tail]
     place: dict[str, int] = {}
     x, y = (np.array([place.setdefault(w, len(place)) for w in side], dtype=np.int64) for side in (a, b))
-    longest = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for row, word in enumerate(x, start=1):  # a row never falls, so a running maximum stands for the word to the left
-        longest[row, 1:] = np.maximum.accumulate(np.where(y == word, longest[row - 1, :-1] + 1, longest[row - 1, 1:]))
+    step = max(1, math.isqrt(len(a)))
+
+    def block(top: np.ndarray, base: int) -> np.ndarray:
+        """The longest lengths of the rows from base on."""
+        longest = np.zeros((len(x[base : base + step]) + 1, len(b) + 1), dtype=np.int32)
+        longest[0] = top
+        for row, word in enumerate(x[base : base + step], start=1):  # a row never falls, so a running maximum stands for the word to the left
+            longest[row, 1:] = np.maximum.accumulate(np.where(y == word, longest[row - 1, :-1] + 1, longest[row - 1, 1:]))
+        return longest
+
+    tops, base = [np.zeros(len(b) + 1, dtype=np.int32)], 0
+    for base in range(0, len(a), step):
+        longest = block(tops[-1], base)
+        tops.append(longest[-1].copy())
     out, i, j = [("same", w) for w in reversed(left[len(a) :])], len(a), len(b)
     while i or j:
+        if i and i - 1 < base:
+            base -= step
+            longest = block(tops[base // step], base)
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("same", a[i]))
-        elif not i or (j and longest[i, j - 1] >= longest[i - 1, j]):
+        elif not i or (j and longest[i - base, j - 1] >= longest[i - 1 - base, j]):
             j -= 1
             out.append(("added", b[j]))
         else:
@@ -118,8 +150,8 @@ def word_changes(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-def diff_words(pairs: DataFrame, limit: int = 600) -> DataFrame:
-    """doc_id, page_number, pos, kind, text of pairs(doc_id, page_number, left, right): words and the white space between, the first limit of each side; null counts as empty."""
+def diff_words(pairs: DataFrame, limit: int | None = 600) -> DataFrame:
+    """doc_id, page_number, pos, kind, text of pairs(doc_id, page_number, left, right): words and the white space between, the first limit of each side (None: all); null counts as empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = lambda text: [w for w in re.split(r"(\s+)", text or "") if w][:limit]

@@ -56,7 +56,7 @@ def d9_alignment_summary(spark, sf_dir):
 def d10_diff_words(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     right = views.revised_pages(pages).withColumnRenamed("text", "right")
-    return alignment.diff_words(pages.withColumnRenamed("text", "left").join(right, ["doc_id", "page_number"]))
+    return alignment.diff_words(pages.withColumnRenamed("text", "left").join(right, ["doc_id", "page_number"]), limit=None)
 
 
 def f4_verify_form_updates(spark, sf_dir):

@@ -40,3 +40,34 @@ def test_diff_rebuilds_both_sides(spark):
         if r.kind != "added":
             built[r.doc_id, r.page_number] = built.get((r.doc_id, r.page_number), "") + r.text
     assert built and all(texts[k] == v for k, v in built.items() if len(v.split()) < 300)
+
+
+def test_long_documents_are_aligned():
+    pages = [{"normalized": f"page number n{i} x{i}", "tokens": ["page", "number", f"n{i}", f"x{i}"]} for i in range(300)]
+    other = [*pages[:100], {"normalized": "something else", "tokens": ["something", "else"]}, *pages[100:200], *pages[201:]]
+    assert [r[:2] for r in alignment.align(pages, other) if r[3] != "same"] == [(None, 101), (201, None)]
+
+
+def test_no_size_stops_the_alignment(spark):
+    rows = [(1, i + 1, f"words{i} of page{i}") for i in range(2001)]
+    a = spark.createDataFrame(rows, "doc_id long, page_number int, text string")
+    summary = alignment.alignment_summary(alignment.align_sequences(a, a)).collect()
+    assert [(r.same, r.changed) for r in summary] == [(2001, 0)]
+
+
+def test_whole_pages_are_compared(spark):
+    import random
+
+    draw = random.Random(2)
+    left = [draw.choice("abcde") for _ in range(150)]
+    right = [draw.choice("abcde") for _ in range(170)]
+    found = alignment.word_changes(left, right)
+    best = [[0] * 171 for _ in range(151)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert [w for k, w in found if k != "added"] == left and [w for k, w in found if k != "removed"] == right
+    assert sum(k == "same" for k, _ in found) == best[-1][-1]
+    text = " ".join(f"w{i}" for i in range(500))
+    pair = spark.createDataFrame([(1, 1, text, text + " new")], "doc_id long, page_number int, left string, right string")
+    assert [r.text for r in alignment.diff_words(pair, limit=None).collect() if r.kind != "same"] == [" ", "new"]
