@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,46 @@ def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, who
     return found.where("match_count > 0").select("doc_id", "page_number", "match_count", snippet.alias("snippet"))
 
 
-def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """query, doc_id, page_number, match_count of every page with a whole word of queries(query), each one word of letters, digits or _.
+def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
+    """query, doc_id, page_number, match_count of every page with a match of queries(query), literal text as in search_pages().
 
-    Words meet in an equi-join, so neither side is compared with all of the other. Other queries find nothing.
+    Single words of letters, digits or _ meet the words of the pages in an equi-join. Other queries meet pages
+    by their longest such word, substrings by their first three characters, and are then counted in the page's
+    text; only queries without such a key are compared with all pages.
     """
+    if not whole_word:
+        return _search_literals(pages, queries, case_sensitive, False)
+    words = _search_words(pages, queries, case_sensitive)
+    return words.unionByName(_search_literals(pages, queries.where(~F.trim("query").rlike("^[A-Za-z0-9_]+$")), case_sensitive, True))
+
+
+def _search_literals(pages: DataFrame, queries: DataFrame, case_sensitive: bool, whole_word: bool) -> DataFrame:
+    """The matches of literals, by a key that any page with a match has too."""
+    fold = (lambda c: c) if case_sensitive else (lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
+    literal = F.trim("query")
+    if whole_word:
+        words = F.regexp_extract_all(fold(literal), F.lit("([A-Za-z0-9_]+)"), F.lit(1))
+        key = F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+        keys = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit("([A-Za-z0-9_]+)"), F.lit(1)))
+    else:
+        key = F.when(F.length(literal) >= 3, F.substring(fold(literal), 1, 3))
+        places = F.when(F.length("text") >= 3, F.sequence(F.lit(1), F.length("text") - 2))
+        keys = F.array_distinct(F.transform(places, lambda i: F.substring(fold(F.col("text")), i, F.lit(3))))
+    edge = r"\b" if whole_word else ""
+    pattern = F.concat(F.lit(edge if case_sensitive else "(?i)" + edge), F.regexp_replace(literal, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), F.lit(edge))
+    asked = queries.where(literal != "").distinct().select("query", key.alias("_key"), pattern.alias("_pattern"))
+    held = pages.select("doc_id", "page_number", "text")
+    met = held.select("*", F.explode(keys).alias("_key")).join(asked.where("_key is not null"), "_key").drop("_key")
+    rest = held.crossJoin(asked.where("_key is null").drop("_key"))
+    counted = met.unionByName(rest).withColumn("match_count", F.regexp_count("text", F.col("_pattern")).cast("long"))
+    return counted.where("match_count > 0").select("query", "doc_id", "page_number", "match_count")
+
+
+def _search_words(pages: DataFrame, queries: DataFrame, case_sensitive: bool) -> DataFrame:
+    """The matches of queries that are one word."""
     fold = (lambda c: c) if case_sensitive else F.lower
-    asked = queries.where(F.col("query").rlike("^[A-Za-z0-9_]+$")).select("query", fold(F.col("query")).alias("_word")).distinct()
+    queries = queries.where(F.trim("query").rlike("^[A-Za-z0-9_]+$"))
+    asked = queries.select("query", fold(F.trim("query")).alias("_word")).distinct()
     words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1))
     found = pages.select("doc_id", "page_number", F.explode(words).alias("_w")).select("doc_id", "page_number", fold(F.col("_w")).alias("_word"))
     return found.join(asked, "_word").groupBy("query", "doc_id", "page_number").agg(F.count("*").alias("match_count"))

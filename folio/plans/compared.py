@@ -21,6 +21,10 @@ def c2_search_many(spark, sf_dir):
     return search.search_many(_pages(spark, sf_dir), asked)
 
 
+def c2_search_texts(spark, sf_dir):
+    return search.search_many(_pages(spark, sf_dir), views.table(spark, sf_dir, "benchmark").select(F.col("text").alias("query")))
+
+
 def c3_page_text(spark, sf_dir):
     items = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return search.page_text(items.withColumn("page_number", (F.floor(F.col("pos") / views.LINES) + 1).cast("int")))
@@ -100,7 +104,7 @@ def s8_receipts_csv(spark, sf_dir):
     return records.receipts_csv(events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("kind"), F.concat(F.lit('f"'), "event_id").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("user_id").alias("byte_length"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("sha256"), F.lit("/activity").alias("route"), F.lit("1").alias("release")))
 
 
-QUERIES = {f.__name__: f for f in (b9_script_profile, c2_search_many, c3_page_text, e8_annotation_inventory, i2_pending_pages, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f5_sanitize_objects, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}
+QUERIES = {f.__name__: f for f in (b9_script_profile, c2_search_many, c2_search_texts, c3_page_text, e8_annotation_inventory, i2_pending_pages, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f5_sanitize_objects, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}
 
 _WITH = "with " + views.SQL
 
@@ -110,6 +114,8 @@ ORACLES = {
     "c2_search_many": _WITH + r""", q as (select distinct query from (select regexp_extract(text, '^[A-Za-z]+') as query from benchmark union all select unnest(['the', 'une'])) where query <> ''),
         w as (select doc_id, page_number, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as word from doc_pages)
         select query, doc_id, page_number, count(*) as match_count from w join q on lower(query) = word group by all""",
+    "c2_search_texts": _WITH + r""", q as (select distinct text as query from benchmark where trim(text) <> ''), m as (select query, doc_id, page_number, len(regexp_extract_all(text, '(?i)\b' || regexp_escape(trim(query)) || '\b')) as match_count
+        from doc_pages join q on contains(lower(text), lower(trim(query)))) select * from m where match_count > 0""",
     "c3_page_text": _WITH + " select * from doc_pages",
     "e8_annotation_inventory": _WITH + """ select doc_id, count(*) filter (page_number % 4 in (0, 3)) as links, count(*) filter (page_number % 4 = 1) as widgets, count(*) filter (page_number % 4 = 2) as others
         from doc_pages where page_number % 5 <> 0 group by 1""",
