@@ -90,17 +90,31 @@ def j7_budget_classes(spark, sf_dir):
     return records.budget_classes(sizes)
 
 
-def j8_activity_receipts(spark, sf_dir):
+def _receipts(spark, sf_dir):
     ends = F.array(*map(F.lit, ["pdf", "json", "csv", "lpsproject", "bin"]))
     events = views.table(spark, sf_dir, "events")
     name = F.concat(F.lit("f"), F.col("event_id"), F.lit("."), F.element_at(ends, (F.col("event_id") % 5 + 1).cast("int")))
-    rows = events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), name.alias("filename"), F.lit("").alias("mime_type"), F.col("ts").alias("created_at"))
-    return records.activity_receipts(rows, 10).select("owner", "position", "id", "kind")
+    return events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), name.alias("filename"), F.lit("").alias("mime_type"), F.col("ts").alias("created_at"))
+
+
+def j8_activity_receipts(spark, sf_dir):
+    return records.activity_receipts(_receipts(spark, sf_dir), 10).select("owner", "position", "id", "kind")
+
+
+def j8_activity_receipts_full(spark, sf_dir):
+    return records.activity_receipts(_receipts(spark, sf_dir)).select("owner", "position", "id", "kind")
+
+
+def _timeline(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
 
 
 def j9_event_timeline(spark, sf_dir):
-    events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
-    return records.event_timeline(events, 20).select("project", "position", "id", "kind")
+    return records.event_timeline(_timeline(spark, sf_dir), 20).select("project", "position", "id", "kind")
+
+
+def j9_event_timeline_full(spark, sf_dir):
+    return records.event_timeline(_timeline(spark, sf_dir)).select("project", "position", "id", "kind")
 
 
 def j11_merge_history(spark, sf_dir):
@@ -109,7 +123,7 @@ def j11_merge_history(spark, sf_dir):
     return records.merge_history(entries)
 
 
-QUERIES = {f.__name__: f for f in (c1_search_pages, d1_page_presence, d2_text_fingerprint, d3_page_similarity, e1_object_fingerprints, e2_category_digests, e3_compare_contract, e4_fingerprint_delta, h1_select_pages, h4_imposition, s7_split_fixed, j1_dedupe_by_checksum, j6_storage_budget, j7_budget_classes, j8_activity_receipts, j9_event_timeline, j11_merge_history)} | governed.QUERIES | compared.QUERIES
+QUERIES = {f.__name__: f for f in (c1_search_pages, d1_page_presence, d2_text_fingerprint, d3_page_similarity, e1_object_fingerprints, e2_category_digests, e3_compare_contract, e4_fingerprint_delta, h1_select_pages, h4_imposition, s7_split_fixed, j1_dedupe_by_checksum, j6_storage_budget, j7_budget_classes, j8_activity_receipts, j8_activity_receipts_full, j9_event_timeline, j9_event_timeline_full, j11_merge_history)} | governed.QUERIES | compared.QUERIES
 
 _WITH = "with " + views.SQL
 _PRINTS = r""", prints as (select doc_id, category, object_id, sha256(category || '|' || object_id || '|' || value) as digest from page_objects),
@@ -157,6 +171,9 @@ ORACLES = {
     "j8_activity_receipts": """with r as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events)
         select owner, position, id, ['document-output', 'report', 'report', 'backup', 'other'][id % 5 + 1] as kind from r where position <= 10""",
     "j9_event_timeline": """with r as (select user_id as project, event_id as id, event_type as kind, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events) select project, position, id, kind from r where position <= 20""",
+    "j8_activity_receipts_full": """with r as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events)
+        select owner, position, id, ['document-output', 'report', 'report', 'backup', 'other'][id % 5 + 1] as kind from r where position <= 300""",
+    "j9_event_timeline_full": """with r as (select user_id as project, event_id as id, event_type as kind, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events) select project, position, id, kind from r where position <= 100""",
     "j11_merge_history": """with e as (select user_id as owner, event_id as id, epoch_us(ts) // 1000000 as at_ms, case when event_id % 10 <> 0 then event_type end as merge_key from events),
         g as (select *, case when merge_key = lag(merge_key) over w and at_ms - lag(at_ms) over w < 800 then 0 else 1 end as s from e window w as (partition by owner order by at_ms, id)),
         h as (select *, sum(s) over (partition by owner order by at_ms, id) as grp from g), m as (select owner, grp, arg_max(id, (at_ms, id)) as id, arg_max(coalesce(merge_key, chr(0)), (at_ms, id)) as merge_key, count(*) as merged from h group by 1, 2),

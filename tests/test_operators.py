@@ -26,3 +26,15 @@ def test_search_is_literal(spark):
     pages = spark.createDataFrame([(1, 1, "a.b axb A.B"), (1, 2, "nothing")], "doc_id long, page_number int, text string")
     assert [(r.page_number, r.match_count) for r in search.search_pages(pages, " a.b ").collect()] == [(1, 2)]
     assert search.search_pages(pages, "  ").count() == 0
+
+
+def test_registered_limits_are_the_survey_s(spark):
+    import tempfile
+
+    from folio.plans import registry
+
+    events = spark.createDataFrame([(i, 1, "open", None) for i in range(400)], "event_id long, user_id long, event_type string, ts timestamp")
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    events.write.mode("overwrite").parquet(f"{path}/events.parquet")
+    assert registry.QUERIES["j8_activity_receipts_full"](spark, path).count() == 300
+    assert registry.QUERIES["j9_event_timeline_full"](spark, path).count() == 100
