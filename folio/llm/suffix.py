@@ -3,9 +3,9 @@
 1. Every window of MIN_LENGTH bytes is named by its anchor, the least hash of the 32-byte strings in it, so
    equal windows have equal anchors. Runs of windows with one anchor are pieces of about 280 bytes.
 2. Pieces whose anchor occurs once hold nothing that repeats. The others are dealt out by anchor and their
-   suffixes ordered by their first MIN_LENGTH bytes (prefix doubling). The previous smaller position in
-   suffix order gives the longest previous factor, cut at that length: a window repeats an earlier one
-   where it reaches MIN_LENGTH.
+   windows sorted by their first 8 bytes, then by a fingerprint of all MIN_LENGTH, so equal ones are side by
+   side. This is no full suffix order, and no longest previous factors are computed: only whether one
+   reaches MIN_LENGTH is needed, and that is so where the window before it in the sort is equal.
 3. Pieces of an anchor with very many uses are cut into blocks. The first window of each class of a block is
    compared with those of the other blocks by digest, so no group of pieces has to fit in a task.
 """
