@@ -156,7 +156,12 @@ def diff_words(pairs: DataFrame, limit: int | None = 600) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = lambda text: [w for w in re.split(r"(\s+)", text or "") if w][:limit]
         for frame in frames:
-            rows = [(d, p, pos, *change) for d, p, a, b in frame[["doc_id", "page_number", "left", "right"]].itertuples(index=False) for pos, change in enumerate(word_changes(words(a), words(b)))]
+            rows = []
+            for d, p, a, b in frame[["doc_id", "page_number", "left", "right"]].itertuples(index=False):
+                rows += [(d, p, pos, *change) for pos, change in enumerate(word_changes(words(a), words(b)))]
+                if len(rows) >= 50_000:  # a batch of pages has millions of words
+                    yield pd.DataFrame(rows, columns=["doc_id", "page_number", "pos", "kind", "text"])
+                    rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "page_number", "pos", "kind", "text"])
 
