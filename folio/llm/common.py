@@ -21,14 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where the session sets none."""
+    """This application's own folder in ``spark.checkpoint.dir``; clear() deletes it.
+
+    Where the session names no folder a local run takes a temporary one; on a cluster that is an error, since
+    executors do not share their local folders. The session's configuration is left as it is.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_dir = sc._jsc.sc().getCheckpointDir()
-        where = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+        where = set_dir.get() if set_dir.isDefined() else _own_dir(sc)
+    return f"{where}/folio-{sc.applicationId}"
+
+
+_own: dict[str, str] = {}
+
+
+def _own_dir(sc) -> str:
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folio-")
+    return _own[sc.applicationId]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -39,6 +53,39 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that nothing reads any more."""
+    for table_ in tables:
+        for path in {file.rpartition("/")[0] for file in table_.inputFiles()}:
+            _delete(table_.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that are not yet computed are lost."""
+    _delete(spark, shared_dir(spark))
+
+
+#: A group is heavy when it meets more than this share of the rows (and more than LEAST_HEAVY): there are 1000 at most.
+HEAVY, LEAST_HEAVY = 1_000, 10_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with groups on keys, where size says how many rows each group meets.
+
+    rows and groups are written tables; a row of groups has keys of its own. Heavy groups are broadcast (by their
+    sizes there are HEAVY at most), so their rows stay where they are; the rest is shuffled and has no heavy key.
+    """
+    limit = max(LEAST_HEAVY, rows.count() // HEAVY)
+    heavy, light = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
 def fold(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; a null doc_id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus

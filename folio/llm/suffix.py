@@ -2,12 +2,14 @@
 
 1. Every window of MIN_LENGTH bytes is named by its anchor, the least hash of the 32-byte strings in it, so
    equal windows have equal anchors. Runs of windows with one anchor are pieces of about 280 bytes.
-2. Pieces whose anchor occurs once hold nothing that repeats. The others are dealt out by anchor and their
-   windows sorted by their first 8 bytes, then by a fingerprint of all MIN_LENGTH, so equal ones are side by
-   side. This is no full suffix order, and no longest previous factors are computed: only whether one
-   reaches MIN_LENGTH is needed, and that is so where the window before it in the sort is equal.
-3. Pieces of an anchor with very many uses are cut into blocks. The first window of each class of a block is
-   compared with those of the other blocks by digest, so no group of pieces has to fit in a task.
+2. Pieces whose anchor occurs once hold nothing that repeats. The others are dealt out by anchor; a task lays
+   pieces side by side, sorts their windows in suffix order by prefix doubling, finds for each the previous
+   and next smaller position in that order, and from them the longest previous factor. A factor of MIN_LENGTH
+   is a later copy; the window beside it in suffix order is the earlier one.
+3. Pieces of an anchor with very many bytes are not gathered. Their windows are split by the place of the
+   anchor into ever smaller spans; spans whose common bytes occur once are dropped, spans whose bytes occur
+   in whole at several places are settled, only what lies between goes on to the next, smaller width. Both
+   are counts by digest, so no group of pieces has to fit in a task.
 """
 
 from __future__ import annotations
@@ -20,18 +22,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, solid, written
-from .near import mixed, sorted_groups
+from .common import dropped, in_slices, meet, solid, written
+from .near import mixed
 
 MIN_LENGTH, GRAM = 200, 32
-#: An anchor's pieces are cut into blocks when it has more uses; a block has about so many at most.
-MANY = 4_096
+#: An anchor with more bytes of pieces is hot; LONGEST is the most windows of a piece.
+HOT_BYTES, LONGEST = 1_000_000, 4_096
 SLICE, BATCH = 1_000_000, 1_500_000
+#: Widths of the spans of windows of a hot anchor, by the anchor's place.
+WIDTHS = (43, 11, 3, 1)
 _POSITION = np.uint64((1 << 20) - 1)
 _draw = np.random.default_rng(77)
 _BYTES = _draw.integers(0, 1 << 63, 256, dtype=np.uint64)
 _STEPS = [np.uint64(x | 1) for x in _draw.integers(0, 1 << 62, 8).tolist()]
 RUNS = "array<struct<a:int,b:int>>"
+ROW = ["ra", "rb"]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -43,11 +48,11 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mixed(h)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first and last window start of every run of windows with one anchor; windows stay inside the texts that end at ends."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first and last window start, and places of the key of every run of windows with one anchor; windows stay inside the texts that end at ends."""
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none
+        return none, none, none, none
     h = gram_hashes(data, GRAM)
     least = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     width, size = length - GRAM + 1, 1
@@ -57,29 +62,36 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     n = len(data) - length + 1
     least = np.minimum(least[:n], least[width - size : width - size + n])
     at = (least & _POSITION).astype(np.int64)
+    key = h[at]
     inside = np.ones(n, dtype=bool)
     for end in ends[:-1].tolist():
         inside[max(0, end - length + 1) : end] = False
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | ~inside[:-1]]) & inside
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | ~inside[:-1]]) & inside
     starts = np.flatnonzero(new)
     stops = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
-    return h[at[starts]].view(np.int64), starts, stops
+    if len(starts) and (stops - starts).max() >= LONGEST:  # a text that repeats itself closely has one long run
+        new[np.concatenate([np.arange(a, b + 1, LONGEST) for a, b in zip(starts, stops, strict=True)])] = True
+        starts = np.flatnonzero(new)
+        stops = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+    moved = np.concatenate([[0], np.cumsum(at[1:] != at[:-1])])
+    return key[starts].view(np.int64), starts, stops, moved[stops] - moved[starts] + 1
 
 
 def _find(length: int):
-    """rk, key, lo, hi of every run of windows; long texts in overlapping slices, short ones together."""
+    """ra, rb, key, lo, hi, n of every run of windows; long texts in overlapping slices, short ones together."""
 
-    def many(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+    def many(rows: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
         ends = np.cumsum([len(raw) for *_, raw in rows])
-        key, lo, hi = anchors(np.frombuffer(b"".join(raw for *_, raw in rows), dtype=np.uint8), ends, length)
+        key, lo, hi, n = anchors(np.frombuffer(b"".join(raw for *_, raw in rows), dtype=np.uint8), ends, length)
         own = np.searchsorted(ends, lo, side="right")
-        shift = np.array([at for _, at, _ in rows]) - np.concatenate([[0], ends[:-1]])
-        return pd.DataFrame({"rk": np.array([rk for rk, *_ in rows])[own], "key": key, "lo": (lo + shift[own]).astype(np.int32), "hi": (hi + shift[own]).astype(np.int32)})
+        shift = np.array([at for *_, at, _ in rows]) - np.concatenate([[0], ends[:-1]])
+        names = {c: np.array([row[i] for row in rows])[own] for i, c in enumerate(ROW)}
+        return pd.DataFrame({**names, "key": key, "lo": (lo + shift[own]).astype(np.int32), "hi": (hi + shift[own]).astype(np.int32), "n": n.astype(np.int32)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             held, size = [], 0
-            for rk, raw in zip(frame["rk"], frame["raw"], strict=True):
+            for ra, rb, raw in zip(frame["ra"], frame["rb"], frame["raw"], strict=True):
                 if raw is None or len(raw) < length:
                     continue
                 for at in range(0, len(raw) - length + 1, SLICE):
@@ -87,7 +99,7 @@ def _find(length: int):
                     if held and size + len(part) > SLICE + length:
                         yield many(held)
                         held, size = [], 0
-                    held.append((rk, at, part))
+                    held.append((ra, rb, at, part))
                     size += len(part)
             if held:
                 yield many(held)
@@ -100,57 +112,97 @@ def _cut(length: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "raw"):
-            rows = [(rk, doc, int(r["lo"]), r["key"], r["uses"], raw[r["lo"] : r["hi"] + length]) for rk, doc, raw, runs in zip(part["rk"], part["doc_id"], part["raw"], part["runs"], strict=True) for r in runs]
-            yield pd.DataFrame(rows, columns=["rk", "doc_id", "lo", "key", "uses", "piece"]).astype({"doc_id": "Int64"})
+            rows = [
+                (ra, rb, doc, int(r["lo"]), r["key"], r["hot"], raw[r["lo"] : r["hi"] + length])
+                for ra, rb, doc, raw, runs in zip(part["ra"], part["rb"], part["doc_id"], part["raw"], part["runs"], strict=True)
+                for r in runs
+            ]
+            yield pd.DataFrame(rows, columns=[*ROW, "doc_id", "lo", "key", "hot", "piece"]).astype({"doc_id": "Int64"})
 
     return run
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The dense rank of every key."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    ranks = np.empty(len(keys), dtype=np.uint32)
+    ranks[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+    return ranks
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """starts in suffix order, and which of them has the same first `length` bytes as the one before.
+    """starts in suffix order by their first `length` bytes, equal ones by position, and the bytes (at most `length`) each shares with the one before (the first: 0).
 
-    The order is that of the first eight bytes, below it that of a fingerprint of the first `length`, and
-    among equal suffixes that of position; equal fingerprints are confirmed byte by byte.
+    Ranks of the first 8, 16, 32, ... bytes of all positions, each from pairs of the ranks before; the last
+    pair overlaps so that it ends at `length`.
     """
-    padded = np.concatenate([data, np.zeros(length, dtype=np.uint8)]).astype(np.uint64)
-    n = len(padded) - 7
+    padded = np.concatenate([data, np.zeros(length + 8, dtype=np.uint8)]).astype(np.uint64)
+    n = len(data) + length
     packed = np.zeros(n, dtype=np.uint64)
     for i in range(8):
         packed |= padded[i : i + n] << np.uint64(56 - 8 * i)
-    print_, size, step = mixed(packed), 8, 0
-    while size < length:
-        add = min(size, length - size)
-        print_ = mixed(print_[: len(print_) - add] * _STEPS[step % 8] + print_[add:])
-        size, step = size + add, step + 1
-    order = starts[np.lexsort((starts, print_[starts], packed[starts]))]
-    same = print_[order[1:]] == print_[order[:-1]]
-    left, right = order[:-1][same], order[1:][same]
-    good = np.ones(len(left), dtype=bool)
-    for at in [*range(0, length - 7, 8), length - 8]:
-        good &= packed[left + at] == packed[right + at]
-    same[np.flatnonzero(same)[~good]] = False
-    return order, same
-
-
-def _laid_out(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The concatenation, where each piece begins, the piece of every byte, and all window starts."""
-    sizes = np.array([len(p) for p in pieces])
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    starts = np.flatnonzero(np.arange(sizes.sum()) + length <= (begins + sizes)[owner])
-    return np.frombuffer(b"".join(pieces), dtype=np.uint8), begins, owner, starts
+    levels, width = [(8, _ranked(packed))], 8
+    while width * 2 <= length:
+        last = levels[-1][1].astype(np.uint64)
+        levels.append((width * 2, _ranked(last[: len(last) - width] << np.uint64(32) | last[width:])))
+        width *= 2
+    last = levels[-1][1].astype(np.uint64)
+    keys = last[starts] << np.uint64(32) | last[starts + length - width]
+    by_place = np.argsort(keys, kind="stable")
+    order = starts[by_place]
+    shared = np.zeros(len(order), dtype=np.int64)
+    a, b = order[:-1], order[1:]
+    for size, ranks in reversed(levels):
+        at = shared[1:]
+        some = np.flatnonzero(at + size <= length)
+        at[some[ranks[a[some] + at[some]] == ranks[b[some] + at[some]]]] += size
+    # fewer than 8 bytes are left to compare
+    left = packed[a + shared[1:]] ^ packed[b + shared[1:]]
+    more = np.full(len(left), 8, dtype=np.int64)
+    for k in range(8):
+        more = np.where((more == 8) & (left >> np.uint64(56 - 8 * k) != 0), k, more)
+    shared[1:] = np.minimum(shared[1:] + more, length)
+    return order, shared
+
+
+def _smaller_before(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each place of the order the bytes it shares with the nearest place before it of a smaller position; 0 if there is none.
+
+    Pointers jump over larger positions, all at once, and carry the least of the shared bytes they pass.
+    """
+    n = len(order)
+    before, least = np.arange(-1, n - 1), shared.copy()
+    open_ = np.flatnonzero(before >= 0)
+    open_ = open_[order[before[open_]] > order[open_]]
+    while len(open_):
+        there = before[open_]
+        least[open_], before[open_] = np.minimum(least[open_], least[there]), before[there]
+        open_ = open_[before[open_] >= 0]
+        open_ = open_[order[before[open_]] > order[open_]]
+    least[before < 0] = 0
+    return least
+
+
+def previous_factors(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each place of the order: the bytes it shares with any suffix of a smaller position, read off the previous and next smaller ones."""
+    back = np.concatenate([[0], shared[:0:-1]])
+    return np.maximum(_smaller_before(order, shared), _smaller_before(order[::-1], back)[::-1])
 
 
 def repeats(pieces: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pieces in order of first occurrence: where each begins in their concatenation, which window starts repeat anywhere, and which repeat earlier bytes."""
-    data, begins, owner, starts = _laid_out(pieces, length)
-    order, same = suffix_order(data, starts, length)
+    sizes = np.array([len(p) for p in pieces])
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    starts = np.flatnonzero(np.arange(sizes.sum()) + length <= (begins + sizes)[owner])
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    order, shared = suffix_order(data, starts, length)
+    later = previous_factors(order, shared) >= length
     anywhere, earlier = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
-    # among suffixes with equal first bytes the previous smaller position is the one just before: there the
-    # longest previous factor reaches the length; the next factor of the one before does too
-    earlier[order[1:][same]] = True
-    anywhere[order[1:][same]] = True
-    anywhere[order[:-1][same]] = True
+    earlier[order[later]] = True
+    anywhere[order[later]] = True
+    anywhere[order[:-1][later[1:] & (shared[1:] >= length)]] = True
     anywhere[starts[copies[owner[starts]] > 1]] = True
     return begins, anywhere, earlier
 
@@ -161,14 +213,14 @@ def _runs(flags: np.ndarray) -> list[dict]:
 
 
 def _settle(length: int):
-    """Rows arrive sorted by (key, block): settle whole blocks, several at a time."""
+    """Rows arrive sorted by key: settle all pieces of a key, several keys at a time."""
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "lo"], kind="stable", na_position="first")
         pieces = rows["piece"].tolist()
         begins, anywhere, earlier = repeats(pieces, rows["copies"].to_numpy(), length)
         cut = [slice(b, b + len(p)) for b, p in zip(begins, pieces, strict=True)]
-        out = rows[["key", "pa", "pb"]].assign(runs=[_runs(anywhere[c]) for c in cut], later=[_runs(earlier[c]) for c in cut])
+        out = rows[["key", "pa", "pb", "copies", "doc_id", "lo"]].assign(runs=[_runs(anywhere[c]) for c in cut], later=[_runs(earlier[c]) for c in cut])
         return out[out["runs"].map(len) > 0]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,9 +228,9 @@ def _settle(length: int):
         for frame in frames:
             if not len(frame):
                 continue
-            new = ((frame["key"] != frame["key"].shift()) | (frame["block"] != frame["block"].shift())).to_numpy()
-            new[0] = last != (frame["key"].iloc[0], frame["block"].iloc[0])
-            last = (frame["key"].iloc[-1], frame["block"].iloc[-1])
+            new = (frame["key"] != frame["key"].shift()).to_numpy()
+            new[0] = last != frame["key"].iloc[0]
+            last = frame["key"].iloc[-1]
             at, sizes = 0, frame["piece"].str.len().to_numpy()
             for i in range(len(frame)):
                 if new[i] and size and size + sizes[i] > BATCH:
@@ -192,76 +244,118 @@ def _settle(length: int):
     return run
 
 
-def _first_windows(length: int):
-    """The first window of each class of equal windows of a block, with two digests of its bytes."""
+def _digest(*parts: bytes) -> tuple[int, int]:
+    raw = xxhash.xxh3_128_digest(b"".join(parts))
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in sorted_groups(frames, ["key", "block"]):
-            rows = block.sort_values(["doc_id", "lo"], kind="stable", na_position="first").reset_index(drop=True)
-            data, begins, owner, starts = _laid_out(rows["piece"].tolist(), length)
-            order, same = suffix_order(data, starts, length)
-            at = np.sort(order[np.concatenate([[True], ~same])])
-            own = owner[at]
-            raw = data.tobytes()
-            digests = np.array([(xxhash.xxh3_64_intdigest(w := raw[i : i + length]), xxhash.xxh64_intdigest(w)) for i in at.tolist()], dtype=np.uint64).view(np.int64).reshape(-1, 2)
-            off = (at - begins[own]).astype(np.int32)
-            yield rows.loc[own, ["key", "pa", "pb", "doc_id", "lo"]].assign(off=off, at=rows["lo"].to_numpy()[own] + off, wa=digests[:, 0], wb=digests[:, 1]).drop(columns="lo")
 
-    return run
+SPANS = "key long, pa long, pb long, doc_id long, at int, a int, b int, c1 long, c2 long, h1 long, h2 long"
+
 
+def _spans(length: int, width: int):
+    """The spans of windows a to b of each piece of a hot anchor, with the digest c of the bytes that all windows of such a span have in common and h of those of this one.
 
-def _across_blocks(pieces: DataFrame, length: int) -> DataFrame:
-    """What _settle() cannot see: windows that repeat in another block of the same key."""
-    firsts = written(pieces.mapInPandas(solid(_first_windows(length)), "key long, pa long, pb long, doc_id long, off int, at int, wa long, wb long"))
-    firsts = firsts.select("key", "pa", "pb", "off", "wa", "wb", F.struct("doc_id", "at", "pa", "pb").alias("place"))
-    again = firsts.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").drop("n")
-    found = firsts.join(again, ["wa", "wb"]).select("key", "pa", "pb", "off", (F.col("place") != F.col("least")).alias("late"))
-    run = F.struct(F.col("off").alias("a"), F.col("off").alias("b"))
-    return found.groupBy("key", "pa", "pb").agg(F.collect_list(run).alias("runs"), F.collect_list(F.when(F.col("late"), run)).alias("later"))
+    A span holds windows with the anchor at one of `width` neighbouring places. Windows before a place of the
+    anchor and after the one before it belong to that place.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, pa, pb, doc, lo, piece, parts in frame[["key", "pa", "pb", "doc_id", "lo", "piece", "parts"]].itertuples(index=False):
+                last = len(piece) - length
+                at = np.flatnonzero(gram_hashes(np.frombuffer(piece, dtype=np.uint8), GRAM).view(np.int64) == key)
+                for first, stop in [(0, last)] if parts is None else [(p["a"], p["b"]) for p in parts]:
+                    a = first
+                    while a <= stop:
+                        q = int(at[np.searchsorted(at, a)])
+                        node = (q - a) // width
+                        b = min(stop, q - node * width)
+                        near, far = node * width, min(node * width + width - 1, length - GRAM)
+                        name = near.to_bytes(4, "little")
+                        c = _digest(name, piece[q - near : q - far + length])
+                        h = _digest(name, (q - a).to_bytes(4, "little"), (q - b).to_bytes(4, "little"), piece[a : b + length])
+                        out.append((key, pa, pb, doc, lo + a, a, b, *c, *h))
+                        a = b + 1
+            yield pd.DataFrame(out, columns=["key", "pa", "pb", "doc_id", "at", "a", "b", "c1", "c2", "h1", "h2"]).astype({"doc_id": "Int64", "at": "int32", "a": "int32", "b": "int32"})
+
+    return run
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none", many: int = MANY) -> DataFrame:
-    """rk, spans: byte ranges [start, end) to remove from the rows of docs(rk, doc_id, raw)."""
-    found = written(docs.select("rk", "raw").mapInPandas(solid(_find(length)), "rk long, key long, lo int, hi int"))
-    used = found.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1")
-    wanted = found.join(used, "key").groupBy("rk").agg(F.collect_set(F.struct("lo", "hi", "key", "uses")).alias("runs"))
-    cut = docs.join(wanted, "rk").select("rk", "doc_id", "raw", "runs").mapInPandas(solid(_cut(length)), "rk long, doc_id long, lo int, key long, uses long, piece binary")
-    pieces = written(cut.withColumn("pa", F.xxhash64("piece")).withColumn("pb", F.xxhash64(F.lit(3), "piece")))
+def _hot(pieces: DataFrame, length: int) -> DataFrame:
+    """key, pa, pb, runs, later of the different pieces of hot anchors."""
+    places = ["key", "pa", "pb", "doc_id", "lo", "piece"]
+    rows, found = pieces.select(*places, F.lit(None).cast(RUNS).alias("parts")), []
+    for width in WIDTHS:
+        spans = written(rows.mapInPandas(solid(_spans(length, width)), SPANS))
+        place = F.struct("doc_id", "at", "pa", "pb", "key", "a", "b")
+        whole = written(spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("c1").alias("c1"), F.first("c2").alias("c2")))
+        own = meet(spans.select("h1", "h2", place.alias("place")), whole.where("n > 1").select("h1", "h2", "n", "first"), ["h1", "h2"], "n")
+        found.append(written(own.select("place.key", "place.pa", "place.pb", "place.a", "place.b", (F.col("place") != F.col("first")).alias("late"))))
+        if width > 1:
+            # one span of each kind goes on, if others have its common bytes
+            kinds = written(whole.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+            on = meet(whole.select("c1", "c2", "first"), kinds, ["c1", "c2"], "kinds").select("first.*")
+            parts = written(on.groupBy("key", "pa", "pb").agg(F.collect_list(F.struct("a", "b")).alias("parts")))
+            dropped(spans, whole, kinds)
+            rows = pieces.select(places).join(parts, ["key", "pa", "pb"])
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    run = F.struct("a", "b")
+    return every.groupBy("key", "pa", "pb").agg(F.collect_list(run).alias("runs"), F.collect_list(F.when(F.col("late"), run)).alias("later"))
+
+
+def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none", hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """ra, rb, spans: byte ranges [start, end) to remove from the rows of docs(ra, rb, doc_id, raw)."""
+    found = written(docs.select(*ROW, "raw").mapInPandas(solid(_find(length)), "ra long, rb long, key long, lo int, hi int, n int"))
+    size = F.col("hi") - F.col("lo") + length
+    used = found.groupBy("key").agg(F.sum("n").alias("_uses"), F.count("*").alias("_rows"), F.sum(size).alias("_bytes")).where("_uses > 1")
+    used = written(used.select("key", "_rows", (F.col("_bytes") > hot_bytes).alias("hot")))
+    wanted = meet(found.select(*ROW, "key", "lo", "hi"), used, ["key"], "_rows").groupBy(ROW).agg(F.collect_set(F.struct("lo", "hi", "key", "hot")).alias("runs"))
+    cut = docs.join(wanted, ROW).select(*ROW, "doc_id", "raw", "runs").mapInPandas(solid(_cut(length)), "ra long, rb long, doc_id long, lo int, key long, hot boolean, piece binary")
+    pieces = written(cut.withColumns({"pa": F.xxhash64("piece"), "pb": F.xxhash64(F.lit(3), "piece")}))
+    dropped(found, used)
     first = F.min(F.struct("doc_id", "lo"))
-    unique = pieces.groupBy("key", "pa", "pb").agg(F.count("*").alias("copies"), first.alias("_first"), F.max("uses").alias("uses"), F.any_value("piece").alias("piece"))
-    unique = written(unique.select("key", "pa", "pb", "copies", "uses", "_first.doc_id", "_first.lo", "piece"))
-    blocks = unique.withColumn("_blocks", F.ceil(F.col("uses") / many)).withColumn("block", F.pmod(F.col("pa"), F.col("_blocks")).cast("int"))
-    blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block")
-    columns = ["key", "block", "pa", "pb", "copies", "doc_id", "lo", "piece"]
-    settled = blocks.select(columns).mapInPandas(solid(_settle(length)), f"key long, pa long, pb long, runs {RUNS}, later {RUNS}")
-    split = unique.where(f"uses > {many}").withColumn("block", F.pmod(F.col("pa"), F.ceil(F.col("uses") / many)).cast("int"))
-    split = split.repartition("key", "block").sortWithinPartitions("key", "block").select(columns)
-    settled = written(settled.unionByName(_across_blocks(split, length)))
-    own = pieces.select("rk", "doc_id", "lo", "key", "pa", "pb", F.length("piece").alias("size"))
+    unique = pieces.groupBy("key", "pa", "pb", "hot").agg(F.count("*").alias("copies"), first.alias("_first"), F.any_value("piece").alias("piece"))
+    unique = written(unique.select("key", "pa", "pb", "hot", "copies", "_first.doc_id", "_first.lo", "piece"))
+    cool = unique.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
+    place = ["key", "pa", "pb", "copies", "doc_id", "lo"]
+    settled = cool.mapInPandas(solid(_settle(length)), f"key long, pa long, pb long, copies long, doc_id long, lo int, runs {RUNS}, later {RUNS}")
+    hot = unique.where("hot")
+    if not hot.isEmpty():
+        # a piece that stands at several places repeats as a whole
+        several = F.array(F.struct(F.lit(0).alias("a"), (F.length("piece") - length).alias("b")))
+        copied = hot.where("copies > 1").select("key", "pa", "pb", several.alias("runs"), F.array().cast(RUNS).alias("later"))
+        parts = _hot(hot, length).unionByName(copied).groupBy("key", "pa", "pb").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "later")))
+        settled = settled.unionByName(hot.select(place).join(parts, ["key", "pa", "pb"]))
+    settled = written(settled.withColumnsRenamed({"doc_id": "_doc", "lo": "_lo"}))
+    dropped(unique)
+    own = meet(pieces.select(*ROW, "doc_id", "lo", "key", "pa", "pb", F.length("piece").alias("size")), settled, ["key", "pa", "pb"], "copies")
     if keep == "first":
-        origin = unique.select("key", "pa", "pb", F.col("doc_id").alias("_doc"), F.col("lo").alias("_lo"))
         whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - length).alias("b")))
         is_first = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("lo") == F.col("_lo"))
-        own = own.join(settled, ["key", "pa", "pb"]).join(origin, ["key", "pa", "pb"]).withColumn("_runs", F.when(is_first, F.col("later")).otherwise(whole))
-    else:
-        own = own.join(settled, ["key", "pa", "pb"]).withColumn("_runs", F.col("runs"))
-    spans = F.transform("_runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("start"), (F.col("lo") + r["b"] + length).alias("end")))
-    return own.select("rk", spans.alias("_spans")).groupBy("rk").agg(F.flatten(F.collect_list("_spans")).alias("spans"))
+        own = own.withColumn("runs", F.when(is_first, F.col("later")).otherwise(whole))
+    spans = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("start"), (F.col("lo") + r["b"] + length).alias("end")))
+    found = written(own.select(*ROW, spans.alias("_spans")).groupBy(ROW).agg(F.flatten(F.collect_list("_spans")).alias("spans")))
+    dropped(pieces, settled)
+    return found
 
 
-def suffix_dedup(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none", many: int = MANY) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row.
 
     A byte goes when a string of `length` bytes that covers it also starts anywhere else, in this text or
     another (keep="none"), or starts earlier by (doc_id, position) (keep="first"). Strings never cross texts
-    and are judged on the input. Null texts are empty. Texts shorter than `length` lose nothing. Rows that
-    repeat a doc_id and text are copies of each other, and lose what any copy loses; for keep="first" they
-    count as one place. A null doc_id comes before all others. Other columns are ignored; an empty table
-    gives no rows.
+    and are judged on the input. Null texts are empty. Texts shorter than `length` lose nothing; a very long
+    one is cut into slices, and into pieces of LONGEST windows at most. Rows that repeat a doc_id and text are
+    copies of each other, and lose what any copy loses; for keep="first" they count as one place. A null
+    doc_id comes before all others. Other columns are ignored; an empty table gives no rows. Rows are known
+    by two 64-bit digests of (doc_id, text), windows of hot anchors by one of 128 bits.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    spans = repeated_spans(rows, length, keep, many)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("ra"), F.xxhash64(F.lit(11), "text", "doc_id").alias("rb"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
+    spans = repeated_spans(rows, length, keep, hot_bytes)
 
     def remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "raw"):
@@ -281,5 +375,5 @@ def suffix_dedup(docs: DataFrame, length: int = MIN_LENGTH, keep: str = "none",
             names = ["n_bytes", "n_removed", "n_spans", "kept"]
             yield pd.concat([part[["doc_id"]].reset_index(drop=True).astype("Int64"), pd.DataFrame(made, columns=names)], axis=1)
 
-    joined = rows.join(spans, "rk", "left").select("doc_id", "raw", "spans")
+    joined = rows.join(spans, ROW, "left").select("doc_id", "raw", "spans")
     return joined.mapInPandas(solid(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

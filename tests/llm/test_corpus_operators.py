@@ -299,16 +299,29 @@ def test_language_id(spark):
         assert len({tuple(row) for row in code.tolist()}) == k
 
 
+def test_previous_factors_equal_brute_force():
+    draw = random.Random(4)
+    for size in (210, 400, 900):
+        raw = bytes(draw.choices(b"ab", weights=[9, 1], k=size)) * 2 + b"a" * 250
+        starts = np.array(sorted(draw.sample(range(len(raw) - 199), len(raw) // 3)))
+        order, shared = suffix.suffix_order(np.frombuffer(raw, dtype=np.uint8), starts, 200)
+        assert order.tolist() == sorted(starts.tolist(), key=lambda i: (raw[i : i + 200], i))
+        common = lambda i, j: next((k for k in range(200) if raw[i + k] != raw[j + k]), 200)
+        assert shared.tolist() == [0, *(common(i, j) for i, j in zip(order, order[1:]))]
+        wanted = [max((common(i, j) for j in starts if j < i), default=0) for i in order]
+        assert suffix.previous_factors(order, shared).tolist() == wanted
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("many", [2, 4096])
-def test_suffix_dedup(spark, keep, many):
+@pytest.mark.parametrize("hot_bytes", [300, 1_000_000])
+def test_suffix_dedup(spark, keep, hot_bytes):
     draw = random.Random(3)
     passages = ["".join(draw.choice("abcd ") for _ in range(300)) for _ in range(4)]
     rows = [(i, "".join(draw.choices("abcdefgh ", k=draw.randint(0, 250))) + passages[i % 4][draw.randint(0, 60) :] * draw.choice([0, 1, 2]) + "".join(draw.choices("xyzé", k=draw.randint(0, 150)))) for i in range(40)]
-    rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "aaa" * 200)]
+    rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "aaa" * 200), (104, "word " * 3000), (105, "x" + "word " * 100)]
     raw = {i: (t or "").encode() for i, t in rows}
     count, seen = collections.Counter(b[i : i + 200] for b in raw.values() for i in range(len(b) - 199)), set()
-    got = {r.doc_id: r for r in suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, many=many).collect()}
+    got = {r.doc_id: r for r in suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, hot_bytes=hot_bytes).collect()}
     for k in sorted(raw):
         gone = bytearray(len(raw[k]))
         for i in range(len(raw[k]) - 199):
