@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by balanced posting lists (operator 10).
 
 Centroids are fitted on a bounded sample and split until their lists are balanced. Every vector goes to
-the list of its nearest centroid, and boundary vectors also to the lists of centroids nearly as near. A
-query finds near centroids with a greedy search of an in-memory graph, keeps those within a ratio of the
-nearest distance, and compares itself with the vectors of their lists.
+the list of its nearest centroid, and boundary vectors also to that of the next one. A query finds near
+centroids with a best-first search of an in-memory graph, keeps those within a ratio of the nearest distance,
+and compares itself with the vectors of their lists. Ratio and number of lists are set on the sample: the
+cheapest pair that finds TARGET of its nearest neighbours there, so vectors that lie in clusters need few
+lists and shapeless ones many.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import solid, written
+from .common import dropped, solid, written
 from .near import sorted_groups
 
-#: Bounds: sampled vectors (those of smallest hash), lists, vectors of the sample in one list.
-SAMPLE, MAX_LISTS, LIST_SIZE = 20_000, 2_048, 24
-COPIES, CLOSURE = 8, 1.25
-#: Lists searched at most (the larger of a number and a share), and the ratio to the nearest centroid's squared distance that ends the search.
-PROBES, PROBED, RATIO = 48, 0.15, 3.0
+#: Bounds: sampled vectors (those of smallest hash), lists, vectors of the sample in one list, queries the settings are tried with.
+SAMPLE, MAX_LISTS, LIST_SIZE, TRIED = 20_000, 2_048, 24, 256
+#: A vector goes to so many lists at most, whose squared distance is within the ratio of the nearest.
+COPIES, CLOSURE = 2, 1.1
+#: Share of the sample's nearest neighbours that its settings find.
+TARGET = 0.96
 NEIGHBOURS, BEAM = 24, 64
 #: A list is cut into blocks of about so many vectors.
 BLOCK = 2_048
@@ -33,39 +36,41 @@ BLOCK = 2_048
 class ListIndex:
     centroids: np.ndarray
     graph: np.ndarray
+    probes: int = 1
+    ratio: float = 1.0
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of about the k nearest centroids of each row, by best-first search of the graph, all rows at once."""
+        """Ids and squared distances of about the k nearest centroids of each row, by best-first search of the graph, all rows at once.
+
+        Each round follows the edges of a few of the nearest centroids not yet followed; the search of a row ends
+        when its k (or BEAM) nearest have all been.
+        """
         n, many, k = len(x), len(self.centroids), min(k, len(self.centroids))
-        beam = min(max(BEAM, 2 * k), many)
-        seen = np.zeros((n, many), dtype=bool)
-        start = np.linspace(0, many - 1, min(many, 16)).astype(np.int64)
-        ids = np.tile(start, (n, 1))
-        seen[:, start] = True
+        beam = min(max(BEAM, k + k // 4), many)
+        wide = max(1, beam // 32)
         square = (self.centroids**2).sum(1)
-        far = lambda own, at: square[at] - 2 * np.einsum("nd,nkd->nk", own, self.centroids[at])
-        gaps, done = far(x, ids), np.zeros(ids.shape, dtype=bool)
+        # distances are looked up by centroid: infinite until it is seen
+        gaps = np.full((n, many), np.inf)
+        followed = np.zeros((n, many), dtype=bool)
+        start = np.linspace(0, many - 1, min(many, 16)).astype(np.int64)
+        gaps[:, start] = square[start] - 2 * x @ self.centroids[start].T
         for _ in range(many):
-            waiting = np.where(done, np.inf, gaps)
-            pick = waiting.argmin(1)
-            rows = np.flatnonzero(np.isfinite(waiting[np.arange(n), pick]))
+            limit = np.partition(gaps, beam - 1, axis=1)[:, beam - 1 : beam] if beam < many else np.inf
+            waiting = np.where(followed | (gaps > limit), np.inf, gaps)
+            pick = np.argpartition(waiting, wide - 1, axis=1)[:, :wide] if wide < many else np.tile(np.arange(many), (n, 1))
+            rows, column = np.nonzero(np.isfinite(np.take_along_axis(waiting, pick, 1)))
             if not len(rows):
                 break
-            done[rows, pick[rows]] = True
-            new = self.graph[ids[rows, pick[rows]]]
-            fresh = ~seen[rows[:, None], new]
-            seen[rows[:, None], new] = True
-            more = np.full((n, new.shape[1]), np.inf)
-            more[rows] = np.where(fresh, far(x[rows], new), np.inf)
-            names = np.zeros((n, new.shape[1]), dtype=np.int64)
-            names[rows] = new
-            ids, gaps, done = np.hstack([ids, names]), np.hstack([gaps, more]), np.hstack([done, ~np.isfinite(more)])
-            if ids.shape[1] > beam:
-                order = np.argpartition(gaps, beam - 1, axis=1)[:, :beam]
-                ids, gaps, done = (np.take_along_axis(a, order, 1) for a in (ids, gaps, done))
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-        ids, gaps = np.take_along_axis(ids, order, 1), np.take_along_axis(gaps, order, 1)
-        return ids, np.maximum(gaps + (x**2).sum(1)[:, None], 0)
+            from_ = pick[rows, column]
+            followed[rows, from_] = True
+            r, c = np.repeat(rows, self.graph.shape[1]), self.graph[from_].ravel()
+            fresh = np.isinf(gaps[r, c])
+            r, c = r[fresh], c[fresh]
+            gaps[r, c] = square[c] - 2 * np.einsum("nd,nd->n", x[r], self.centroids[c])
+        ids = np.argpartition(gaps, k - 1, axis=1)[:, :k]
+        order = np.argsort(np.take_along_axis(gaps, ids, 1), axis=1, kind="stable")
+        ids = np.take_along_axis(ids, order, 1)
+        return ids, np.maximum(np.take_along_axis(gaps, ids, 1) + (x**2).sum(1)[:, None], 0)
 
 
 def _kmeans(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -99,11 +104,45 @@ def build(sample: np.ndarray) -> ListIndex:
     # long edges keep the graph connected
     far = draw.integers(0, len(centroids), (len(centroids), 4))
     ring = ((np.arange(len(centroids)) + 1) % len(centroids))[:, None]
-    return ListIndex(centroids, np.hstack([near, far, ring]))
+    index = ListIndex(centroids, np.hstack([near, far, ring]))
+    index.probes, index.ratio = _settings(index, sample, draw)
+    return index
+
+
+def _settings(index: ListIndex, sample: np.ndarray, draw: np.random.Generator, k: int = 5) -> tuple[int, float]:
+    """The number of lists and the distance ratio, of those that find TARGET of the k nearest in the sample, that open the fewest lists."""
+    c = index.centroids
+    if len(c) == 1 or len(sample) <= k:
+        return len(c), np.inf
+    x = sample[draw.choice(len(sample), min(TRIED, len(sample)), replace=False)]
+    near = x @ sample.T
+    near[near >= 1 - 1e-12] = -9  # itself and its copies
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    gaps = np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T, 0)
+    rank = gaps.argsort(1).argsort(1)
+    ratio = (gaps + 1e-12) / (gaps.min(1, keepdims=True) + 1e-12)
+    held = ((sample**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * sample @ c.T)
+    own = held.argpartition(COPIES - 1, axis=1)[:, :COPIES]
+    gap = np.take_along_axis(held, own, 1)
+    inside = gap <= np.maximum(gap.min(1, keepdims=True), 0) * CLOSURE + 1e-12
+    rows = np.arange(len(x))[:, None, None]
+    lists = own[best]
+    need_rank = np.where(inside[best], rank[rows, lists], len(c)).min(2).ravel()
+    need_ratio = np.where(inside[best], ratio[rows, lists], np.inf)
+    choices = []
+    for share in np.linspace(TARGET, 1.0, 13):
+        probes = int(np.quantile(need_rank, share)) + 1
+        ratios = np.where(rank[rows, lists] < probes, need_ratio, np.inf).min(2).ravel()
+        limit = float(np.quantile(ratios, TARGET, method="higher"))
+        if np.isfinite(limit):
+            choices.append((((rank < probes) & (ratio <= limit)).sum(1).mean(), probes, limit))
+    return min(choices)[1:] if choices else (len(c), np.inf)
 
 
 def _unit(column: pd.Series) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
     x = np.array(column.tolist(), dtype=np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -115,14 +154,83 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(good & F.exists("embedding", lambda v: v != 0))
 
 
+def _place(shared, asks: bool, everywhere: bool = False):
+    """rep, the unit vector, list and dim of each list a vector is held in, or (asks) looks into."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for d, own in frame.groupby(frame["embedding"].map(len)):
+                index = shared.value.get(d)
+                for at in range(0, len(own), 512):
+                    part = own.iloc[at : at + 512]
+                    x = _unit(part["embedding"])
+                    if index is None:  # a length the sample has not: one list
+                        r, lists = np.arange(len(part)), np.full(len(part), -1)
+                    else:
+                        many = len(index.centroids)
+                        found, gaps = index.nearest(x, many if everywhere else index.probes if asks else COPIES)
+                        ratio = np.inf if everywhere else index.ratio if asks else CLOSURE
+                        r, c = np.nonzero(gaps <= np.maximum(gaps[:, :1], 1e-12) * ratio + 1e-12)
+                        lists = found[r, c]
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[r], "unit": list(x[r].astype(np.float32)), "list": lists.astype(np.int32), "dim": np.int32(d)})
+
+    return run
+
+
+def _compare(k: int):
+    """The k + 2 nearest of each block for each of its queries; rows arrive sorted by (list, dim, block)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in sorted_groups(frames, ["list", "dim", "block"]):
+            asks, held = group[group["asks"]], group[~group["asks"]]
+            if not len(asks) or not len(held):
+                continue
+            y, names = np.array(held["unit"].tolist()), held["rep"].to_numpy()
+            for at in range(0, len(asks), 1024):
+                part = asks.iloc[at : at + 1024]
+                cos = np.array(part["unit"].tolist()) @ y.T
+                top = min(k + 2, len(names))
+                best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
+                yield pd.DataFrame({"query": np.repeat(part["rep"].to_numpy(), top), "rep": names[best].ravel(), "near": np.take_along_axis(cos, best, 1).ravel().astype(np.float64)})
+
+    return run
+
+
+def _candidates(posted: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """query, rep, near of the nearest of every list that a query looks into."""
+    sizes = posted.groupBy("list", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = posted.join(sizes, ["list", "dim"]).select("list", "dim", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "unit", F.lit(False).alias("asks"))
+    right = probed.join(sizes, ["list", "dim"]).select("list", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "unit", F.lit(True).alias("asks"))
+    rows = left.unionByName(right).repartition("list", "dim", "block").sortWithinPartitions("list", "dim", "block")
+    met = rows.mapInPandas(solid(_compare(k)), "query long, rep long, near double").groupBy("query", "rep").agg(F.max("near").alias("near"))
+    top = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
+    # one row is the query's own vector; its copies' ids are candidates like others
+    return met.withColumn("_n", F.row_number().over(top)).where(f"_n <= {k + 2}").select("query", "rep")
+
+
+def _cosine(a: str, b: str):
+    """The cosine of two array columns in double precision; components that squares could lose are scaled first."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+    def scaled(name: str):
+        most = F.array_max(F.transform(name, F.abs))
+        return F.when(most.between(1e-100, 1e100), F.col(name)).otherwise(F.transform(name, lambda v: v / most))
+
+    x, y = scaled(a), scaled(b)
+    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries(vec_id) the k vectors of largest cosine found.
+    """query_id, rank, vec_id, score: for each row of queries(vec_id) the k vectors of largest cosine found, or all candidates if there are fewer.
 
     Both sides are (vec_id, embedding); a query's own row is no candidate. Equal vectors are searched as one
     and stand for their k + 1 smallest vec_ids, which is all that ties can use, so a large group of copies
     is no large list. Null, zero and non-finite vectors take no part. Vectors of different length are
-    compared with their own kind only. Rows that repeat a vec_id with the same vector are one. An empty
-    table gives no rows.
+    compared with their own kind only, and a very long one is whole in a task. Candidates are found by unit
+    vectors in single precision, scores are of the original ones in double precision; ties go to the smaller
+    vec_id. A query that finds fewer than k looks into all lists. Rows that repeat a vec_id with the same
+    vector are one, with different ones candidates of their own. Other columns are ignored. An empty table
+    gives no rows.
     """
     rows = valid(vectors)
     # smallest k + 1 ids of every different vector; merging bounded lists keeps the state of a group bounded
@@ -130,63 +238,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spread = ids.select("embedding", F.explode("ids").alias("vec_id"))
     place = Window.partitionBy("embedding").orderBy("vec_id")
     few = spread.withColumn("_n", F.row_number().over(place)).where(f"_n <= {k + 1}").groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    unique = written(few.select(F.col("ids")[0].alias("rep"), "ids", "embedding"))
-    sample = unique.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toPandas()["embedding"].tolist()
+    # several vectors may have one id, so they are known by a number of their own
+    unique = written(few.select(F.monotonically_increasing_id().alias("rep"), "ids", "embedding"))
+    dropped(ids)
+    sample = unique.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(SAMPLE).select("embedding").toPandas()["embedding"].tolist()
     if not sample:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = {len(v) for v in sample}
     indexes = {d: build(_unit(pd.Series([v for v in sample if len(v) == d]))) for d in sizes}
     shared = vectors.sparkSession.sparkContext.broadcast(indexes)
 
-    def lists(columns: list[str], probes: int, share: float, ratio: float):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for d, own in frame.groupby(frame["embedding"].map(len)):
-                    index = shared.value.get(d)
-                    for at in range(0, len(own), 512):
-                        part = own.iloc[at : at + 512]
-                        if index is None:  # a length the sample has not: one list
-                            yield part[columns].assign(list=np.int32(-1), dim=np.int32(d))
-                            continue
-                        found, gaps = index.nearest(_unit(part["embedding"]), max(probes, int(share * len(index.centroids))))
-                        near = gaps <= gaps[:, :1] * ratio + 1e-12
-                        r, c = np.nonzero(near)
-                        yield part[columns].iloc[r].assign(list=found[r, c].astype(np.int32), dim=np.int32(d))
-
-        return run
-
-    kinds = {"rep": "rep long", "ids": "ids array<long>", "embedding": "embedding array<double>"}
-    schema = lambda columns: ", ".join([*(kinds[c] for c in columns), "list int", "dim int"])
-    posted = written(unique.mapInPandas(solid(lists(["rep", "embedding"], COPIES, 0, CLOSURE)), schema(["rep", "embedding"])))
-    wanted = valid(queries).select("vec_id", "embedding").distinct()
-    asked = written(wanted.groupBy("embedding").agg(F.min("vec_id").alias("rep")))  # equal queries are asked once
-    probed = asked.mapInPandas(solid(lists(["rep", "embedding"], PROBES, PROBED, RATIO)), schema(["rep", "embedding"]))
-
-    sizes_by = posted.groupBy("list", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = posted.join(sizes_by, ["list", "dim"]).select("list", "dim", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "embedding", F.lit(False).alias("asks"))
-    right = probed.join(sizes_by, ["list", "dim"]).select("list", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "embedding", F.lit(True).alias("asks"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(frames, ["list", "dim", "block"]):
-            asks, held = group[group["asks"]], group[~group["asks"]]
-            if not len(asks) or not len(held):
-                continue
-            y, names = _unit(held["embedding"]), held["rep"].to_numpy()
-            for at in range(0, len(asks), 1024):
-                part = asks.iloc[at : at + 1024]
-                cos = _unit(part["embedding"]) @ y.T
-                top = min(k + 2, len(names))
-                best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
-                yield pd.DataFrame({"query": np.repeat(part["rep"].to_numpy(), top), "rep": names[best].ravel(), "near": np.take_along_axis(cos, best, 1).ravel()})
+    schema = "rep long, unit array<float>, list int, dim int"
+    posted = written(unique.select("rep", "embedding").mapInPandas(solid(_place(shared, False)), schema))
+    wanted = written(valid(queries).select("vec_id", "embedding").distinct())
+    asked = written(wanted.groupBy("embedding").agg(F.min("vec_id").alias("_least")).select(F.monotonically_increasing_id().alias("rep"), "embedding"))  # equal queries are asked once
+    spread_out = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probed = asked.repartition(spread_out).mapInPandas(solid(_place(shared, True)), schema)
 
-    met = left.unionByName(right).repartition("list", "dim", "block").sortWithinPartitions("list", "dim", "block").mapInPandas(solid(compare), "query long, rep long, near double").groupBy("query", "rep").agg(F.max("near").alias("near"))
-    top = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
-    # one row is the query's own vector; its copies' ids are candidates like others
-    best = met.withColumn("_n", F.row_number().over(top)).where(f"_n <= {k + 2}").select("query", "rep")
-    named = best.join(unique.select("rep", "ids", F.col("embedding").alias("other")), "rep")
-    every = wanted.join(asked.withColumnRenamed("rep", "query"), "embedding").select(F.col("vec_id").alias("query_id"), "query", "embedding")
-    pairs = every.join(named, "query").select("query_id", "embedding", "other", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    score = dot("embedding", "other") / (F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("other", "other")))
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", score.alias("score")).distinct().withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    def named(best: DataFrame) -> DataFrame:
+        """query_id, rank, vec_id, score of the candidates (query, rep)."""
+        held = best.join(unique.select("rep", "ids", F.col("embedding").alias("other")), "rep")
+        every = wanted.join(asked.withColumnRenamed("rep", "query"), "embedding").select(F.col("vec_id").alias("query_id"), "query", "embedding")
+        pairs = every.join(held, "query").select("query_id", "embedding", "other", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        scored = pairs.select("query_id", "vec_id", _cosine("embedding", "other").alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return scored.withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+
+    found = written(named(_candidates(posted, probed, k)))
+    full = found.groupBy("query_id").agg(F.count("*").alias("_n")).where(f"_n >= {k}")
+    short = written(asked.join(wanted.join(full, wanted["vec_id"] == full["query_id"], "left_anti").select("embedding").distinct(), "embedding"))
+    if not short.isEmpty():
+        again = short.repartition(spread_out).mapInPandas(solid(_place(shared, True, True)), schema)
+        more = written(named(_candidates(posted, again, k)))
+        found = found.join(more, "query_id", "left_anti").unionByName(more)
+    return found
