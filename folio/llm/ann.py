@@ -121,14 +121,15 @@ def _settings(index: ListIndex, sample: np.ndarray, draw: np.random.Generator, k
     gaps = np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T, 0)
     rank = gaps.argsort(1).argsort(1)
     ratio = (gaps + 1e-12) / (gaps.min(1, keepdims=True) + 1e-12)
-    held = ((sample**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * sample @ c.T)
+    y = sample[best.ravel()]
+    held = (c**2).sum(1)[None, :] - 2 * y @ c.T + (y**2).sum(1)[:, None]
     own = held.argpartition(COPIES - 1, axis=1)[:, :COPIES]
     gap = np.take_along_axis(held, own, 1)
-    inside = gap <= np.maximum(gap.min(1, keepdims=True), 0) * CLOSURE + 1e-12
+    inside = (gap <= np.maximum(gap.min(1, keepdims=True), 0) * CLOSURE + 1e-12).reshape(*best.shape, COPIES)
+    lists = own.reshape(*best.shape, COPIES)
     rows = np.arange(len(x))[:, None, None]
-    lists = own[best]
-    need_rank = np.where(inside[best], rank[rows, lists], len(c)).min(2).ravel()
-    need_ratio = np.where(inside[best], ratio[rows, lists], np.inf)
+    need_rank = np.where(inside, rank[rows, lists], len(c)).min(2).ravel()
+    need_ratio = np.where(inside, ratio[rows, lists], np.inf)
     choices = []
     for share in np.linspace(TARGET, 1.0, 13):
         probes = int(np.quantile(need_rank, share)) + 1
@@ -241,11 +242,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # several vectors may have one id, so they are known by a number of their own
     unique = written(few.select(F.monotonically_increasing_id().alias("rep"), "ids", "embedding"))
     dropped(ids)
-    sample = unique.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(SAMPLE).select("embedding").toPandas()["embedding"].tolist()
-    if not sample:
+    sample = unique.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(SAMPLE).select(F.transform("embedding", lambda v: v / F.array_max(F.transform("embedding", F.abs))).cast("array<float>").alias("embedding")).toPandas()
+    if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = {len(v) for v in sample}
-    indexes = {d: build(_unit(pd.Series([v for v in sample if len(v) == d]))) for d in sizes}
+    sizes = sample["embedding"].map(len)
+    indexes = {int(d): build(_unit(sample["embedding"][sizes == d])) for d in sizes.unique()}
     shared = vectors.sparkSession.sparkContext.broadcast(indexes)
 
     schema = "rep long, unit array<float>, list int, dim int"
