@@ -78,11 +78,11 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> Data
     """rows joined with groups on keys, where size says how many rows each group meets.
 
     rows and groups are written tables; a row of groups has keys of its own. Heavy groups are broadcast (by their
-    sizes there are HEAVY at most), so their rows stay where they are; the rest is shuffled and has no heavy key.
+    sizes there are HEAVY at most), so their rows stay where they are; the rest is shuffled, at every size, and has no heavy key.
     """
     limit = max(LEAST_HEAVY, rows.count() // HEAVY)
     heavy, light = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
-    rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light, keys)
+    rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light.hint("merge"), keys)
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        edges = written(_small_star(_large_star(edges)))
+        before, edges = edges, written(_small_star(_large_star(edges)))
+        dropped(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
