@@ -1,8 +1,10 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, removal by components (operator 3).
 
-Lines are compared as wholes. A passage inside other text is a paragraph too: every 25 words in a row, in
-whatever lines. Seeds of 13 words, at places whose next three words have the smallest hash of 13 neighbours,
-tell where texts can share so many words; there every 25 words are compared, by a 128-bit digest.
+Lines are compared as wholes and resolved first. A passage inside other text is a paragraph too: every 25
+words in a row of the lines that stay, in whatever lines. Seeds of 13 words, at places whose next three words
+have the smallest hash of 13 neighbours, tell where texts can share so many words; there passages are
+compared by 128-bit digests, first in pieces, then one by one. So what a line or passage is removed for stands
+in text that stays.
 """
 
 from __future__ import annotations
@@ -12,199 +14,243 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, in_slices, solid, written
+from .common import WORD, dropped, in_slices, meet, solid, written
 from .mixing import word_count
-from .near import _LOWER, _SPACE, mixed, near_groups, word_hashes
+from .near import _SPACE, mixed, near_groups, words_of
 
 #: A paragraph is a line of at least so many words, one shingle; shorter lines are never removed.
 MIN_WORDS = 5
-#: 16 bands of 4 rows lose 2 in 10,000 pairs at a similarity of 0.8, 3 in 10 million at 0.9.
-BANDS, ROWS = 16, 4
-PLACES = 1 << 22
-#: Words of a passage; AROUND is only for passages_of().
-PASSAGE, AROUND = 25, 26
+#: Share of the pairs of lines at the limit of similarity that may be overlooked; 17 bands of 4 rows follow from it.
+LOSS = 2e-4
+#: Words of a passage.
+PASSAGE = 25
 #: Words of a seed; any PASSAGE words in a row hold one.
 SEED = 13
+_PLACE = np.uint64((1 << 26) - 1)
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """unit_id, doc_id, paragraph (number of the line, from 0), text of every line of at least min_words words.
+def one_text(docs: DataFrame) -> DataFrame:
+    """doc_id, text of every doc_id with a text; of several texts of one doc_id the smallest."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = written(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    if again.isEmpty():
+        return rows
+    least = rows.join(again, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(again, "doc_id", "left_anti").unionByName(least)
 
-    unit_id orders paragraphs by document and line. A document may have 4 million lines and a doc_id 2**41;
-    anything beyond is an error rather than a wrong result.
-    """
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
+
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """unit_id, doc_id, paragraph (number of the line, from 0), text of every line of at least min_words words of docs(doc_id, text), as a written table."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     lines = lines.where(word_count(F.col("text")) >= min_words)
-    fits = (F.col("paragraph") < PLACES) & (F.abs("doc_id") < (1 << 40))
-    unit = F.when(fits, F.col("doc_id") * PLACES + F.col("paragraph")).otherwise(F.raise_error(F.lit("paragraphs: doc_id or line number out of range")).cast("long"))
-    return lines.select(unit.alias("unit_id"), "doc_id", "paragraph", "text")
-
-
-def _slide(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
-    """op over every n neighbours of x, by doubling."""
-    width = 1
-    while width < n:
-        step = min(width, n - width)
-        x, width = op(x[:-step], x[step:]), width + step
-    return x
-
-
-def passages_of(texts: list[str], words: int = PASSAGE, around: int = AROUND) -> list[np.ndarray]:
-    """Number of the text, first word, line, and two digests of the chosen passages of texts; of equal ones in a text the first."""
-    raws = [t.encode("utf-8", "replace").translate(_LOWER) for t in texts]
-    raw = b"\n".join(raws)
-    w = word_hashes(raw)
-    places = len(w) - words + 1
-    if places < 1:
-        return [np.zeros(0, dtype=np.int64)] * 5
-    data = np.frombuffer(raw, dtype=np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
-    owner = np.searchsorted(offsets, starts, side="right") - 1
-    gram = mixed(mixed(w[:places] * np.uint64(0xD1342543DE82EF95) + w[1 : places + 1]) * np.uint64(0xD1342543DE82EF95) + w[2 : places + 2])
-    inside = owner[:places] == owner[words - 1 :]
-
-    # a place is chosen where it is the smallest of some span of neighbours in its own text
-    chosen = np.zeros(places, dtype=bool)
-    if places >= around:
-        least = np.where(inside[around - 1 :] & (owner[: places - around + 1] == owner[around - 1 : places]), _slide(gram, around, np.minimum), np.uint64(0))
-        edge = np.zeros(around - 1, dtype=np.uint64)
-        chosen = _slide(np.concatenate([edge, least, edge]), around, np.maximum) == gram
-    which, begin, count = np.unique(owner[:places][inside], return_index=True, return_counts=True)
-    begin = np.flatnonzero(inside)[begin] if len(which) else begin
-    for at, n in zip(begin[count < around], count[count < around], strict=True):
-        chosen[at + gram[at : at + n].argmin()] = True
-    first = np.flatnonzero(chosen & inside)
-
-    one, two = np.zeros(len(first), dtype=np.uint64), np.zeros(len(first), dtype=np.uint64)
-    for i in range(words):
-        one = mixed(one * np.uint64(0xD1342543DE82EF95) + w[first + i])
-        two = two * np.uint64(0xA24BAED4963EE407) + (w[first + i] ^ (w[first + i] >> np.uint64(31)))
-    order = np.lexsort([first, one, owner[first]])
-    text, one_ = owner[first][order], one[order]
-    fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (one_[1:] != one_[:-1])
-    order = np.sort(order[fresh])
-    first, one, two = first[order], one[order], two[order]
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts[first]) - np.searchsorted(breaks, offsets[owner[first]])
-    number = first - np.searchsorted(owner, owner[first])
-    return [owner[first], number, line, one.view(np.int64), two.view(np.int64)]
+    return written(lines.select(F.monotonically_increasing_id().alias("unit_id"), "doc_id", "paragraph", "text"))
 
 
 def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, number of the text, number within the text, and line of every word."""
-    raws = [t.encode("utf-8", "replace").translate(_LOWER) for t in texts]
-    raw = b"\n".join(raws)
-    w, data = word_hashes(raw), np.frombuffer(raw, dtype=np.uint8)
+    w, owner = words_of(texts)
+    raws = [t.encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"\n".join(raws), dtype=np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(w) else np.zeros(0, dtype=np.int64)
     offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
-    owner = np.searchsorted(offsets, starts, side="right") - 1
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[owner])
     return w, owner, np.arange(len(w)) - np.searchsorted(owner, owner), line
 
 
-def _digest(w: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of the words from each place of first on."""
-    one, two = np.zeros(len(first), dtype=np.uint64), np.zeros(len(first), dtype=np.uint64)
-    for i in range(words):
-        one = mixed(one * np.uint64(0xD1342543DE82EF95) + w[first + i])
-        two = two * np.uint64(0xA24BAED4963EE407) + (w[first + i] ^ (w[first + i] >> np.uint64(31)))
-    return one, two
-
-
-def _seed_places(w: np.ndarray, owner: np.ndarray, words: int = SEED, around: int = PASSAGE - SEED + 1) -> tuple[np.ndarray, np.ndarray]:
-    """Places that are smallest of some around neighbours of their text, and the digest of the words from there on: every PASSAGE words hold one."""
-    places = len(w) - words + 1
-    if places < around:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    gram = mixed(mixed(w[:places] * np.uint64(0xD1342543DE82EF95) + w[1 : places + 1]) * np.uint64(0xD1342543DE82EF95) + w[2 : places + 2])
-    spans = owner[: places - around + 1] == owner[words + around - 2 :]
-    edge = np.zeros(around - 1, dtype=np.uint64)
-    least = np.where(spans, _slide(gram, around, np.minimum), np.uint64(0))
-    first = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), around, np.maximum) == gram)
-    first = first[owner[first] == owner[first + words - 1]]
-    return first, _digest(w, first, words)[0]
+def _grams(w: np.ndarray, sizes: tuple[int, ...], step: int) -> list[np.ndarray]:
+    """A hash of so many words from every place, for each of sizes, by doubling."""
+    powers, k = {1: w}, 1
+    while k * 2 <= max(sizes):
+        powers[k * 2] = mixed(powers[k][:-k] * np.uint64(step) + powers[k][k:]) if len(powers[k]) > k else w[:0]
+        k *= 2
+    out = []
+    for size in sizes:
+        n, found, at = max(0, len(w) - size + 1), None, 0
+        for k in sorted(powers, reverse=True):
+            if size & k:
+                part = powers[k][at : at + n]
+                found = part if found is None else mixed(found * np.uint64(step + 2) + part)
+                at += k
+        out.append(found)
+    return out
+
+
+def _pieces_of(w: np.ndarray, owner: np.ndarray, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First passage, number of passages, seed and flatness of every piece: passages in a row with one seed.
+
+    The seed of a passage is at the place, of those where SEED words begin inside it, whose next three words have the
+    smallest hash, the first of several. Passages lie in one text, and in words that are good; flat ones have one
+    word only and are pieces of their own.
+    """
+    n = len(w) - PASSAGE + 1
+    if n < 1:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(bool)
+    three, seed = _grams(w, (3, SEED), 0xD1342543DE82EF95)
+    places = len(w) - SEED + 1
+    least = (three[:places] & ~_PLACE) | np.arange(places, dtype=np.uint64)
+    width, size = PASSAGE - SEED + 1, 1
+    while size * 2 <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    at = (np.minimum(least[:n], least[width - size : width - size + n]) & _PLACE).astype(np.int64)
+    inside = owner[:n] == owner[PASSAGE - 1 :]
+    if good is not None:
+        bad = np.concatenate([[0], np.cumsum(~good)])
+        inside &= bad[:n] == bad[PASSAGE:]
+    changes = np.concatenate([[0], np.cumsum(w[1:] != w[:-1])])
+    flat = changes[:n] == changes[PASSAGE - 1 :]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | ~inside[:-1] | (flat[1:] != flat[:-1])]) & inside
+    first = np.flatnonzero(new)
+    last = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+    return first, last - first + 1, seed[at[first]], flat[first]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, seed, n (places in the row) of the chosen places of every text."""
+    """doc_id, seed, n (pieces with it in the row) of every text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text", 1_000_000):
-            w, owner, _, _ = _words_of(part["text"].tolist())
-            first, seed = _seed_places(w, owner)
+            w, owner = words_of(part["text"].tolist())
+            first, _, seed, _ = _pieces_of(w, owner)
             order = np.lexsort([seed, owner[first]])
             text, seed = owner[first][order], seed[order]
-            fresh = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])])) if len(seed) else order
+            fresh = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])])) if len(seed) else order
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text[fresh]], "seed": seed[fresh].view(np.int64), "n": np.diff(np.append(fresh, len(seed)))})
 
     return docs.select("doc_id", "text").mapInPandas(solid(run), "doc_id long, seed long, n int")
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, first_word, paragraph, one, two (digests), flat (one word only) of every PASSAGE words around a seed of docs(doc_id, text, seeds, lines), but not inside one of lines."""
+PIECE = "doc_id long, seed long, first_word int, flat boolean, one long, two long, passages binary, lines array<int>"
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """The pieces with a wanted seed of docs(doc_id, text, seeds, lines), outside the words of lines: two digests of all words, those of each passage, and the line each passage begins in."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text", 1_000_000):
             w, owner, number, line = _words_of(part["text"].tolist())
-            first, seed = _seed_places(w, owner)
-            wanted = np.zeros(len(first), dtype=bool)
-            at = np.searchsorted(owner[first], np.arange(len(part) + 1))
-            inside = np.zeros(len(w), dtype=bool)
-            begin = np.searchsorted(owner, np.arange(len(part) + 1))
-            for i, (mine, gone) in enumerate(zip(part["seeds"], part["lines"], strict=True)):
-                wanted[at[i] : at[i + 1]] = np.isin(seed[at[i] : at[i + 1]].view(np.int64), np.asarray(mine, dtype=np.int64))
+            good, begin = np.ones(len(w), dtype=bool), np.searchsorted(owner, np.arange(len(part) + 1))
+            for i, gone in enumerate(part["lines"]):
                 if gone is not None and len(gone):
-                    inside[begin[i] : begin[i + 1]] = np.isin(line[begin[i] : begin[i + 1]], np.asarray(gone))
-            edge = np.zeros(len(w) + 1, dtype=np.int64)
-            np.add.at(edge, np.maximum(first[wanted] - (PASSAGE - SEED), begin[owner[first[wanted]]]), 1)
-            np.add.at(edge, first[wanted] + 1, -1)
-            place = np.flatnonzero(np.cumsum(edge)[:-1][: max(0, len(w) - PASSAGE + 1)] > 0)
-            end = place + PASSAGE - 1
-            place = place[(owner[place] == owner[end]) & ~(inside[place] & (line[place] == line[end]))]
-            one, two = _digest(w, place, PASSAGE)
-            changes = np.cumsum(np.concatenate([[0], w[1:] != w[:-1]])) if len(w) else w
-            flat = changes[place] == changes[place + PASSAGE - 1]
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner[place]], "first_word": number[place], "paragraph": line[place], "one": one.view(np.int64), "two": two.view(np.int64), "flat": flat})
-
-    return docs.select("doc_id", "text", "seeds", "lines").mapInPandas(solid(run), "doc_id long, first_word int, paragraph int, one long, two long, flat boolean")
+                    good[begin[i] : begin[i + 1]] = ~np.isin(line[begin[i] : begin[i + 1]], np.asarray(gone))
+            first, many, seed, flat = _pieces_of(w, owner, good)
+            seed, own = seed.view(np.int64), owner[first]
+            wanted, at = np.zeros(len(first), dtype=bool), np.searchsorted(own, np.arange(len(part) + 1))
+            for i, mine in enumerate(part["seeds"]):
+                wanted[at[i] : at[i + 1]] = np.isin(seed[at[i] : at[i + 1]], np.asarray(mine, dtype=np.int64))
+            first, many, seed, flat, own = first[wanted], many[wanted], seed[wanted], flat[wanted], own[wanted]
+            if not len(first):
+                continue
+            one, two = _grams(w, (PASSAGE,), 0xD1342543DE82EF95)[0], _grams(w ^ (w >> np.uint64(31)), (PASSAGE,), 0xA24BAED4963EE407)[0]
+            both = np.stack([one, two], axis=1)
+            raw = [both[f : f + n].tobytes() for f, n in zip(first.tolist(), many.tolist(), strict=True)]
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), dtype=np.int64).reshape(-1, 2)
+            lines = [line[f : f + n] for f, n in zip(first.tolist(), many.tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[own], "seed": seed, "first_word": number[first], "flat": flat, "one": digests[:, 0], "two": digests[:, 1], "passages": raw, "lines": lines})
+
+    return docs.select("doc_id", "text", "seeds", "lines").mapInPandas(solid(run), PIECE)
+
+
+RUN = "array<struct<a:int,b:int,doc_id:bigint,word:int,line:int,copies:bigint>>"
+
+
+def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each passage of a kind of piece, at its first place."""
+    for frame in frames:
+        many = (frame["passages"].str.len() // 16).to_numpy()
+        digests = np.frombuffer(b"".join(frame["passages"]), dtype=np.int64).reshape(-1, 2)
+        off = np.arange(len(digests)) - np.repeat(np.cumsum(many) - many, many)
+        each = lambda c: np.repeat(frame[c].to_numpy(), many)  # noqa: E731, B023
+        yield pd.DataFrame({"one": each("one"), "two": each("two"), "off": off, "p1": digests[:, 0], "p2": digests[:, 1], "doc_id": each("doc_id"), "word": each("first_word") + off, "line": np.concatenate(frame["lines"].tolist()), "copies": each("copies")})
+
+
+def _runs_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of passages of a kind of piece that are kept in one stretch of another place, or of this one."""
+    for frame in frames:
+        found = []
+        for n, doc, word, lines, copies, shared in zip(frame["n"], frame["doc_id"], frame["first_word"], frame["lines"], frame["copies"], frame["shared"], strict=True):
+            kept = {s["off"]: (s["doc_id"], s["word"], s["line"], s["copies"]) for s in (shared if shared is not None else ())}
+            runs: list[dict] = []
+            for i in range(n):
+                keep = kept.get(i) or ((doc, word + i, lines[i], copies) if copies > 1 else None)
+                if keep is None:
+                    continue
+                if runs and runs[-1]["b"] == i - 1 and runs[-1]["doc_id"] == keep[0] and runs[-1]["word"] - runs[-1]["a"] == keep[1] - i:
+                    runs[-1]["b"], runs[-1]["copies"] = i, max(runs[-1]["copies"], keep[3])
+                else:
+                    runs.append({"a": i, "b": i, "doc_id": keep[0], "word": keep[1], "line": keep[2], "copies": keep[3]})
+            found.append(runs)
+        out = frame[["one", "two", "copies"]].assign(runs=found)
+        yield out[out["runs"].map(len) > 0]
 
 
 def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, keep_first_word, copies, removed of runs of PASSAGE words or more that stand at several places.
+    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, keep_first_word, copies, removed of runs of PASSAGE words or more that stand at several places of docs(doc_id, text), a text for each doc_id.
 
     Every PASSAGE words in a row that stand at several places, of one document or more, are kept at the first (by
     doc_id, then word) and removed at all others, unless those overlap it; a row is a longest run of such places
     with one kept run. copies is the most places that any PASSAGE words of the run have. One word said over and
-    over is no repeat within its document. lines(doc_id, lines) are lines removed already; what lies inside one is not compared.
+    over is no repeat within its document. lines(doc_id, lines) are lines removed already; no passage holds a word of them.
+
+    Passages with one seed in a row are a piece. Equal pieces are one kind, settled by their number; only where a seed
+    has several kinds are passages compared one by one, and each kind stands for its copies.
     """
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = written(seeds(rows))
-    often = every.groupBy("seed").agg(F.sum("n").alias("_n")).where("_n > 1").select("seed")
-    mine = every.join(often, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    held = rows.join(mine, "doc_id")
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = written(seeds(docs))
+    often = written(every.groupBy("seed").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")).where("_n > 1").select("seed", "_rows"))
+    mine = meet(every, often, ["seed"], "_rows").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    held = docs.join(mine, "doc_id")
     held = held.withColumn("lines", F.lit(None).cast("array<int>")) if lines is None else held.join(lines, "doc_id", "left")
-    places = written(windows(held))
-    here = F.struct("doc_id", "first_word", "paragraph")
-    shared = places.groupBy("one", "two").agg(F.min(here).alias("_keep"), F.max(here).alias("_last"), F.count("*").alias("copies"), F.first("flat").alias("_flat"))
-    shared = shared.where("_keep < _last and not (_flat and _keep.doc_id = _last.doc_id)").drop("_last")
-    own = F.col("doc_id") == F.col("_keep.doc_id")
-    shift = F.col("first_word") - F.col("_keep.first_word")
-    met = places.join(shared, ["one", "two"]).withColumns({"_doc": F.col("_keep.doc_id"), "_shift": shift}).where(~own | (shift == 0) | ((shift >= PASSAGE) & ~F.col("_flat")))
-    met = met.select("doc_id", "first_word", "paragraph", "_doc", "_shift", F.col("_keep.paragraph").alias("_line"), "copies").repartition("doc_id", "_doc", "_shift").distinct()
-    order = Window.partitionBy("doc_id", "_doc", "_shift").orderBy("first_word")
-    met = met.withColumn("_run", F.col("first_word") - F.row_number().over(order))
-    runs = met.groupBy("doc_id", "_doc", "_shift", "_run").agg(F.min(F.struct("first_word", "paragraph", "_line")).alias("_first"), (F.count("*") + PASSAGE - 1).alias("n_words"), F.max("copies").alias("copies"))
+    found = written(pieces(held))
+    dropped(every, often)
+    place = F.struct("doc_id", "first_word", "lines")
+    kinds = found.groupBy("one", "two").agg(F.count("*").alias("copies"), F.min(place).alias("_first"), F.max("doc_id").alias("_last"), F.any_value("flat").alias("_flat"), F.any_value("seed").alias("seed"), F.any_value("passages").alias("passages"))
+    # a flat passage is a piece of its own; one document saying a word over and over is no repeat
+    kinds = written(kinds.where("not (_flat and _first.doc_id = _last)").select("one", "two", "seed", "copies", "_first.*", "passages"))
+    several = written(kinds.groupBy("seed").agg(F.count("*").alias("_kinds")).where("_kinds > 1"))
+    mixed_ = written(meet(kinds, several, ["seed"], "_kinds").drop("seed", "_kinds"))
+    alone = written(kinds.where("copies > 1")).join(several.select("seed"), "seed", "left_anti")
+    whole = F.struct(F.lit(0).alias("a"), (F.size("lines") - 1).alias("b"), "doc_id", F.col("first_word").alias("word"), F.col("lines")[0].alias("line"), "copies")
+    alone = alone.select("one", "two", "copies", F.array(whole).cast(RUN).alias("runs"))
+    passages = written(mixed_.mapInPandas(solid(_passages), "one long, two long, off int, p1 long, p2 long, doc_id long, word int, line int, copies long"))
+    shared = passages.groupBy("p1", "p2").agg(F.count("*").alias("_kinds"), F.min(F.struct("doc_id", "word", "line")).alias("_keep"), F.sum("copies").alias("_copies")).where("_kinds > 1")
+    shared = meet(passages.select("one", "two", "off", "p1", "p2"), written(shared), ["p1", "p2"], "_kinds")
+    own = shared.groupBy("one", "two").agg(F.collect_list(F.struct("off", "_keep.doc_id", "_keep.word", "_keep.line", F.col("_copies").alias("copies"))).alias("shared"))
+    both = mixed_.select("one", "two", "copies", "doc_id", "first_word", "lines", F.size("lines").alias("n")).join(own, ["one", "two"], "left").where("copies > 1 or shared is not null")
+    settled = written(both.mapInPandas(solid(_runs_of), f"one long, two long, copies long, runs {RUN}").unionByName(alone))
+    dropped(kinds, several, mixed_, passages)
+
+    met = meet(found.select("doc_id", "first_word", "flat", "one", "two", "lines"), settled, ["one", "two"], "copies")
+    met = met.select("doc_id", "first_word", "flat", "lines", F.explode("runs").alias("_r")).select("doc_id", "flat", (F.col("first_word") + F.col("_r.a")).alias("_at"), (F.col("_r.b") - F.col("_r.a") + 1).alias("_n"), F.get("lines", F.col("_r.a")).alias("_own_line"), F.col("_r.doc_id").alias("_doc"), F.col("_r.word").alias("_word"), F.col("_r.line").alias("_line"), F.col("_r.copies").alias("copies"))
+    shift = F.col("_at") - F.col("_word")
+    met = met.withColumn("_shift", shift).where((F.col("doc_id") != F.col("_doc")) | (F.col("_shift") == 0) | ((F.col("_shift") >= PASSAGE) & ~F.col("flat")))
+    order = Window.partitionBy("doc_id", "_doc", "_shift").orderBy("_at")
+    starts = F.when(F.lag(F.col("_at") + F.col("_n")).over(order) == F.col("_at"), 0).otherwise(1)
+    runs = met.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(order))
+    runs = runs.groupBy("doc_id", "_doc", "_shift", "_run").agg(F.min(F.struct("_at", "_own_line", "_word", "_line")).alias("_first"), (F.sum("_n") + PASSAGE - 1).alias("n_words"), F.max("copies").alias("copies"))
+    runs = written(runs)
+    dropped(found, settled)
     removed = (F.col("doc_id") != F.col("_doc")) | (F.col("_shift") != 0)
-    first = F.col("_first.first_word").cast("long")
-    return runs.select("doc_id", F.col("_first.paragraph").alias("paragraph"), first.alias("first_word"), "n_words", F.col("_doc").alias("keep_doc_id"), F.col("_first._line").alias("keep_paragraph"), (first - F.col("_shift")).alias("keep_first_word"), "copies", removed.alias("removed"))
+    return runs.select("doc_id", F.col("_first._own_line").alias("paragraph"), F.col("_first._at").cast("long").alias("first_word"), "n_words", F.col("_doc").alias("keep_doc_id"), F.col("_first._line").alias("keep_paragraph"), F.col("_first._word").cast("long").alias("keep_first_word"), "copies", removed.alias("removed"))
+
+
+def repeated_lines(docs: DataFrame, words: int, num: int, den: int, min_words: int) -> DataFrame:
+    """doc_id, paragraph, n_shingles, keep_doc_id, keep_paragraph, copies of the lines of docs(doc_id, text) that have a near copy."""
+    units = paragraphs(docs, min_words)
+    groups = written(near_groups(units, words, num, den, LOSS))
+    sizes = written(groups.groupBy("group_id").agg(F.count("*").alias("_size")).where("_size > 1"))
+    some = written(meet(groups, sizes, ["group_id"], "_size").join(units.select("unit_id", "doc_id", "paragraph"), "unit_id").select("group_id", "doc_id", "paragraph", "n"))
+    keeps = written(some.groupBy("group_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "paragraph")).alias("_keep")))
+    lines = written(meet(some, keeps, ["group_id"], "copies").select("doc_id", "paragraph", F.col("n").alias("n_shingles"), F.col("_keep.doc_id").alias("keep_doc_id"), F.col("_keep.paragraph").alias("keep_paragraph"), "copies"))
+    dropped(units, groups, sizes, some, keeps)
+    return lines
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
@@ -212,18 +258,17 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     Lines (first_word is null) are near copies when the Jaccard similarity of their word shingles is num / den
     or more; components of near copies keep their first line (by doc_id, then line), the others are removed.
-    Passages (first_word is set) are the whole runs of repeated_passages(), without those inside a removed line.
-    Documents that share no paragraph have no rows. Null texts and null doc_ids have no paragraphs; rows that
-    repeat a doc_id are one document. An empty table gives no rows.
+    Passages (first_word is set) are the whole runs of repeated_passages() in the lines that stay. Documents
+    that share no paragraph have no rows. Null texts and null doc_ids have no paragraphs. Rows that repeat a
+    doc_id are one document; of several texts the smallest counts. Other columns are ignored. A very long text
+    is cut into lines and slices. An empty table gives no rows.
     """
-    units = paragraphs(docs, min_words)
-    groups = written(near_groups(units.select("unit_id", "text"), words, num, den, BANDS, ROWS).distinct())
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("copies")).where("copies > 1")
-    unpack = lambda c: (F.floor(F.col(c) / PLACES).cast("long"), F.pmod(F.col(c), F.lit(PLACES)).cast("int"))
-    (doc, line), (keep_doc, keep_line) = unpack("unit_id"), unpack("group_id")
-    lines = groups.join(sizes, "group_id").select(doc.alias("doc_id"), line.alias("paragraph"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("n_words"), F.col("n").alias("n_shingles"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_paragraph"), F.lit(None).cast("long").alias("keep_first_word"), "copies", (F.col("unit_id") != F.col("group_id")).alias("removed"))
-    lines = written(lines)
-    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("lines"))
+    docs = one_text(docs)
+    lines = repeated_lines(docs, words, num, den, min_words)
+    none = F.lit(None).cast("long")
+    removed = (F.col("doc_id") != F.col("keep_doc_id")) | (F.col("paragraph") != F.col("keep_paragraph"))
+    lines = lines.select("doc_id", "paragraph", none.alias("first_word"), none.alias("n_words"), "n_shingles", "keep_doc_id", "keep_paragraph", none.alias("keep_first_word"), "copies", removed.alias("removed"))
+    gone = written(lines.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("lines")))
     inside = repeated_passages(docs, gone).withColumn("n_shingles", F.greatest(F.lit(1), F.col("n_words") - words + 1))
     return lines.unionByName(inside)
 
@@ -246,7 +291,7 @@ def without(text: str, lines: list[int], runs: list[tuple[int, int]]) -> str:
 
 
 def substring_dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and text without the removed lines and passages, for every row with a doc_id that loses some."""
+    """doc_id and text without the removed lines and passages, for every document of repeated_paragraphs() that loses some."""
     gone = repeated_paragraphs(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("_lines"), F.collect_set(F.when(F.col("first_word").isNotNull(), F.array("first_word", "n_words"))).alias("_runs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,5 +299,5 @@ def substring_dedup(docs: DataFrame, **options) -> DataFrame:
             kept = [without(t, x, y) for t, x, y in zip(part["text"], part["_lines"], part["_runs"], strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "text": kept})
 
-    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id")
+    found = one_text(docs).join(gone, "doc_id")
     return found.mapInPandas(solid(run), "doc_id long, text string")

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from folio.llm import ann, bpe, exact, langid, minhash, mixing, near, quality, substring, suffix, toxicity
+from folio.llm import ann, bpe, common, exact, langid, minhash, mixing, near, quality, substring, suffix, toxicity
 from folio.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, _start long"
@@ -127,9 +127,10 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(near, "SMALL_BUCKET", 2)
     monkeypatch.setattr(near, "BLOCK", 5)
+    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
     rows = list(enumerate(texts(4, 80)))
     wanted, _ = brute_groups(rows, 3, 85, 100)
-    got = near.near_groups(spark.createDataFrame(rows, "unit_id long, text string"), 3, 85, 100, 24, 5)
+    got = near.near_groups(spark.createDataFrame(rows, "unit_id long, text string"), 3, 85, 100)
     assert {r.unit_id: r.group_id for r in got.collect()} == wanted
 
 
@@ -216,19 +217,81 @@ def test_short_lines_that_repeat_go(spark):
     assert found == {(1, 0): (1, 0, False), (2, 1): (1, 0, True), (3, 1): (3, 1, False), (4, 0): (3, 1, True), (5, 0): (3, 1, True)}
 
 
-def test_passages_are_the_smallest_places():
+def test_every_passage_holds_a_seed():
     draw = random.Random(3)
     texts = [" ".join(f"w{draw.randrange(500)}" if draw.random() < 0.9 else "\n" for _ in range(n)) for n in (0, 5, 24, 25, 26, 40, 50, 51, 80, 300, 3000)] + ["of " * 500, ""]
-    owner, number, line, _, _ = substring.passages_of(texts)
+    w, owner, number, line = substring._words_of(texts)
+    first, many, seed, flat = substring._pieces_of(w, owner)
+    begins, grams, pieces = np.searchsorted(owner, np.arange(len(texts) + 1)), {}, set()
+    for f, n, key, one in zip(first.tolist(), many.tolist(), seed.tolist(), flat.tolist()):
+        for p in range(f, f + n):
+            assert owner[p] == owner[p + substring.PASSAGE - 1] and one == (len(set(w[p : p + substring.PASSAGE].tolist())) == 1)
+            held = {tuple(w[q : q + substring.SEED].tolist()) for q in range(p, p + substring.PASSAGE - substring.SEED + 1)}
+            assert grams.setdefault(key, None) in held | {None}
+            grams[key] = grams[key] or min(held, key=lambda g: [int(substring._grams(np.array(g, dtype=np.uint64), (substring.SEED,), 0xD1342543DE82EF95)[0][0]) != key, g])
+            pieces.add(p)
     for i, text in enumerate(texts):
-        words = [(k, w) for k, row in enumerate(text.split("\n")) for w in row.split()]
-        hashes = near.word_hashes(text.encode())
-        step = np.uint64(0xD1342543DE82EF95)
-        grams = [int(near.mixed(near.mixed(hashes[p : p + 1] * step + hashes[p + 1]) * step + hashes[p + 2])[0]) for p in range(len(words) - 24)]
-        chosen = {s + j for s in range(len(grams) - 25) for j in range(26) if grams[s + j] == min(grams[s : s + 26])} or ({grams.index(min(grams))} if grams else set())
-        firsts = {tuple(w for _, w in words[p : p + 25]): p for p in sorted(chosen, reverse=True)}
-        assert set(number[owner == i].tolist()) == set(firsts.values())
-        assert [words[p][0] for p in number[owner == i]] == line[owner == i].tolist()
+        words = [(k, x) for k, row in enumerate(text.split("\n")) for x in row.split()]
+        assert len(words) == (owner == i).sum() and [k for k, _ in words] == line[owner == i].tolist()
+        assert all(begins[i] + p in pieces for p in range(len(words) - substring.PASSAGE + 1))
+
+
+def test_what_is_kept_stands_in_text_that_stays(spark):
+    line = [f"a{i}" for i in range(90)]
+    changed = [*line[:40], "other", *line[41:]]
+    rows = [(1, " ".join(line)), (2, " ".join(changed)), (3, " ".join([*(f"x{i}" for i in range(30)), *changed[15:65], *(f"y{i}" for i in range(30))]))]
+    left = {r.doc_id: r.text.split() for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[2] == [] and "other" in left[3]
+    kept = [left.get(d, t.split()) for d, t in rows]
+    assert {w for _, t in rows for w in t.split()} == {w for words in kept for w in words}
+
+
+def test_substring_dedup_takes_any_id_and_awkward_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    big = 1 << 62
+    rows = [(big, "own line of text\n" + passage, "x", 1), (-big, passage + "\nother", "y", 2), (-big, passage + "\nother", "y", 2), (5, "zz " * 40, "z", 3), (5, passage, "z", 3), (None, passage, "n", 4), (6, None, "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_doc_id string, unit_id int")
+    found = {(r.doc_id, r.paragraph): (r.keep_doc_id, r.keep_paragraph, r.copies, r.removed) for r in substring.repeated_paragraphs(docs).collect()}
+    # of the two texts of document 5 the smaller one counts
+    assert found == {(-big, 0): (-big, 0, 3, False), (5, 0): (-big, 0, 3, True), (big, 1): (-big, 0, 3, True)}
+
+
+def brute_lines(texts, words=5):
+    """First (doc, line) of the component of each line that has a near copy."""
+    lines = [(d, i, line.split()) for d, t in texts.items() for i, line in enumerate(t.split("\n"))]
+    sets = [(d, i, {tuple(w[j : j + words]) for j in range(len(w) - words + 1)}) for d, i, w in lines if len(w) >= words]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (*_, x) in enumerate(sets):
+        for b, (*_, y) in enumerate(sets[:a]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                u, v = sorted((find(a), find(b)), key=lambda i: sets[i][:2])
+                root[v] = u
+    many = collections.Counter(find(i) for i in range(len(sets)))
+    return {s[:2]: sets[find(i)][:2] for i, s in enumerate(sets) if many[find(i)] > 1}
+
+
+def test_near_lines_equal_brute_force(spark):
+    draw = random.Random(11)
+    base = [[f"b{draw.randrange(400)}" for _ in range(draw.randint(5, 70))] for _ in range(25)]
+    texts = {}
+    for d in range(60):
+        lines = []
+        for _ in range(draw.randint(1, 4)):
+            words = list(draw.choice(base))
+            for _ in range(draw.choice([0, 0, 1, 1, 2, 6])):
+                words[draw.randrange(len(words))] = f"c{draw.randrange(9)}"
+            lines.append(" ".join(words))
+        texts[d] = "\n".join(lines)
+    docs = substring.one_text(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {(r.doc_id, r.paragraph): (r.keep_doc_id, r.keep_paragraph) for r in substring.repeated_lines(docs, 5, 80, 100, 5).collect()}
+    wanted = brute_lines(texts)
+    assert len(got.items() & wanted.items()) >= 0.99 * len(wanted) and set(got) <= set(wanted)
 
 
 def test_mixing(docs):
@@ -353,6 +416,38 @@ def test_nearest_neighbours(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_few_comparisons_find_most_neighbours():
+    draw = np.random.default_rng(0)
+    centres = draw.normal(size=(400, 32)) * 3
+    x = centres[draw.integers(0, 400, 20_000)] + draw.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.build(x.copy())
+    lists, gaps = index.nearest(x, ann.COPIES)
+    member = collections.defaultdict(set)
+    for i, c in zip(*np.nonzero(gaps <= gaps[:, :1] * ann.CLOSURE + 1e-12)):
+        member[lists[i, c]].add(int(i))
+    asked = np.arange(0, len(x), 100)
+    found, gaps = index.nearest(x[asked], index.probes)
+    hits = compared = 0
+    for q, own, gap in zip(asked, found, gaps):
+        near = [member[c] for c, g in zip(own, gap) if g <= gap[0] * index.ratio + 1e-12]
+        cos = x @ x[q]
+        cos[q] = -9
+        hits += len(set().union(*near) & set(np.argsort(-cos)[:5].tolist()))
+        compared += sum(map(len, near))
+    assert hits >= 0.9 * 5 * len(asked) and compared <= 0.3 * len(x) * len(asked)
+
+
+def test_vectors_of_extreme_size_and_few_candidates(spark):
+    rows = [(0, [1e-200] * 4, 9), (1, [1e200, 1e200, 1e200, 1e200], 9), (2, [1.0, 1.0, 1.0, -1.0], 9), (50, [1.0, 1.0, 1.0, 1.0], 9), (7, [1.0], 9), (7, [2.0, 1.0, 1.0, 1.0], 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = collections.defaultdict(list)
+    for r in ann.search(vectors, vectors.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 6)))
+    last = (2, 0.5)
+    assert got[50] == [(0, 1.0), (1, 1.0), (7, round(5 / 28**0.5, 6)), last] and got[0] == [(1, 1.0), (50, 1.0), (7, round(5 / 28**0.5, 6)), last]
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 
