@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.storage import written
+
 
 def select_pages(requests: DataFrame) -> DataFrame:
-    """doc_id, page_number, error of requests(doc_id, expression, page_count): a row for each page or bad token.
+    """doc_id, page_number, error of requests(doc_id, expression, page_count): a row for each page or bad token (tokens and messages are fixed values).
 
     Tokens are all, odd, even, last, a number or a range of numbers and last; ! excludes. Exclusions alone start from all pages.
     """
@@ -19,7 +21,7 @@ def select_pages(requests: DataFrame) -> DataFrame:
     low = F.when(F.col("token").isin("all", "odd"), 1).when(F.col("token") == "even", 2).when(F.col("token") == "last", F.col("page_count")).when(F.col("n").isNotNull(), F.col("n")).otherwise(F.greatest(F.lit(1), F.least("a", "b")))
     high = F.when(F.col("token").isin("all", "odd", "even", "last"), F.col("page_count")).when(F.col("n").isNotNull(), F.col("n")).otherwise(F.least("page_count", F.greatest("a", "b")))
     step = F.when(F.col("token").isin("odd", "even"), 2).otherwise(1)
-    bad = F.when(F.col("token").rlike("^[0-9]+$") & ~F.coalesce((F.col("n") >= 1) & (F.col("n") <= F.col("page_count")), F.lit(False)), F.concat(F.lit("Page "), F.col("token"), F.lit(" is outside 1-"), F.col("page_count"), F.lit(".")))
+    bad = F.when(F.col("token").rlike("^[0-9]+$") & ~F.coalesce((F.col("n") >= 1) & (F.col("n") <= F.col("page_count")), F.lit(False)), F.concat(F.lit("Page "), F.regexp_replace("token", "^0+(?=[0-9])", ""), F.lit(" is outside 1-"), F.col("page_count"), F.lit(".")))
     named = F.col("token").isin("all", "odd", "even", "last") | F.col("token").rlike("^[0-9]+$")
     bad = bad.when(~named & (F.col("a").isNull() | F.col("b").isNull()), F.concat(F.lit("Unsupported token: "), F.col("raw")))
     rows = rows.withColumn("error", bad)
@@ -66,16 +68,16 @@ def insert_blank_pages(pages: DataFrame, count: int, at: str = "end", width: flo
     return blanks.unionByName(pages.select("doc_id", moved.cast("int").alias("page_number"), "text", F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height")))
 
 
-def bates_numbers(pages: DataFrame, prefix: str = "", digits: int = 6, start: int = 1, suffix: str = "", span: int = 100_000) -> DataFrame:
+def bates_numbers(pages: DataFrame, prefix: str = "", digits: int = 6, start: int = 1, suffix: str = "") -> DataFrame:
     """doc_id, page_number, label: one running number over all the pages, in order of document and page.
 
-    Counts add up by page, document and block of span document ids; only the blocks, a row for each, go through one task.
+    Documents are dealt out by ranges of their ids; a sum for each range is all that goes through one task.
     """
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("doc_id") / span))
-    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    ranged = written(counts.repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()))
     so_far = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("_block", so_far(Window.orderBy("_block"), "_sum").alias("_base"))
-    docs = counts.withColumn("_within", so_far(Window.partitionBy("_block").orderBy("doc_id"), "_n")).join(blocks, "_block").select("doc_id", (F.col("_base") + F.col("_within")).alias("_before"))
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum")).select("_part", so_far(Window.orderBy("_part"), "_sum").alias("_base"))
+    docs = ranged.withColumn("_within", so_far(Window.partitionBy("_part").orderBy("doc_id"), "_n")).join(F.broadcast(parts), "_part").select("doc_id", (F.col("_base") + F.col("_within")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))
     number = (F.col("_before") + rank + (start - 1)).cast("string")
     padded = F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))

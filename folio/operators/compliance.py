@@ -13,6 +13,10 @@ TRADITIONAL = "[國學體龍門萬與為雲臺灣廣東書長會國華漢]"
 HAN = r"[\x{4E00}-\x{9FFF}]"
 LATIN = r"[\x{41}-\x{24F}\x{1E00}-\x{1EFF}]|^\s*$"
 OFF = ["", "off", "false", "0", "no"]
+# fixed values: a signature's byte range, how far around it its fields stand, and the forms of an archival claim
+BYTE_RANGE, AROUND = r"/ByteRange\s*\[\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*\]", (1500, 2500)
+SIGNATURE_FIELDS = {"filter": "Filter", "sub_filter": "SubFilter", "signing_time": "M", "reason": "Reason", "location": "Location"}
+CLAIM_ATTRIBUTE, CLAIM_ELEMENT = r"""(?i)pdfaid:%s=["']([^"']+)["']""", r"(?i)<pdfaid:%s>([^<]+)</pdfaid:%s>"
 
 
 def script_of(text: Column) -> Column:
@@ -30,21 +34,37 @@ def script_profile(texts: DataFrame) -> DataFrame:
 
 
 def signature_coverage(raw: DataFrame) -> DataFrame:
-    """doc_id, pos, covered, gap, tail, status of every byte range of raw(doc_id, raw); raw is text with a character for each byte."""
-    pattern = r"/ByteRange\s*\[\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*\]"
-    groups = F.arrays_zip(*[F.regexp_extract_all("raw", F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate("abcd", start=1)])
-    rows = raw.select("doc_id", F.length("raw").alias("_size"), F.posexplode(groups).alias("pos", "_g"))
-    rows = rows.select("doc_id", "pos", "_size", *(F.expr(f"try_cast(_g.{n} as bigint)").alias(n) for n in "abcd"))
+    """doc_id, pos, covered, gap, tail, status, filter, sub_filter, signing_time, reason, location of every byte range of raw(doc_id, raw); raw is text with a character for each byte.
+
+    An invalid range covers nothing, and the whole file is its tail. The fields are names or texts near the range, empty
+    if there are none.
+    """
+    groups = F.arrays_zip(*[F.regexp_extract_all("raw", F.lit(BYTE_RANGE), F.lit(k)).alias(n) for k, n in enumerate("abcd", start=1)])
+    # the text before the k-th range ends where the parts before it do
+    parts = F.split("raw", BYTE_RANGE)
+    whole = F.regexp_extract_all("raw", F.lit(f"({BYTE_RANGE})"), F.lit(1))
+    rows = raw.select("doc_id", "raw", F.length("raw").alias("_size"), parts.alias("_parts"), whole.alias("_whole"), F.posexplode(groups).alias("pos", "_g"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + F.length(v))
+    start = total(F.slice("_parts", F.lit(1), F.col("pos") + 1)) + total(F.slice("_whole", F.lit(1), F.col("pos")))
+    begin = F.greatest(F.lit(0), start - AROUND[0])
+    rows = rows.withColumn("_near", F.substring(F.col("raw"), begin + 1, F.least("_size", start + AROUND[1]) - begin))
+    rows = rows.select("doc_id", "pos", "_size", "_near", *(F.expr(f"try_cast(_g.{n} as bigint)").alias(n) for n in "abcd"))
     valid = F.coalesce((F.col("a") == 0) & (F.col("c") >= F.col("b")) & (F.col("c") + F.col("d") <= F.col("_size")), F.lit(False))
-    tail = F.col("_size") - F.col("c") - F.col("d")
+    tail = F.when(valid, F.col("_size") - F.col("c") - F.col("d")).otherwise(F.col("_size"))
     status = F.when(~valid, "invalid-range").when(tail == 0, "covers-current-file").otherwise("covers-prior-revision")
-    return rows.select("doc_id", "pos", (F.col("b") + F.col("d")).alias("covered"), (F.col("c") - F.col("b")).alias("gap"), tail.alias("tail"), status.alias("status"))
+
+    def field(key: str) -> Column:
+        name = F.nullif(F.regexp_extract("_near", rf"/{key}\s*/([^\s<>\[\]()]+)", 1), F.lit(""))
+        return F.coalesce(name, F.regexp_replace(F.regexp_extract("_near", rf"/{key}\s*\(([^)]*)\)", 1), r"\\([()\\])", "$1"))
+
+    inside = lambda c: F.when(valid, c).otherwise(0)
+    return rows.select("doc_id", "pos", inside(F.col("b") + F.col("d")).alias("covered"), inside(F.col("c") - F.col("b")).alias("gap"), tail.alias("tail"), status.alias("status"), *(field(k).alias(n) for n, k in SIGNATURE_FIELDS.items()))
 
 
 def archival_claims(packets: DataFrame) -> DataFrame:
     """doc_id, claimed, profile of packets(doc_id, xmp); part and conformance are attributes or elements."""
     first = lambda p: F.nullif(F.regexp_extract("xmp", p, 1), F.lit(""))
-    value = lambda n: F.coalesce(first(rf"""(?i)pdfaid:{n}=["']([^"']+)["']"""), first(rf"(?i)<pdfaid:{n}>([^<]+)</pdfaid:{n}>"))
+    value = lambda n: F.coalesce(first(CLAIM_ATTRIBUTE % n), first(CLAIM_ELEMENT % (n, n)))
     profile = F.coalesce(F.concat(F.lit("PDF/A-"), value("part"), F.lower(value("conformance"))), F.lit(""))
     return packets.select("doc_id", (profile != "").alias("claimed"), profile.alias("profile"))
 

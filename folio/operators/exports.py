@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: the texts between pages and for a page without text
+# fixed values: the texts between pages and for a page without text, and the HTML around them
 PAGE_BREAK = "\n\n--- Page break ---\n\n"
 EMPTY_PAGE = "_No extractable text on this page._"
+HTML_HEAD, HTML_BODY, HTML_END = '<!doctype html><html><head><meta charset="utf-8"><title>', "</title></head><body><h1>", "</h1>"
 
 
 def export_documents(pages: DataFrame, form: str = "text", title: str = "PDF export") -> DataFrame:
-    """doc_id, form, body of every document: text, markdown, or html with a section for each page and no style sheet."""
+    """doc_id, form, body of every document: text, markdown, or html with a title, a section for each page and no style sheet."""
     text = F.coalesce("text", F.lit(""))
     if form == "markdown":
         part, glue, before, after = F.concat(F.lit("\n## Page "), "page_number", F.lit("\n\n"), F.when(F.trim(text) == "", EMPTY_PAGE).otherwise(F.trim(text))), "\n", f"# {title}\n", ""
     elif form == "html":
         safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
         part = F.concat(F.lit('<section class="page"><h2>Page '), "page_number", F.lit("</h2><pre>"), safe(F.trim(text)), F.lit("</pre></section>"))
-        glue, before, after = "", "<!doctype html><html><body>", "</body></html>"
+        name = html.escape(title, quote=True).replace("&#x27;", "'")
+        glue, before, after = "", HTML_HEAD + name + HTML_BODY + name + HTML_END, "</body></html>"
     else:
         part, glue, before, after = text, PAGE_BREAK, "", ""
     parts = F.array_sort(F.collect_list(F.struct("page_number", part.alias("part"))))

@@ -35,6 +35,12 @@ def compare_contract(source: DataFrame, output: DataFrame, policy: DataFrame, op
     return both.select("doc_id", "category", outcome.alias("outcome"), detail.alias("detail"))
 
 
+def contract_verdict(outcomes: DataFrame) -> DataFrame:
+    """doc_id, passed (no failure), failures, warnings of compare_contract()."""
+    counts = [F.count_if(F.col("outcome") == kind).alias(f"{kind}s") for kind in ("failure", "warning")]
+    return outcomes.groupBy("doc_id").agg(*counts).withColumn("passed", F.col("failures") == 0)
+
+
 def fingerprint_delta(source: DataFrame, output: DataFrame, most: int = 3) -> DataFrame:
     """doc_id, category, position, object_id, change: at most so many of the missing, modified and added, the source's first."""
     side = lambda df, s: df.select("doc_id", "category", "object_id", F.col("digest").alias(s))

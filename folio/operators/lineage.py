@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from folio.functions.storage import written
 
 CURRENT = 3
-DOUBLINGS = 24
 
 
 def load_versioned(records: DataFrame, current: int = CURRENT) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +36,8 @@ def document_lineage(revisions: DataFrame) -> DataFrame:
     state = written(linked.select("project_id", F.coalesce("_parent", "project_id").alias("root_id"), F.when(F.col("_parent").isNull(), 0).otherwise(1).cast("long").alias("sequence"), F.col("_parent").isNull().alias("_done")))
     finished = [state.where("_done")]
     pending = state.where("not _done")
-    for _ in range(DOUBLINGS):
+    # a path has no more steps than there are revisions, so whoever is left after these rounds is in a cycle or below one
+    for _ in range(state.count().bit_length() + 1):
         ahead = state.select(F.col("project_id").alias("_id"), F.col("root_id").alias("_root"), F.col("sequence").alias("_steps"), F.col("_done").alias("_end"))
         step = pending.drop("_done").join(ahead, F.col("root_id") == F.col("_id"))
         state = written(step.select("project_id", F.col("_root").alias("root_id"), (F.col("sequence") + F.col("_steps")).alias("sequence"), F.col("_end").alias("_done")))

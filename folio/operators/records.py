@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: reserve and overhead of storage, what is kept, and what tells the kind of a receipt
 RESERVE, QUOTA_SHARE, OVERHEAD = 25_000_000, 0.05, 0.08
 RECEIPTS, TIMELINE, HISTORY, MERGE_MS = 300, 100, 80, 800
+DOCUMENT, REPORT, REPORT_TYPE = r"(?i)\.pdf$", r"(?i)\.(?:json|csv|txt)$", "(?i)(?:json|csv|text)"
+CURRENT = 3
 
 
-def dedupe_by_checksum(docs: DataFrame) -> DataFrame:
-    """doc_id, checksum, project_id: the first document with the same content is reused."""
+def dedupe_by_checksum(docs: DataFrame, projects: DataFrame, current: int = CURRENT) -> DataFrame:
+    """doc_id, checksum, project_id, reused of docs(doc_id, text): the project of projects(project_id, checksum, schema_version, stored_checksum) that holds the same content, else a new one, named like the document.
+
+    The first project (by id) with this checksum and a readable schema version is used, if its stored bytes still have
+    the checksum. A null text is an empty one.
+    """
     rows = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("checksum"))
-    first = rows.groupBy("checksum").agg(F.min("doc_id").alias("project_id"))  # pre-aggregated before the join
-    return rows.join(first, "checksum").select("doc_id", "checksum", "project_id")
+    readable = projects.where(F.col("schema_version").between(1, current))
+    first = readable.groupBy("checksum").agg(F.min(F.struct("project_id", "stored_checksum")).alias("_first"))
+    usable = first.where("_first.stored_checksum = checksum").select("checksum", F.col("_first.project_id").alias("_project"))
+    found = rows.join(usable, "checksum", "left")
+    return found.select("doc_id", "checksum", F.coalesce("_project", "doc_id").alias("project_id"), F.col("_project").isNotNull().alias("reused"))
 
 
 def storage_budget(requests: DataFrame) -> DataFrame:
@@ -32,12 +42,16 @@ def budget_classes(docs: DataFrame) -> DataFrame:
     return docs.groupBy(kind.alias("budget_class")).agg(F.count("*").alias("documents"), F.sum("byte_length").alias("bytes"))
 
 
-def activity_receipts(receipts: DataFrame, most: int = RECEIPTS) -> DataFrame:
-    """The newest receipts of every owner with their kind: receipts(owner, id, filename, mime_type, created_at)."""
-    name, mime = F.col("filename"), F.coalesce(F.col("mime_type"), F.lit(""))
-    kind = F.when(name.rlike(r"(?i)\.lpsproject$"), "backup").when(name.rlike(r"(?i)\.pdf$") | (mime == "application/pdf"), "document-output").when(name.rlike(r"(?i)\.(?:json|csv|txt)$") | mime.rlike("(?i)(?:json|csv|text)"), "report").otherwise("other")
+def activity_receipts(receipts: DataFrame, most: int = RECEIPTS, backup: str = ".backup") -> DataFrame:
+    """The newest valid receipts of every owner with their kind: receipts(owner, id, schema_version, sha256, filename, mime_type, created_at).
+
+    Receipts of another version than 1 or without a checksum don't count; backup is the ending of a backup's name.
+    """
+    name, mime = F.coalesce(F.col("filename"), F.lit("")), F.coalesce(F.col("mime_type"), F.lit(""))
+    kind = F.when(F.lower(name).endswith(backup.lower()), "backup").when(name.rlike(DOCUMENT) | (mime == "application/pdf"), "document-output").when(name.rlike(REPORT) | mime.rlike(REPORT_TYPE), "report").otherwise("other")
     newest = Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("id"))
-    return receipts.withColumn("kind", kind).withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most)
+    valid = receipts.where("schema_version = 1 and sha256 is not null")
+    return valid.withColumn("kind", kind).withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most)
 
 
 def event_timeline(events: DataFrame, most: int = TIMELINE) -> DataFrame:
@@ -49,10 +63,10 @@ def event_timeline(events: DataFrame, most: int = TIMELINE) -> DataFrame:
 def merge_history(entries: DataFrame, most: int = HISTORY) -> DataFrame:
     """owner, position (0 is the present), id, merge_key, merged of entries(owner, id, at_ms, merge_key).
 
-    Entries with the merge key of the one before, less than 800 ms after it, replace it.
+    Entries with the merge key of the one before, less than 800 ms after it, replace it; null and empty keys join nothing.
     """
     order = Window.partitionBy("owner").orderBy("at_ms", "id")
-    joins = (F.col("merge_key") == F.lag("merge_key").over(order)) & (F.col("at_ms") - F.lag("at_ms").over(order) < MERGE_MS)
+    joins = (F.col("merge_key") != "") & (F.col("merge_key") == F.lag("merge_key").over(order)) & (F.col("at_ms") - F.lag("at_ms").over(order) < MERGE_MS)
     rows = entries.withColumn("_group", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order))
     last = rows.groupBy("owner", "_group").agg(F.max(F.struct("at_ms", "id", "merge_key")).alias("_last"), F.count("*").alias("merged"))
     back = Window.partitionBy("owner").orderBy(F.desc("_group"))
@@ -60,7 +74,7 @@ def merge_history(entries: DataFrame, most: int = HISTORY) -> DataFrame:
 
 
 def receipts_csv(receipts: DataFrame) -> DataFrame:
-    """id, line: the time in ISO form and seven fields, each in quotes, quotes inside doubled; nulls are empty."""
-    cells = [F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), *(F.col(c).cast("string") for c in ("kind", "filename", "mime_type", "byte_length", "sha256", "route", "release"))]
+    """id, line: the time in ISO form (UTC, whatever the session's zone) and seven fields, each in quotes, quotes inside doubled; nulls are empty."""
+    cells = [F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), *(F.col(c).cast("string") for c in ("kind", "filename", "mime_type", "byte_length", "sha256", "route", "release"))]
     quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]
     return receipts.select("id", F.concat_ws(",", *quoted).alias("line"))

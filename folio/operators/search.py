@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: characters before and after a match in a snippet; a word's edge, by ASCII letters, digits and _
 BEFORE, AFTER = 70, 100
+EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
 def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, whole_word: bool = False, columns: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -19,9 +20,9 @@ def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, who
     """
     query = query.strip()
     text = F.concat_ws(" ", *columns)
-    pattern = ("" if case_sensitive else "(?i)") + (rf"\b{re.escape(query)}\b" if whole_word else re.escape(query))
-    hay, needle = (text, query) if case_sensitive else (F.lower(text), query.lower())
-    at = F.locate(needle, hay) - 1
+    fold, literal = "" if case_sensitive else "(?iu)", re.escape(query)
+    pattern = fold + (f"{EDGE}{literal}{EDGE}" if whole_word else literal)
+    at = F.length(F.regexp_extract(text, f"(?s){fold}^(.*?){literal}", 1))
     start, end = F.greatest(F.lit(0), at - BEFORE), F.least(F.length(text), at + len(query) + AFTER)
     snippet = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), "…").otherwise(""))
     found = pages.where(F.lit(bool(query))).withColumn("match_count", F.regexp_count(text, F.lit(pattern)))
@@ -31,46 +32,45 @@ def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, who
 def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
     """query, doc_id, page_number, match_count of every page with a match of queries(query), literal text as in search_pages().
 
-    Single words of letters, digits or _ meet the words of the pages in an equi-join. Other queries meet pages
-    by their longest such word, substrings by their first three characters, and are then counted in the page's
-    text; only queries without such a key are compared with all pages.
+    Single words of ASCII letters, digits or _ meet the words of the pages in an equi-join, each word of a page
+    once. Other queries meet pages by their longest such word, without one by their first three characters (or as
+    many as they have), and are then counted in the page's text.
     """
+    single = F.trim("query").rlike("^[A-Za-z0-9_]+$")
     if not whole_word:
         return _search_literals(pages, queries, case_sensitive, False)
-    words = _search_words(pages, queries, case_sensitive)
-    return words.unionByName(_search_literals(pages, queries.where(~F.trim("query").rlike("^[A-Za-z0-9_]+$")), case_sensitive, True))
+    return _search_words(pages, queries.where(single), case_sensitive).unionByName(_search_literals(pages, queries.where(~single), case_sensitive, True))
 
 
 def _search_literals(pages: DataFrame, queries: DataFrame, case_sensitive: bool, whole_word: bool) -> DataFrame:
-    """The matches of literals, by a key that any page with a match has too."""
-    fold = (lambda c: c) if case_sensitive else (lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
+    """The matches of literals, by a key that any page with a match has too: a word, or the first characters."""
+    fold = (lambda c: c) if case_sensitive else F.lower
     literal = F.trim("query")
+    size = lambda n: F.transform(F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - (n - 1))), lambda i: F.substring(F.col("_text"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*(F.coalesce(size(n), F.array().cast("array<string>")) for n in (1, 2, 3))))
+    words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
+    first = F.concat(F.lit("g:"), F.substring(fold(literal), 1, 3))
+    longest = F.array_max(F.transform(words(fold(literal)), lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+    key = F.coalesce(F.concat(F.lit("w:"), longest), first) if whole_word else first
+    keys = F.transform(grams, lambda g: F.concat(F.lit("g:"), g))
     if whole_word:
-        words = F.regexp_extract_all(fold(literal), F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-        key = F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
-        keys = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit("([A-Za-z0-9_]+)"), F.lit(1)))
-    else:
-        key = F.when(F.length(literal) >= 3, F.substring(fold(literal), 1, 3))
-        places = F.when(F.length("text") >= 3, F.sequence(F.lit(1), F.length("text") - 2))
-        keys = F.array_distinct(F.transform(places, lambda i: F.substring(fold(F.col("text")), i, F.lit(3))))
-    edge = r"\b" if whole_word else ""
-    pattern = F.concat(F.lit(edge if case_sensitive else "(?i)" + edge), F.regexp_replace(literal, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), F.lit(edge))
+        keys = F.concat(F.array_distinct(F.transform(words(F.col("_text")), lambda w: F.concat(F.lit("w:"), w))), keys)
+    edge = EDGE if whole_word else ""
+    pattern = F.concat(F.lit(("" if case_sensitive else "(?iu)") + edge), F.regexp_replace(literal, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), F.lit(edge))
     asked = queries.where(literal != "").distinct().select("query", key.alias("_key"), pattern.alias("_pattern"))
-    held = pages.select("doc_id", "page_number", "text")
-    met = held.select("*", F.explode(keys).alias("_key")).join(asked.where("_key is not null"), "_key").drop("_key")
-    rest = held.crossJoin(asked.where("_key is null").drop("_key"))
-    counted = met.unionByName(rest).withColumn("match_count", F.regexp_count("text", F.col("_pattern")).cast("long"))
+    held = pages.select("doc_id", "page_number", "text", fold(F.col("text")).alias("_text")).select("doc_id", "page_number", "text", F.explode(keys).alias("_key"))
+    met = held.join(asked, "_key")
+    counted = met.withColumn("match_count", F.regexp_count("text", F.col("_pattern")).cast("long"))
     return counted.where("match_count > 0").select("query", "doc_id", "page_number", "match_count")
 
 
 def _search_words(pages: DataFrame, queries: DataFrame, case_sensitive: bool) -> DataFrame:
-    """The matches of queries that are one word."""
+    """The matches of queries that are one word; a page's words are counted before they meet the queries."""
     fold = (lambda c: c) if case_sensitive else F.lower
-    queries = queries.where(F.trim("query").rlike("^[A-Za-z0-9_]+$"))
     asked = queries.select("query", fold(F.trim("query")).alias("_word")).distinct()
     words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-    found = pages.select("doc_id", "page_number", F.explode(words).alias("_w")).select("doc_id", "page_number", fold(F.col("_w")).alias("_word"))
-    return found.join(asked, "_word").groupBy("query", "doc_id", "page_number").agg(F.count("*").alias("match_count"))
+    found = pages.select("doc_id", "page_number", F.explode(words).alias("_w")).groupBy("doc_id", "page_number", fold(F.col("_w")).alias("_word")).agg(F.count("*").alias("match_count"))
+    return found.join(asked, "_word").select("query", "doc_id", "page_number", "match_count")
 
 
 def page_text(items: DataFrame) -> DataFrame:

@@ -79,8 +79,8 @@ def f5_sanitize_objects(spark, sf_dir):
 
 def f9_signature_coverage(spark, sf_dir):
     pad = F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int"))
-    d = F.lpad((34 + F.col("doc_id") % 50 + F.element_at(F.array(*map(F.lit, [0, -10, 5])), (F.col("doc_id") % 3 + 1).cast("int"))).cast("string"), 6, "0")
-    return compliance.signature_coverage(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit("%PDF-1.7 /ByteRange [ 0 10 20 "), d, F.lit(" ] startxref %%EOF"), pad).alias("raw")))
+    d = F.lpad((83 + F.col("doc_id") % 50 + F.element_at(F.array(*map(F.lit, [0, -10, 5])), (F.col("doc_id") % 3 + 1).cast("int"))).cast("string"), 6, "0")
+    return compliance.signature_coverage(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit("%PDF-1.7 /Filter /Adobe.PPKLite /Reason (a b) /ByteRange [ 0 10 20 "), d, F.lit(" ] /M (D:2024) startxref %%EOF"), pad).alias("raw")))
 
 
 def f12_archival_claims(spark, sf_dir):
@@ -125,8 +125,9 @@ ORACLES = {
         select doc_id, case when other then -id else id end as id, not (moved and other) as matched, not (moved and other) and (case when box then want <> 'Off' else want = value end) as passed from u""",
     "f5_sanitize_objects": _WITH + """ select doc_id, ['links', 'comments', '', '', 'scripts'][page_number % 6 + 1] as category, count(*) as removed from doc_pages
         where page_number % 6 in (0, 4) or (page_number % 6 = 1 and doc_id % 2 = 1) group by 1, 2""",
-    "f9_signature_coverage": """with r as (select doc_id, 54 + doc_id % 50 as size, 34 + doc_id % 50 + [0, -10, 5][doc_id % 3 + 1] as d from documents)
-        select doc_id, 0::int as pos, 10 + d as covered, 10 as gap, size - 20 - d as tail, case when doc_id % 3 = 2 then 'invalid-range' when doc_id % 3 = 0 then 'covers-current-file' else 'covers-prior-revision' end as status from r""",
+    "f9_signature_coverage": """with r as (select doc_id, 103 + doc_id % 50 as size, 83 + doc_id % 50 + [0, -10, 5][doc_id % 3 + 1] as d, doc_id % 3 = 2 as bad from documents)
+        select doc_id, 0::int as pos, case when bad then 0 else 10 + d end as covered, case when bad then 0 else 10 end as gap, case when bad then size else size - 20 - d end as tail,
+        case when bad then 'invalid-range' when doc_id % 3 = 0 then 'covers-current-file' else 'covers-prior-revision' end as status, 'Adobe.PPKLite' as filter, '' as sub_filter, 'D:2024' as signing_time, 'a b' as reason, '' as location from r""",
     "f12_archival_claims": """select doc_id, doc_id % 3 < 2 as claimed, case doc_id % 3 when 0 then 'PDF/A-' || (1 + doc_id % 4) || 'b' when 1 then 'PDF/A-' || (1 + doc_id % 4) || 'a' else '' end as profile from documents""",
     "f13_font_coverage": _WITH + """, f as (select distinct doc_id, page_number % 3 as k, (doc_id + page_number % 3) % 5 <> 0 as e from doc_pages where doc_id % 4 <> 0), c as (select doc_id, count(*) as n, count(*) filter (e) as m from f group by 1)
         select doc_id, coalesce(n, 0) as fonts, coalesce(m, 0) as embedded, case when n is null then 'info' when n = m then 'pass' else 'fail' end as severity from (select distinct doc_id from documents) left join c using (doc_id)""",

@@ -42,6 +42,10 @@ def s6_export_documents(spark, sf_dir):
     return exports.export_documents(pages).unionByName(exports.export_documents(pages, "markdown"))
 
 
+def s6_export_html(spark, sf_dir):
+    return exports.export_documents(_pages(spark, sf_dir), "html", 'A "b" & c')
+
+
 def b5_plain_text_blocks(spark, sf_dir):
     return exports.plain_text_blocks(_docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "n\\.\n", "n.\n \n").alias("text")))
 
@@ -72,11 +76,18 @@ def f3_verify_redaction(spark, sf_dir):
     return governance.verify_redaction(governance.redaction_tokens(spans, marks), output)
 
 
-def f7_mask_diagnostics(spark, sf_dir):
+def _logs(spark, sf_dir):
     i = F.col("event_id").cast("string")
     texts = [F.concat(F.lit("(blob:https://host/"), i, F.lit(") lost")), F.concat(F.lit("open FILE:///home/u/"), i), F.concat(F.lit("read /var/data/x"), i, F.lit("/file.txt failed")), F.concat(F.lit('value "'), F.repeat(F.lit("v"), 90), F.lit('" of '), i)]
-    logs = _events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.element_at(F.array(*texts), (F.col("event_id") % 4 + 1).cast("int")).alias("message"))
-    return diagnostics.mask_diagnostics(logs)
+    return _events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.element_at(F.array(*texts), (F.col("event_id") % 4 + 1).cast("int")).alias("message"))
+
+
+def f7_mask_diagnostics(spark, sf_dir):
+    return diagnostics.mask_diagnostics(_logs(spark, sf_dir))
+
+
+def f7_mask_counts(spark, sf_dir):
+    return diagnostics.mask_counts(_logs(spark, sf_dir))
 
 
 def g13_box_collisions(spark, sf_dir):
@@ -84,7 +95,7 @@ def g13_box_collisions(spark, sf_dir):
 
 
 def h5_bates_numbers(spark, sf_dir):
-    return assembly.bates_numbers(_pages(spark, sf_dir).where("page_number % 2 = 1"), "A-", 4, 10, "/x", span=64)
+    return assembly.bates_numbers(_pages(spark, sf_dir).where("page_number % 2 = 1"), "A-", 4, 10, "/x")
 
 
 def h7_insert_blank_pages(spark, sf_dir):
@@ -112,8 +123,7 @@ def j13_isolate_ids(spark, sf_dir):
 def k1_interrupted_sessions(spark, sf_dir):
     events = _events(spark, sf_dir)
     beats = events.select(F.col("user_id").alias("session"), (F.col("user_id") % 20).alias("project"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("clean_exit"))
-    now = events.agg(F.max("ts")).first()[0]
-    return _ntz(flows.interrupted_sessions(flows.last_beats(beats), F.lit(now)), "at")
+    return _ntz(flows.interrupted_sessions(flows.last_beats(beats), events.select(F.max("ts")).scalar()), "at")
 
 
 def k2_receipt_counts(spark, sf_dir):
@@ -127,7 +137,7 @@ def k3_history_sessions(spark, sf_dir):
     return _ntz(flows.history_sessions(edits), "started")
 
 
-QUERIES = {f.__name__: f for f in (s1_load_versioned, s2_migrate_manifests, s6_export_documents, b5_plain_text_blocks, e7_inspect_totals, f1_redaction_tokens, f2_redact_spans, f3_verify_redaction, f7_mask_diagnostics, g13_box_collisions, h5_bates_numbers, h7_insert_blank_pages, i1_reconcile_jobs, i4_ocr_quality, j2_document_lineage, j13_isolate_ids, k1_interrupted_sessions, k2_receipt_counts, k3_history_sessions)}
+QUERIES = {f.__name__: f for f in (s1_load_versioned, s2_migrate_manifests, s6_export_documents, s6_export_html, b5_plain_text_blocks, e7_inspect_totals, f1_redaction_tokens, f2_redact_spans, f3_verify_redaction, f7_mask_diagnostics, f7_mask_counts, g13_box_collisions, h5_bates_numbers, h7_insert_blank_pages, i1_reconcile_jobs, i4_ocr_quality, j2_document_lineage, j13_isolate_ids, k1_interrupted_sessions, k2_receipt_counts, k3_history_sessions)}
 
 _WITH = "with recursive " + views.SQL
 _TOKENS = r""", tokens as (select distinct doc_id, page_number, trim(regexp_replace(text, '\s+', ' ', 'g')) as token from touched where visible and length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 3),
@@ -138,6 +148,8 @@ ORACLES = {
     "s2_migrate_manifests": _WITH + " select project_id, 3::int as schema_version, coalesce(root_id, project_id) as root_id, coalesce(sequence, 0)::int as sequence, coalesce(operation, 'legacy-source') as operation from manifests where schema_version <= 3",
     "s6_export_documents": _WITH + """ select doc_id, 'text' as form, string_agg(text, chr(10) || chr(10) || '--- Page break ---' || chr(10) || chr(10) order by page_number) as body from doc_pages group by doc_id
         union all select doc_id, 'markdown', '# PDF export' || chr(10) || string_agg(chr(10) || '## Page ' || page_number || chr(10) || chr(10) || case when text = '' then '_No extractable text on this page._' else text end, chr(10) order by page_number) from doc_pages group by doc_id""",
+    "s6_export_html": _WITH + """ select doc_id, 'html' as form, '<!doctype html><html><head><meta charset="utf-8"><title>A &quot;b&quot; &amp; c</title></head><body><h1>A &quot;b&quot; &amp; c</h1>'
+        || string_agg('<section class="page"><h2>Page ' || page_number || '</h2><pre>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</pre></section>', '' order by page_number) || '</body></html>' as body from doc_pages group by doc_id""",
     "b5_plain_text_blocks": r"""with t as (select doc_id, regexp_split_to_array(regexp_replace(text, 'n\.\n', 'n.' || chr(10) || ' ' || chr(10), 'g'), '\n\s*\n') as ps from documents),
         p as (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as i from t), q as (select doc_id, i, regexp_replace(p, '^\s+|\s+$', '', 'g') as p from p)
         select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as pos, replace(p, chr(10), ' ') as text from q where p <> ''""",
@@ -150,6 +162,8 @@ ORACLES = {
         select d.doc_id, coalesce(len(found), 0)::bigint as left_over, coalesce(array_to_string(found[1:5], '|'), '') as examples, found is null as passed from (select distinct doc_id from tokens) d left join h using (doc_id)""",
     "f7_mask_diagnostics": """with l as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events where event_type = 'error')
         select owner, position, id, case id % 4 when 0 then '([blob-url]) lost' when 1 then 'open [file-url]' when 2 then 'read [local-path] failed' else 'value [long-value] of ' || id end as message from l where position <= 50""",
+    "f7_mask_counts": """select ['[blob-url]', '[file-url]', '[local-path]', '[long-value]'][k + 1] as mask, count(event_id) as messages, count(event_id)::bigint as places
+        from (select unnest([0, 1, 2, 3]) as k) left join events on event_type = 'error' and event_id % 4 = k group by 1""",
     "g13_box_collisions": _WITH + """ select l.doc_id, l.page_number, l.span_id as a, r.span_id as b from boxes l join boxes r on l.doc_id = r.doc_id and l.page_number = r.page_number and l.span_id < r.span_id
         and l.x < r.x + 2 * r.w and r.x < l.x + 2 * l.w and l.y < r.y + r.h and r.y < l.y + l.h""",
     "h5_bates_numbers": _WITH + " select doc_id, page_number, printf('A-%04d/x', 9 + row_number() over (order by doc_id, page_number)) as label from doc_pages where page_number % 2 = 1",

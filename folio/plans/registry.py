@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import assembly, compare, integrity, records, search
-from folio.plans import compared, governed
+from folio.plans import compared, governed, measured, paired, stored, structured
 from folio.sources import views
 
 
@@ -48,6 +48,10 @@ def e2_category_digests(spark, sf_dir):
     return integrity.category_digests(_prints(_pages(spark, sf_dir)))
 
 
+def e3_contract_verdict(spark, sf_dir):
+    return integrity.contract_verdict(e3_compare_contract(spark, sf_dir))
+
+
 def e3_compare_contract(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     policy = spark.createDataFrame([("text", "preserve"), ("pages", "remove")], "category string, rule string")
@@ -69,12 +73,22 @@ def h4_imposition(spark, sf_dir):
     return assembly.imposition(_counts(spark, sf_dir))
 
 
+def h4_imposition_4up(spark, sf_dir):
+    return assembly.imposition(_counts(spark, sf_dir), "4-up").unionByName(assembly.imposition(_counts(spark, sf_dir), "2-up").withColumn("side", F.col("side") + 1000))
+
+
+def h4_imposition_rtl(spark, sf_dir):
+    return assembly.imposition(_counts(spark, sf_dir), direction="rtl")
+
+
 def s7_split_fixed(spark, sf_dir):
     return assembly.split_fixed(_pages(spark, sf_dir), 4)
 
 
 def j1_dedupe_by_checksum(spark, sf_dir):
-    return records.dedupe_by_checksum(views.table(spark, sf_dir, "documents"))
+    docs = views.table(spark, sf_dir, "documents")
+    stored = F.concat("checksum", F.when(F.col("project_id") % 19 == 0, "x").otherwise(""))
+    return records.dedupe_by_checksum(docs, views.manifests(docs).withColumn("stored_checksum", stored))
 
 
 def j6_storage_budget(spark, sf_dir):
@@ -91,10 +105,11 @@ def j7_budget_classes(spark, sf_dir):
 
 
 def _receipts(spark, sf_dir):
-    ends = F.array(*map(F.lit, ["pdf", "json", "csv", "lpsproject", "bin"]))
+    ends = F.array(*map(F.lit, ["pdf", "json", "CSV", "backup", "bin"]))
     events = views.table(spark, sf_dir, "events")
     name = F.concat(F.lit("f"), F.col("event_id"), F.lit("."), F.element_at(ends, (F.col("event_id") % 5 + 1).cast("int")))
-    return events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), name.alias("filename"), F.lit("").alias("mime_type"), F.col("ts").alias("created_at"))
+    digest = F.when(F.col("event_id") % 13 != 0, F.sha2(F.col("event_id").cast("string").cast("binary"), 256))
+    return events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 == 0, 2).otherwise(1).alias("schema_version"), digest.alias("sha256"), name.alias("filename"), F.lit("").alias("mime_type"), F.col("ts").alias("created_at"))
 
 
 def j8_activity_receipts(spark, sf_dir):
@@ -123,7 +138,7 @@ def j11_merge_history(spark, sf_dir):
     return records.merge_history(entries)
 
 
-QUERIES = {f.__name__: f for f in (c1_search_pages, d1_page_presence, d2_text_fingerprint, d3_page_similarity, e1_object_fingerprints, e2_category_digests, e3_compare_contract, e4_fingerprint_delta, h1_select_pages, h4_imposition, s7_split_fixed, j1_dedupe_by_checksum, j6_storage_budget, j7_budget_classes, j8_activity_receipts, j8_activity_receipts_full, j9_event_timeline, j9_event_timeline_full, j11_merge_history)} | governed.QUERIES | compared.QUERIES
+QUERIES = {f.__name__: f for f in (c1_search_pages, d1_page_presence, d2_text_fingerprint, d3_page_similarity, e1_object_fingerprints, e2_category_digests, e3_compare_contract, e3_contract_verdict, e4_fingerprint_delta, h1_select_pages, h4_imposition, h4_imposition_4up, h4_imposition_rtl, s7_split_fixed, j1_dedupe_by_checksum, j6_storage_budget, j7_budget_classes, j8_activity_receipts, j8_activity_receipts_full, j9_event_timeline, j9_event_timeline_full, j11_merge_history)} | governed.QUERIES | compared.QUERIES | paired.QUERIES | structured.QUERIES | stored.QUERIES | measured.QUERIES
 
 _WITH = "with " + views.SQL
 _PRINTS = r""", prints as (select doc_id, category, object_id, sha256(category || '|' || object_id || '|' || value) as digest from page_objects),
@@ -150,6 +165,9 @@ ORACLES = {
     "e3_compare_contract": _WITH + _PRINTS + """, b as (select doc_id, category, coalesce(s.object_count, 0) as a, coalesce(o.object_count, 0) as z, s.digest as x, o.digest as y from digests s full join rdigests o using (doc_id, category)),
         c as (select doc_id, category, case when category = 'text' and a <> z then 'count' when category = 'text' and x is distinct from y then 'objects' when category = 'pages' and z <> 0 then 'not removed' else '' end as detail from b)
         select doc_id, category, case when detail = '' then 'passed' else 'failure' end as outcome, detail from c""",
+    "e3_contract_verdict": _WITH + _PRINTS + """, b as (select doc_id, category, coalesce(s.object_count, 0) as a, coalesce(o.object_count, 0) as z, s.digest as x, o.digest as y from digests s full join rdigests o using (doc_id, category)),
+        c as (select doc_id, (category = 'text' and (a <> z or x is distinct from y)) or (category = 'pages' and z <> 0) as bad from b)
+        select doc_id, count(*) filter (bad) as failures, 0 as warnings, count(*) filter (bad) = 0 as passed from c group by 1""",
     "e4_fingerprint_delta": _WITH + _PRINTS + """, b as (select doc_id, category, object_id, case when o.digest is null then 'missing' when s.digest is null then 'added' when s.digest <> o.digest then 'modified' end as change
         from prints s full join rprints o using (doc_id, category, object_id)), n as (select *, row_number() over (partition by doc_id, category order by change = 'added', object_id) as position from b where change is not null)
         select doc_id, category, position, object_id, change from n where position <= 3""",
@@ -160,25 +178,30 @@ ORACLES = {
         union all select doc_id, null, 'Unsupported token: x' from n where doc_id % 6 = 5""",
     "h4_imposition": _WITH + """, n as (select doc_id, count(*)::int as c, ((count(*) + 3) // 4 * 4)::int as p from doc_pages group by 1), s as (select *, unnest(range(0, p // 2))::int as side from n), t as (select *, unnest([0, 1])::int as slot from s),
         u as (select *, case when (side % 2 = 0) = (slot = 0) then p - side else side + 1 end as q from t) select doc_id, side, slot, case when q <= c then q end::int as page_number from u""",
+    "h4_imposition_4up": _WITH + """, n as (select doc_id, count(*)::int as c from doc_pages group by 1), u as (select doc_id, c, per, unnest(range(0, (c + per - 1) // per))::int as side from n, (select unnest([4, 2]) as per)), v as (select *, unnest(range(0, per))::int as slot from u)
+        select doc_id, (side + case when per = 2 then 1000 else 0 end)::int as side, slot, case when side * per + slot + 1 <= c then side * per + slot + 1 end::int as page_number from v""",
+    "h4_imposition_rtl": _WITH + """, n as (select doc_id, count(*)::int as c, ((count(*) + 3) // 4 * 4)::int as p from doc_pages group by 1), s as (select *, unnest(range(0, p // 2))::int as side from n), t as (select *, unnest([0, 1])::int as slot from s),
+        u as (select *, case when (side % 2 = 0) = (slot = 1) then p - side else side + 1 end as q from t) select doc_id, side, slot, case when q <= c then q end::int as page_number from u""",
     "s7_split_fixed": _WITH + """ select doc_id, ((page_number - 1) // 4)::int as chunk, printf('pages-%04d-%04d', min(page_number), max(page_number)) as name, min(page_number) as first_page, max(page_number) as last_page, count(*) as page_count from doc_pages group by 1, 2""",
-    "j1_dedupe_by_checksum": "select doc_id, sha256(coalesce(text, '')) as checksum, min(doc_id) over (partition by coalesce(text, '')) as project_id from documents",
+    "j1_dedupe_by_checksum": """with d as (select doc_id, sha256(coalesce(text, '')) as checksum from documents), f as (select checksum, min(doc_id) as p from d where doc_id % 5 < 3 group by 1)
+        select doc_id, checksum, case when p % 19 <> 0 then p else doc_id end as project_id, coalesce(p % 19 <> 0, false) as reused from d left join f using (checksum)""",
     "j6_storage_budget": """with u as (select source, regexp_extract(source, '([0-9]+)$', 1)::int as n, sum(strlen(text))::bigint as usage from documents group by 1, 2),
         q as (select source, 1000000 as requested, usage, case n % 4 when 0 then null when 1 then usage + 1 when 2 then usage + 20000000 else usage + 900000000 end as quota from u)
         select source, requested, usage, quota, 1080000::bigint as required, case when quota is not null then greatest(25000000, ceil(quota * 0.05::double))::bigint end as reserve,
         case when quota is null then 'warning' when quota - usage - 1080000 < 0 then 'blocked' when quota - usage - 1080000 < greatest(25000000, ceil(quota * 0.05::double)) then 'warning' else 'ok' end as status from q""",
     "j7_budget_classes": """select case when len(string_split(text, chr(10))) >= 1000 or strlen(text) >= 500000000 then 'extreme' when len(string_split(text, chr(10))) >= 250 or strlen(text) >= 100000000 then 'large' else 'normal' end as budget_class,
         count(*) as documents, sum(strlen(text))::bigint as bytes from documents group by 1""",
-    "j8_activity_receipts": """with r as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events)
+    "j8_activity_receipts": """with r as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events where event_id % 11 <> 0 and event_id % 13 <> 0)
         select owner, position, id, ['document-output', 'report', 'report', 'backup', 'other'][id % 5 + 1] as kind from r where position <= 10""",
     "j9_event_timeline": """with r as (select user_id as project, event_id as id, event_type as kind, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events) select project, position, id, kind from r where position <= 20""",
-    "j8_activity_receipts_full": """with r as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events)
+    "j8_activity_receipts_full": """with r as (select user_id as owner, event_id as id, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events where event_id % 11 <> 0 and event_id % 13 <> 0)
         select owner, position, id, ['document-output', 'report', 'report', 'backup', 'other'][id % 5 + 1] as kind from r where position <= 300""",
     "j9_event_timeline_full": """with r as (select user_id as project, event_id as id, event_type as kind, row_number() over (partition by user_id order by ts desc, event_id desc) as position from events) select project, position, id, kind from r where position <= 100""",
     "j11_merge_history": """with e as (select user_id as owner, event_id as id, epoch_us(ts) // 1000000 as at_ms, case when event_id % 10 <> 0 then event_type end as merge_key from events),
         g as (select *, case when merge_key = lag(merge_key) over w and at_ms - lag(at_ms) over w < 800 then 0 else 1 end as s from e window w as (partition by owner order by at_ms, id)),
         h as (select *, sum(s) over (partition by owner order by at_ms, id) as grp from g), m as (select owner, grp, arg_max(id, (at_ms, id)) as id, arg_max(coalesce(merge_key, chr(0)), (at_ms, id)) as merge_key, count(*) as merged from h group by 1, 2),
         n as (select *, row_number() over (partition by owner order by grp desc) - 1 as position from m) select owner, position, id, nullif(merge_key, chr(0)) as merge_key, merged from n where position <= 80""",
-} | governed.ORACLES | compared.ORACLES
+} | governed.ORACLES | compared.ORACLES | paired.ORACLES | structured.ORACLES | stored.ORACLES | measured.ORACLES
 
 
 def queries() -> dict:
@@ -190,4 +213,4 @@ def oracles() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e2_category_digests(spark, sf_dir)
+    return paired.d4_similar_pages(spark, sf_dir)
