@@ -2,7 +2,8 @@
 
 DataFrame functions only. Slot i of the schedule is the point frac(i * golden ratio) on the line of
 cumulative target shares, which names the slot's source; the k-th slot of a source takes the k-th block
-of equally many words of that source's shuffled documents, and goes round again at the end.
+of equally many words of that source's shuffled documents, and goes round again at the end. How many words a
+source gives is decided by the points alone; by their low discrepancy that is its target within a few blocks.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, meet, written
 
-BLOCK_WORDS = 256
+#: Words of a block at most, and slots of a schedule before blocks grow to that.
+BLOCK_WORDS, SLOTS = 256, 1 << 20
+#: Parts of the line of shares, in which slots look for their source.
+PARTS = 1 << 12
 REPEATS = 3
 #: Slots are ranked in chunks of so many: counts of chunks first, then places inside a chunk.
 CHUNK = 1 << 16
@@ -60,65 +64,75 @@ def _running(rows: DataFrame, value: str, start: str, keys: list[str], chunk: st
     return rows.join(totals, match).withColumn(start, F.col("_inside") + F.col("_ahead")).drop("_inside", "_ahead", "_chunk", *(f"_{k}" for k in keys))
 
 
-def schedule(targets: DataFrame, total: int, block: int = BLOCK_WORDS) -> DataFrame:
-    """source, source_size, slot_rank, words: for each source as many words as its target, in blocks of equally many.
+def block_words(total: int) -> int:
+    """Words of a block for a mix of so many words: one while that gives no more than SLOTS slots, BLOCK_WORDS at most."""
+    return max(1, min(BLOCK_WORDS, total // SLOTS))
 
-    Slots that the sequence gives beyond a source's target are left out, and the few it gives too little
-    (its discrepancy is logarithmic) follow at the end.
+
+def source_key(source: Column) -> Column:
+    """A source's name that is never null."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
+def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
+    """_key, slot, slot_rank: the source of each slot of a mix of total words, and its number among the source's slots.
+
+    A slot and the sources meet in the part of the line that its point lies in, so no slot looks at all sources.
     """
     spark = targets.sparkSession
     slots = max(1, -(-total // block))
     line = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    shares = targets.where("target >= 0.5").withColumn("_to", F.sum("target").over(line) / F.sum("target").over(Window.partitionBy()))
-    shares = shares.withColumn("_from", F.lag("_to", 1, 0.0).over(Window.orderBy("_to", F.col("source").asc_nulls_last())))
-    shares = shares.withColumn("_words", F.round("target").cast("long")).withColumn("_quota", F.ceil(F.col("_words") / block).cast("long"))
-    # the table of sources is as small as their number; one sorted array of it finds each point's source
-    lines = F.broadcast(shares.agg(F.array_sort(F.collect_list(F.struct("_to", "source"))).alias("_lines")))
+    shares = targets.where("target > 0").withColumn("_to", F.sum("target").over(line) / F.sum("target").over(Window.partitionBy()))
+    last = F.row_number().over(Window.orderBy(F.col("source").desc_nulls_first())) == 1
+    shares = shares.withColumn("_to", F.when(last, 1.0).otherwise(F.col("_to"))).withColumn("_from", F.lag("_to", 1, 0.0).over(Window.orderBy("_to", F.col("source").asc_nulls_last())))
+    parts = shares.select(source_key(F.col("source")).alias("_key"), "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") * PARTS), F.floor(F.col("_to") * PARTS))).alias("_part"))
     low, high = F.col("id") % (1 << 26), F.floor(F.col("id") / (1 << 26))
     point = (low * F.lit(GOLDEN) + (high * F.lit((1 << 26) * GOLDEN % 1.0)) % 1.0) % 1.0
-    points = spark.range(slots).withColumn("_point", point).withColumn("_one", F.lit(1)).join(lines.withColumn("_one", F.lit(1)), "_one")
-    drawn = points.select(F.col("id"), F.floor(F.col("id") / CHUNK).alias("_slots"), F.expr("filter(_lines, x -> x._to > _point)[0].source").alias("source"), "_one")
-    ranked = _running(drawn, "_one", "slot_rank", ["source"], "_slots", ["id"]).select("source", F.col("slot_rank").cast("long").alias("slot_rank"))
-    counts = drawn.groupBy("source").agg(F.count("*").alias("_drawn"))
-    late = shares.alias("s").join(counts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select("s.source", "_quota", F.coalesce("_drawn", F.lit(0)).alias("_drawn"))
-    late = late.where("_drawn < _quota").select("source", F.explode(F.sequence("_drawn", F.col("_quota") - 1)).alias("slot_rank"))
-    every = ranked.unionByName(late).alias("r").join(F.broadcast(shares).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    words = F.least(F.lit(block), F.col("_words") - F.col("slot_rank") * block)
-    return every.where("slot_rank < _quota").select("s.source", "source_size", "slot_rank", words.cast("long").alias("words"))
-
-
-def mix(docs: DataFrame, share: float = 1.0, block: int = BLOCK_WORDS, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row.
-
-    size counts words (null: 0), taken the words that the mix takes of this row, repeats counted. A source's
-    documents lie one after another in the order of sha256(doc_id) (then doc_id, then the text's digest);
-    its k-th slot takes the k-th block of words of that line, which starts again at its end. A source's
-    taken words are its target, rounded, so no row exceeds ceil(repeats) times its size. A null source is a
-    source of its own, a null doc_id counts as an empty one in the order. Repeated rows are separate rows. A
-    source without words has target 0. An empty table gives no rows.
+    points = spark.range(slots).withColumn("_point", point).withColumn("_part", F.floor(F.col("_point") * PARTS))
+    drawn = points.join(parts, "_part").where("_point >= _from and _point < _to")
+    drawn = drawn.select("_key", "id", F.floor(F.col("id") / CHUNK).alias("_slots"), F.lit(1).alias("_one"))
+    ranked = _running(drawn, "_one", "slot_rank", ["_key"], "_slots", ["id"])
+    return ranked.select("_key", F.col("id").alias("slot"), F.col("slot_rank").cast("long").alias("slot_rank"))
+
+
+def mix(docs: DataFrame, share: float = 1.0, block: int | None = None, repeats: int = REPEATS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot for every row.
+
+    size counts words (null: 0), taken the words that the mix takes of this row, repeats counted, and first_slot is the
+    first slot of the schedule that takes one. A source's documents lie one after another in the order of
+    sha256(doc_id) (then doc_id, then the text's digest); its k-th slot takes the k-th block of words of that line,
+    which starts again at its end, and stops after `repeats` rounds, so no row exceeds repeats times its size. A
+    source's taken words are its target within a few blocks. A null source is a source of its own, a null doc_id counts
+    as an empty one in the order. Repeated rows are separate rows. A source without words has target 0. A very long
+    text is only counted. Columns of docs named otherwise change nothing. An empty table gives no rows.
     """
-    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    rows = written(rows.withColumn("_part", F.substring("_key", 1, 3)))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = written(source_targets(totals, share, repeats))
-    total = targets.agg(F.sum("target")).first()[0] or 0
-    placed = _running(rows, "size", "_start", ["source"], "_part", ["_key", "doc_id", "_text", "_row"])
-    placed = written(placed.select("doc_id", "source", "size", "_row", "_start"))
-
-    # a slot that passes the end of its source's line goes on at the start
-    slots = schedule(targets, int(total), block).withColumn("_at", (F.col("slot_rank") * block) % F.col("source_size"))
-    rounds = F.floor((F.col("_at") + F.col("words") - 1) / F.col("source_size")).cast("long")
-    spans = slots.withColumn("_lap", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
-    spans = spans.select("source", F.greatest(F.lit(0), F.col("_at") - F.col("_lap") * F.col("source_size")).alias("_from"), F.least("source_size", F.col("_at") + F.col("words") - F.col("_lap") * F.col("source_size")).alias("_to"))
+    order = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
+    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("_key"), word_count(F.col("text")).alias("size"), order.alias("_order"), F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(rows.withColumn("_part", F.substring("_order", 1, 3)))
+    totals = rows.groupBy("source", "_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    totals = written(totals)
+    targets = source_targets(totals.select("source", "source_size"), share, repeats)
+    targets = written(targets.withColumn("_key", source_key(F.col("source"))).join(totals.select("_key", "_rows"), "_key"))
+    total = int(targets.agg(F.sum("target")).first()[0] or 0)
+    block = block or block_words(total)
+    placed = _running(rows, "size", "_start", ["_key"], "_part", ["_order", "doc_id", "_text", "_row"])
+    placed = written(placed.select("doc_id", "source", "_key", "size", "_row", "_start"))
+
+    # a slot that passes the end of its source's line goes on at the start, until the last round is over
+    sizes = targets.select("_key", "source_size")
+    slots = schedule(targets, total, block).join(sizes, "_key").withColumn("_begin", F.col("slot_rank") * block)
+    slots = slots.withColumn("_end", F.least(F.col("_begin") + block, F.col("source_size") * repeats)).where("_begin < _end")
+    laps = F.sequence(F.floor(F.col("_begin") / F.col("source_size")), F.floor((F.col("_end") - 1) / F.col("source_size")))
+    spans = slots.withColumn("_lap", F.explode(laps))
+    spans = spans.select("_key", "slot", F.greatest(F.lit(0), F.col("_begin") - F.col("_lap") * F.col("source_size")).alias("_from"), F.least("source_size", F.col("_end") - F.col("_lap") * F.col("source_size")).alias("_to"))
     cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
-    cells = cells.select("source", "_cell", F.greatest("_from", F.col("_cell") * block).alias("_from"), F.least("_to", (F.col("_cell") + 1) * block).alias("_to"))
-    cells = cells.groupBy("source", "_cell", "_from", "_to").agg(F.count("*").alias("_times"))
+    cells = cells.select("_key", "slot", "_cell", F.greatest("_from", F.col("_cell") * block).alias("_from"), F.least("_to", (F.col("_cell") + 1) * block).alias("_to"))
+    cells = cells.groupBy("_key", "_cell", "_from", "_to").agg(F.count("*").alias("_times"), F.min("slot").alias("_slot"))
 
-    held = placed.where("size > 0").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
-    both = held.alias("d").join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d._cell") == F.col("c._cell")))
+    held = placed.where("size > 0").select("_row", "_key", "_start", "size", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))).alias("_cell"))
+    both = held.join(cells, ["_key", "_cell"])
     common = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("_start") + F.col("size")) - F.greatest("_from", "_start"))
-    took = both.groupBy("_row").agg(F.sum(common * F.col("_times")).cast("long").alias("taken"))
-    named = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    done = placed.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).join(took, "_row", "left")
-    return done.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    took = both.groupBy("_row").agg(F.sum(common * F.col("_times")).cast("long").alias("taken"), F.min(F.when(common > 0, F.col("_slot"))).alias("first_slot"))
+    named = meet(placed.select("doc_id", "source", "_key", "size", "_row"), targets.select("_key", "source_size", "target", "_rows"), ["_key"], "_rows")
+    done = named.join(took, "_row", "left")
+    return done.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")

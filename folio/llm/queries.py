@@ -90,6 +90,7 @@ ORACLES = {
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from t""",
+    # the words of a source are its slots times the block, three rounds at most
     "op4_mixing": r"""
         with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                           sha256(coalesce(doc_id::varchar, '')) as k from documents),
@@ -98,9 +99,16 @@ ORACLES = {
         l as (select *, (sum(source_size) over () * 1.0::double - coalesce(sum(lim) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as lev
               from s window w as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)),
         t as (select source, source_size, least(lim, weight * (select arg_min(lev, lim / weight) from l where lim >= lev * weight)) as target from l),
-        p as (select d.*, t.source_size, t.target, coalesce(sum(size) over (partition by d.source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) as start
-              from d join t on d.source is not distinct from t.source)
+        b as (select sum(target)::bigint as total, greatest(1, least(256, sum(target)::bigint // 1048576)) as block from t),
+        c as (select source, case when row_number() over (order by source desc nulls first) = 1 then 1.0::double else sum(target) over (order by source nulls last rows unbounded preceding) / sum(target) over () end as upto from t where target > 0),
+        f as (select source, upto, coalesce(lag(upto) over (order by upto, source nulls last), 0.0::double) as start from c),
+        i as (select unnest(range(0, greatest(1, (total + block - 1) // block))) as i from b),
+        p as (select ((i % 67108864) * 0.6180339887498949::double + ((i // 67108864) * (67108864 * 0.6180339887498949::double % 1.0::double)) % 1.0::double) % 1.0::double as point from i),
+        m as (select source, count(*) as slots from p join f on point >= start and point < upto group by source),
+        w as (select t.*, least(coalesce(slots, 0) * (select block from b), 3 * source_size)::bigint as words from t left join m on t.source is not distinct from m.source),
+        q as (select d.*, w.source_size, w.target, w.words, coalesce(sum(size) over (partition by d.source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) as start
+              from d join w on d.source is not distinct from w.source)
         select doc_id, size, source_size, target,
-               (size * (round(target)::bigint // greatest(source_size, 1)) + greatest(0, least(start + size, round(target)::bigint % greatest(source_size, 1)) - start))::bigint as taken
-        from p""",
+               (size * (words // greatest(source_size, 1)) + greatest(0, least(start + size, words % greatest(source_size, 1)) - start))::bigint as taken
+        from q""",
 }

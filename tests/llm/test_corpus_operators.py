@@ -295,19 +295,28 @@ def test_near_lines_equal_brute_force(spark):
 
 
 def test_mixing(docs):
-    rows = mixing.mix(docs, block=16).collect()
-    assert len(rows) == docs.count()
-    took = collections.Counter()
-    for r in rows:
-        took[r.source] += r.taken
-        assert 0 <= r.taken <= 3 * r.size
-    for r in rows:
-        assert took[r.source] == int(r.target + 0.5) and r.target <= 3 * r.source_size
-    assert abs(sum({r.source: r.target for r in rows}.values()) - sum(r.size for r in rows)) < 1e-6
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, block=64).collect()))
+    for block in (1, 16, 64):
+        rows = mixing.mix(docs, block=block).collect()
+        assert len(rows) == docs.count()
+        took = collections.Counter()
+        for r in rows:
+            took[r.source] += r.taken
+            assert 0 <= r.taken <= 3 * r.size and (r.first_slot is None) == (r.taken == 0)
+        for r in rows:
+            # the discrepancy of the golden ratio is a few slots
+            assert abs(took[r.source] - r.target) <= 4 * block and r.target <= 3 * r.source_size
+        assert abs(sum({r.source: r.target for r in rows}.values()) - sum(r.size for r in rows)) < 1e-6
+        assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, block=block).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_the_points_decide_what_is_taken(docs, monkeypatch):
+    taken = lambda: sorted((str(r.doc_id), r.taken, r.first_slot) for r in mixing.mix(docs, block=32).collect())
+    golden = taken()
+    monkeypatch.setattr(mixing, "GOLDEN", 0.25)
+    assert taken() != golden
+
+
 def test_segments_are_the_maximal_ones():
     draw = np.random.default_rng(3)
     for _ in range(50):
