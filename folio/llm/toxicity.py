@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, solid, written
 
-#: Bounds of what is fitted: labelled rows (those of smallest hash), and tokens of largest weight.
+#: Bound of what is fitted: labelled rows, those of smallest hash.
 LABELLED = 20_000
-TOKENS = 50_000
 BEGINNING = 5
 #: Strength of the prior, the least z-score of a token that counts as toxic, and the cost of any other.
 PRIOR = 50.0
@@ -52,25 +51,34 @@ def log_odds(counts: pd.DataFrame, toxic: str, clean: str, n_toxic: float, n_cle
     return delta.where((delta / np.sqrt(1 / up + 1 / down) >= LEAST_Z) & (counts[toxic] >= LEAST_SEEN), 0.0)
 
 
-def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a score sequence, in linear time."""
+def segments(scores: np.ndarray, steps: list[int] | None = None) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a score sequence, in linear time.
+
+    Each open segment knows the nearest one before it that begins at a lower sum, so that segments in between are
+    never looked at again; steps, if given, gets the number of segments looked at.
+    """
     hits = np.flatnonzero(scores > 0)
     if not len(hits):
         return []
     sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    stack: list[list] = []  # start, end, sum before, sum after
-    for i in hits.tolist():
-        piece = [i, i + 1, sums[i], sums[i + 1]]
+    before, after = sums[hits].tolist(), sums[hits + 1].tolist()
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, nearest with a lower sum before
+    looked = 0
+    for i, low, high in zip(hits.tolist(), before, after, strict=True):
+        start, j = i, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= piece[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= piece[3]:
+            while j >= 0 and stack[j][2] >= low:
+                j, looked = stack[j][4], looked + 1
+            looked += 1
+            if j < 0 or stack[j][3] >= high:
                 break
-            piece = [stack[j][0], piece[1], stack[j][2], piece[3]]
+            start, _, low, _, link = stack[j]
             del stack[j:]
-        stack.append(piece)
-    return [(s, e, float(after - before)) for s, e, before, after in stack]
+            j = link
+        stack.append((start, i + 1, low, high, j))
+    if steps is not None:
+        steps.append(looked)
+    return [(s, e, high - low) for s, e, low, high, _ in stack]
 
 
 def _fold_of(name: str) -> Column:
@@ -155,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ToxicMo
     short = counts.where(f"length(token) > {BEGINNING}").groupBy(F.substring("token", 1, BEGINNING).alias("token")).agg(*(F.sum(c).alias(c) for c in ("every", "t0", "c0", "t1", "c1")))
     tables = []
     for found in (counts, short):
-        top = found.where(f"t0 + t1 >= {LEAST_SEEN}").orderBy(F.desc(F.expr("(t0 + t1) / (t0 + t1 + c0 + c1 + 2)")), F.desc("t0"), "token").limit(TOKENS)
+        top = found.where(f"t0 + t1 >= {LEAST_SEEN}").orderBy("token")
         tables.append(top.toPandas().assign(t=lambda x: x["t0"] + x["t1"], c=lambda x: x["c0"] + x["c1"]))
 
     def model(toxic: str, clean: str, n_toxic: float, n_clean: float) -> ToxicModel:
@@ -198,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ToxicMo
 def predict(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, score, n_segments, spans (start and end token of each significant passage) of every text; one narrow stage.
 
-    Null and empty texts have no passages and get the score of a text without any. Repeated rows, null
-    doc_ids and other columns change nothing; an empty table gives no rows. The model has a bounded size.
+    Null and empty texts have no passages and get the score of a text without any. A very long text is scanned
+    whole, in linear time. Equal texts have equal scores. Repeated rows, null doc_ids and other columns change nothing;
+    an empty table gives no rows. The model has the tokens of the labelled sample only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -328,6 +328,31 @@ def test_segments_are_the_maximal_ones():
         assert sum((s[a:b] > 0).sum() for a, b, _ in found) == (s > 0).sum()  # every positive score is in one
 
 
+def slow_segments(scores):
+    """The maximal segments by their definition: best of the whole, then of what is left and right of it."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    n, todo, out = len(scores), [(0, len(scores))], []
+    while todo:
+        a, b = todo.pop()
+        best = max(((sums[j] - sums[i], i - j, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0, 0))
+        if best[0] > 1e-12:
+            out.append((best[2], best[3]))
+            todo += [(a, best[2]), (best[3], b)]
+    return sorted(out) if n else []
+
+
+def test_segments_by_definition_and_in_linear_time():
+    draw = np.random.default_rng(9)
+    for n in (1, 2, 5, 12, 25):
+        for _ in range(30):
+            s = draw.normal(-0.3, 1, n)
+            assert sorted((a, b) for a, b, _ in toxicity.segments(s)) == slow_segments(s)
+    for shape in (np.where(draw.random(200_000) < 0.05, 1.0, -0.7), np.tile([1.0, -1.5], 100_000), np.tile([1.0, -0.5], 100_000), np.concatenate([np.tile([1.0, -1.1], 50_000), np.tile([1.1, -1.0], 50_000)])):
+        steps: list[int] = []
+        toxicity.segments(shape, steps)
+        assert steps[0] <= 4 * len(shape)
+
+
 def labelled(spark):
     draw = random.Random(8)
     rows, marks = [], []
