@@ -59,10 +59,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete the files of tables made by written() that nothing reads any more."""
+    """Delete the files of tables made by written() that nothing reads any more.
+
+    The driver's JVM is asked to collect, since Spark keeps the shuffle files of finished jobs until then.
+    """
     for table_ in tables:
         for path in {file.rpartition("/")[0] for file in table_.inputFiles()}:
             _delete(table_.sparkSession, path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
@@ -74,13 +79,13 @@ def clear(spark: SparkSession) -> None:
 HEAVY, LEAST_HEAVY = 1_000, 10_000
 
 
-def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """rows joined with groups on keys, where size says how many rows each group meets.
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
+    """rows joined with groups on keys, where size says how many rows each group meets; total is the number of rows, counted if not given.
 
     rows and groups are written tables; a row of groups has keys of its own. Heavy groups are broadcast (by their
     sizes there are HEAVY at most), so their rows stay where they are; the rest is shuffled, at every size, and has no heavy key.
     """
-    limit = max(LEAST_HEAVY, rows.count() // HEAVY)
+    limit = max(LEAST_HEAVY, (rows.count() if total is None else total) // HEAVY)
     heavy, light = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
     rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light.hint("merge"), keys)
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)

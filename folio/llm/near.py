@@ -27,6 +27,8 @@ from .components import components
 SKETCH_BITS = 2048
 SAMPLE_BINS = 1024
 SMALL_BUCKET = 24
+#: The bands are worked through in so many parts.
+CHUNKS = 4
 BLOCK = 512
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -120,9 +122,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return shingle_sets([text], words)[0]
 
 
-def bands_for(threshold: float, loss: float = 1e-6) -> tuple[int, int]:
-    """Bands and rows of MinHash that lose a pair at the threshold with at most this probability."""
-    rows = max(1, round(np.log(0.42) / np.log(threshold))) if threshold < 1 else 8
+def bands_for(threshold: float, loss: float = 1e-6, rows: int | None = None) -> tuple[int, int]:
+    """Bands and rows of MinHash that lose a pair at the threshold with at most this probability; rows, if not given, are such that two pairs in five at the threshold share a band."""
+    rows = rows or (max(1, round(np.log(0.42) / np.log(threshold))) if threshold < 1 else 8)
     return max(1, int(np.ceil(np.log(loss) / np.log1p(-min(threshold**rows, 1 - 1e-12))))), rows
 
 
@@ -286,22 +288,30 @@ def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield rest
 
 
-def near_groups(units: DataFrame, words: int = 5, num: int = 80, den: int = 100, loss: float = 1e-6) -> DataFrame:
+def near_groups(units: DataFrame, words: int = 5, num: int = 80, den: int = 100, loss: float = 1e-6, rows: int | None = None) -> DataFrame:
     """unit_id, n, group_id for every row of units(unit_id, text).
 
     group_id is the smallest unit_id that links reach. Rows without words or with a null unit_id have their
     own id. Rows that repeat a unit_id are one unit, linked by all their texts. A pair at the threshold is
     overlooked with a probability of `loss` at most.
     """
-    bands, rows = bands_for(num / den, loss)
+    bands, rows = bands_for(num / den, loss, rows)
     units = units.select("unit_id", "text")
     signed = written(signatures(units, words, bands, rows))
     real = signed.where("n > 0 and unit_id is not null")
     kinds = real.groupBy("sig_a", "sig_b").agg(F.count("*").alias("units"), F.min("unit_id").alias("least"), F.first("keys").alias("keys"))
     nodes = written(kinds.withColumn("id", F.monotonically_increasing_id()))
-    banded = nodes.select("id", F.explode("keys").alias("key"))
-    shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = written(meet(banded, shared, ["key"], "size"))
+    slim = written(signed.drop("keys"))
+    dropped(signed)
+    signed, real = slim, slim.where("n > 0 and unit_id is not null")
+    # a few bands at a time, so that the keys of all bands are never on disk at once
+    count, step, members = nodes.count(), -(-bands // CHUNKS), None
+    for at in range(0, bands, step):
+        banded = nodes.select("id", F.explode(F.slice("keys", at + 1, step)).alias("key"))
+        shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        found = written(meet(banded, shared, ["key"], "size", count * step))
+        members = found if members is None else members.unionByName(found)
+        dropped(shared)
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"), F.max("size").alias("size"))
     hubs = written(hubs.select("key", "size", (-F.col("top.minus")).alias("hub")))
@@ -315,7 +325,7 @@ def near_groups(units: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     found = first.select(F.col("id").alias("hub"), F.col("component").alias("main"))
     labelled = meet(members.select("key", "id"), written(hubs.join(found, "hub", "left").select("key", "size", F.coalesce("main", "hub").alias("main"))), ["key"], "size")
     labelled = written(labelled.join(first, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"), "main"))
-    dropped(members, shared)
+    dropped(members)
     open_keys = written(labelled.groupBy("key").agg(F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("apart"), F.count("*").alias("_rows")).where("apart > 0"))
     labelled = written(meet(labelled, open_keys, ["key"], "_rows"))
     left = labelled.where("comp <> main")

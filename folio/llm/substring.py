@@ -24,8 +24,9 @@ from .near import _SPACE, mixed, near_groups, words_of
 
 #: A paragraph is a line of at least so many words, one shingle; shorter lines are never removed.
 MIN_WORDS = 5
-#: Share of the pairs of lines at the limit of similarity that may be overlooked; 17 bands of 4 rows follow from it.
-LOSS = 2e-4
+#: Share of the pairs of lines at the limit of similarity that may be overlooked, and rows of a band: 12 bands follow.
+#: Shingles of five words are so rare that three rows bring few unlike lines together, and fewer bands cost less.
+LOSS, ROWS = 2e-4, 3
 #: Words of a passage.
 PASSAGE = 25
 #: Words of a seed; any PASSAGE words in a row hold one.
@@ -214,6 +215,9 @@ def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFr
     kinds = found.groupBy("one", "two").agg(F.count("*").alias("copies"), F.min(place).alias("_first"), F.max("doc_id").alias("_last"), F.any_value("flat").alias("_flat"), F.any_value("seed").alias("seed"), F.any_value("passages").alias("passages"))
     # a flat passage is a piece of its own; one document saying a word over and over is no repeat
     kinds = written(kinds.where("not (_flat and _first.doc_id = _last)").select("one", "two", "seed", "copies", "_first.*", "passages"))
+    slim = written(found.drop("passages", "seed"))
+    dropped(found)
+    found = slim
     several = written(kinds.groupBy("seed").agg(F.count("*").alias("_kinds")).where("_kinds > 1"))
     mixed_ = written(meet(kinds, several, ["seed"], "_kinds").drop("seed", "_kinds"))
     alone = written(kinds.where("copies > 1")).join(several.select("seed"), "seed", "left_anti")
@@ -244,7 +248,7 @@ def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFr
 def repeated_lines(docs: DataFrame, words: int, num: int, den: int, min_words: int) -> DataFrame:
     """doc_id, paragraph, n_shingles, keep_doc_id, keep_paragraph, copies of the lines of docs(doc_id, text) that have a near copy."""
     units = paragraphs(docs, min_words)
-    groups = written(near_groups(units, words, num, den, LOSS))
+    groups = written(near_groups(units, words, num, den, LOSS, ROWS))
     sizes = written(groups.groupBy("group_id").agg(F.count("*").alias("_size")).where("_size > 1"))
     some = written(meet(groups, sizes, ["group_id"], "_size").join(units.select("unit_id", "doc_id", "paragraph"), "unit_id").select("group_id", "doc_id", "paragraph", "n"))
     keeps = written(some.groupBy("group_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "paragraph")).alias("_keep")))
