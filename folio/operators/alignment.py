@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators.compare import text_fingerprint
+from folio.operators.images import INK_SPREAD, RELIABLE, W_ASPECT, W_HASH, W_INK, W_TEXT, W_VISUAL
 
 # fixed values of the alignment: cost of a gap, gain and cost of a match, similarity from which pages are the same
 GAP, GAIN, COST, SAME = -0.55, 2.0, 1.3, 0.96
@@ -39,9 +40,37 @@ def _similarities(left: list, right: list) -> np.ndarray:
     equal = np.array([p["normalized"] for p in left], dtype=object)[:, None] == np.array([p["normalized"] for p in right], dtype=object)[None, :]
     out[(na[:, None] == 0) | (nb[None, :] == 0)] = 0.0
     out[equal & (na[:, None] >= 8)] = 1.0
+    if any(p.get("visual") is not None for p in left) and any(p.get("visual") is not None for p in right):
+        _mix_in_visuals(out, left, right)
     return out
 
 
+def basis_of(left: dict, right: dict) -> str:
+    """What two pages are compared by: text, visual, or hybrid where both have fingerprints and enough text."""
+    if left.get("visual") is None or right.get("visual") is None:
+        return "text"
+    return "hybrid" if min(len(left["normalized"]), len(right["normalized"])) >= RELIABLE else "visual"
+
+
+def _mix_in_visuals(out: np.ndarray, left: list, right: list) -> None:
+    """Put the similarity of fingerprints into out, for pages that both have one."""
+    rows, columns = ([i for i, p in enumerate(side) if p.get("visual") is not None] for side in (left, right))
+    field = lambda side, at, name, kind: np.array([side[i]["visual"][name] for i in at], dtype=kind)
+    bits = np.bitwise_count(field(left, rows, "bits", np.int64).view(np.uint64)[:, None] ^ field(right, columns, "bits", np.int64).view(np.uint64)[None, :])
+    ink = np.abs(field(left, rows, "ink", float)[:, None] - field(right, columns, "ink", float)[None, :]) / INK_SPREAD
+    x, y = field(left, rows, "aspect", float)[:, None], field(right, columns, "aspect", float)[None, :]
+    visual = np.clip((1 - bits / 64) * W_HASH + (1 - np.minimum(1, ink)) * W_INK + np.minimum(x, y) / np.maximum(x, y) * W_ASPECT, 0, 1)
+    enough = lambda side, at: np.array([len(side[i]["normalized"]) >= RELIABLE for i in at])
+    sure = enough(left, rows)[:, None] & enough(right, columns)[None, :]
+    here = np.ix_(rows, columns)
+    out[here] = np.where(sure, np.clip(out[here] * W_TEXT + visual * W_VISUAL, 0, 1), visual)
+
+
+def _plain(page) -> dict:
+    """A page as a dictionary, whatever a task gets it as."""
+    return page if isinstance(page, dict) else page.asDict(recursive=True)
+
+
 def align(left: list, right: list) -> list[tuple[int | None, int | None, float, str]]:
     """left_page, right_page, similarity, status of the best global alignment; at equal scores a match goes before a deletion, that before an insertion.
 
@@ -83,25 +112,29 @@ def align(left: list, right: list) -> list[tuple[int | None, int | None, float,
 
 
 def align_sequences(left: DataFrame, right: DataFrame, cells: int | None = None) -> DataFrame:
-    """doc_id, pos (from 0), left_page, right_page, similarity, status for the documents of either side.
+    """doc_id, pos (from 0), left_page, right_page, similarity, status, basis (of pages that are matched) for the documents of either side.
 
+    Pages may have a visual fingerprint, a column visual of bits, ink, aspect; those that both have one are compared by it
+    too, and by it alone where either has little text.
     If cells is given, a document with more pairs of pages gets one row with status too-large and null pages, and no alignment.
     """
-    side = lambda df, name: text_fingerprint(df).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "normalized", "tokens"))).alias(name))
+    held = lambda df: ["page_number", "normalized", "tokens", *(["visual"] if "visual" in df.columns else [])]
+    side = lambda df, name: text_fingerprint(df).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*held(df)))).alias(name))
     pairs = side(left, "left").join(side(right, "right"), "doc_id", "full")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, a, b in zip(frame["doc_id"], frame["left"], frame["right"], strict=True):
-                a, b = (list(x) if x is not None else [] for x in (a, b))
+                a, b = ([_plain(p) for p in x] if x is not None else [] for x in (a, b))
                 found = align(a, b) if cells is None or len(a) * len(b) <= cells else [(None, None, 0.0, "too-large")]
-                rows += [(doc, pos, *row) for pos, row in enumerate(found)]
+                met = lambda row: basis_of(a[row[0] - 1], b[row[1] - 1]) if row[0] and row[1] else None  # noqa: E731, B023
+                rows += [(doc, pos, *row, met(row)) for pos, row in enumerate(found)]
             if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "pos", "left_page", "right_page", "similarity", "status"])
+                out = pd.DataFrame(rows, columns=["doc_id", "pos", "left_page", "right_page", "similarity", "status", "basis"])
                 yield out.astype({"left_page": "Int32", "right_page": "Int32"})
 
-    return pairs.mapInPandas(run, "doc_id long, pos int, left_page int, right_page int, similarity double, status string")
+    return pairs.mapInPandas(run, "doc_id long, pos int, left_page int, right_page int, similarity double, status string, basis string")
 
 
 def alignment_summary(rows: DataFrame) -> DataFrame:

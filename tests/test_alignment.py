@@ -22,10 +22,19 @@ def test_align_small(spark):
     a = spark.createDataFrame([(1, 1, "alpha beta gamma"), (1, 2, "delta epsilon zeta"), (2, 1, "only on the left")], schema)
     b = spark.createDataFrame([(1, 1, "delta epsilon zeta"), (1, 2, "entirely new words"), (3, 1, None)], schema)
     got = {tuple(r) for r in alignment.align_sequences(a, b).collect()}
-    assert got == {(1, 0, 1, None, 0.0, "deleted"), (1, 1, 2, 1, 1.0, "same"), (1, 2, None, 2, 0.0, "inserted"), (2, 0, 1, None, 0.0, "deleted"), (3, 0, None, 1, 0.0, "inserted")}
+    assert got == {(1, 0, 1, None, 0.0, "deleted", None), (1, 1, 2, 1, 1.0, "same", "text"), (1, 2, None, 2, 0.0, "inserted", None), (2, 0, 1, None, 0.0, "deleted", None), (3, 0, None, 1, 0.0, "inserted", None)}
     assert {r.status for r in alignment.align_sequences(a, b, cells=1).where("doc_id = 1").collect()} == {"too-large"}
 
 
+def test_pages_with_fingerprints(spark):
+    schema = "doc_id long, page_number int, text string, visual struct<bits:bigint,ink:double,aspect:double>"
+    look, other, long = (-1, 0.5, 1.0), (0, 0.5, 1.0), "enough text to be relied on by itself"
+    a = spark.createDataFrame([(1, 1, "", look), (2, 1, long, look), (3, 1, long, None)], schema)
+    b = spark.createDataFrame([(1, 1, "x", look), (2, 1, long, other), (3, 1, long, look)], schema)
+    got = {r.doc_id: (round(r.similarity, 6), r.status, r.basis) for r in alignment.align_sequences(a, b).collect()}
+    assert got == {1: (1.0, "same", "visual"), 2: (0.76 + 0.24 * 0.22, "modified", "hybrid"), 3: (1.0, "same", "text")}
+
+
 def test_alignment_covers_every_page_once(spark):
     rows = compared.d8_align_sequences(spark, SF).collect()
     pages = {(r.doc_id, r.page_number) for r in compared._pages(spark, SF).collect()}
