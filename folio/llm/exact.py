@@ -165,7 +165,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Of rows with equal texts, the one with the smallest doc_id stays. A null text is an empty one. Rows
     repeated with the same doc_id are copies of each other: all carry the group's figures, and each row
     with the smallest doc_id is marked kept. A null doc_id never stays if its group has another; kept is
-    true for it only in a group without any doc_id. Columns of docs named like the results are replaced.
+    true for it only in a group without any doc_id. A very long text is digested whole; only digests are shuffled
+    for the groups. Columns of docs named like the results are replaced. An empty table gives no rows.
     """
     docs = docs.drop("text_sha256", "keep_id", "group_size", "kept")
     groups = written(digest_index(docs))

@@ -20,6 +20,8 @@ from .common import fold, in_slices, solid
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
+#: Languages whose counts a task holds at once.
+HELD = 256
 #: A lead under this share of the total loss makes a prediction ambiguous.
 AMBIGUOUS = 0.02
 RESULTS = {"lang_pred": StringType(), "score": DoubleType(), "runner_up": StringType(), "ambiguous": BooleanType()}
@@ -75,6 +77,11 @@ def fit(docs: DataFrame) -> LanguageModel:
     The driver gets one number for each language and bucket that occurs, however many documents there are.
     """
 
+    def given(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for lang, got in sums.items():
+            at = np.flatnonzero(got)
+            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": got[at]})
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for frame in frames:
@@ -82,9 +89,10 @@ def fit(docs: DataFrame) -> LanguageModel:
                 for lang, own in part.groupby("lang"):
                     got = np.bincount(_grams(own["text"].tolist())[0], minlength=BUCKETS + 1)[:BUCKETS]
                     sums[lang] = sums.get(lang, 0) + got
-        for lang, got in sums.items():
-            at = np.flatnonzero(got)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": got[at]})
+                    if len(sums) >= HELD:
+                        yield from given(sums)
+                        sums.clear()
+        yield from given(sums)
 
     rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInPandas(solid(count), "lang string, bucket int, n long")
     found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -116,8 +124,9 @@ def predict_columns(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A text that is null or has no letter is `und` with score 0 and is ambiguous, and so is every text if the
     model knows no language. With one language, every text with a letter is that one, score 1. score is the
-    softmax of the losses times the square root of the number of trigrams. Repeated rows and other columns
-    change nothing; an empty table gives no rows.
+    softmax of the losses times the square root of the number of trigrams; at equal losses the language that
+    comes first by name is taken. A very long text is read whole, in memory in proportion to it. Repeated rows and
+    other columns change nothing; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

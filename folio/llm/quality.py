@@ -179,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Additiv
 def predict(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id and score of every text; one narrow stage, the model has a fixed size.
 
-    Null texts score as empty ones. Repeated rows, null doc_ids and other columns change nothing; an empty
-    table gives no rows.
+    Null texts score as empty ones. A very long text is read whole. Equal texts have equal scores. Repeated rows, null
+    doc_ids and other columns change nothing; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
