@@ -43,7 +43,8 @@ def signature_coverage(raw: DataFrame) -> DataFrame:
     # the text before the k-th range ends where the parts before it do
     parts = F.split("raw", BYTE_RANGE)
     whole = F.regexp_extract_all("raw", F.lit(f"({BYTE_RANGE})"), F.lit(1))
-    rows = raw.select("doc_id", "raw", F.length("raw").alias("_size"), parts.alias("_parts"), whole.alias("_whole"), F.posexplode(groups).alias("pos", "_g"))
+    held = raw.select("doc_id", "raw", F.length("raw").alias("_size"), parts.alias("_parts"), whole.alias("_whole"), groups.alias("_groups"))
+    rows = held.select("doc_id", "raw", "_size", "_parts", "_whole", F.posexplode("_groups").alias("pos", "_g"))
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + F.length(v))
     start = total(F.slice("_parts", F.lit(1), F.col("pos") + 1)) + total(F.slice("_whole", F.lit(1), F.col("pos")))
     begin = F.greatest(F.lit(0), start - AROUND[0])

@@ -52,7 +52,9 @@ def ingest_ocr_tsv(pages: DataFrame) -> DataFrame:
     lines = F.split("tsv", r"\r?\n")
     header = F.split(F.get(lines, F.lit(0)), "\t")
     at = {n: F.array_position(header, n) for n in ("left", "top", "width", "height", "conf", "text", "level")}
-    rows = pages.where("tsv is not null").select("job_id", "page_number", *(p.cast("int").alias(f"_{n}") for n, p in at.items()), F.posexplode(lines).alias("pos", "_line"))
+    # the header is read below the explode, once a page
+    heads = pages.where("tsv is not null").select("job_id", "page_number", *(p.cast("int").alias(f"_{n}") for n, p in at.items()), lines.alias("_lines"))
+    rows = heads.select(*(c for c in heads.columns if c != "_lines"), F.posexplode("_lines").alias("pos", "_line"))
     rows = rows.where("pos > 0 and least(_left, _top, _width, _height, _conf, _text) > 0").withColumn("_cells", F.split("_line", "\t"))
     cell = lambda n: F.get("_cells", F.col(f"_{n}") - 1)
     number = lambda n: F.trim(cell(n)).try_cast("double")

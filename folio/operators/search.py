@@ -38,23 +38,24 @@ def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = Fal
     """
     single = F.trim("query").rlike("^[A-Za-z0-9_]+$")
     if not whole_word:
-        return _search_literals(pages, queries, case_sensitive, False)
-    return _search_words(pages, queries.where(single), case_sensitive).unionByName(_search_literals(pages, queries.where(~single), case_sensitive, True))
+        return _search_literals(pages, queries, case_sensitive, False, grams=True)
+    found, rest, wordless = _search_words(pages, queries.where(single), case_sensitive), queries.where(~single), ~F.col("query").rlike("[A-Za-z0-9_]")
+    found = found.unionByName(_search_literals(pages, rest.where(~wordless), case_sensitive, True))
+    odd = rest.where(wordless & (F.trim("query") != ""))
+    # pages are cut into characters only if some query has no word
+    return found if odd.isEmpty() else found.unionByName(_search_literals(pages, odd, case_sensitive, True, grams=True))
 
 
-def _search_literals(pages: DataFrame, queries: DataFrame, case_sensitive: bool, whole_word: bool) -> DataFrame:
-    """The matches of literals, by a key that any page with a match has too: a word, or the first characters."""
+def _search_literals(pages: DataFrame, queries: DataFrame, case_sensitive: bool, whole_word: bool, grams: bool = False) -> DataFrame:
+    """The matches of literals, by a key that any page with a match has too: the longest word, or with grams the first characters."""
     fold = (lambda c: c) if case_sensitive else F.lower
     literal = F.trim("query")
-    size = lambda n: F.transform(F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - (n - 1))), lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-    grams = F.array_distinct(F.concat(*(F.coalesce(size(n), F.array().cast("array<string>")) for n in (1, 2, 3))))
-    words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-    first = F.concat(F.lit("g:"), F.substring(fold(literal), 1, 3))
-    longest = F.array_max(F.transform(words(fold(literal)), lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
-    key = F.coalesce(F.concat(F.lit("w:"), longest), first) if whole_word else first
-    keys = F.transform(grams, lambda g: F.concat(F.lit("g:"), g))
-    if whole_word:
-        keys = F.concat(F.array_distinct(F.transform(words(F.col("_text")), lambda w: F.concat(F.lit("w:"), w))), keys)
+    if grams:
+        size = lambda n: F.transform(F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - (n - 1))), lambda i: F.substring(F.col("_text"), i, F.lit(n)))
+        keys, key = F.array_distinct(F.concat(*(F.coalesce(size(n), F.array().cast("array<string>")) for n in (1, 2, 3)))), F.substring(fold(literal), 1, 3)
+    else:
+        words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
+        keys, key = F.array_distinct(words(F.col("_text"))), F.array_max(F.transform(words(fold(literal)), lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
     edge = EDGE if whole_word else ""
     pattern = F.concat(F.lit(("" if case_sensitive else "(?iu)") + edge), F.regexp_replace(literal, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), F.lit(edge))
     asked = queries.where(literal != "").distinct().select("query", key.alias("_key"), pattern.alias("_pattern"))
