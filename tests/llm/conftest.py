@@ -1,0 +1,9 @@
+import pytest
+
+from folio.llm import near
+
+
+@pytest.fixture(autouse=True, scope="session")
+def fewer_parts():
+    """Small tables need no more than two parts of bands."""
+    near.CHUNKS = 2
