@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, langid, minhash, mixing, quality, substring, suffix, toxicity
+from . import ann, bpe, exact, langid, minhash, mixing, quality, secrets, substring, suffix, toxicity
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES = {
@@ -111,4 +116,20 @@ ORACLES = {
         select doc_id, size, source_size, target,
                (size * (words // greatest(source_size, 1)) + greatest(0, least(start + size, words % greatest(source_size, 1)) - start))::bigint as taken
         from q""",
+    # what stands between the matches of a rule gives their places
+    "op13_secret_scan": r"""
+        with k(ord, kind, pattern, least, keep) as (values
+                 (1, 'assign', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 1, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]{6,}'),
+                 (2, 'access', 'AKIA[A-Z0-9]+', 20, '.*'), (3, 'hex', '[0-9a-f]{24,}', 24, '.*'), (4, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 1, '.*'),
+                 (5, 'jwt', 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 1, '.*'), (6, 'forge', 'gh[pousr]_[A-Za-z0-9]+', 40, '.*'),
+                 (7, 'chat', 'xox[abeoprs]-[A-Za-z0-9-]+', 15, '.*'), (8, 'cloud', 'AIza[A-Za-z0-9_-]+', 39, '.*')),
+        d as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
+        m as (select id, ord, kind, least, keep, regexp_split_to_array(text, pattern) as gaps, regexp_extract_all(text, pattern) as hits from d, k where regexp_matches(text, pattern)),
+        u as (select id, ord, kind, least, keep, unnest(hits) as hit, unnest(gaps[:len(hits)]) as gap, unnest(range(len(hits))) as i from m),
+        p as (select *, sum(length(gap) + length(hit)) over (partition by id, ord order by i) as stop from u),
+        f as (select id, ord, (stop - length(hit))::bigint as start, kind || ':' || (stop - length(hit))::bigint || ':' || stop::bigint as span from p where length(hit) >= least and regexp_full_match(hit, keep)),
+        g as (select id, count(*) filter (ord = 1) as a, count(*) filter (ord = 2) as k, count(*) filter (ord = 3) as h,
+                     string_agg(span, ',' order by start, ord) filter (ord <= 3) as base, string_agg(span, ',' order by start, ord) as spans from f group by id)
+        select doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join g using (id)""",
 }
