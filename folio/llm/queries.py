@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, langid, minhash, mixing, quality, secrets, substring, suffix, toxicity
+from . import ann, bpe, exact, langid, minhash, mixing, phrases, quality, secrets, substring, suffix, toxicity
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents")).drop("example_doc_id")
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
+    "op12_phrases": op12_phrases,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -116,6 +121,22 @@ ORACLES = {
         select doc_id, size, source_size, target,
                (size * (words // greatest(source_size, 1)) + greatest(0, least(start + size, words % greatest(source_size, 1)) - start))::bigint as taken
         from q""",
+    # all runs of one to four words are counted as text
+    "op12_phrases": r"""
+        with d as (select coalesce(lang, 'und') as lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
+        p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(pieces) as piece from d)),
+        i as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+        t as (select lang, count(*) as n from i group by lang),
+        f as (select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, m, count(*) as f from i, range(1, 5) s(m) where i + m - 1 <= len(w) group by all having count(*) >= 30),
+        c as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m >= 2),
+        k as (select c.*, unnest(range(1, m)) as k from c),
+        s as (select k.lang, k.phrase, k.a, k, x.f as l, y.f as r, ((2000000::hugeint * a) // (x.f + y.f))::bigint as score from k
+              join f x on x.lang = k.lang and x.phrase = array_to_string(w[1 : k], ' ') join f y on y.lang = k.lang and y.phrase = array_to_string(w[k + 1 : k.m], ' ')),
+        b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        o as (select lang, array_to_string(w[lo : lo + z - 1], ' ') as phrase, max(a) as cover from (select *, unnest(range(1, m - z + 2)) as lo from (select *, unnest(range(2, m)) as z from c where m >= 3)) group by 1, 2),
+        r as (select b.*, n, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b join t using (lang) left join o using (lang, phrase)
+              where cover is null or 100::hugeint * cover < 80::hugeint * a)
+        select lang, rank, phrase, a, l, r, n, score from r where rank <= 2000""",
     # what stands between the matches of a rule gives their places
     "op13_secret_scan": r"""
         with k(ord, kind, pattern, least, keep) as (values
