@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -91,6 +91,25 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total:
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
+def running(rows: DataFrame, sums: dict[str, Column | str], keys: list[str], chunk: str, order: list[str]) -> DataFrame:
+    """rows with, under each name of sums, the sum of its value over the rows of the same keys that come before in the order (chunk, order).
+
+    Two steps, so no task has a whole key: totals of the chunks are summed up, then the rows inside a chunk.
+    """
+    values = [(name, F.col(v) if isinstance(v, str) else v) for name, v in sums.items()]
+    ahead = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, chunk).agg(*(F.sum(v).alias(f"_sum_{name}") for name, v in values))
+    before = [F.coalesce(F.sum(f"_sum_{name}").over(ahead), F.lit(0)).alias(f"_ahead_{name}") for name, _ in values]
+    totals = totals.select(*(F.col(k).alias(f"_at_{k}") for k in keys), F.col(chunk).alias("_at"), *before)
+    match = F.col(chunk) == F.col("_at")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_inside_{name}") for name, v in values))
+    kept = [c for c in rows.columns if not c.startswith("_inside_")]
+    return rows.join(totals, match).select(*kept, *((F.col(f"_inside_{name}") + F.col(f"_ahead_{name}")).alias(name) for name, _ in values))
+
+
 def fold(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; a null doc_id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus

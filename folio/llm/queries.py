@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, langid, minhash, mixing, phrases, quality, secrets, substring, suffix, toxicity
+from . import ann, bpe, exact, langid, minhash, mixing, phrases, quality, secrets, substring, suffix, toxicity, trie
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents")).drop("example_doc_id")
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
+    "op11_trie": op11_trie,
     "op12_phrases": op12_phrases,
     "op13_secret_scan": op13_secret_scan,
 }
@@ -121,6 +126,25 @@ ORACLES = {
         select doc_id, size, source_size, target,
                (size * (words // greatest(source_size, 1)) + greatest(0, least(start + size, words % greatest(source_size, 1)) - start))::bigint as taken
         from q""",
+    # crc32 of a short ASCII string, bit by bit; prefixes are lists of turns, and every node is told to all its ancestors
+    "op11_trie": r"""
+        with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 as place
+                   from conversations where conv_id is not null),
+        l as (select conv_id, list(sha256(length(role) || ':' || role || text) order by place) as t, list(octet_length(encode(text)) order by place) as b from o group by conv_id),
+        c as (select conv_id, (list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+                     lambda a, x: list_reduce([xor(a, x)] || range(8), lambda v, _: xor(v >> 1, (v & 1) * 3988292384::bigint)))) as raw from l),
+        h as (select conv_id, xor(raw, 4294967295::bigint) % 9 as h from c),
+        r as (select l.conv_id, coalesce(b.t[:h], []) || l.t[h + 1 :] as t, coalesce(b.b[:h], []) || l.b[h + 1 :] as b
+              from l join h using (conv_id) left join l b on b.conv_id = l.conv_id - l.conv_id % 5),
+        p as (select conv_id, d, t[:d] as k, len(t) = d as ends, case when d = 0 then 0 else b[d] end as b, len(t) as n, t from (select *, unnest(range(0, len(t) + 1)) as d from r)),
+        n as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, max(b) as b, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ends from p group by k, d),
+        x as (select k[: d - 1] as k, count(*) as n_children from n where d > 0 group by 1),
+        m as (select n.*, coalesce(n_children, 0) as n_children from n left join x using (k)),
+        a as (select k[:e] as k, n_children, (n_convs - 1) * b as saved from (select *, unnest(range(0, d + 1)) as e from m)),
+        s as (select k, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from a group by k)
+        select m.conv_id, m.d as depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(m.ends) as ends_sha256
+        from m join s using (k) left join m u on m.d > 0 and u.k = m.k[: m.d - 1]""",
     # all runs of one to four words are counted as text
     "op12_phrases": r"""
         with d as (select coalesce(lang, 'und') as lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
