@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, meet, written
+from .common import WORD, meet, running, written
 
-#: Words of a block at most, and slots of a schedule before blocks grow to that.
-BLOCK_WORDS, SLOTS = 256, 1 << 20
+#: Words of a block: a source gives its target within a few of them.
+BLOCK_WORDS = 16
+#: Cumulative shares are whole multiples of one part in so many, so their sums are exact in any order.
+UNITS = 1 << 46
 #: Parts of the line of shares, in which slots look for their source.
 PARTS = 1 << 12
 REPEATS = 3
@@ -37,38 +39,20 @@ def source_targets(sizes: DataFrame, share: float = 1.0, repeats: int = REPEATS)
     sources in that order finds how many are full.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    limit = (F.col("source_size") * repeats).cast("double")
+    limit = F.col("source_size") * repeats
     rows = sizes.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("_limit", limit)
     order = Window.orderBy(F.col("_limit") / F.col("weight"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    left = F.sum("source_size").over(every) * share - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))
+    left = F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("_limit").over(before), F.lit(0))
     weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     rows = rows.withColumn("_level", left / weight)
     fits = F.min(F.when(F.col("_limit") >= F.col("_level") * F.col("weight"), F.struct(F.col("_limit") / F.col("weight"), F.col("source").isNull(), "source", "_level"))).over(every)
     level = fits["_level"]
-    target = F.when(level.isNull(), F.col("_limit")).otherwise(F.least(F.col("_limit"), level * F.col("weight")))
+    target = F.when(level.isNull(), F.col("_limit").cast("double")).otherwise(F.least(F.col("_limit").cast("double"), level * F.col("weight")))
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def _running(rows: DataFrame, value: str, start: str, keys: list[str], chunk: str, order: list[str]) -> DataFrame:
-    """start: sum of value over what lies before in the order (chunk, order) of the same keys, in two steps so that no task has a whole key."""
-    totals = rows.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
-    ahead = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(chunk).alias("_chunk"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    match = F.col(chunk) == F.col("_chunk")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(totals, match).withColumn(start, F.col("_inside") + F.col("_ahead")).drop("_inside", "_ahead", "_chunk", *(f"_{k}" for k in keys))
-
-
-def block_words(total: int) -> int:
-    """Words of a block for a mix of so many words: one while that gives no more than SLOTS slots, BLOCK_WORDS at most."""
-    return max(1, min(BLOCK_WORDS, total // SLOTS))
-
-
 def source_key(source: Column) -> Column:
     """A source's name that is never null."""
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
@@ -82,7 +66,8 @@ def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
     spark = targets.sparkSession
     slots = max(1, -(-total // block))
     line = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    shares = targets.where("target > 0").withColumn("_to", F.sum("target").over(line) / F.sum("target").over(Window.partitionBy()))
+    units = F.floor(F.col("target") / F.lit(float(max(total, 1))) * F.lit(float(UNITS)))
+    shares = targets.where("target > 0").withColumn("_to", F.least(F.lit(1.0), F.sum(units).over(line) / F.lit(float(UNITS))))
     last = F.row_number().over(Window.orderBy(F.col("source").desc_nulls_first())) == 1
     shares = shares.withColumn("_to", F.when(last, 1.0).otherwise(F.col("_to"))).withColumn("_from", F.lag("_to", 1, 0.0).over(Window.orderBy("_to", F.col("source").asc_nulls_last())))
     parts = shares.select(source_key(F.col("source")).alias("_key"), "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") * PARTS), F.floor(F.col("_to") * PARTS))).alias("_part"))
@@ -90,12 +75,12 @@ def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
     point = (low * F.lit(GOLDEN) + (high * F.lit((1 << 26) * GOLDEN % 1.0)) % 1.0) % 1.0
     points = spark.range(slots).withColumn("_point", point).withColumn("_part", F.floor(F.col("_point") * PARTS))
     drawn = points.join(parts, "_part").where("_point >= _from and _point < _to")
-    drawn = drawn.select("_key", "id", F.floor(F.col("id") / CHUNK).alias("_slots"), F.lit(1).alias("_one"))
-    ranked = _running(drawn, "_one", "slot_rank", ["_key"], "_slots", ["id"])
+    drawn = drawn.select("_key", "id", F.floor(F.col("id") / CHUNK).alias("_slots"))
+    ranked = running(drawn, {"slot_rank": F.lit(1)}, ["_key"], "_slots", ["id"])
     return ranked.select("_key", F.col("id").alias("slot"), F.col("slot_rank").cast("long").alias("slot_rank"))
 
 
-def mix(docs: DataFrame, share: float = 1.0, block: int | None = None, repeats: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.0, block: int = BLOCK_WORDS, repeats: int = REPEATS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, first_slot for every row.
 
     size counts words (null: 0), taken the words that the mix takes of this row, repeats counted, and first_slot is the
@@ -113,9 +98,9 @@ def mix(docs: DataFrame, share: float = 1.0, block: int | None = None, repeats:
     totals = written(totals)
     targets = source_targets(totals.select("source", "source_size"), share, repeats)
     targets = written(targets.withColumn("_key", source_key(F.col("source"))).join(totals.select("_key", "_rows"), "_key"))
-    total = int(targets.agg(F.sum("target")).first()[0] or 0)
-    block = block or block_words(total)
-    placed = _running(rows, "size", "_start", ["_key"], "_part", ["_order", "doc_id", "_text", "_row"])
+    words = int(totals.agg(F.sum("source_size")).first()[0] or 0)
+    total = min(int(words * share), words * repeats)
+    placed = running(rows, {"_start": "size"}, ["_key"], "_part", ["_order", "doc_id", "_text", "_row"])
     placed = written(placed.select("doc_id", "source", "_key", "size", "_row", "_start"))
 
     # a slot that passes the end of its source's line goes on at the start, until the last round is over

@@ -109,13 +109,13 @@ ORACLES = {
     "op4_mixing": r"""
         with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                           sha256(coalesce(doc_id::varchar, '')) as k from documents),
-        s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight,
-                     (3 * sum(size))::double as lim from d group by source),
+        s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, (3 * sum(size))::bigint as lim from d group by source),
         l as (select *, (sum(source_size) over () * 1.0::double - coalesce(sum(lim) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as lev
               from s window w as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-        t as (select source, source_size, least(lim, weight * (select arg_min(lev, lim / weight) from l where lim >= lev * weight)) as target from l),
-        b as (select sum(target)::bigint as total, greatest(1, least(256, sum(target)::bigint // 1048576)) as block from t),
-        c as (select source, case when row_number() over (order by source desc nulls first) = 1 then 1.0::double else sum(target) over (order by source nulls last rows unbounded preceding) / sum(target) over () end as upto from t where target > 0),
+        t as (select source, source_size, least(lim::double, weight * (select arg_min(lev, lim / weight) from l where lim >= lev * weight)) as target from l),
+        b as (select sum(source_size)::bigint as total, 16 as block from s),
+        n as (select source, floor(target / greatest(1, (select total from b))::double * 70368744177664::double)::bigint as units from t where target > 0),
+        c as (select source, case when row_number() over (order by source desc nulls first) = 1 then 1.0::double else least(1.0::double, sum(units) over (order by source nulls last rows unbounded preceding)::double / 70368744177664::double) end as upto from n),
         f as (select source, upto, coalesce(lag(upto) over (order by upto, source nulls last), 0.0::double) as start from c),
         i as (select unnest(range(0, greatest(1, (total + block - 1) // block))) as i from b),
         p as (select ((i % 67108864) * 0.6180339887498949::double + ((i // 67108864) * (67108864 * 0.6180339887498949::double % 1.0::double)) % 1.0::double) % 1.0::double as point from i),

@@ -199,3 +199,24 @@ def test_awkward_rows(spark, name):
     if name not in ("op3", "op6"):  # many small jobs
         assert sorted(map(str, found)) == sorted(map(str, run(docs).collect()))
     run(docs.limit(0)).collect()
+
+
+def test_op4_is_the_same_whatever_the_layout(spark):
+    """Shares and totals are sums of whole numbers, so neither the order of rows nor their partitions change a row."""
+    from folio.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = None
+    for parts, adaptive in ((1, "true"), (4, "false"), (16, "true")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = sorted((r.doc_id, r.taken, r.first_slot, r.target) for r in mixing.mix(docs.repartition(parts).orderBy("n_chars") if parts == 16 else docs.repartition(parts)).collect())
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        first = first or got
+        assert got == first
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for r in queries.QUERIES["op4_mixing"](spark, SF).collect():
+        by[r.source_size, r.target][0] += r.taken
+    assert all(abs(taken - target) <= 5 * mixing.BLOCK_WORDS for (_, target), (taken, _) in by.items())
+    assert abs(sum(t for t, _ in by.values()) - sum(s for s, _ in by)) < 2 * mixing.BLOCK_WORDS
