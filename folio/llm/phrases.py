@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +88,12 @@ class Words:
         at = np.flatnonzero(self.left >= n)
         return at, _mixed(_sums(self.own, _WORD, at, at + n) + self.lang[at] + _KINDS[n])
 
+    def spelled(self, some: np.ndarray) -> pa.Array:
+        """These words as text: words and what stands between them are the items of one array over the bytes."""
+        cuts = np.stack([self.low, self.high], axis=1).reshape(-1)
+        items = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(self.data))
+        return items.take(pa.array(2 * some))
+
     def known(self) -> np.ndarray:
         """A number for every word, equal where language and bytes are: fingerprints first, then the bytes themselves are compared."""
         _, first, number = np.unique(_mixed(self.own + self.lang), return_index=True, return_inverse=True)
@@ -196,8 +203,6 @@ def _as_text(docs: DataFrame, frequent: Filter, least: int) -> DataFrame:
             number = words.known()
             _, first, number = np.unique(number, return_index=True, return_inverse=True)
             number = number.reshape(-1).astype(np.int64)
-            raw = words.data.tobytes()
-            spelled: dict[int, str] = {}
             chain, many = number, len(first)
             for n in range(1, LONGEST + 1):
                 at, prints = words.phrases(n)
@@ -207,21 +212,14 @@ def _as_text(docs: DataFrame, frequent: Filter, least: int) -> DataFrame:
                     longer[at] = ids.reshape(-1)
                     chain, many = longer, int(ids.max(initial=-1)) + 1
                 at = at[shared.value.has(prints)]
-                count = np.bincount(chain[at], minlength=many)
+                of, doc = chain[at], docs_[words.text[at]]
+                count, one, least_doc = np.bincount(of, minlength=many), np.empty(many, dtype=np.int64), np.full(many, np.iinfo(np.int64).max)
+                one[of[::-1]] = at[::-1]
+                np.minimum.at(least_doc, of, doc)
                 which = np.flatnonzero(count)
-                one, order = np.empty(many, dtype=np.int64), np.argsort(-docs_[words.text[at]], kind="stable")
-                one[chain[at][order]] = at[order]  # of equal phrases the last written stays: the smallest doc_id
-                texts = []
-                for k in one[which].tolist():
-                    parts = []
-                    for w in range(k, k + n):
-                        i = int(number[w])
-                        if i not in spelled:
-                            spelled[i] = raw[words.low[w] : words.high[w]].decode("utf-8", "replace")
-                        parts.append(spelled[i])
-                    texts.append(" ".join(parts))
                 text = words.text[one[which]]
-                yield pa.record_batch({"lang": pa.array([langs[i] for i in text.tolist()], pa.string()), "phrase": pa.array(texts, pa.string()), "words": pa.array(np.full(len(which), n), pa.int64()), "f": count[which], "at": docs_[text]})
+                phrase = pc.binary_join_element_wise(*(words.spelled(one[which] + k) for k in range(n)), pa.scalar(" ", pa.large_string())).cast(pa.string())
+                yield pa.record_batch({"lang": pa.array(langs, pa.string()).take(pa.array(text)), "phrase": phrase, "words": pa.array(np.full(len(which), n), pa.int64()), "f": count[which], "at": least_doc[which]})
 
     found = _texts(docs).mapInArrow(write, "lang string, phrase string, words long, f long, at long")
     return found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"), F.min("at").alias("at")).where(F.col("f") >= least)
