@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.scans import before
+
 # fixed values: reserve and overhead of storage, what is kept, and what tells the kind of a receipt
 RESERVE, QUOTA_SHARE, OVERHEAD = 25_000_000, 0.05, 0.08
 RECEIPTS, TIMELINE, HISTORY, MERGE_MS = 300, 100, 80, 800
@@ -64,13 +66,20 @@ def merge_history(entries: DataFrame, most: int = HISTORY) -> DataFrame:
     """owner, position (0 is the present), id, merge_key, merged of entries(owner, id, at_ms, merge_key).
 
     Entries with the merge key of the one before, less than 800 ms after it, replace it; null and empty keys join nothing.
+    An owner's entries are spread over tasks; ids tell entries of the same time apart.
     """
-    order = Window.partitionBy("owner").orderBy("at_ms", "id")
-    joins = (F.col("merge_key") != "") & (F.col("merge_key") == F.lag("merge_key").over(order)) & (F.col("at_ms") - F.lag("at_ms").over(order) < MERGE_MS)
-    rows = entries.withColumn("_group", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order))
-    last = rows.groupBy("owner", "_group").agg(F.max(F.struct("at_ms", "id", "merge_key")).alias("_last"), F.count("*").alias("merged"))
-    back = Window.partitionBy("owner").orderBy(F.desc("_group"))
-    return last.withColumn("position", F.row_number().over(back) - 1).where(F.col("position") <= most).select("owner", "position", "_last.id", "_last.merge_key", "merged")
+    rows = entries.select("owner", "id", "at_ms", "merge_key")
+    entry = F.struct("at_ms", "id", "merge_key")
+    rows = before(rows, ["owner"], ["at_ms", "id"], _last=(F.max, entry))
+    joins = (F.col("merge_key") != "") & (F.col("merge_key") == F.col("_last.merge_key")) & (F.col("at_ms") - F.col("_last.at_ms") < MERGE_MS)
+    begins = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
+    rows = before(rows.withColumn("_begins", begins).drop("_last"), ["owner"], ["at_ms", "id"], _earlier=(F.sum, F.col("_begins")))
+    rows = rows.withColumn("_group", F.coalesce("_earlier", F.lit(0)) + F.col("_begins"))
+    last = rows.groupBy("owner", "_group").agg(F.max(entry).alias("_last"), F.count("*").alias("merged"))
+    # the newest of every part of an owner's groups, then the newest of those
+    back = lambda *keys: F.row_number().over(Window.partitionBy("owner", *keys).orderBy(F.desc("_group")))
+    some = last.withColumn("_part", F.floor(F.col("_group") / (8 * (most + 1)))).withColumn("_place", back("_part")).where(F.col("_place") <= most + 1)
+    return some.withColumn("position", back() - 1).where(F.col("position") <= most).select("owner", "position", "_last.id", "_last.merge_key", "merged")
 
 
 def receipts_csv(receipts: DataFrame) -> DataFrame:

@@ -2,29 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.scans import before
+
+# fixed values: closed tabs that are kept, and the events that change tabs
 CLOSED = 8
+KINDS = ("tab-opened", "tab-closed", "tab-restored", "mode-changed", "tab-pinned", "tab-unpinned", "tabs-reordered")
 # fixed value: how the id of an edit begins that follows another object's edit
 FOLLOWS = "p2-reflow:"
 
 
 def tab_state(events: DataFrame, most: int = CLOSED) -> DataFrame:
-    """workspace, project, state (open or closed), mode, at, position of events(workspace, project, id, kind, mode, at).
-
-    The last event of a project decides: it is open unless that closes it. Of the closed ones the newest count,
-    from position 1; an open tab has no position. mode is the last one that any event names.
+    """workspace, project, state (open or closed), position (from 1), mode, pinned, active, at of events(workspace, project, id, kind, mode, at).
+
+    Events are folded in the order of at and id. tab-opened and mode-changed open a project's tab behind the others if it
+    is not open, set its mode and make it active; tab-closed puts an open tab on top of the closed ones, of which the
+    newest ``most`` are kept at every close, so that one pushed out never returns, and the last tab gets active where the
+    closed one was; tab-restored takes a project, or the newest where it is null, from the closed ones and opens it with the
+    mode and pin it had; tab-pinned and tab-unpinned mark an open tab; tabs-reordered puts the open tabs of ``order``, an
+    optional column of projects, first. Opening does not take a project from the closed ones. Other kinds change nothing.
+    at is when a tab became active or was closed. Open tabs are in their order, closed ones newest first.
+
+    A workspace's events go through one task in batches; only its tabs are held. Events without a workspace are one, those
+    without a time come first.
     """
-    kinds = events.where(F.col("kind").isin("tab-opened", "tab-closed", "tab-restored", "mode-changed"))
-    when = F.struct("at", "id")
-    last = kinds.groupBy("workspace", "project").agg(F.max_by("kind", when).alias("_kind"), F.max("at").alias("at"), F.max_by(F.col("mode"), F.when(F.col("mode").isNotNull(), when)).alias("mode"))
-    state = F.when(F.col("_kind") == "tab-closed", "closed").otherwise("open")
-    rows = last.withColumn("state", state)
-    newest = Window.partitionBy("workspace").orderBy(F.desc("at"), F.desc("project"))
-    closed = rows.where("state = 'closed'").withColumn("position", F.row_number().over(newest)).where(F.col("position") <= most)
-    opened = rows.where("state = 'open'").withColumn("position", F.lit(None).cast("int"))
-    return opened.unionByName(closed).select("workspace", "project", "state", "mode", "at", "position")
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    order = F.col("order") if "order" in types else F.lit(None).cast(f"array<{types['project']}>")
+    rows = events.where(F.col("kind").isin(*KINDS)).select("workspace", "project", "id", "kind", "mode", "at", order.alias("order"))
+    rows = rows.repartition("workspace").sortWithinPartitions(F.col("workspace").asc_nulls_first(), F.col("at").asc_nulls_first(), "id")
+    schema = f"workspace {types['workspace']}, project {types['project']}, state string, position int, mode string, pinned boolean, active boolean, at {types['at']}"
+    names = ["workspace", "project", "state", "position", "mode", "pinned", "active", "at"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, tabs, now = None, None, ()
+        arrow = None
+        for batch in batches:
+            done: list[tuple] = []
+            arrow = arrow or pa.schema([(n, t) for n, t in zip(names, [batch.schema.field("workspace").type, batch.schema.field("project").type, pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), batch.schema.field("at").type])])
+            for workspace, project, kind, mode, at, wanted in zip(*(batch.column(c).to_pylist() for c in ("workspace", "project", "kind", "mode", "at", "order"))):
+                if tabs is None or (workspace,) != now:
+                    done += [(out, *row) for row in tabs.rows()] if tabs else []
+                    tabs, now, out = _Tabs(most), (workspace,), workspace
+                tabs.take(kind, project, mode, at, wanted or [])
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in done], schema=arrow)
+        if tabs:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (out, *r))) for r in tabs.rows()], schema=arrow)
+
+    return rows.mapInArrow(fold, schema)
+
+
+class _Tabs:
+    """The open tabs of a workspace in order, and the closed ones, newest first."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.open, self.closed, self.active = most, {}, [], None
+
+    def take(self, kind: str, project, mode, at, order: list) -> None:
+        tab = self.open.get(project)
+        if kind in ("tab-opened", "mode-changed"):
+            tab = self.open.setdefault(project, {"mode": None, "pinned": False})
+            tab |= {"mode": tab["mode"] if mode is None else mode, "at": at}
+            self.active = (project,)
+        elif kind == "tab-closed" and tab:
+            del self.open[project]
+            self.closed = [(project, tab | {"at": at}), *(c for c in self.closed if c[0] != project)][: self.most]
+            if self.active == (project,):
+                self.active = (list(self.open)[-1],) if self.open else None
+        elif kind == "tab-restored":
+            found = next((c for c in self.closed if project is None or c[0] == project), None)
+            if found:
+                self.closed.remove(found)
+                self.open.setdefault(found[0], found[1] | {"at": at})
+                self.active = (found[0],)
+        elif kind in ("tab-pinned", "tab-unpinned") and tab:
+            tab["pinned"] = kind == "tab-pinned"
+        elif kind == "tabs-reordered":
+            first = {p: self.open[p] for p in order if p in self.open}
+            self.open = first | {p: t for p, t in self.open.items() if p not in first}
+
+    def rows(self) -> list[tuple]:
+        opened = [(p, "open", i, t["mode"], t["pinned"], self.active == (p,), t["at"]) for i, (p, t) in enumerate(self.open.items(), 1)]
+        return opened + [(p, "closed", i, t["mode"], t["pinned"], False, t["at"]) for i, (p, t) in enumerate(self.closed, 1)]
 
 
 def _owners(edit_id: Column) -> Column:
@@ -74,7 +137,7 @@ def validate_packages(packages: DataFrame, assets: DataFrame, objects: DataFrame
     assets(package_id, id, start, length), objects(package_id, id, type, asset_id), jobs(package_id, id),
     pages(package_id, job_id, page_number, start, length); a page may have no range. Rules: ids are not blank and
     unique, references exist, a page of a job comes once, ranges begin after the source, end in the payload and do
-    not overlap, length and checksum are as declared.
+    not begin before an earlier one ends, length and checksum are as declared. A package's ranges are spread over tasks.
     """
     broken = lambda rows, rule, item: rows.select("package_id", F.lit(rule).alias("rule"), item.cast("string").alias("item"))
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
@@ -95,9 +158,9 @@ def validate_packages(packages: DataFrame, assets: DataFrame, objects: DataFrame
     parts.append(broken(held.where(~whole), "range-invalid", F.col("item")))
     parts.append(broken(held.where(whole & (F.col("start") < F.col("source_length"))), "range-in-source", F.col("item")))
     parts.append(broken(held.where(whole & (F.col("start") >= F.col("source_length")) & (F.col("start") + F.col("length") > F.col("payload_length"))), "range-truncated", F.col("item")))
-    before = Window.partitionBy("package_id").orderBy("start", F.col("start") + F.col("length"), "item").rowsBetween(-1, -1)
-    laid = held.where(whole).withColumn("_end", F.max(F.col("start") + F.col("length")).over(before))
-    parts.append(broken(laid.where("start < _end"), "range-overlaps", F.col("item")))
+    laid = held.where(whole).withColumn("_end", F.col("start") + F.col("length")).withColumn("_row", F.monotonically_increasing_id())
+    laid = before(laid, ["package_id"], ["start", "_end", "item", "_row"], _before=(F.max, F.col("_end")))
+    parts.append(broken(laid.where("start < _before"), "range-overlaps", F.col("item")))
     parts.append(broken(packages.where("not (declared_length <=> payload_length)"), "payload-length", F.lit(None)))
     parts.append(broken(packages.where("not (declared_checksum <=> payload_checksum)"), "payload-checksum", F.lit(None)))
     out = parts[0]

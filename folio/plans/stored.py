@@ -77,9 +77,11 @@ def j5_repair(spark, sf_dir):
 
 
 def j10_tab_state(spark, sf_dir):
-    kinds = F.create_map(*(F.lit(x) for pair in (("signup", "tab-opened"), ("view", "mode-changed"), ("purchase", "checkpoint-created"), ("click", "tab-restored"), ("error", "tab-closed")) for x in pair))
+    kinds = F.create_map(*(F.lit(x) for pair in (("signup", "tab-opened"), ("view", "mode-changed"), ("purchase", "tab-pinned"), ("click", "tab-restored"), ("error", "tab-closed")) for x in pair))
     modes = F.when(F.col("event_type").isin("view", "error"), F.concat(F.lit("m"), F.col("event_id") % 4))
-    events = _events(spark, sf_dir).select((F.col("user_id") % 10).alias("workspace"), F.col("user_id").alias("project"), F.col("event_id").alias("id"), kinds[F.col("event_type")].alias("kind"), modes.alias("mode"), F.col("ts").alias("at"))
+    project = F.when(~((F.col("event_type") == "click") & (F.col("event_id") % 5 == 0)), F.col("user_id") % 23)
+    kind = F.when(F.col("event_id") % 31 == 0, "tab-unpinned").otherwise(kinds[F.col("event_type")])
+    events = _events(spark, sf_dir).select((F.col("user_id") % 3).alias("workspace"), project.alias("project"), F.col("event_id").alias("id"), kind.alias("kind"), modes.alias("mode"), F.col("ts").alias("at"))
     return workspace.tab_state(events).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
@@ -173,10 +175,20 @@ ORACLES = {
         select 'jobs' as store, job_id::varchar as record, coalesce(done, 0)::varchar as value from j left join d using (job_id) union all select 'pages', job_id || ':' || page_number, status from g
         union all select 'events', id::varchar, project_id::varchar from st_events a where exists (select 1 from st_projects p where p.project_id = a.project_id) union all select 'projects', project_id::varchar, null from st_projects
         union all select 'assets', project_id || '/' || asset_id, null from st_assets a where exists (select 1 from st_projects p where p.project_id = a.project_id)""",
-    "j10_tab_state": """with e as (select user_id % 10 as workspace, user_id as project, event_id as id, event_type as t, case when event_type in ('view', 'error') then 'm' || event_id % 4 end as mode, ts as "at" from events where event_type <> 'purchase'),
-        l as (select workspace, project, arg_max(t, ("at", id)) as t, max("at") as "at", arg_max(mode, ("at", id)) filter (mode is not null) as mode from e group by 1, 2),
-        c as (select *, row_number() over (partition by workspace order by "at" desc, project desc)::int as position from l where t = 'error')
-        select workspace, project, 'open' as state, mode, "at", null::int as position from l where t <> 'error' union all select workspace, project, 'closed', mode, "at", position from c where position <= 8""",
+    # one event of every workspace a round, with the tabs as lists
+    "j10_tab_state": """with recursive e as (select user_id % 3 as w, case when event_type = 'click' and event_id % 5 = 0 then null else user_id % 23 end as p,
+            case when event_id % 31 = 0 then 'unpin' else map {'signup': 'open', 'view': 'open', 'purchase': 'pin', 'click': 'restore', 'error': 'close'}[event_type] end as k,
+            case when event_type in ('view', 'error') then 'm' || event_id % 4 end as m, ts as a, row_number() over (partition by user_id % 3 order by ts, event_id) as n from events),
+        f as (select distinct w, 0::bigint as n, []::struct(p bigint, m varchar, pin boolean, a timestamp)[] as tabs, []::struct(p bigint, m varchar, pin boolean, a timestamp)[] as closed, null::bigint as active from e
+            union all select w, n, case when k = 'open' and tab is null then tabs || [{'p': p, 'm': m, 'pin': false, 'a': a}] when k = 'open' then list_transform(tabs, lambda t: case when t.p = p then {'p': t.p, 'm': coalesce(m, t.m), 'pin': t.pin, 'a': a} else t end)
+                    when k = 'close' then others when k = 'restore' and hit is not null and not list_contains(list_transform(tabs, lambda t: t.p), hit.p) then tabs || [{'p': hit.p, 'm': hit.m, 'pin': hit.pin, 'a': a}]
+                    when k in ('pin', 'unpin') then list_transform(tabs, lambda t: case when t.p = p then {'p': t.p, 'm': t.m, 'pin': k = 'pin', 'a': t.a} else t end) else tabs end,
+                case when k = 'close' and tab is not null then ([{'p': p, 'm': tab.m, 'pin': tab.pin, 'a': a}] || list_filter(closed, lambda c: c.p <> p))[:8] when k = 'restore' and hit is not null then list_filter(closed, lambda c: c.p <> hit.p) else closed end,
+                case when k = 'open' then p when k = 'close' and tab is not null and active = p then others[-1].p when k = 'restore' and hit is not null then hit.p else active end
+            from (select f.w, e.n, e.p, e.k, e.m, e.a, tabs, closed, active, list_filter(tabs, lambda t: t.p = e.p)[1] as tab, list_filter(tabs, lambda t: t.p <> e.p) as others, list_filter(closed, lambda c: e.p is null or c.p = e.p)[1] as hit from f join e on e.w = f.w and e.n = f.n + 1)),
+        z as (select * from f qualify row_number() over (partition by w order by n desc) = 1), o as (select w, active, unnest(tabs) as t, generate_subscripts(tabs, 1)::int as i from z), c as (select w, unnest(closed) as t, generate_subscripts(closed, 1)::int as i from z)
+        select w as workspace, t.p as project, 'open' as state, i as position, t.m as mode, t.pin as pinned, coalesce(t.p = active, false) as active, t.a as "at" from o
+        union all select w, t.p, 'closed', i, t.m, t.pin, false, t.a from c""",
     "j12_merge_edits": _WITH + _EDITS + """ select doc_id, id, object_id, kind, follower, page_number, 'current' as source from ed e where not exists (select 1 from nw n where n.doc_id = e.doc_id and (n.object_id = e.object_id or (n.kind = 'text' and starts_with(e.id, 'p2-reflow:' || n.object_id || ':'))))
         union all select doc_id, id, object_id, kind, follower, page_number, 'incoming' from nw""",
     "j12_edit_conflicts": _WITH + _EDITS + """, c as (select n.doc_id, n.object_id, e.id, 0 as k, e.position from nw n join ed e on e.doc_id = n.doc_id and e.object_id = n.object_id and e.kind = 'text' and e.follower and not starts_with(e.id, 'p2-reflow:' || n.object_id || ':')
@@ -186,7 +198,7 @@ ORACLES = {
         a as (select doc_id, page_number as n, case when (doc_id + page_number) % 17 = 0 then ' ' when (doc_id + page_number) % 19 = 0 then 'a1' else 'a' || page_number end as id, z, z + page_number * 100 - case when (doc_id + page_number) % 7 = 0 then 150 else 0 end as b, 100 as len from doc_pages join d using (doc_id) where page_number <= 12),
         g as (select doc_id, page_number as o, case when doc_id % 8 = 1 then 1 else page_number end as n, z, case when page_number = 3 then z + 9950 end as b, 100 as len from doc_pages join d using (doc_id) where page_number <= 3),
         r as (select doc_id, 'asset ' || id as item, z, b, len from a union all select doc_id, 'page j1:' || n, z, b, len from g where b is not null),
-        l as (select *, lag(b + len) over (partition by doc_id order by b, b + len, item) as before from r where b >= 0)
+        l as (select *, max(b + len) over (partition by doc_id order by b, b + len, item rows between unbounded preceding and 1 preceding) as before from r where b >= 0)
         select doc_id as package_id, 'asset-id-blank' as rule, null::varchar as item from a where trim(id) = '' union all select doc_id, 'asset-id-duplicated', id from a where trim(id) <> '' group by 1, 3 having count(*) > 1
         union all select p.doc_id, 'asset-missing', 'o' || page_number from doc_pages p where page_number % 2 = 0 and not exists (select 1 from a where a.doc_id = p.doc_id and a.id = 'a' || p.page_number)
         union all select doc_id, 'job-missing', 'j1:' || n from g where doc_id % 4 = 0 union all select doc_id, 'page-duplicated', 'j1:' || n from g group by doc_id, n having count(*) > 1
