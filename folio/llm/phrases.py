@@ -22,7 +22,7 @@ from .common import meet, written
 #: Words of a phrase at most.
 LONGEST = 4
 #: Bytes of text whose words are hashed at once; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bits of a filter for each fingerprint in it, and bits at most: 32 MB.
 BITS_EACH, MOST_BITS = 12, 1 << 28
 SPLITS = 64
@@ -37,10 +37,16 @@ _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _KINDS = np.array([0x2545F4914F6CDD1D * k % (1 << 64) for k in range(LONGEST + 1)], dtype=np.uint64)
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers, kept for the next slice."""
+    if len(_tables.get(base, ())) < n:
+        out = np.full(n + n // 8, base, dtype=np.uint64)
+        out[:1] = 1
+        _tables[base] = np.multiply.accumulate(out, out=out)
+    return _tables[base][:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,7 +59,8 @@ def _sums(values: np.ndarray, base: int, low: np.ndarray, high: np.ndarray) -> n
     """Of every low..high the polynomial of its values, the first with power 0, from sums of prefixes."""
     n = len(values)
     prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(base, n), out=prefix[1:])
+    np.multiply(values, _powers(base, n), out=prefix[1:])
+    np.cumsum(prefix, out=prefix)
     return (prefix[high] - prefix[low]) * _powers(pow(base, -1, 1 << 64), n + 1)[low]
 
 
@@ -72,7 +79,7 @@ class Words:
         self.low, self.high = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.text = np.searchsorted(offsets, self.low, side="right") - 1
         size = (self.high - self.low).astype(np.uint64)
-        self.own = _mixed(_sums(data.astype(np.uint64) + np.uint64(1), _BYTE, self.low, self.high) + size * np.uint64(_WORD))
+        self.own = _mixed(_sums(data, _BYTE, self.low, self.high) + size * np.uint64(_WORD))
         self.lang = langs[self.text]
         breaks = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum(_BREAK[data], out=breaks[1:])
@@ -102,10 +109,11 @@ class Words:
         size = self.high - self.low
         off = (size[like] != size) | (self.lang[like] != self.lang)
         ok = np.flatnonzero(~off)
-        where = np.repeat(self.low[ok] - np.concatenate([[0], np.cumsum(size[ok])[:-1]]), size[ok]) + np.arange(size[ok].sum())
-        other = np.repeat(self.low[like[ok]] - self.low[ok], size[ok]) + where
-        wrong = np.repeat(ok, size[ok])[self.data[where] != self.data[other]]
-        off[wrong] = True
+        for some in np.array_split(ok, max(1, len(ok) // 50_000)):
+            upto = np.cumsum(size[some])
+            where = np.repeat(self.low[some] - upto + size[some], size[some]) + np.arange(upto[-1] if len(upto) else 0)
+            other = np.repeat(self.low[like[some]] - self.low[some], size[some]) + where
+            off[np.repeat(some, size[some])[self.data[where] != self.data[other]]] = True
         names: dict[tuple, int] = {}
         for k in np.flatnonzero(off).tolist():
             number[k] = names.setdefault((self.lang[k], self.data[self.low[k] : self.high[k]].tobytes()), len(first) + len(names))
