@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.storage import written
@@ -34,10 +34,14 @@ def select_pages(requests: DataFrame) -> DataFrame:
     return kept.withColumn("error", F.lit(None).cast("string")).select("doc_id", "page_number", "error").unionByName(errors)
 
 
+def chunk_of(page: Column, size: float) -> Column:
+    """The chunk, from 0, that a page is in; chunks have size pages (rounded, 1 to 500)."""
+    return F.floor((page - 1) / max(1, min(500, int(size + 0.5)))).cast("int")
+
+
 def split_fixed(pages: DataFrame, size: float) -> DataFrame:
     """doc_id, chunk, name, first_page, last_page, page_count of parts of size pages (rounded, 1 to 500)."""
-    n = max(1, min(500, int(size + 0.5)))
-    parts = pages.groupBy("doc_id", F.floor((F.col("page_number") - 1) / n).cast("int").alias("chunk"))
+    parts = pages.groupBy("doc_id", chunk_of(F.col("page_number"), size).alias("chunk"))
     parts = parts.agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count("*").alias("page_count"))
     return parts.withColumn("name", F.format_string("pages-%04d-%04d", "first_page", "last_page"))
 

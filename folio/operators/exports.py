@@ -7,6 +7,10 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.assembly import chunk_of, split_fixed
+from folio.sources.files import write_files
+
+ENDINGS = {"text": ".txt", "markdown": ".md", "html": ".html"}
 # fixed values: the texts between pages and for a page without text, and the HTML around them
 PAGE_BREAK = "\n\n--- Page break ---\n\n"
 EMPTY_PAGE = "_No extractable text on this page._"
@@ -30,6 +34,22 @@ def export_documents(pages: DataFrame, form: str = "text", title: str = "PDF exp
     return pages.groupBy("doc_id").agg(body.alias("body")).select("doc_id", F.lit(form).alias("form"), "body")
 
 
+def save_documents(pages: DataFrame, path: str, form: str = "text", title: str = "PDF export", mode: str = "append") -> None:
+    """export_documents() as files below path, one for each document, named by its id; all or none."""
+    rows = export_documents(pages, form, title)
+    write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(ENDINGS[form])).alias("name"), "body"), path, mode)
+
+
+def save_chunks(pages: DataFrame, size: int, path: str, mode: str = "append") -> DataFrame:
+    """The chunks of split_fixed() as text files <doc_id>/<name>.txt below path, all or none; gives doc_id, chunk, name, page_count, and fails if a chunk's pages are not those its name says."""
+    whole = F.raise_error(F.concat(F.lit("pages are missing in "), "doc_id", F.lit("/"), "name"))
+    chunks = split_fixed(pages, size).withColumn("name", F.when(F.col("page_count") == F.col("last_page") - F.col("first_page") + 1, F.col("name")).otherwise(whole.cast("string")))
+    texts = pages.withColumn("chunk", chunk_of(F.col("page_number"), size)).groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("_parts"))
+    rows = texts.join(chunks, ["doc_id", "chunk"]).withColumn("body", F.array_join(F.transform("_parts", lambda p: p["text"]), PAGE_BREAK))
+    write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "name", F.lit(".txt")).alias("name"), "body"), path, mode)
+    return chunks.select("doc_id", "chunk", "name", "page_count")
+
+
 def plain_text_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), text of the paragraphs between blank lines; line breaks inside become spaces. Null and blank texts have none."""
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")

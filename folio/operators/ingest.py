@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources import files
+
 # fixed values: how far from its ends a file's marks may be, and the tokens that tell its features
 HEAD, TAIL = 1024, 2048
 TOKENS = {"encrypted": "/Encrypt", "object_streams": "/ObjStm", "xref_streams": "/XRef", "linearized": "/Linearized", "previous_xref": "/Prev"}
+REVISION = "startxref"
 OMITTED = "[filename omitted]"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of the files of a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-
 def container_triage(files: DataFrame, key: str = "path") -> DataFrame:
     """key, byte_length, has_header, has_eof, errors, valid and the features of files(key, content); a null content is empty.
 
     The header stands at the very beginning, the end mark before nothing but white space; features are tokens
-    anywhere, incremental_updates counts the places of startxref.
+    anywhere, incremental_updates counts the places of startxref. For files in a folder there is triage_folder().
     """
     raw = F.coalesce("content", F.lit(b""))
     text = F.decode(raw, "ISO-8859-1")
-    size = F.octet_length(raw)
-    head = F.substring(text, 1, HEAD)
-    tail = F.decode(F.expr(f"substring(coalesce(content, X''), greatest(1, length(coalesce(content, X'')) - {TAIL} + 1), {TAIL})"), "ISO-8859-1")
+    tail = F.expr(f"substring(coalesce(content, X''), greatest(1, length(coalesce(content, X'')) - {TAIL} + 1), {TAIL})")
+    return _judged(files, key, F.octet_length(raw).cast("long"), F.substring(text, 1, HEAD), F.decode(tail, "ISO-8859-1"), [F.contains(text, F.lit(t)) for t in TOKENS.values()], F.regexp_count(text, F.lit(REVISION)))
+
+
+def triage_folder(spark: SparkSession, path: str) -> DataFrame:
+    """container_triage() of the files below a folder: their ends by ranges, tokens counted block by block, no file held whole."""
+    facts = files.file_facts(spark, path, HEAD, TAIL, (*TOKENS.values(), REVISION))
+    counts = [F.col("counts")[i] for i in range(len(TOKENS) + 1)]
+    return _judged(facts, "path", F.col("byte_length"), F.decode("head", "ISO-8859-1"), F.decode("tail", "ISO-8859-1"), [c > 0 for c in counts[:-1]], counts[-1].cast("int"))
+
+
+def _judged(rows: DataFrame, key: str, size: Column, head: Column, tail: Column, found: list[Column], revisions: Column) -> DataFrame:
     header, eof = head.rlike(r"^%PDF-\d\.\d"), tail.rlike(r"%%EOF\s*\z")
     errors = F.filter(F.array(F.when(size == 0, "empty-file"), F.when(~header, "missing-header"), F.when(~eof, "missing-eof")), lambda e: e.isNotNull())
-    rows = files.select(key, size.cast("long").alias("byte_length"), header.alias("has_header"), eof.alias("has_eof"), errors.alias("errors"), *(F.contains(text, F.lit(t)).alias(n) for n, t in TOKENS.items()), F.regexp_count(text, F.lit("startxref")).alias("incremental_updates"))
-    return rows.withColumn("valid", F.size("errors") == 0)
+    out = rows.select(key, size.alias("byte_length"), header.alias("has_header"), eof.alias("has_eof"), errors.alias("errors"), *(f.alias(n) for n, f in zip(TOKENS, found)), revisions.alias("incremental_updates"))
+    return out.withColumn("valid", F.size("errors") == 0)
 
 
 def triage_totals(triaged: DataFrame) -> DataFrame:

@@ -82,8 +82,20 @@ def merge_history(entries: DataFrame, most: int = HISTORY) -> DataFrame:
     return some.withColumn("position", back() - 1).where(F.col("position") <= most).select("owner", "position", "_last.id", "_last.merge_key", "merged")
 
 
+RECEIPT_FIELDS = ("created_at", "kind", "filename", "mime_type", "byte_length", "sha256", "route", "release")
+
+
+def _cells() -> list:
+    return [F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), *(F.col(c).cast("string") for c in RECEIPT_FIELDS[1:])]
+
+
 def receipts_csv(receipts: DataFrame) -> DataFrame:
     """id, line: the time in ISO form (UTC, whatever the session's zone) and seven fields, each in quotes, quotes inside doubled; nulls are empty."""
-    cells = [F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), *(F.col(c).cast("string") for c in ("kind", "filename", "mime_type", "byte_length", "sha256", "route", "release"))]
-    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells]
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in _cells()]
     return receipts.select("id", F.concat_ws(",", *quoted).alias("line"))
+
+
+def save_receipts(receipts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The fields of receipts_csv() as CSV files below path, each with a line of names; every cell in quotes."""
+    cells = [F.coalesce(c, F.lit("")).alias(n) for n, c in zip(RECEIPT_FIELDS, _cells())]
+    receipts.select(*cells).write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', emptyValue='""')

@@ -99,9 +99,13 @@ def h3_merge_documents(spark, sf_dir):
     return assembly.merge_documents(_pages(spark, sf_dir).select(F.floor(F.col("doc_id") / 4).alias("merge_id"), (F.col("doc_id") % 4).alias("source_index"), "doc_id", "page_number"))
 
 
-def s8_receipts_csv(spark, sf_dir):
+def receipts(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return records.receipts_csv(events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("kind"), F.concat(F.lit('f"'), "event_id").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("user_id").alias("byte_length"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("sha256"), F.lit("/activity").alias("route"), F.lit("1").alias("release")))
+    return events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("kind"), F.concat(F.lit('f"'), "event_id").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("user_id").alias("byte_length"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("sha256"), F.lit("/activity").alias("route"), F.lit("1").alias("release"))
+
+
+def s8_receipts_csv(spark, sf_dir):
+    return records.receipts_csv(receipts(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (b9_script_profile, c2_search_many, c2_search_texts, c3_page_text, e8_annotation_inventory, i2_pending_pages, d8_align_sequences, d9_alignment_summary, d10_diff_words, f4_verify_form_updates, f5_sanitize_objects, f9_signature_coverage, f12_archival_claims, f13_font_coverage, h3_merge_documents, s8_receipts_csv)}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.storage import shared_dir
 from folio.operators import assembly, diagnostics, exports, governance, jobs, lineage
 from folio.sources import views
-from folio.streaming import flows
+from folio.streaming import flows, sessions
 
 
 def _docs(spark, sf_dir) -> DataFrame:
@@ -120,10 +123,31 @@ def j13_isolate_ids(spark, sf_dir):
     return lineage.isolate_ids(pages.where("page_number % 2 = 1"), pages)
 
 
+def _beats(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("session"), (F.col("user_id") % 20).alias("project"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "purchase").alias("clean_exit"))
+
+
 def k1_interrupted_sessions(spark, sf_dir):
     events = _events(spark, sf_dir)
-    beats = events.select(F.col("user_id").alias("session"), (F.col("user_id") % 20).alias("project"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("clean_exit"))
-    return _ntz(flows.interrupted_sessions(flows.last_beats(beats), events.select(F.max("ts")).scalar()), "at")
+    return _ntz(flows.interrupted_sessions(flows.last_beats(_beats(events)), events.select(F.max("ts")).scalar()), "at")
+
+
+def k1_session_stream(spark, sf_dir):
+    """The events as a stream, run until it has read all; what it wrote gives the batch form's rows."""
+    events = views.table(spark, sf_dir, "events")
+    where = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    old = spark.conf.get(next(iter(sessions.STORE)))
+    try:
+        for key, value in sessions.STORE.items():
+            spark.conf.set(key, value)
+        events.write.parquet(f"{where}/in")
+        states = sessions.session_states(_beats(spark.readStream.schema(events.schema).parquet(f"{where}/in")))
+        states.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(next(iter(sessions.STORE)), old)
+    newest = events.select(F.max(F.col("ts").cast("timestamp"))).scalar()
+    found = sessions.interrupted_now(spark.read.schema(states.schema).parquet(f"{where}/out")).where(F.col("at") >= newest - F.expr(f"interval {flows.DAYS} days"))
+    return _ntz(found.select(F.col("project").cast("long").alias("project"), F.col("session").cast("long").alias("session"), "at"), "at")
 
 
 def k2_receipt_counts(spark, sf_dir):
@@ -137,7 +161,7 @@ def k3_history_sessions(spark, sf_dir):
     return _ntz(flows.history_sessions(edits), "started")
 
 
-QUERIES = {f.__name__: f for f in (s1_load_versioned, s2_migrate_manifests, s6_export_documents, s6_export_html, b5_plain_text_blocks, e7_inspect_totals, f1_redaction_tokens, f2_redact_spans, f3_verify_redaction, f7_mask_diagnostics, f7_mask_counts, g13_box_collisions, h5_bates_numbers, h7_insert_blank_pages, i1_reconcile_jobs, i4_ocr_quality, j2_document_lineage, j13_isolate_ids, k1_interrupted_sessions, k2_receipt_counts, k3_history_sessions)}
+QUERIES = {f.__name__: f for f in (s1_load_versioned, s2_migrate_manifests, s6_export_documents, s6_export_html, b5_plain_text_blocks, e7_inspect_totals, f1_redaction_tokens, f2_redact_spans, f3_verify_redaction, f7_mask_diagnostics, f7_mask_counts, g13_box_collisions, h5_bates_numbers, h7_insert_blank_pages, i1_reconcile_jobs, i4_ocr_quality, j2_document_lineage, j13_isolate_ids, k1_interrupted_sessions, k1_session_stream, k2_receipt_counts, k3_history_sessions)}
 
 _WITH = "with recursive " + views.SQL
 _TOKENS = r""", tokens as (select distinct doc_id, page_number, trim(regexp_replace(text, '\s+', ' ', 'g')) as token from touched where visible and length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 3),
@@ -183,3 +207,4 @@ ORACLES = {
         g as (select *, case when us - lag(us) over w < 800000 then 0 else 1 end as s from e window w as (partition by owner, merge_key order by us)), h as (select *, sum(s) over (partition by owner, merge_key order by us rows unbounded preceding) as n from g)
         select owner, merge_key, make_timestamp(min(us)::bigint) as started, count(*) as edits from h group by owner, merge_key, n""",
 }
+ORACLES["k1_session_stream"] = ORACLES["k1_interrupted_sessions"]

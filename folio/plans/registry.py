@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import assembly, compare, integrity, records, search
-from folio.plans import compared, governed, measured, paired, stored, structured
+from folio.plans import compared, filed, governed, measured, paired, stored, structured
 from folio.sources import views
 
 
@@ -138,7 +138,7 @@ def j11_merge_history(spark, sf_dir):
     return records.merge_history(entries)
 
 
-QUERIES = {f.__name__: f for f in (c1_search_pages, d1_page_presence, d2_text_fingerprint, d3_page_similarity, e1_object_fingerprints, e2_category_digests, e3_compare_contract, e3_contract_verdict, e4_fingerprint_delta, h1_select_pages, h4_imposition, h4_imposition_4up, h4_imposition_rtl, s7_split_fixed, j1_dedupe_by_checksum, j6_storage_budget, j7_budget_classes, j8_activity_receipts, j8_activity_receipts_full, j9_event_timeline, j9_event_timeline_full, j11_merge_history)} | governed.QUERIES | compared.QUERIES | paired.QUERIES | structured.QUERIES | stored.QUERIES | measured.QUERIES
+QUERIES = {f.__name__: f for f in (c1_search_pages, d1_page_presence, d2_text_fingerprint, d3_page_similarity, e1_object_fingerprints, e2_category_digests, e3_compare_contract, e3_contract_verdict, e4_fingerprint_delta, h1_select_pages, h4_imposition, h4_imposition_4up, h4_imposition_rtl, s7_split_fixed, j1_dedupe_by_checksum, j6_storage_budget, j7_budget_classes, j8_activity_receipts, j8_activity_receipts_full, j9_event_timeline, j9_event_timeline_full, j11_merge_history)} | governed.QUERIES | compared.QUERIES | paired.QUERIES | structured.QUERIES | stored.QUERIES | measured.QUERIES | filed.QUERIES
 
 _WITH = "with " + views.SQL
 _PRINTS = r""", prints as (select doc_id, category, object_id, sha256(category || '|' || object_id || '|' || value) as digest from page_objects),
@@ -201,7 +201,7 @@ ORACLES = {
         g as (select *, case when merge_key = lag(merge_key) over w and at_ms - lag(at_ms) over w < 800 then 0 else 1 end as s from e window w as (partition by owner order by at_ms, id)),
         h as (select *, sum(s) over (partition by owner order by at_ms, id) as grp from g), m as (select owner, grp, arg_max(id, (at_ms, id)) as id, arg_max(coalesce(merge_key, chr(0)), (at_ms, id)) as merge_key, count(*) as merged from h group by 1, 2),
         n as (select *, row_number() over (partition by owner order by grp desc) - 1 as position from m) select owner, position, id, nullif(merge_key, chr(0)) as merge_key, merged from n where position <= 80""",
-} | governed.ORACLES | compared.ORACLES | paired.ORACLES | structured.ORACLES | stored.ORACLES | measured.ORACLES
+} | governed.ORACLES | compared.ORACLES | paired.ORACLES | structured.ORACLES | stored.ORACLES | measured.ORACLES | filed.ORACLES
 
 
 def queries() -> dict:
