@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # fixed values: characters before and after a match in a snippet; a word's edge, by ASCII letters, digits and _
 BEFORE, AFTER = 70, 100
+W = "[0-9A-Za-z_]"
+# the letters outside ASCII that equal an ASCII letter where case is folded, and these
+FOLDED = ("\u017f\u212a\u0131\u0130", "skii")
 EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
@@ -22,10 +25,21 @@ def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, who
     text = F.concat_ws(" ", *columns)
     fold, literal = "" if case_sensitive else "(?iu)", re.escape(query)
     pattern = fold + (f"{EDGE}{literal}{EDGE}" if whole_word else literal)
-    at = F.length(F.regexp_extract(text, f"(?s){fold}^(.*?){literal}", 1))
+    rows = pages.where(F.lit(bool(query))).select("doc_id", "page_number", text.alias("_text"))
+    if query.isascii():
+        plain = F.col("_text") if case_sensitive else F.lower(F.translate("_text", *FOLDED))
+        rows = rows.withColumn("_plain", plain).where(F.contains("_plain", F.lit(query if case_sensitive else query.lower())))
+        own = re.escape(query if case_sensitive else query.lower())
+        edges = [(f"(?<!{W})" if re.match(W, query[0]) else EDGE), (f"(?!{W})" if re.match(W, query[-1]) else EDGE)] if whole_word and query else ["", ""]
+        odd = F.lit(False) if case_sensitive else F.length(F.translate("_text", FOLDED[0], "")) < F.length("_text")
+        count = F.when(odd, F.regexp_count("_text", F.lit(pattern))).otherwise(F.regexp_count("_plain", F.lit(own.join(edges))))
+        at = F.instr("_plain", F.lit(query if case_sensitive else query.lower())) - 1
+    else:
+        count, at = F.regexp_count("_text", F.lit(pattern)), F.length(F.regexp_extract("_text", f"(?s){fold}^(.*?){literal}", 1))
+    text = F.col("_text")
     start, end = F.greatest(F.lit(0), at - BEFORE), F.least(F.length(text), at + len(query) + AFTER)
     snippet = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), "…").otherwise(""))
-    found = pages.where(F.lit(bool(query))).withColumn("match_count", F.regexp_count(text, F.lit(pattern)))
+    found = rows.withColumn("match_count", count)
     return found.where("match_count > 0").select("doc_id", "page_number", "match_count", snippet.alias("snippet"))
 
 
