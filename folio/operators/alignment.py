@@ -18,6 +18,8 @@ from folio.operators.images import INK_SPREAD, RELIABLE, W_ASPECT, W_HASH, W_INK
 GAP, GAIN, COST, SAME = -0.55, 2.0, 1.3, 0.96
 #: Pages of the right side that are compared at once.
 COLUMNS = 2048
+#: Cells of an alignment, and bits of a comparison of words, that are held at once.
+CELLS, BITS = 4_000_000, 1 << 28
 
 
 def _similarities(left: list, right: list) -> np.ndarray:
@@ -37,7 +39,9 @@ def _similarities(left: list, right: list) -> np.ndarray:
     either = np.maximum(ta[:, None] + tb[None, :] - both, 1)
     longer = np.maximum(na[:, None], nb[None, :])
     out = np.minimum(1.0, both / either * 0.78 + np.minimum(na[:, None], nb[None, :]) / np.maximum(longer, 1) * 0.22)
-    equal = np.array([p["normalized"] for p in left], dtype=object)[:, None] == np.array([p["normalized"] for p in right], dtype=object)[None, :]
+    known: dict[str, int] = {}
+    number = lambda side: np.array([known.setdefault(p["normalized"], len(known)) for p in side], dtype=np.int64)
+    equal = number(left)[:, None] == number(right)[None, :]
     out[(na[:, None] == 0) | (nb[None, :] == 0)] = 0.0
     out[equal & (na[:, None] >= 8)] = 1.0
     if any(p.get("visual") is not None for p in left) and any(p.get("visual") is not None for p in right):
@@ -74,28 +78,41 @@ def _plain(page) -> dict:
 def align(left: list, right: list) -> list[tuple[int | None, int | None, float, str]]:
     """left_page, right_page, similarity, status of the best global alignment; at equal scores a match goes before a deletion, that before an insertion.
 
-    Scores are kept for one row in a block of rows only; the moves of a block are made again on the way back.
+    Scores are kept for one row in a block of rows only; the moves of a block are made again on the way back. A block has CELLS
+    cells, about, so most documents are one.
     """
     if not left or not right:
         return [(i + 1, None, 0.0, "deleted") for i in range(len(left))] + [(None, j + 1, 0.0, "inserted") for j in range(len(right))]
-    step = max(1, math.isqrt(len(left)))
+    step = max(1, min(len(left), CELLS // len(right)))
 
-    def block(above: list, base: int) -> tuple[list, np.ndarray, list]:
-        """The last scores, similarities and moves of the rows from base on."""
+    def block(above: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The last scores, similarities and moves of the rows from base on, one diagonal at a time: its cells need only the two before."""
         alike = np.hstack([_similarities(left[base : base + step], right[at : at + COLUMNS]) for at in range(0, len(right), COLUMNS)])
-        came = []
-        for i, row in enumerate(alike, start=base + 1):
-            here, how = [GAP * i], bytearray()
-            for j, gain in enumerate((row * GAIN - COST).tolist()):
-                choices = (above[j] + gain, above[j + 1] + GAP, here[j] + GAP)
-                best = max(choices)
-                here.append(best)
-                how.append(choices.index(best))
-            above = here
-            came.append(how)
-        return above, alike, came
-
-    tops = [[GAP * j for j in range(len(right) + 1)]]
+        n, m = alike.shape
+        gains, came = alike * GAIN - COST, np.zeros((n, m), dtype=np.uint8)
+        side = np.array([GAP * (base + i) for i in range(n + 1)])
+        # scores of the cells (i, d - i) by i, of the diagonals d - 2, d - 1 and d
+        older, old, last = np.empty(n + 1), np.empty(n + 1), np.empty(m + 1)
+        old[0], last[0] = above[0], side[n]
+        for d in range(1, n + m + 1):
+            new = np.empty(n + 1)
+            if d <= m:
+                new[0] = above[d]
+            if d <= n:
+                new[d] = side[d]
+            low, high = max(1, d - m), min(n, d - 1)
+            if low <= high:
+                i = np.arange(low, high + 1)
+                choices = np.stack([older[low - 1 : high] + gains[i - 1, d - i - 1], old[low - 1 : high] + GAP, old[low : high + 1] + GAP])
+                move = choices.argmax(axis=0)
+                came[i - 1, d - i - 1] = move
+                new[low : high + 1] = choices[move, np.arange(len(i))]
+            if d >= n:
+                last[d - n] = new[n]
+            older, old = old, new
+        return last, alike, came
+
+    tops = [np.array([GAP * j for j in range(len(right) + 1)])]
     for base in range(0, len(left), step):
         last, alike, came = block(tops[-1], base)
         tops.append(last)
@@ -104,7 +121,7 @@ def align(left: list, right: list) -> list[tuple[int | None, int | None, float,
         if i and i - 1 < base:
             base -= step
             _, alike, came = block(tops[base // step], base)
-        move = came[i - 1 - base][j - 1] if i and j else 1 if i else 2
+        move = int(came[i - 1 - base, j - 1]) if i and j else 1 if i else 2
         score = float(alike[i - 1 - base, j - 1]) if move == 0 else 0.0
         rows.append((i if move != 2 else None, j if move != 1 else None, score, ("same" if score >= SAME else "modified") if move == 0 else ("deleted", "inserted")[move - 1]))
         i, j = i - (move != 2), j - (move != 1)
@@ -150,31 +167,46 @@ def word_changes(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     while tail < min(len(left), len(right)) and left[-1 - tail] == right[-1 - tail]:
         tail += 1
     a, b = left[: len(left) - tail], right[: len(right) - tail]
-    place: dict[str, int] = {}
-    x, y = (np.array([place.setdefault(w, len(place)) for w in side], dtype=np.int64) for side in (a, b))
-    step = max(1, math.isqrt(len(a)))
-
-    def block(top: np.ndarray, base: int) -> np.ndarray:
-        """The longest lengths of the rows from base on."""
-        longest = np.zeros((len(x[base : base + step]) + 1, len(b) + 1), dtype=np.int32)
-        longest[0] = top
-        for row, word in enumerate(x[base : base + step], start=1):  # a row never falls, so a running maximum stands for the word to the left
-            longest[row, 1:] = np.maximum.accumulate(np.where(y == word, longest[row - 1, :-1] + 1, longest[row - 1, 1:]))
-        return longest
-
-    tops, base = [np.zeros(len(b) + 1, dtype=np.int32)], 0
+    # bit j of a row is 0 where the longest length grows at word j of the right side; a row follows from the one above in one addition
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(b):
+        places.setdefault(word, []).append(j)
+    every, masks = (1 << len(b)) - 1, {}
+
+    def mask(word: str) -> int:
+        if word not in masks:
+            raw = bytearray(len(b) // 8 + 1)
+            for j in places.get(word, ()):
+                raw[j >> 3] |= 1 << (j & 7)
+            if len(b) * (len(masks) + 1) > BITS:
+                masks.clear()
+            masks[word] = int.from_bytes(raw, "little")
+        return masks[word]
+
+    step = max(1, min(len(a), BITS // max(1, len(b))), math.isqrt(len(a)))
+
+    def block(row: int, base: int) -> list[int]:
+        """The rows from base on."""
+        rows = []
+        for word in a[base : base + step]:
+            hit = row & mask(word)
+            row = ((row + hit) | (row - hit)) & every
+            rows.append(row)
+        return rows
+
+    tops, base, rows = [every], 0, []
     for base in range(0, len(a), step):
-        longest = block(tops[-1], base)
-        tops.append(longest[-1].copy())
+        rows = block(tops[-1], base)
+        tops.append(rows[-1])
     out, i, j = [("same", w) for w in reversed(left[len(a) :])], len(a), len(b)
     while i or j:
         if i and i - 1 < base:
             base -= step
-            longest = block(tops[base // step], base)
+            rows = block(tops[base // step], base)
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("same", a[i]))
-        elif not i or (j and longest[i - base, j - 1] >= longest[i - 1 - base, j]):
+        elif not i or (j and rows[i - 1 - base] >> (j - 1) & 1):  # no growth here: without this word of the right side nothing is lost
             j -= 1
             out.append(("added", b[j]))
         else:

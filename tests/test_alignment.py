@@ -1,5 +1,9 @@
 """Alignment and word differences: hand-computed cases and invariants over the smallest tables."""
 
+import random
+
+import pytest
+
 from folio.operators import alignment
 from folio.plans import compared, registry
 
@@ -17,6 +21,54 @@ def test_word_changes():
     assert alignment.word_changes([], ["q"]) == [("added", "q")] and alignment.word_changes([], []) == []
 
 
+def plain_changes(a, b):
+    """Word changes from the whole table of longest lengths."""
+    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            longest[i + 1][j + 1] = longest[i][j] + 1 if a[i] == b[j] else max(longest[i][j + 1], longest[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j, kind, word = i - 1, j - 1, "same", a[i - 1]
+        elif j and (not i or longest[i][j - 1] >= longest[i - 1][j]):
+            j, kind, word = j - 1, "added", b[j - 1]
+        else:
+            i, kind, word = i - 1, "removed", a[i - 1]
+        out.append((kind, word))
+    return out[::-1]
+
+
+def plain_alignment(left, right):
+    alike = alignment._similarities(left, right) if left and right else None
+    score = [[alignment.GAP * (i + j) if not (i and j) else 0.0 for j in range(len(right) + 1)] for i in range(len(left) + 1)]
+    came = {}
+    for i in range(1, len(left) + 1):
+        for j in range(1, len(right) + 1):
+            choices = (score[i - 1][j - 1] + (alike[i - 1, j - 1] * alignment.GAIN - alignment.COST), score[i - 1][j] + alignment.GAP, score[i][j - 1] + alignment.GAP)
+            score[i][j] = max(choices)
+            came[i, j] = choices.index(max(choices))
+    out, i, j = [], len(left), len(right)
+    while i or j:
+        move = came.get((i, j), 1 if i else 2)
+        out.append((i if move != 2 else None, j if move != 1 else None))
+        i, j = i - (move != 2), j - (move != 1)
+    return out[::-1]
+
+
+@pytest.mark.parametrize("held", [1, 64, 4_000_000])
+def test_folds_equal_whole_tables(monkeypatch, held):
+    monkeypatch.setattr(alignment, "CELLS", held)
+    monkeypatch.setattr(alignment, "BITS", held)
+    draw = random.Random(held)
+    for _ in range(150):
+        few = "abcdefgh"[: draw.choice([2, 4, 8])]
+        a, b = ([draw.choice(few) for _ in range(draw.randint(0, 40))] for _ in range(2))
+        assert alignment.word_changes(a, b) == plain_changes(a, b)
+        pages = [[{"normalized": " ".join(t := draw.choices(["aa", "bb", "cc"], k=draw.randint(0, 3))), "tokens": list(dict.fromkeys(t))} for _ in range(draw.randint(0, 12))] for _ in range(2)]
+        assert [r[:2] for r in alignment.align(*pages)] == plain_alignment(*pages)
+
+
 def test_align_small(spark):
     schema = "doc_id long, page_number int, text string"
     a = spark.createDataFrame([(1, 1, "alpha beta gamma"), (1, 2, "delta epsilon zeta"), (2, 1, "only on the left")], schema)
