@@ -17,6 +17,9 @@ WIDEST, IN_TABLE, COLUMN, EDGE = 0.78, 0.25, 0.7, (28, 0.22)
 # fixed values: tolerance of grids, sizes of tables, overlap of one table
 TOLERANCE, CELL_SLACK, MOST_ROWS, MOST_COLUMNS, LEAST_TABLE, ONE_TABLE = 2.75, 1.0, 80, 30, (40, 20), 0.88
 
+#: Pairs of boxes that are looked at together.
+PAIRS = 1 << 20
+
 
 def viewport_matrix(width: Column, height: Column, zoom: Column, rotation: Column) -> list[Column]:
     """a to f of the matrix that sets a page's points on a screen; a size or zoom that is not positive, and other rotations, give nulls."""
@@ -74,16 +77,30 @@ def _vertical_overlap(a: tuple, b: tuple) -> float:
     return max(0.0, min(a[0] + a[1], b[0] + b[1]) - max(a[0], b[0])) / max(1.0, min(a[1], b[1]))
 
 
-def _rows_of(boxes: list[tuple], same: Callable[[tuple, tuple], bool]) -> list[list[int]]:
-    """Numbers of boxes, in order, that go to the first row with a member they match."""
+def _rows_of(keys: list[tuple], same: Callable[[tuple, tuple], bool], gone: Callable[[tuple, tuple], bool]) -> list[list[int]]:
+    """Numbers of boxes, in order, that go to the first row with a member they match; keys are what matching depends on.
+
+    gone says that a member can match neither this box nor a later one. A row is asked once for equal keys, and only for
+    those in reach, so rows of very many boxes cost no more than short ones.
+    """
     rows: list[list[int]] = []
-    for i, box in enumerate(boxes):
-        for row in rows:
-            if any(same(boxes[j], box) for j in row):
-                row.append(i)
+    reach: dict[int, dict[tuple, None]] = {}
+    for i, key in enumerate(keys):
+        found = None
+        for n, own in list(reach.items()):
+            for k in [k for k in own if gone(k, key)]:
+                del own[k]
+            if not own:
+                del reach[n]
+            elif found is None and any(same(k, key) for k in own):
+                found = n
                 break
-        else:
-            rows.append([i])
+        if found is None:
+            found = len(rows)
+            rows.append([])
+            reach[found] = {}
+        rows[found].append(i)
+        reach[found][key] = None
     return rows
 
 
@@ -91,14 +108,23 @@ def visual_lines(spans: DataFrame) -> DataFrame:
     """doc_id, page_number, line (from 0, in order of y, x), text, x, y, w, h, spans (their ids) of spans(doc_id, page_number, span_id, text, x, y, w, h, size).
 
     Spans in order of y, x join the first line with a member that overlaps by 0.55 or lies within 0.35 of the height.
-    A space goes between spans that are farther apart than 1.5 or 0.18 of the size.
+    A space goes between spans that are farther apart than 1.5 or 0.18 of the size. Where spans have a column
+    writing_mode, those with 1 are vertical: they join lines of their own kind, whose members share 0.55 of the
+    width, and go from top to bottom.
     """
 
+    def found(rows: list[tuple]) -> list[list[tuple]]:
+        tallest = max((r[3] for r in rows), default=0.0)
+        same = lambda a, b: _vertical_overlap(a, b) >= SAME_LINE or abs(a[0] - b[0]) <= max(a[1], b[1]) * NEAR_LINE
+        gone = lambda a, b: a[0] + a[1] <= b[0] and b[0] - a[0] > max(a[1], tallest) * NEAR_LINE
+        across, down = ([r for r in rows if (r[7] == 1) == vertical] for vertical in (False, True))
+        lines = [sorted((across[i] for i in row), key=lambda r: r[1]) for row in _rows_of([(r[0], r[3]) for r in across], same, gone)]
+        columns = _rows_of([(r[1], r[2]) for r in down], lambda a, b: _vertical_overlap(a, b) >= SAME_LINE, lambda a, b: False)
+        return lines + [sorted((down[i] for i in row), key=lambda r: r[0]) for row in columns]
+
     def fold(rows: list[tuple]) -> list[tuple]:
-        same = lambda a, b: _vertical_overlap((a[0], a[3]), (b[0], b[3])) >= SAME_LINE or abs(a[0] - b[0]) <= max(a[3], b[3]) * NEAR_LINE
         lines = []
-        for row in _rows_of(rows, same):
-            own = sorted((rows[i] for i in row), key=lambda r: r[1])
+        for own in found(rows):
             text, last = "", None
             for r in own:
                 if not r[5]:
@@ -111,8 +137,9 @@ def visual_lines(spans: DataFrame) -> DataFrame:
         lines.sort(key=lambda r: r[:2])
         return [(n, text, x, y, w, h, ids) for n, (y, x, text, w, h, ids) in enumerate(lines)]
 
-    rows = spans.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in ("y", "x", "w", "h", "size")), "text", F.col("span_id").cast("string").alias("span_id"))
-    return _by_page(rows, ["y", "x", "w", "h", "size", "text", "span_id"], fold, "line int, text string, x double, y double, w double, h double, spans array<string>")
+    mode = F.col("writing_mode") if "writing_mode" in spans.columns else F.lit(0)
+    rows = spans.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in ("y", "x", "w", "h", "size")), "text", F.col("span_id").cast("string").alias("span_id"), mode.cast("int").alias("writing_mode"))
+    return _by_page(rows, ["y", "x", "w", "h", "size", "text", "span_id", "writing_mode"], fold, "line int, text string, x double, y double, w double, h double, spans array<string>")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -219,7 +246,7 @@ def aligned_text_tables(lines: DataFrame) -> DataFrame:
     def fold(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 4:
             return []
-        found = _rows_of(rows, lambda a, b: _vertical_overlap((a[0], a[3]), (b[0], b[3])) >= SAME_LINE)
+        found = _rows_of([(r[0], r[3]) for r in rows], lambda a, b: _vertical_overlap(a, b) >= SAME_LINE, lambda a, b: a[0] + a[1] <= b[0])
         wide = [sorted((rows[i] for i in row), key=lambda r: r[1]) for row in found if len(row) > 1]
         columns = max(map(len, wide), default=0)
         kept = [row for row in wide if columns - len(row) <= 1]
@@ -232,37 +259,87 @@ def aligned_text_tables(lines: DataFrame) -> DataFrame:
     return _by_page(rows, ["y", "x", "w", "h", "text"], fold, "row int, column int, text string, x double, y double, w double, h double, confidence double")
 
 
-def _groups(n: int, joined: np.ndarray) -> list[np.ndarray]:
-    """Connected groups of n items, by a matrix of who is joined to whom, in order of their first item."""
-    left, out = np.ones(n, dtype=bool), []
-    for start in range(n):
-        if not left[start]:
-            continue
-        group = np.zeros(n, dtype=bool)
-        front = np.zeros(n, dtype=bool)
-        front[start] = True
-        while front.any():
-            group |= front
-            front = joined[front].any(0) & ~group
-        left &= ~group
-        out.append(np.flatnonzero(group))
-    return out
+class _Sets:
+    """Items joined into sets; the least item of a set stands for it."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            low, high = np.minimum(self.up[a], self.up[b]), np.maximum(self.up[a], self.up[b])
+            if not (low < high).any():
+                return
+            np.minimum.at(self.up, high, low)
+            while ((above := self.up[self.up]) != self.up).any():
+                self.up = above
+
+    def groups(self) -> list[np.ndarray]:
+        """The sets, by their least item."""
+        order = np.argsort(self.up, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(self.up[order])) + 1) if len(order) else []
+
+
+def _meeting(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes with TOLERANCE at most between them, PAIRS of them looked at together: in order of x0 a box meets those that begin before it ends."""
+    order = np.argsort(x0, kind="stable")
+    upto = np.searchsorted(x0[order], x1[order] + TOLERANCE, side="right")
+    many = np.maximum(0, upto - np.arange(1, len(order) + 1))
+    cuts = np.unique(np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS))).tolist() if len(order) else []
+    low = 0
+    for high in [*(min(c + 1, len(order)) for c in cuts), len(order)]:
+        size = many[low:high]
+        if size.sum():
+            first = np.repeat(np.arange(low, high), size)
+            other = first + 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            a, b = order[first], order[other]
+            near = (x0[b] <= x1[a] + TOLERANCE) & (x1[b] >= x0[a] - TOLERANCE) & (x0[a] <= x1[b] + TOLERANCE) & (y0[a] <= y1[b] + TOLERANCE) & (y0[b] <= y1[a] + TOLERANCE)
+            yield a[near], b[near]
+        low = high
+
+
+def _edges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the items whose high lies more than 2 and TOLERANCE at most above the low of another, wherever they are otherwise.
+
+    In order of low the others of an item follow one another, so one pair with the first of them and pairs of neighbours join all.
+    """
+    order = np.argsort(low, kind="stable")
+    begins = low[order]
+    left, right = np.searchsorted(begins, high - TOLERANCE - 1e-6), np.searchsorted(begins, high - 2 + 1e-6)
+    at = np.arange(len(low))
+    for _ in range(len(low)):  # rounding: the ends of a range are tried as the condition has it
+        out = (left < right) & (high - begins[np.minimum(left, len(low) - 1)] > TOLERANCE)
+        if not out.any():
+            break
+        left = left + out
+    for _ in range(len(low)):
+        out = (left < right) & (high - begins[np.maximum(right - 1, 0)] <= 2)
+        if not out.any():
+            break
+        right = right - out
+    some = left < right
+    inner = np.zeros(len(low) + 1, dtype=np.int64)
+    np.add.at(inner, left[some], 1)
+    np.add.at(inner, right[some] - 1, -1)
+    linked = np.flatnonzero(np.cumsum(inner)[:-1] > 0)
+    return np.concatenate([at[some], order[linked]]), np.concatenate([order[left[some]], order[np.minimum(linked + 1, len(low) - 1)]])
 
 
 def _grids(boxes: np.ndarray, kinds: list[str]) -> list[dict]:
     """Grids of a page's rectangles, then of its crossing lines, as xs, ys and the numbers of their boxes."""
     x0, y0, w, h = boxes.T
     x1, y1 = x0 + w, y0 + h
-    near = lambda a0, a1: (a0[:, None] <= a1[None, :] + TOLERANCE) & (a1[:, None] >= a0[None, :] - TOLERANCE)
-    meet = near(x0, x1) & near(y0, y1)
-    common = lambda a0, a1: np.minimum(a1[:, None], a1[None, :]) - np.maximum(a0[:, None], a0[None, :])
     rect = np.flatnonzero(np.array([k == "rect" for k in kinds]) & (w >= 12) & (h >= 6))
     found = []
     if len(rect):
-        edge = lambda a1, a0: np.abs(a1[:, None] - a0[None, :]) <= TOLERANCE
-        close = meet | edge(x1, x0) | edge(x1, x0).T | edge(y1, y0) | edge(y1, y0).T
-        joined = close & ((common(y0, y1) > 2) | (common(x0, x1) > 2))
-        for group in _groups(len(rect), joined[np.ix_(rect, rect)]):
+        sets, box = _Sets(len(rect)), (x0[rect], x1[rect], y0[rect], y1[rect])
+        common = lambda a0, a1, a, b: np.minimum(a1[a], a1[b]) - np.maximum(a0[a], a0[b])
+        for a, b in _meeting(*box):
+            close = (common(box[2], box[3], a, b) > 2) | (common(box[0], box[1], a, b) > 2)
+            sets.join(a[close], b[close])
+        sets.join(*_edges(box[0], box[1]))
+        sets.join(*_edges(box[2], box[3]))
+        for group in sets.groups():
             own = rect[group]
             if len(own) >= 4:
                 found.append({"xs": clusters([*x0[own], *x1[own]]), "ys": clusters([*y0[own], *y1[own]]), "own": own, "rects": own})
@@ -270,8 +347,11 @@ def _grids(boxes: np.ndarray, kinds: list[str]) -> list[dict]:
     tall = (h >= 24) & (w <= np.maximum(3, h * 0.035)) & (h >= w * 5)
     if flat.sum() >= 3 and tall.sum() >= 3:
         lines = np.flatnonzero(flat | tall)
-        crossing = meet & (flat[:, None] != flat[None, :])
-        for group in _groups(len(lines), crossing[np.ix_(lines, lines)]):
+        sets = _Sets(len(lines))
+        for a, b in _meeting(x0[lines], x1[lines], y0[lines], y1[lines]):
+            cross = flat[lines[a]] != flat[lines[b]]
+            sets.join(a[cross], b[cross])
+        for group in sets.groups():
             own = lines[group]
             up, across = own[tall[own] & ~flat[own]], own[flat[own]]
             found.append({"xs": clusters((x0[up] + w[up] / 2).tolist()), "ys": clusters((y0[across] + h[across] / 2).tolist()), "own": own, "rects": own[:0]})
