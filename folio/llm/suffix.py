@@ -166,24 +166,59 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, shared
 
 
+#: Rounds of plain jumps, and positions that a minimum of the next level covers.
+JUMPS, FAN = 12, 16
+
+
 def _smaller_before(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """For each place of the order the bytes it shares with the nearest place before it of a smaller position; 0 if there is none.
 
-    Pointers jump over larger positions, all at once, and carry the least of the shared bytes they pass.
+    Pointers jump over larger positions, all at once, and carry the least of the shared bytes they pass. Those that are on
+    their way after JUMPS rounds climb levels of minima, so no order takes more than some FAN steps a level.
     """
     n = len(order)
     before, least = np.arange(-1, n - 1), shared.copy()
     open_ = np.flatnonzero(before >= 0)
     open_ = open_[order[before[open_]] > order[open_]]
-    while len(open_):
+    for _ in range(JUMPS):
         there = before[open_]
         least[open_], before[open_] = np.minimum(least[open_], least[there]), before[there]
         open_ = open_[before[open_] >= 0]
         open_ = open_[order[before[open_]] > order[open_]]
+    if len(open_):
+        _climb(order, shared, before, least, open_)
     least[before < 0] = 0
     return least
 
 
+def _climb(order: np.ndarray, shared: np.ndarray, before: np.ndarray, least: np.ndarray, open_: np.ndarray) -> int:
+    """Finish the places that are open: before and least are changed. The number of steps is returned."""
+    sums = [(order.astype(np.int64), shared.astype(np.int64))]
+    while len(sums[-1][0]) > 1:
+        pad = -len(sums[-1][0]) % FAN
+        sums.append(tuple(np.pad(level, (0, pad), constant_values=np.iinfo(np.int64).max).reshape(-1, FAN).min(axis=1) for level in sums[-1]))
+    begin = np.cumsum([0, *(len(o) for o, _ in sums)])
+    lowest, passed = (np.concatenate([level[k] for level in sums]) for k in (0, 1))
+    at, level, own, low, steps = before[open_].copy(), np.zeros(len(open_), dtype=np.int64), order[open_], least[open_], 0
+    while len(open_):
+        steps += 1
+        here = begin[level] + at
+        down = lowest[here] < own
+        found = down & (level == 0)
+        # past a whole block: to the one before it, or up where it is the first of its parent's
+        low = np.where(down, low, np.minimum(low, passed[here]))
+        up = ~down & (at % FAN == 0)
+        at = np.where(down, at * FAN + FAN - 1, np.where(up, at // FAN - 1, at - 1))
+        level = level + up - down
+        over = found | (at < 0)
+        before[open_[over]], least[open_[over]] = np.where(found[over], 0, -1), low[over]
+        stay = ~over
+        open_, at, level, own, low = open_[stay], at[stay], level[stay], own[stay], low[stay]
+        # the last block of a level may be short
+        at = np.minimum(at, begin[level + 1] - begin[level] - 1)
+    return steps
+
+
 def previous_factors(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """The longest previous factor of each place of the order: the bytes it shares with any suffix of a smaller position, read off the previous and next smaller ones."""
     back = np.concatenate([[0], shared[:0:-1]])
