@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.storage import written
+
+#: Characters of the queries that one automaton is made of, and rows of a result that are given out together.
+SHARD, ROWS = 4_000_000, 50_000
+
 # fixed values: characters before and after a match in a snippet; a word's edge, by ASCII letters, digits and _
 BEFORE, AFTER = 70, 100
 W = "[0-9A-Za-z_]"
@@ -43,49 +50,90 @@ def search_pages(pages: DataFrame, query: str, case_sensitive: bool = False, who
     return found.where("match_count > 0").select("doc_id", "page_number", "match_count", snippet.alias("snippet"))
 
 
-def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
+class _Fold(dict):
+    """Code points by what they equal where case is folded: the lower case of their upper case, where both are one character."""
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        c = c.upper() if len(c.upper()) == 1 else c
+        self[point] = ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+        return self[point]
+
+
+_FOLD = _Fold({0x130: ord("i"), 0x131: ord("i")})
+_INSIDE = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+
+
+def folded(text: str) -> str:
+    """text with case folded, character by character, so that places stay."""
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
+def count_literals(text: str, finder, case_sensitive: bool, whole_word: bool) -> dict[int, int]:
+    """How often each literal of an automaton occurs in text, none of its matches overlapping another of its own, as a pattern finds them from the left."""
+    counts: dict[int, int] = {}
+    after: dict[int, int] = {}
+    size = len(text)
+    for last, (literal, length) in finder.iter(text if case_sensitive else folded(text)):
+        start = last + 1 - length
+        if start < after.get(literal, 0):
+            continue
+        if whole_word:
+            end = last + 1
+            if (start > 0 and text[start - 1] in _INSIDE) == (text[start] in _INSIDE) or (text[last] in _INSIDE) == (end < size and text[end] in _INSIDE):
+                continue
+        after[literal] = last + 1
+        counts[literal] = counts.get(literal, 0) + 1
+    return counts
+
+
+def search_many(pages: DataFrame, queries: DataFrame, case_sensitive: bool = False, whole_word: bool = True, shard: int = SHARD) -> DataFrame:
     """query, doc_id, page_number, match_count of every page with a match of queries(query), literal text as in search_pages().
 
-    Single words of ASCII letters, digits or _ meet the words of the pages in an equi-join, each word of a page
-    once. Other queries meet pages by their longest such word, without one by their first three characters (or as
-    many as they have), and are then counted in the page's text.
+    Every page is read once for each shard of the queries, of about ``shard`` characters, by an automaton of all its
+    literals; usually there is one shard. No text is shuffled, and tasks get a shard's literals only. Blank and null queries
+    and null texts have no matches; queries that are equal count once.
     """
-    single = F.trim("query").rlike("^[A-Za-z0-9_]+$")
-    if not whole_word:
-        return _search_literals(pages, queries, case_sensitive, False, grams=True)
-    found, rest, wordless = _search_words(pages, queries.where(single), case_sensitive), queries.where(~single), ~F.col("query").rlike("[A-Za-z0-9_]")
-    found = found.unionByName(_search_literals(pages, rest.where(~wordless), case_sensitive, True))
-    odd = rest.where(wordless & (F.trim("query") != ""))
-    # pages are cut into characters only if some query has no word
-    return found if odd.isEmpty() else found.unionByName(_search_literals(pages, odd, case_sensitive, True, grams=True))
-
-
-def _search_literals(pages: DataFrame, queries: DataFrame, case_sensitive: bool, whole_word: bool, grams: bool = False) -> DataFrame:
-    """The matches of literals, by a key that any page with a match has too: the longest word, or with grams the first characters."""
-    fold = (lambda c: c) if case_sensitive else F.lower
-    literal = F.trim("query")
-    if grams:
-        size = lambda n: F.transform(F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - (n - 1))), lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-        keys, key = F.array_distinct(F.concat(*(F.coalesce(size(n), F.array().cast("array<string>")) for n in (1, 2, 3)))), F.substring(fold(literal), 1, 3)
-    else:
-        words = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-        keys, key = F.array_distinct(words(F.col("_text"))), F.array_max(F.transform(words(fold(literal)), lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
-    edge = EDGE if whole_word else ""
-    pattern = F.concat(F.lit(("" if case_sensitive else "(?iu)") + edge), F.regexp_replace(literal, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), F.lit(edge))
-    asked = queries.where(literal != "").distinct().select("query", key.alias("_key"), pattern.alias("_pattern"))
-    held = pages.select("doc_id", "page_number", "text", fold(F.col("text")).alias("_text")).select("doc_id", "page_number", "text", F.explode(keys).alias("_key"))
-    met = held.join(asked, "_key")
-    counted = met.withColumn("match_count", F.regexp_count("text", F.col("_pattern")).cast("long"))
-    return counted.where("match_count > 0").select("query", "doc_id", "page_number", "match_count")
-
-
-def _search_words(pages: DataFrame, queries: DataFrame, case_sensitive: bool) -> DataFrame:
-    """The matches of queries that are one word; a page's words are counted before they meet the queries."""
-    fold = (lambda c: c) if case_sensitive else F.lower
-    asked = queries.select("query", fold(F.trim("query")).alias("_word")).distinct()
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-    found = pages.select("doc_id", "page_number", F.explode(words).alias("_w")).groupBy("doc_id", "page_number", fold(F.col("_w")).alias("_word")).agg(F.count("*").alias("match_count"))
-    return found.join(asked, "_word").select("query", "doc_id", "page_number", "match_count")
+    asked = queries.select("query", F.trim("query").alias("_literal")).where("_literal <> ''").distinct()
+    total = asked.agg(F.sum(F.length("_literal") + 16)).first()[0] or 0
+    shards = -(-int(total) // shard)
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+    schema = f"query string, doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, match_count long"
+    some = asked.withColumn("_shard", F.pmod(F.xxhash64("query"), F.lit(max(1, shards))))
+    if shards > 1:
+        some = written(some)
+    spark, found = pages.sparkSession, None
+    for n in range(shards):
+        own = [(r["query"], r["_literal"]) for r in some.where(F.col("_shard") == n).toLocalIterator()]
+        if not own:
+            continue
+        part = pages.select("doc_id", "page_number", "text").where("text is not null").mapInPandas(_searcher(spark.sparkContext.broadcast(own), case_sensitive, whole_word), schema)
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _searcher(asked, case_sensitive: bool, whole_word: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        of: dict[str, list[str]] = {}
+        for query, literal in asked.value:
+            of.setdefault(literal if case_sensitive else folded(literal), []).append(query)
+        finder, names = ahocorasick.Automaton(), list(of)
+        for i, literal in enumerate(names):
+            finder.add_word(literal, (i, len(literal)))
+        finder.make_automaton()
+        for frame in frames:
+            rows = []
+            for doc, page, text in zip(frame["doc_id"], frame["page_number"], frame["text"]):
+                rows += [(query, doc, page, n) for i, n in count_literals(text, finder, case_sensitive, whole_word).items() for query in of[names[i]]]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=["query", "doc_id", "page_number", "match_count"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["query", "doc_id", "page_number", "match_count"])
+
+    return run
 
 
 def page_text(items: DataFrame) -> DataFrame:
