@@ -29,7 +29,8 @@ LEAST_Z = 3.3
 LEAST_SEEN = 3
 DRIFT = 0.7
 CONTEXT = 5
-SPLIT = r"[\s.,;:!?\"'()\[\]]+"
+#: What is between tokens, the same for Java and Python: ASCII only.
+SPLIT = r"[\x09-\x0D\x20.,;:!?\"'()\[\]]+"
 
 
 @dataclass
