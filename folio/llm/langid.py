@@ -25,6 +25,8 @@ HELD = 256
 #: A lead under this share of the total loss makes a prediction ambiguous.
 AMBIGUOUS = 0.02
 RESULTS = {"lang_pred": StringType(), "score": DoubleType(), "runner_up": StringType(), "ambiguous": BooleanType()}
+#: Languages that are learned at most.
+LANGUAGES = 256
 LETTER = regex.compile(r"\p{L}")
 #: ASCII that is no letter reads as a blank.
 _BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -71,10 +73,11 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
-def fit(docs: DataFrame) -> LanguageModel:
+def fit(docs: DataFrame, most: int = LANGUAGES) -> LanguageModel:
     """Counts of trigrams by language over all rows of docs that have a text and a lang, added up by Spark.
 
-    The driver gets one number for each language and bucket that occurs, however many documents there are.
+    The ``most`` languages with the most rows (of as many, the first by name) are learned, so the driver gets one number for
+    each bucket of so many languages, however many documents and names of languages there are.
     """
 
     def given(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -94,7 +97,9 @@ def fit(docs: DataFrame) -> LanguageModel:
                         sums.clear()
         yield from given(sums)
 
-    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInPandas(solid(count), "lang string, bucket int, n long")
+    labelled = docs.where("text is not null and lang is not null").select("text", "lang")
+    learned = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most).select("lang")
+    rows = labelled.join(F.broadcast(learned), "lang").select("text", "lang").mapInPandas(solid(count), "lang string, bucket int, n long")
     found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     shares = np.full((len(languages), BUCKETS), SMOOTHING)
