@@ -78,15 +78,22 @@ def f5_sanitize_objects(spark, sf_dir):
 
 
 def f9_signature_coverage(spark, sf_dir):
-    pad = F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int"))
-    d = F.lpad((83 + F.col("doc_id") % 50 + F.element_at(F.array(*map(F.lit, [0, -10, 5])), (F.col("doc_id") % 3 + 1).cast("int"))).cast("string"), 6, "0")
-    return compliance.signature_coverage(_docs(spark, sf_dir).select("doc_id", F.concat(F.lit("%PDF-1.7 /Filter /Adobe.PPKLite /Reason (a b) /ByteRange [ 0 10 20 "), d, F.lit(" ] /M (D:2024) startxref %%EOF"), pad).alias("raw")))
+    """Documents as signed files: the range ends at the end of the file, before it, or after it."""
+    text = F.coalesce("text", F.lit(""))
+    head, last = F.concat(F.lit("%PDF-1.7 "), text, F.lit(" /Filter /Adobe.PPKLite /Reason (a b) /ByteRange [ 0 10 20 ")), F.concat(F.lit(" ] /M (D:2024) startxref %%EOF"), F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int")))
+    size = F.length(head) + 9 + F.length(last)
+    length = F.lpad((size - 20 + F.element_at(F.array(*map(F.lit, [0, -10, 5])), (F.col("doc_id") % 3 + 1).cast("int"))).cast("string"), 9, "0")
+    return compliance.signature_coverage(_docs(spark, sf_dir).select("doc_id", F.concat(head, length, last).alias("raw")))
 
 
 def f12_archival_claims(spark, sf_dir):
+    """Claims of several forms, or half a claim, between the halves of a document's text."""
     part = (1 + F.col("doc_id") % 4).cast("string")
     forms = [F.concat(F.lit('<x pdfaid:part="'), part, F.lit("\" pdfaid:conformance='B'/>")), F.concat(F.lit("<pdfaid:part>"), part, F.lit("</pdfaid:part><pdfaid:conformance>A</pdfaid:conformance>")), F.concat(F.lit('<x pdfaid:part="'), part, F.lit('"/>'))]
-    return compliance.archival_claims(_docs(spark, sf_dir).select("doc_id", F.element_at(F.array(*forms), (F.col("doc_id") % 3 + 1).cast("int")).alias("xmp")))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    claim = F.element_at(F.array(*forms), (F.length(text) % 3 + 1).cast("int"))
+    return compliance.archival_claims(_docs(spark, sf_dir).select("doc_id", F.concat(F.substring(text, F.lit(1), half), claim, F.substring(text, half + 1, F.length(text))).alias("xmp")))
 
 
 def f13_font_coverage(spark, sf_dir):
@@ -129,10 +136,18 @@ ORACLES = {
         select doc_id, case when other then -id else id end as id, not (moved and other) as matched, not (moved and other) and (case when box then want <> 'Off' else want = value end) as passed from u""",
     "f5_sanitize_objects": _WITH + """ select doc_id, ['links', 'comments', '', '', 'scripts'][page_number % 6 + 1] as category, count(*) as removed from doc_pages
         where page_number % 6 in (0, 4) or (page_number % 6 = 1 and doc_id % 2 = 1) group by 1, 2""",
-    "f9_signature_coverage": """with r as (select doc_id, 103 + doc_id % 50 as size, 83 + doc_id % 50 + [0, -10, 5][doc_id % 3 + 1] as d, doc_id % 3 = 2 as bad from documents)
-        select doc_id, 0::int as pos, case when bad then 0 else 10 + d end as covered, case when bad then 0 else 10 end as gap, case when bad then size else size - 20 - d end as tail,
-        case when bad then 'invalid-range' when doc_id % 3 = 0 then 'covers-current-file' else 'covers-prior-revision' end as status, 'Adobe.PPKLite' as filter, '' as sub_filter, 'D:2024' as signing_time, 'a b' as reason, '' as location from r""",
-    "f12_archival_claims": """select doc_id, doc_id % 3 < 2 as claimed, case doc_id % 3 when 0 then 'PDF/A-' || (1 + doc_id % 4) || 'b' when 1 then 'PDF/A-' || (1 + doc_id % 4) || 'a' else '' end as profile from documents""",
+    "f9_signature_coverage": r"""with t as (select doc_id, '%PDF-1.7 ' || coalesce(text, '') || ' /Filter /Adobe.PPKLite /Reason (a b) /ByteRange [ 0 10 20 ' as head, ' ] /M (D:2024) startxref %%EOF' || repeat('x', (doc_id % 50)::int) as tail from documents),
+        r as (select doc_id, length(head) + 9 + length(tail) as size, head || lpad((length(head) + 9 + length(tail) - 20 + [0, -10, 5][doc_id % 3 + 1])::varchar, 9, '0') || tail as raw from t),
+        p as (select *, regexp_extract(raw, '/ByteRange\s*\[\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*\]', ['a', 'b', 'c', 'd']) as g from r), n as (select doc_id, size, raw, g.a::bigint as a, g.b::bigint as b, g.c::bigint as c, g.d::bigint as d from p),
+        v as (select *, a = 0 and c >= b and c + d <= size as ok from n)
+        select doc_id, 0::int as pos, case when ok then b + d else 0 end as covered, case when ok then c - b else 0 end as gap, case when ok then size - c - d else size end as tail,
+        case when not ok then 'invalid-range' when c + d = size then 'covers-current-file' else 'covers-prior-revision' end as status, regexp_extract(right(raw, 200), '/Filter\s*/([^\s<>\[\]()]+)', 1) as filter, '' as sub_filter,
+        regexp_extract(right(raw, 200), '/M\s*\(([^)]*)\)', 1) as signing_time, regexp_extract(right(raw, 200), '/Reason\s*\(([^)]*)\)', 1) as reason, '' as location from v""",
+    "f12_archival_claims": r"""with t as (select doc_id, coalesce(text, '') as text, (1 + doc_id % 4)::varchar as p from documents),
+        x as (select doc_id, left(text, length(text) // 2) || [ '<x pdfaid:part="' || p || '" pdfaid:conformance=' || chr(39) || 'B' || chr(39) || '/>', '<pdfaid:part>' || p || '</pdfaid:part><pdfaid:conformance>A</pdfaid:conformance>', '<x pdfaid:part="' || p || '"/>'][length(text) % 3 + 1] || substring(text, length(text) // 2 + 1) as xmp from t),
+        y as (select doc_id, coalesce(nullif(regexp_extract(xmp, '(?i)pdfaid:part=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(xmp, '(?i)<pdfaid:part>([^<]+)</pdfaid:part>', 1), '')) as part,
+            coalesce(nullif(regexp_extract(xmp, '(?i)pdfaid:conformance=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(xmp, '(?i)<pdfaid:conformance>([^<]+)</pdfaid:conformance>', 1), '')) as conformance from x)
+        select doc_id, part is not null and conformance is not null as claimed, coalesce('PDF/A-' || part || lower(conformance), '') as profile from y""",
     "f13_font_coverage": _WITH + """, f as (select distinct doc_id, page_number % 3 as k, (doc_id + page_number % 3) % 5 <> 0 as e from doc_pages where doc_id % 4 <> 0), c as (select doc_id, count(*) as n, count(*) filter (e) as m from f group by 1)
         select doc_id, coalesce(n, 0) as fonts, coalesce(m, 0) as embedded, case when n is null then 'info' when n = m then 'pass' else 'fail' end as severity from (select distinct doc_id from documents) left join c using (doc_id)""",
     "h3_merge_documents": _WITH + """ select doc_id // 4 as merge_id, row_number() over (partition by doc_id // 4 order by doc_id, page_number) as page_number, doc_id, page_number as source_page, min(doc_id) over (partition by doc_id // 4) as lead from doc_pages""",

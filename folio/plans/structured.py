@@ -112,6 +112,10 @@ md_blocks as (select doc_id, (row_number() over (partition by doc_id order by bl
 
 ORACLES = {
     "b3_markdown_blocks": _WITH + _BLOCKS + " select doc_id, pos, type, level, number, source from md_blocks",
+    # the texts are Latin, so no line is without a space for its script
+    "b10_join_lines": r"""with l as (select doc_id, i - 1 as pos, regexp_replace(coalesce(ls[i], ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as t from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)),
+        g as (select doc_id, pos // LINES + 1 as part, list(t order by pos) filter (t <> '') as ts from l group by 1, 2)
+        select doc_id, part, case when ts is null then '' else list_reduce(ts, lambda a, t: case when regexp_matches(a, '[A-Za-zÀ-ž]-$') and regexp_matches(t, '^[a-zà-ž]') then left(a, length(a) - 1) || t else a || ' ' || t end) end as text from g""".replace("LINES", str(views.LINES)),
     "b6_render_blocks": _WITH + _BLOCKS + """, e as (select *, replace(replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as t, case type when 'bullet' then 'ul' when 'numbered' then 'ol' else '' end as kind from md_blocks),
         f as (select *, coalesce(lag(kind) over w, '') as before, coalesce(lead(kind) over w, '') as after from e window w as (partition by doc_id order by pos)),
         g as (select doc_id, pos, case when kind <> '' and kind <> before then '<' || kind || '>' || chr(10) else '' end || case type when 'bullet' then '<li>' || t || '</li>' when 'numbered' then '<li>' || t || '</li>'

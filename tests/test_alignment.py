@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_only_folds_lack_sql():
-    folds = "b1_html_blocks b2_html_links b4_markdown_runs b4_run_styles b6_render_runs b7_paginate b10_join_lines b11_heading_outline d8_align_sequences d9_alignment_summary d10_diff_words e5_sample_pages".split()
+    folds = "b1_html_blocks b2_html_links b4_markdown_runs b4_run_styles b6_render_runs b7_paginate b11_heading_outline d8_align_sequences d9_alignment_summary d10_diff_words e5_sample_pages".split()
     folds += "f11_structure_elements f11_accessibility_summary g2_visual_lines g4_text_flows g6_cluster_values g7_aligned_text_tables g8_grid_tables g10_dedupe_tables j3_recover_transactions".split()
     assert set(registry.QUERIES) - set(registry.ORACLES) == set(folds)
 
