@@ -22,7 +22,7 @@ from .common import meet, written
 #: Words of a phrase at most.
 LONGEST = 4
 #: Bytes of text whose words are hashed at once; a longer text is a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bits of a filter for each fingerprint in it, and bits at most: 32 MB.
 BITS_EACH, MOST_BITS = 12, 1 << 28
 SPLITS = 64
