@@ -45,21 +45,26 @@ def _issue(rows: DataFrame, code: str, severity: str, repairable: bool, item: Co
     return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("project_id").cast("long").alias("project_id"), item.cast("string").alias("item"), F.lit(1).cast("long").alias("records"), F.lit(repairable).alias("repairable"))
 
 
-def _missing(rows: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
-    """rows whose column names none of ids(key); a null names nothing at all."""
-    return rows.join(ids.select(F.col(key).alias("_key")).distinct(), F.col(column) == F.col("_key"), "left_anti")
+def _lost(tables: dict[str, DataFrame]) -> DataFrame:
+    """code, records of the stores with records that belong to no project; pages also when their job is gone.
 
-
-def _orphans(name: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The records of a table that belong to no project; pages also when their job is gone."""
-    rows, projects = tables[name], tables["projects"]
-    if name in ("jobs", "pages"):
-        without = _missing(rows.where("project_id is not null"), "project_id", projects, "project_id")
+    All stores are counted by project together, so they meet the projects once; jobs and pages without a project belong to none and stay.
+    """
+    every = None
+    for name, code in ORPHANS.items():
+        rows = tables[name]
         if name == "pages":
-            lost = _missing(rows, "job_id", tables["jobs"], "job_id")
-            without = lost.unionByName(without.join(tables["jobs"].select(F.col("job_id").alias("_job")).distinct(), F.col("job_id") == F.col("_job"), "left_semi"))
-        return without
-    return _missing(rows, "project_id", projects, "project_id")
+            jobs = tables["jobs"].select(F.col("job_id").alias("_job")).distinct()
+            rows = rows.join(jobs, F.col("job_id") == F.col("_job"), "left").where("_job is null or project_id is not null")
+            part = rows.groupBy("project_id", F.col("_job").isNull().alias("_gone")).agg(F.count("*").alias("_n"))
+        else:
+            rows = rows.where("project_id is not null") if name == "jobs" else rows
+            part = rows.groupBy("project_id").agg(F.count("*").alias("_n")).withColumn("_gone", F.lit(False))
+        part = part.select(F.col("project_id").cast("long").alias("project_id"), "_gone", "_n", F.lit(code).alias("code"))
+        every = part if every is None else every.unionByName(part)
+    held = tables["projects"].select(F.col("project_id").cast("long").alias("_held")).distinct()
+    met = every.join(held, F.col("project_id") == F.col("_held"), "left").where("_gone or _held is null")
+    return met.groupBy("code").agg(F.sum("_n").alias("records"))
 
 
 def health_audit(tables: dict[str, DataFrame]) -> DataFrame:
@@ -87,9 +92,9 @@ def health_audit(tables: dict[str, DataFrame]) -> DataFrame:
         _issue(counted, "ocr-count", "warning", True, F.col("job_id")),
         _issue(here.where("interrupted_job is not null"), "interrupted-job", "warning", True, F.col("interrupted_job")),
     ]
-    for name, code in ORPHANS.items():
-        total = _orphans(name, tables).agg(F.count("*").alias("records")).where("records > 0")
-        parts.append(total.select(F.lit(code).alias("code"), F.lit("warning").alias("severity"), F.lit(None).cast("long").alias("project_id"), F.lit(None).cast("string").alias("item"), "records", F.lit(True).alias("repairable")))
+    parts.append(
+        _lost(tables).select("code", F.lit("warning").alias("severity"), F.lit(None).cast("long").alias("project_id"), F.lit(None).cast("string").alias("item"), "records", F.lit(True).alias("repairable"))
+    )
     issues = parts[0]
     for part in parts[1:]:
         issues = issues.unionByName(part)
