@@ -21,6 +21,7 @@ def select_pages(requests: DataFrame) -> DataFrame:
     low = F.when(F.col("token").isin("all", "odd"), 1).when(F.col("token") == "even", 2).when(F.col("token") == "last", F.col("page_count")).when(F.col("n").isNotNull(), F.col("n")).otherwise(F.greatest(F.lit(1), F.least("a", "b")))
     high = F.when(F.col("token").isin("all", "odd", "even", "last"), F.col("page_count")).when(F.col("n").isNotNull(), F.col("n")).otherwise(F.least("page_count", F.greatest("a", "b")))
     step = F.when(F.col("token").isin("odd", "even"), 2).otherwise(1)
+    # fixed values: the messages
     bad = F.when(F.col("token").rlike("^[0-9]+$") & ~F.coalesce((F.col("n") >= 1) & (F.col("n") <= F.col("page_count")), F.lit(False)), F.concat(F.lit("Page "), F.regexp_replace("token", "^0+(?=[0-9])", ""), F.lit(" is outside 1-"), F.col("page_count"), F.lit(".")))
     named = F.col("token").isin("all", "odd", "even", "last") | F.col("token").rlike("^[0-9]+$")
     bad = bad.when(~named & (F.col("a").isNull() | F.col("b").isNull()), F.concat(F.lit("Unsupported token: "), F.col("raw")))

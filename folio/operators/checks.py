@@ -31,8 +31,10 @@ def security_checks(inspections: DataFrame, options: DataFrame) -> DataFrame:
 
     left, active = F.coalesce("tokens_left", F.array().cast("array<string>")), asked("has_javascript") | asked("has_open_action") | asked("has_additional_actions")
     fields = F.coalesce(F.map_keys("metadata"), F.array().cast("array<string>"))
+    # fixed values: the messages
     no_text = F.when(number("tokens_sought") == 0, "No selectable text was marked.").when(F.size(left) > 0, F.concat(F.lit("Still found: "), F.array_join(F.slice(left, 1, 5), ", "))).otherwise(F.concat(number("tokens_sought").cast("string"), F.lit(" covered text fragments were absent after export.")))
     touched = ~asked("flatten_forms") & ~asked("clear_form_values") & (number("form_updates") > 0)
+    # fixed values: names of checks and their details
     checks = F.array(
         check(F.lit(True), "Page tree", F.col("page_count") == F.col("expected_pages"), F.col("page_count"), " of ", F.col("expected_pages"), " expected pages"),
         check(F.col("encryption") == "aes-256", "Password protection", ~asked("opens_without_password") & asked("encrypted"), F.when(asked("opens_without_password"), "The output opened without the requested password.").otherwise("Opening without a password was rejected.")),

@@ -130,6 +130,7 @@ def crop_report(pages: DataFrame, spans: DataFrame, top: float = 0, right: float
     met = spans.select("doc_id", "page_number", "x", "y", "w", "h").join(rows, ["doc_id", "page_number"])
     outside = (F.col("x") >= F.col("x1")) | (F.col("x") + F.col("w") <= F.col("x0")) | (F.col("y") >= F.col("y1")) | (F.col("y") + F.col("h") <= F.col("y0"))
     hidden = met.where(outside).groupBy("doc_id", "page_number").agg(F.count("*").alias("hidden"))
+    # fixed value: the message
     error = F.when(small, F.concat(F.lit("Crop margins leave page "), F.col("page_number"), F.lit(" too small.")))
     found = rows.join(hidden, ["doc_id", "page_number"], "left").na.fill(0, ["hidden"]).withColumn("error", error)
     return found.select("doc_id", "page_number", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")), "hidden", "error")
@@ -159,6 +160,7 @@ def parse_recipes(recipes: DataFrame) -> DataFrame:
     rows = rows.withColumn("steps", steps)
     unknown = F.exists("steps", lambda s: ~F.coalesce(s["type"].isin(STEPS), F.lit(False)))
     early = F.exists(F.slice("steps", F.lit(1), F.greatest(F.size("steps") - 1, F.lit(0))), lambda s: s["type"].isin(MANY_OUTPUTS))
+    # fixed values: the messages
     error = (
         F.when(F.col("_json").isNull(), "Recipe file is not valid JSON.").when(~F.col("_json").rlike(r"^\s*[{\[]"), "Recipe JSON must contain an object.")
         .when(F.trim(F.coalesce(r("name"), F.lit(""))) == "", "Recipe JSON is missing a name.")
@@ -191,6 +193,7 @@ def run_recipe(items: DataFrame, recipes: DataFrame) -> DataFrame:
         left, top = F.least(mm("leftMm"), F.greatest(F.col("width") - 1, F.lit(0.0))), F.least(mm("topMm"), F.greatest(F.col("height") - 1, F.lit(0.0)))
         wide = F.col("width") - left - F.least(mm("rightMm"), F.greatest(F.col("width") - left - 1, F.lit(0.0)))
         high = F.col("height") - top - F.least(mm("bottomMm"), F.greatest(F.col("height") - top - 1, F.lit(0.0)))
+        # fixed values: the messages
         error = F.when(kind.isin(CODECS), F.concat(F.lit("Unsupported step: "), kind)).when((kind == "crop") & ((wide < LEAST_SIDE) | (high < LEAST_SIDE)), "Crop margins leave page 1 too small.")
         return F.struct(
             (s["pages"] + count).alias("pages"), (s["expected"] + count).alias("expected"),
