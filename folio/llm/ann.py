@@ -230,8 +230,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     compared with their own kind only, and a very long one is whole in a task. Candidates are found by unit
     vectors in single precision, scores are of the original ones in double precision; ties go to the smaller
     vec_id. A query that finds fewer than k looks into all lists. Rows that repeat a vec_id with the same
-    vector are one, with different ones candidates of their own. Other columns are ignored. An empty table
-    gives no rows.
+    vector are one, with different ones candidates of their own. Other columns are ignored, whatever their
+    names. An empty table gives no rows.
     """
     rows = valid(vectors)
     # smallest k + 1 ids of every different vector; merging bounded lists keeps the state of a group bounded
