@@ -209,3 +209,27 @@ def test_interrupted_sessions_as_a_stream(spark, tmp_path):
     now = F.lit(at(7))
     rows = lambda df: sorted(map(tuple, flows.interrupted_sessions(df, now).collect()))
     assert rows(spark.table("beats")) == rows(flows.last_beats(batch)) and len(rows(flows.last_beats(batch))) == 2
+
+
+def test_keys_of_similar_sets(spark):
+    """Similar sets of all sizes have a key in common, whatever counts as a light part; others seldom have."""
+    draw = np.random.default_rng(8)
+    names = draw.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        base = draw.choice(400, int(draw.integers(1, 65)), replace=False)
+        sets += [base, *(np.unique(np.concatenate([draw.permutation(base)[: max(1, len(base) - cut)], draw.integers(0, 400, more)]))[:64] for cut, more in draw.integers(0, 1 + len(base) // 6, (6, 2)))]
+    size, token = np.array([len(x) for x in sets]), np.concatenate(sets)
+    for jaccard in (0.58 / 0.78, 0.9, 0.4):
+        for weak in (0, 300, 1_000, 10**6):
+            met, by_key = set(), {}
+            for owner, key in similar._keys(jaccard, weak, size, names[token], 100 + token % 57):
+                for i, k in zip(owner.tolist(), key.tolist(), strict=True):
+                    by_key.setdefault(k, set()).add(i)
+            for group in by_key.values():
+                met |= {(i, j) for i in group for j in group if i < j}
+            plain = [set(x.tolist()) for x in sets]
+            alike = {(j, i) for i in range(len(sets)) for j in range(i) if len(plain[i] & plain[j]) >= jaccard * len(plain[i] | plain[j])}
+            assert alike <= met and len(alike) > 100
+            if jaccard > similar.PARTED and weak == 1_000:
+                assert len(met) < 0.02 * len(sets) ** 2
