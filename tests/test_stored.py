@@ -233,3 +233,10 @@ def test_keys_of_similar_sets(spark):
             assert alike <= met and len(alike) > 100
             if jaccard > similar.PARTED and weak == 1_000:
                 assert len(met) < 0.02 * len(sets) ** 2
+
+
+def test_similar_images_broadcast_no_turned_parts(spark):
+    prints = spark.createDataFrame([(1, 5, 0.5, 1.0), (2, 7, 0.5, 1.0), (3, -1, 0.5, 1.0), (4, 5, 0.5, 1.0)], "image_id long, bits long, ink double, aspect double")
+    found = images.similar_images(prints)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b, r.a_copies, r.b_copies) for r in found.collect()} == {(1, 2, 2, 1), (1, 1, 2, 2)}
