@@ -240,3 +240,17 @@ def test_similar_images_broadcast_no_turned_parts(spark):
     found = images.similar_images(prints)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.a, r.b, r.a_copies, r.b_copies) for r in found.collect()} == {(1, 2, 2, 1), (1, 1, 2, 2)}
+
+
+def test_script_profile_of_odd_texts_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from folio.plans import compared
+
+    texts = [None, "", " \n", "123", "é", "ещё", "עברית", "國", "한국", "plain", "Ωmega 日本"]
+    rows = spark.createDataFrame([(i * 7 + k, t) for i, t in enumerate(texts) for k in range(7)] + [(None, "x"), (None, "1")], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = compared.b9_script_profile(spark, str(tmp_path)).select("script", "texts", "editability")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(compared.ORACLES["b9_script_profile"]).fetchall())
