@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,7 +176,58 @@ def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select("name", "body").write.format(FilePerRow.name()).mode(mode).save(path)
 
 
+@dataclass
+class Folder(InputPartition):
+    """A folder that a task of write_files() has written."""
+
+    path: str
+
+
+class TextFiles(DataSource):
+    """Rows name, body: the files below path that FilePerRow wrote, as whole texts. The driver lists a folder for each task, tasks what is in theirs."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folio_text_files"
+
+    def schema(self) -> str:
+        return "name string, body string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TextReader(self.options["path"])
+
+
+class _TextReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[Folder]:
+        store, root = _files(self.path)
+        found = [Folder(i.path) for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory and i.base_name.startswith("part-")]
+        return found or [Folder("")]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        store, _ = _files(self.path)
+        names, bodies, held = [], [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.string())], ["name", "body"])
+        ahead = [partition.path] if partition.path else []
+        while ahead:
+            for info in store.get_file_info(fs.FileSelector(ahead.pop())):
+                if info.type == fs.FileType.Directory:
+                    ahead.append(info.path)
+                    continue
+                with store.open_input_stream(info.path) as file:
+                    raw = file.read()
+                names.append(info.path[len(partition.path) + 1 :])
+                bodies.append(raw.decode("utf-8", "replace"))
+                held += len(raw)
+                if held > 8 * BLOCK or len(names) >= 10_000:
+                    yield batch()
+                    names, bodies, held = [], [], 0
+        yield batch()
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """name, body of the files that write_files() wrote: whole texts."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"/part-\d+-[0-9a-f]{32}/(.*)$", 1).alias("name"), F.col("value").alias("body"))
+    spark.dataSource.register(TextFiles)
+    return spark.read.format(TextFiles.name()).load(path)

@@ -87,3 +87,12 @@ def test_receipts_as_csv(spark, tmp_path):
     records.save_receipts(rows, str(tmp_path / "csv"))
     (file,) = [f for f in os.listdir(tmp_path / "csv") if f.endswith(".csv")]
     assert (tmp_path / "csv" / file).read_text() == '"created_at","kind","filename","mime_type","byte_length","sha256","route","release"\n"2024-01-01T00:00:00.123Z","k","a""b,\nc","","5","s","/r","1"\n'
+
+
+def test_the_driver_lists_folders_only(spark, tmp_path):
+    """Reading texts takes a task for each task that wrote, whatever the number of files."""
+    rows = spark.range(300).selectExpr("concat(id % 50, '/', id, '.txt') as name", "concat('t', id) as body").repartition(3)
+    path = str(tmp_path / "out")
+    files.write_files(rows, path)
+    found = files.read_texts(spark, path)
+    assert found.rdd.getNumPartitions() == 3 and {(r.name, r.body) for r in found.collect()} == {(r.name, r.body) for r in rows.collect()}
