@@ -40,10 +40,10 @@ def chunk_of(page: Column, size: float) -> Column:
     return F.floor((page - 1) / max(1, min(500, int(size + 0.5)))).cast("int")
 
 
-def split_fixed(pages: DataFrame, size: float) -> DataFrame:
-    """doc_id, chunk, name, first_page, last_page, page_count of parts of size pages (rounded, 1 to 500)."""
+def split_fixed(pages: DataFrame, size: float, *more: Column) -> DataFrame:
+    """doc_id, chunk, name, first_page, last_page, page_count, and more aggregates, of parts of size pages (rounded, 1 to 500)."""
     parts = pages.groupBy("doc_id", chunk_of(F.col("page_number"), size).alias("chunk"))
-    parts = parts.agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count("*").alias("page_count"))
+    parts = parts.agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count("*").alias("page_count"), *more)
     return parts.withColumn("name", F.format_string("pages-%04d-%04d", "first_page", "last_page"))
 
 

@@ -7,7 +7,7 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.assembly import chunk_of, split_fixed
+from folio.operators.assembly import split_fixed
 from folio.sources.files import write_files
 
 ENDINGS = {"text": ".txt", "markdown": ".md", "html": ".html"}
@@ -43,9 +43,9 @@ def save_documents(pages: DataFrame, path: str, form: str = "text", title: str =
 def save_chunks(pages: DataFrame, size: int, path: str, mode: str = "append") -> DataFrame:
     """The chunks of split_fixed() as text files <doc_id>/<name>.txt below path, all or none; gives doc_id, chunk, name, page_count, and fails if a chunk's pages are not those its name says."""
     whole = F.raise_error(F.concat(F.lit("pages are missing in "), "doc_id", F.lit("/"), "name"))
-    chunks = split_fixed(pages, size).withColumn("name", F.when(F.col("page_count") == F.col("last_page") - F.col("first_page") + 1, F.col("name")).otherwise(whole.cast("string")))
-    texts = pages.withColumn("chunk", chunk_of(F.col("page_number"), size)).groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("_parts"))
-    rows = texts.join(chunks, ["doc_id", "chunk"]).withColumn("body", F.array_join(F.transform("_parts", lambda p: p["text"]), PAGE_BREAK))
+    texts = F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("_parts")
+    rows = split_fixed(pages, size, texts).withColumn("name", F.when(F.col("page_count") == F.col("last_page") - F.col("first_page") + 1, F.col("name")).otherwise(whole.cast("string")))
+    chunks, rows = rows.drop("_parts"), rows.withColumn("body", F.array_join(F.transform("_parts", lambda p: p["text"]), PAGE_BREAK))
     write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "name", F.lit(".txt")).alias("name"), "body"), path, mode)
     return chunks.select("doc_id", "chunk", "name", "page_count")
 
