@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.markup import DROPPED, Element, parse_html
+from folio.operators.markup import DROPPED, HELD, Element, parse_html
 
 
 def security_checks(inspections: DataFrame, options: DataFrame) -> DataFrame:
@@ -134,11 +135,12 @@ def structure_elements(pages: DataFrame) -> DataFrame:
             stack += reversed([((*path, i), c) for i, c in enumerate(under)])
         return rows
 
+    names = ["page_id", "path", "depth", "tag", "alt", "language", "label", "children", "has_content"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [row for page, html in zip(frame["page_id"], frame["html"], strict=True) for row in rows_of(page, html)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "path", "depth", "tag", "alt", "language", "label", "children", "has_content"])
+        rows = (row for frame in frames for page, html in zip(frame["page_id"], frame["html"], strict=True) for row in rows_of(page, html))
+        for held in batched(rows, HELD):
+            yield pd.DataFrame(list(held), columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, path array<int>, depth int, tag string, alt string, language string, label string, children int, has_content boolean")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,8 @@ CONTAINERS = {"div", "section", "article", "main", "header", "footer"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ENDS_PARAGRAPH = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "ul", "ol", "table", "form", "nav", "aside", "address", "dl", "fieldset", "figure"}
 HEAD = {"head", "title", "meta", "link", "base"}
+#: Rows that a task gathers before it hands them on.
+HELD = 10_000
 SAFE_LINK = re.compile(r"(https?://|mailto:)", re.I)
 
 
@@ -185,10 +189,9 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(key, pos, *block) for key, html in zip(frame["page_id"], frame["html"], strict=True) for pos, block in enumerate(html_block_rows(html))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "pos", "type", "level", "number", "text", "runs"]).astype({"level": "Int32", "number": "Int32"})
+        rows = ((key, pos, *block) for frame in frames for key, html in zip(frame["page_id"], frame["html"], strict=True) for pos, block in enumerate(html_block_rows(html)))
+        for held in batched(rows, HELD):
+            yield pd.DataFrame(list(held), columns=["page_id", "pos", "type", "level", "number", "text", "runs"]).astype({"level": "Int32", "number": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, f"page_id long, pos int, type string, level int, number int, text string, runs {RUNS}")
 
@@ -382,6 +385,7 @@ def heading_outline(blocks: DataFrame) -> DataFrame:
 SPACE_WIDTH, NARROW, WIDE, OTHER, MONO = 0.29, (0.25, "ilI1.,'`:;|!"), (0.78, "mwMW@%&#"), 0.51, 0.61
 
 
+@lru_cache(maxsize=1 << 16)
 def text_width(text: str, size: float, mono: bool = False) -> float:
     """The estimated width of a text."""
     total = 0.0
@@ -428,18 +432,20 @@ def paginate(blocks: DataFrame, width: float, height: float, size: float = 11.0,
     A page ends where what is left of its height is too small for another line; a document is laid out in one task.
     """
 
+    def lines_of(doc: int, own: list) -> Iterator[tuple]:
+        page, line, y = 1, 0, 0.0
+        for block in own:
+            for text in wrap_text(block["text"] or "", width, size):
+                if y + size * line_height + 2 > height and line:
+                    page, line, y = page + 1, 0, 0.0
+                line, y = line + 1, y + size * line_height
+                yield doc, page, line, block["pos"], text
+            y += gap
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, own in zip(frame["doc_id"], frame["blocks"], strict=True):
-                rows, page, line, y = [], 1, 0, 0.0
-                for block in own:
-                    for text in wrap_text(block["text"] or "", width, size):
-                        if y + size * line_height + 2 > height and line:
-                            page, line, y = page + 1, 0, 0.0
-                        line, y = line + 1, y + size * line_height
-                        rows.append((doc, page, line, block["pos"], text))
-                    y += gap
-                yield pd.DataFrame(rows, columns=["doc_id", "page_number", "line_number", "pos", "text"])
+        rows = (row for frame in frames for doc, own in zip(frame["doc_id"], frame["blocks"], strict=True) for row in lines_of(doc, own))
+        for held in batched(rows, HELD):
+            yield pd.DataFrame(list(held), columns=["doc_id", "page_number", "line_number", "pos", "text"])
 
     own = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("blocks"))
     return own.mapInPandas(run, "doc_id long, page_number int, line_number int, pos int, text string")

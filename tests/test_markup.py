@@ -72,3 +72,34 @@ def test_structure(spark):
     summary = {r.page_id: r for r in checks.accessibility_summary(tagged, found).collect()}
     assert [summary[i].quality for i in (1, 2, 3, 4)] == ["meaningful", "baseline", "partial", "missing"]
     assert (summary[1].figures_without_alt, summary[1].fields_without_label, summary[1].headings, summary[1].tables) == (1, 1, 1, 1)
+
+
+class Spy:
+    """Stands for a table and keeps the function of a task."""
+
+    def __getattr__(self, name):
+        return lambda *_: self
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def test_blocks_and_lines_leave_a_task_in_pieces(spark):
+    """Neither all rows of a batch at once nor a piece for each document."""
+    import pandas as pd
+
+    html = pd.DataFrame({"page_id": range(3_000), "html": ["<p>a</p>" * 20] * 3_000})
+    for made in (markup.html_blocks(Spy()), checks.structure_elements(Spy())):
+        sizes = [len(piece) for piece in made([html])]
+        assert max(sizes) <= markup.HELD and sum(sizes) == 60_000
+    docs = pd.DataFrame({"doc_id": range(30_000), "blocks": [[{"pos": 0, "text": "a b"}]] * 30_000})
+    assert [len(piece) for piece in markup.paginate(Spy(), 451, 700)([docs.iloc[:15_000], docs.iloc[15_000:]])] == [markup.HELD] * 3
+
+
+def test_word_differences_of_empty_sides(spark):
+    from folio.operators import alignment
+
+    pairs = spark.createDataFrame([(0, 1, "a b", "a c"), (1, 1, None, "a c"), (2, 1, "", None)], "doc_id long, page_number int, left string, right string")
+    found = {(r.doc_id, r.pos): (r.kind, r.text) for r in alignment.diff_words(pairs).collect()}
+    assert [found.pop((0, i)) for i in range(4)] == [("same", "a"), ("same", " "), ("removed", "b"), ("added", "c")]
+    assert [found.pop((1, i)) for i in range(3)] == [("added", w) for w in ("a", " ", "c")] and not found
