@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,26 +21,42 @@ def recover_transactions(transactions: DataFrame, projects: DataFrame) -> DataFr
 
     The newest transaction of a project chooses first: the earliest unused one of projects(project_id, parent_id,
     parent_revision_id, operation, created_at) derived from the same project by the same operation, from its source
-    revision if it names one, created no earlier than it started. The records of one project meet in a task.
+    revision if it names one, created no earlier than it started. Records go through tasks in batches, those of one project
+    in a row and the newest first: what was derived since a transaction started lies on stacks, the earliest on top. Only
+    unused ones of one project are held, and time grows with the records.
     """
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["started_at", "transaction_id"], ascending=[False, False], kind="stable")
-        right = right.sort_values(["created_at", "project_id"], kind="stable")
-        by_kind = {k: list(rows.itertuples(index=False)) for k, rows in right.groupby("operation")}
-        used, out = set(), []
-        for t in left.itertuples(index=False):
-            free = (p for p in by_kind.get(t.operation, ()) if p.project_id not in used and p.created_at >= t.started_at and (pd.isna(t.source_revision_id) or p.parent_revision_id == t.source_revision_id))
-            found = next(free, None)
-            if found:
-                used.add(found.project_id)
-            out.append((t.transaction_id, "committed" if found else "rolled-back", found.project_id if found else None))
-        return pd.DataFrame(out, columns=["transaction_id", "outcome", "output_id"]).astype({"output_id": "Int64"})
-
-    asked = transactions.where("status = 'preparing'").select("transaction_id", "project_id", "started_at", "source_revision_id", "operation")
-    derived = projects.where("parent_id is not null").select("project_id", "parent_id", "parent_revision_id", "operation", "created_at")
-    derived = derived.join(asked.select(F.col("project_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
-    return asked.groupBy("project_id").cogroup(derived.groupBy("parent_id")).applyInPandas(match, "transaction_id long, outcome string, output_id long")
+    asked = transactions.where("status = 'preparing'").select(
+        F.col("project_id").alias("_project"), F.col("started_at").alias("_time"), F.lit(True).alias("_asks"), F.col("transaction_id").alias("_id"), F.col("operation").alias("_kind"), F.col("source_revision_id").alias("_revision"),
+    )
+    derived = projects.where("parent_id is not null and created_at is not null").select(F.col("parent_id").alias("_project"), F.col("created_at").alias("_time"), F.lit(False).alias("_asks"), F.col("project_id").alias("_id"), F.col("operation").alias("_kind"), F.col("parent_revision_id").alias("_revision"))
+    rows = asked.unionByName(derived).withColumn("_kind", F.when(F.col("_project").isNotNull() & F.col("_time").isNotNull(), F.col("_kind")))
+    rows = rows.repartition("_project").sortWithinPartitions(F.col("_project").asc_nulls_first(), F.col("_time").desc_nulls_last(), "_asks", F.col("_id").desc())
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, stacks = None, set(), {}
+        for batch in batches:
+            ids, outputs = [], []
+            for project, asks, id_, kind, revision in zip(*(batch.column(c).to_pylist() for c in ("_project", "_asks", "_id", "_kind", "_revision")), strict=True):
+                if project != now:
+                    now, used, stacks = project, set(), {}
+                if not asks:
+                    if kind is not None:
+                        stacks.setdefault((kind, None), []).append(id_)
+                        if revision is not None:
+                            stacks.setdefault((kind, revision), []).append(id_)
+                    continue
+                free, found = stacks.get((kind, revision), []), None
+                while free and found is None:
+                    top = free.pop()
+                    if top not in used:
+                        found = top
+                        used.add(top)
+                ids.append(id_)
+                outputs.append(found)
+            outcomes = ["rolled-back" if o is None else "committed" for o in outputs]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(outcomes, pa.string()), pa.array(outputs, pa.int64())], ["transaction_id", "outcome", "output_id"])
+
+    return rows.select("_project", "_asks", "_id", "_kind", "_revision").mapInArrow(match, "transaction_id long, outcome string, output_id long")
 
 
 def _issue(rows: DataFrame, code: str, severity: str, repairable: bool, item: Column) -> DataFrame:

@@ -71,6 +71,23 @@ def test_newest_transactions_choose_first(spark):
     assert {r.transaction_id: (r.outcome, r.output_id) for r in found.collect()} == {2: ("committed", 101), 1: ("committed", 102), 4: ("committed", 104), 5: ("rolled-back", None)}
 
 
+def test_transactions_choose_without_a_call_for_each_project(spark):
+    import random
+
+    draw = random.Random(3)
+    maybe = lambda value: None if draw.random() < 0.1 else value
+    asked = [(i, maybe(draw.randrange(4)), draw.choice(["preparing", "preparing", "committed"]), maybe(draw.randrange(30)), draw.choice([None, 1, 2]), maybe(draw.choice("em"))) for i in range(300)]
+    derived = [(1000 + i, maybe(draw.randrange(4)), maybe(draw.randrange(1, 4)), maybe(draw.choice("em")), maybe(draw.randrange(30))) for i in range(200)]
+    used, want = set(), {}
+    for id_, project, _, start, source, kind in sorted((a for a in asked if a[2] == "preparing"), key=lambda a: (a[3] is not None, a[3] or 0, a[0]), reverse=True):
+        free = [(d[4], d[0]) for d in derived if None not in (project, start, kind, d[4]) and d[0] not in used and d[1] == project and d[3] == kind and d[4] >= start and source in (None, d[2])]
+        want[id_] = min(free)[1] if free else None
+        used.add(want[id_])
+    found = health.recover_transactions(spark.createDataFrame(asked, "transaction_id long, project_id long, status string, started_at long, source_revision_id long, operation string"), spark.createDataFrame(derived, "project_id long, parent_id long, parent_revision_id long, operation string, created_at long"))
+    assert {r.transaction_id: r.output_id for r in found.collect()} == want and len(set(want.values())) > 50
+    assert "CoGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
 def store(spark):
     t = spark.createDataFrame
     one = lambda rows, extra="": t(rows, f"id long, project_id long{extra}")
