@@ -26,6 +26,20 @@ def test_fingerprints_are_normal(spark):
     assert found == {1: "fine full x2 fi", 2: "plain text", 3: None}
 
 
+def test_packages_are_scanned_a_few_times(spark):
+    t = spark.createDataFrame
+    packages = t([(1, 10, 100, 100, "c", "c"), (2, 10, 100, 99, "c", None)], "package_id long, source_length long, payload_length long, declared_length long, payload_checksum string, declared_checksum string")
+    assets = t([(1, "a", 10, 50), (1, "a", 60, 50), (1, " ", 5, 1), (1, None, -1, 5), (1, "b", 20, 5), (2, "c", None, 5)], "package_id long, id string, start long, length long")
+    objects = t([(1, "o", "image", "a"), (1, "p", "image", "z"), (1, "p", "text", "z")], "package_id long, id string, type string, asset_id string")
+    jobs = t([(1, "j")], "package_id long, id string")
+    pages = t([(1, "j", 1, None, None), (1, "j", 1, None, None), (1, "k", 0, 200, 1), (1, "j", None, None, None)], "package_id long, job_id string, page_number int, start long, length long")
+    found = workspace.validate_packages(packages, assets, objects, jobs, pages)
+    want = [(1, "asset-id-blank", None)] * 2 + [(1, "asset-id-duplicated", "a"), (1, "asset-missing", "p"), (1, "job-missing", "k:0"), (1, "object-id-duplicated", "p"), (1, "page-duplicated", "j:1"), (1, "page-number", "j"), (1, "page-number", "k:0")]
+    want += [(1, "range-in-source", "asset  "), (1, "range-invalid", None), (1, "range-overlaps", "asset b"), (1, "range-truncated", "asset a"), (1, "range-truncated", "page k:0"), (2, "payload-checksum", None), (2, "payload-length", None), (2, "range-invalid", "asset c")]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 13
+
+
 def test_invalid_signature_ranges_cover_nothing(spark):
     raw = spark.createDataFrame([(1, "/Filter /A.B /ByteRange [0 10 20 999] /Reason (why \\(so\\))"), (2, "none"), (3, "/ByteRange [0 5 10 25] /ByteRange [0 1 2 99999999999999999999]")], "doc_id long, raw string")
     found = {(r.doc_id, r.pos): (r.covered, r.gap, r.tail, r.status, r.filter, r.reason) for r in compliance.signature_coverage(raw).collect()}
