@@ -26,6 +26,21 @@ def test_fingerprints_are_normal(spark):
     assert found == {1: "fine full x2 fi", 2: "plain text", 3: None}
 
 
+def test_fingerprints_read_pages_once(spark):
+    pages = spark.createDataFrame([(1, 1, "ﬁne Ｆｕｌｌ x²"), (2, 1, "plain école"), (3, 1, None), (4, 1, "plain"), (5, 1, "日本 ㍍")], "doc_id long, page_number int, text string")
+    found = compare.text_fingerprint(pages)
+    assert {r.doc_id: r.normalized for r in found.collect()} == {1: "fine full x2", 2: "plain école", 3: None, 4: "plain", 5: "日本 メートル"}
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert compare.page_similarity(pages, pages)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_hybrid_similarity_needs_lengths_only(spark):
+    side = "struct<length:int,visual:struct<bits:bigint,ink:double,aspect:double>>"
+    rows = spark.createDataFrame([((30, (0, 0.5, 1.0)), (24, (0, 0.5, 1.0))), ((30, (0, 0.5, 1.0)), (23, (0, 0.5, 1.0))), ((30, None), (30, (0, 0.5, 1.0)))], f"a {side}, b {side}")
+    value, basis = images.hybrid_similarity("a", "b", F.lit(0.5))
+    assert [(round(r.v, 6), r.b) for r in rows.select(value.alias("v"), basis.alias("b")).collect()] == [(0.62, "hybrid"), (1.0, "visual"), (0.5, "text")]
+
+
 def test_packages_are_scanned_a_few_times(spark):
     t = spark.createDataFrame
     packages = t([(1, 10, 100, 100, "c", "c"), (2, 10, 100, 99, "c", None)], "package_id long, source_length long, payload_length long, declared_length long, payload_checksum string, declared_checksum string")
