@@ -105,6 +105,29 @@ def test_diff_rebuilds_both_sides(spark):
     assert built and all(texts[k] == v for k, v in built.items() if len(v.split()) < 300)
 
 
+def test_pages_without_text_are_aligned(spark):
+    a = spark.createDataFrame([(1, 2, "alpha beta gamma"), (1, 1, None), (None, 1, "x")], "doc_id long, page_number int, text string")
+    b = spark.createDataFrame([(1, 1, None), (1, 2, "alpha beta gamma"), (None, 1, "x")], "doc_id long, page_number int, text string")
+    got = sorted(tuple(r)[1:6] for r in alignment.align_sequences(a, b).where("doc_id = 1").collect())
+    assert [r[4] for r in got if r[3] == 1.0] == ["same"] and len(got) == 3
+    assert sorted(r.status for r in alignment.align_sequences(a, b).where("doc_id is null").collect()) == ["deleted", "inserted"]
+
+
+def test_few_pages_are_aligned_as_many():
+    import random
+
+    draw = random.Random(5)
+    pages = lambda n: [alignment._page(" ".join(draw.choice(["aa", "bb", "cc", "dd", "e", "ff"]) for _ in range(draw.randrange(6)))) for _ in range(n)]
+    for _ in range(200):
+        a, b = pages(draw.randrange(1, 8)), pages(draw.randrange(1, 8))
+        few = alignment._few_similarities(a, b)
+        assert few == alignment._similarities(a, b).tolist()
+        small, alignment.SMALL = alignment.SMALL, 0
+        whole = alignment.align(a, b)
+        alignment.SMALL = small
+        assert alignment.align(a, b) == whole == alignment._align_few(few)
+
+
 def test_long_documents_are_aligned():
     pages = [{"normalized": f"page number n{i} x{i}", "tokens": ["page", "number", f"n{i}", f"x{i}"]} for i in range(300)]
     other = [*pages[:100], {"normalized": "something else", "tokens": ["something", "else"]}, *pages[100:200], *pages[201:]]
