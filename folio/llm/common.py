@@ -79,15 +79,16 @@ def clear(spark: SparkSession) -> None:
 HEAVY, LEAST_HEAVY = 1_000, 10_000
 
 
-def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None, side: str = "merge") -> DataFrame:
     """rows joined with groups on keys, where size says how many rows each group meets; total is the number of rows, counted if not given.
 
     rows and groups are written tables; a row of groups has keys of its own. Heavy groups are broadcast (by their
     sizes there are HEAVY at most), so their rows stay where they are; the rest is shuffled, at every size, and has no heavy key.
+    side is the hint for groups there: where they are far fewer than the rows, "shuffle_hash" spares sorting the rows.
     """
     limit = max(LEAST_HEAVY, (rows.count() if total is None else total) // HEAVY)
     heavy, light = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
-    rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light.hint("merge"), keys)
+    rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light.hint(side), keys)
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 

@@ -54,17 +54,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each maximal run of non-space bytes."""
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each maximal run of non-space bytes, and where it begins."""
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     solid = np.concatenate([[False], ~_SPACE[data], [False]])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     starts, ends = edge[::2], edge[1::2]
     up, down = _power_tables(len(data) + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each maximal run of non-space bytes."""
+    return _hashed(raw)[0]
 
 
 _tables: dict[str, np.ndarray] = {}
@@ -77,17 +82,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, ASCII letters in lower case, and the number of the text of each."""
+def placed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Hashes of the words of all texts, ASCII letters in lower case, the number of the text of each, its first byte in the texts joined by line ends, these, and the first byte of each text."""
     raws = [t.encode("utf-8", "replace").translate(_LOWER) if isinstance(t, str) else b"" for t in texts]
     raw = b"\n".join(raws)
-    w, data = word_hashes(raw), np.frombuffer(raw, dtype=np.uint8)
-    if not len(w):
-        return w, np.zeros(0, dtype=np.int64)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    w, starts = _hashed(raw)
     offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
-    return w, np.searchsorted(offsets, starts, side="right") - 1
+    return w, np.searchsorted(offsets, starts, side="right") - 1, starts, raw, offsets
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, ASCII letters in lower case, and the number of the text of each."""
+    return placed_words(texts)[:2]
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, in_slices, meet, solid, written
+from .common import SPACE, WORD, dropped, in_slices, meet, solid, written
 from .mixing import word_count
-from .near import _SPACE, mixed, near_groups, words_of
+from .near import mixed, near_groups, placed_words
 
 #: A paragraph is a line of at least so many words, one shingle; shorter lines are never removed.
 MIN_WORDS = 5
@@ -32,6 +33,8 @@ PASSAGE = 25
 #: Words of a seed; any PASSAGE words in a row hold one.
 SEED = 13
 _PLACE = np.uint64((1 << 26) - 1)
+#: meet() where groups are far fewer than rows.
+_meet = partial(meet, side="shuffle_hash")
 
 
 def one_text(docs: DataFrame) -> DataFrame:
@@ -44,24 +47,27 @@ def one_text(docs: DataFrame) -> DataFrame:
     return rows.join(again, "doc_id", "left_anti").unionByName(least)
 
 
+def _has_words(text: Column, least: int) -> Column:
+    """Whether text has so many words; of long texts only the first few words are read, unless many are asked for."""
+    if not 1 <= least <= 64:
+        return word_count(text) >= least
+    return text.rlike(rf"^{SPACE[:-1]}*+(?:{WORD}+{SPACE}+){{{least - 1}}}{WORD[:-1]}")
+
+
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """unit_id, doc_id, paragraph (number of the line, from 0), text of every line of at least min_words words of docs(doc_id, text), as a written table."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    lines = lines.where(word_count(F.col("text")) >= min_words)
+    lines = lines.where(_has_words(F.col("text"), min_words))
     return written(lines.select(F.monotonically_increasing_id().alias("unit_id"), "doc_id", "paragraph", "text"))
 
 
 def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, number of the text, number within the text, and line of every word."""
-    w, owner = words_of(texts)
-    raws = [t.encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"\n".join(raws), dtype=np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(w) else np.zeros(0, dtype=np.int64)
-    offsets = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[owner])
-    return w, owner, np.arange(len(w)) - np.searchsorted(owner, owner), line
+    w, owner, starts, raw, offsets = placed_words(texts)
+    breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[owner]
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    return w, owner, np.arange(len(w)) - first[owner], line
 
 
 def _grams(w: np.ndarray, sizes: tuple[int, ...], step: int) -> list[np.ndarray]:
@@ -113,19 +119,28 @@ def _pieces_of(w: np.ndarray, owner: np.ndarray, good: np.ndarray | None = None)
     return first, last - first + 1, seed[at[first]], flat[first]
 
 
+def _outside(owner: np.ndarray, line: np.ndarray, gone: pd.Series) -> np.ndarray:
+    """Whether each word is outside the lines that are gone from its text."""
+    good, begin = np.ones(len(owner), dtype=bool), np.searchsorted(owner, np.arange(len(gone) + 1))
+    for i, lines in enumerate(gone):
+        if lines is not None and len(lines):
+            good[begin[i] : begin[i + 1]] = ~np.isin(line[begin[i] : begin[i + 1]], np.asarray(lines))
+    return good
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, seed, n (pieces with it in the row) of every text."""
+    """doc_id, seed, n (pieces with it in the row) of every text of docs(doc_id, text, lines), outside the words of lines."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text", 1_000_000):
-            w, owner = words_of(part["text"].tolist())
-            first, _, seed, _ = _pieces_of(w, owner)
+            w, owner, _, line = _words_of(part["text"].tolist())
+            first, _, seed, _ = _pieces_of(w, owner, _outside(owner, line, part["lines"]))
             order = np.lexsort([seed, owner[first]])
             text, seed = owner[first][order], seed[order]
             fresh = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])])) if len(seed) else order
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text[fresh]], "seed": seed[fresh].view(np.int64), "n": np.diff(np.append(fresh, len(seed)))})
 
-    return docs.select("doc_id", "text").mapInPandas(solid(run), "doc_id long, seed long, n int")
+    return docs.select("doc_id", "text", "lines").mapInPandas(solid(run), "doc_id long, seed long, n int")
 
 
 PIECE = "doc_id long, seed long, first_word int, flat boolean, one long, two long, passages binary, lines array<int>"
@@ -137,11 +152,7 @@ def pieces(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_slices(frames, "text", 1_000_000):
             w, owner, number, line = _words_of(part["text"].tolist())
-            good, begin = np.ones(len(w), dtype=bool), np.searchsorted(owner, np.arange(len(part) + 1))
-            for i, gone in enumerate(part["lines"]):
-                if gone is not None and len(gone):
-                    good[begin[i] : begin[i + 1]] = ~np.isin(line[begin[i] : begin[i + 1]], np.asarray(gone))
-            first, many, seed, flat = _pieces_of(w, owner, good)
+            first, many, seed, flat = _pieces_of(w, owner, _outside(owner, line, part["lines"]))
             seed, own = seed.view(np.int64), owner[first]
             wanted, at = np.zeros(len(first), dtype=bool), np.searchsorted(own, np.arange(len(part) + 1))
             for i, mine in enumerate(part["seeds"]):
@@ -204,45 +215,43 @@ def repeated_passages(docs: DataFrame, lines: DataFrame | None = None) -> DataFr
     has several kinds are passages compared one by one, and each kind stands for its copies.
     """
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # texts stay unsorted: the other side, a row for each document at most, is hashed
+    docs = docs.withColumn("lines", F.lit(None).cast("array<int>")) if lines is None else docs.join(lines.hint("shuffle_hash"), "doc_id", "left")
     every = written(seeds(docs))
     often = written(every.groupBy("seed").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")).where("_n > 1").select("seed", "_rows"))
-    mine = meet(every, often, ["seed"], "_rows").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    held = docs.join(mine, "doc_id")
-    held = held.withColumn("lines", F.lit(None).cast("array<int>")) if lines is None else held.join(lines, "doc_id", "left")
-    found = written(pieces(held))
+    mine = _meet(every.select("doc_id", "seed"), often, ["seed"], "_rows").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
+    found = written(pieces(docs.join(mine.hint("shuffle_hash"), "doc_id")))
     dropped(every, often)
     place = F.struct("doc_id", "first_word", "lines")
     kinds = found.groupBy("one", "two").agg(F.count("*").alias("copies"), F.min(place).alias("_first"), F.max("doc_id").alias("_last"), F.any_value("flat").alias("_flat"), F.any_value("seed").alias("seed"), F.any_value("passages").alias("passages"))
     # a flat passage is a piece of its own; one document saying a word over and over is no repeat
     kinds = written(kinds.where("not (_flat and _first.doc_id = _last)").select("one", "two", "seed", "copies", "_first.*", "passages"))
-    slim = written(found.drop("passages", "seed"))
-    dropped(found)
-    found = slim
     several = written(kinds.groupBy("seed").agg(F.count("*").alias("_kinds")).where("_kinds > 1"))
-    mixed_ = written(meet(kinds, several, ["seed"], "_kinds").drop("seed", "_kinds"))
+    mixed_ = written(_meet(kinds, several, ["seed"], "_kinds").drop("seed", "_kinds"))
     alone = written(kinds.where("copies > 1")).join(several.select("seed"), "seed", "left_anti")
     whole = F.struct(F.lit(0).alias("a"), (F.size("lines") - 1).alias("b"), "doc_id", F.col("first_word").alias("word"), F.col("lines")[0].alias("line"), "copies")
     alone = alone.select("one", "two", "copies", F.array(whole).cast(RUN).alias("runs"))
     passages = written(mixed_.mapInPandas(solid(_passages), "one long, two long, off int, p1 long, p2 long, doc_id long, word int, line int, copies long"))
     shared = passages.groupBy("p1", "p2").agg(F.count("*").alias("_kinds"), F.min(F.struct("doc_id", "word", "line")).alias("_keep"), F.sum("copies").alias("_copies")).where("_kinds > 1")
-    shared = meet(passages.select("one", "two", "off", "p1", "p2"), written(shared), ["p1", "p2"], "_kinds")
+    shared = _meet(passages.select("one", "two", "off", "p1", "p2"), written(shared), ["p1", "p2"], "_kinds")
     own = shared.groupBy("one", "two").agg(F.collect_list(F.struct("off", "_keep.doc_id", "_keep.word", "_keep.line", F.col("_copies").alias("copies"))).alias("shared"))
     both = mixed_.select("one", "two", "copies", "doc_id", "first_word", "lines", F.size("lines").alias("n")).join(own, ["one", "two"], "left").where("copies > 1 or shared is not null")
     settled = written(both.mapInPandas(solid(_runs_of), f"one long, two long, copies long, runs {RUN}").unionByName(alone))
     dropped(kinds, several, mixed_, passages)
 
-    met = meet(found.select("doc_id", "first_word", "flat", "one", "two", "lines"), settled, ["one", "two"], "copies")
+    met = _meet(found.select("doc_id", "first_word", "flat", "one", "two", "lines"), settled, ["one", "two"], "copies")
     met = met.select("doc_id", "first_word", "flat", "lines", F.explode("runs").alias("_r")).select("doc_id", "flat", (F.col("first_word") + F.col("_r.a")).alias("_at"), (F.col("_r.b") - F.col("_r.a") + 1).alias("_n"), F.get("lines", F.col("_r.a")).alias("_own_line"), F.col("_r.doc_id").alias("_doc"), F.col("_r.word").alias("_word"), F.col("_r.line").alias("_line"), F.col("_r.copies").alias("copies"))
     shift = F.col("_at") - F.col("_word")
     met = met.withColumn("_shift", shift).where((F.col("doc_id") != F.col("_doc")) | (F.col("_shift") == 0) | ((F.col("_shift") >= PASSAGE) & ~F.col("flat")))
     order = Window.partitionBy("doc_id", "_doc", "_shift").orderBy("_at")
     starts = F.when(F.lag(F.col("_at") + F.col("_n")).over(order) == F.col("_at"), 0).otherwise(1)
     runs = met.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(order))
-    runs = runs.groupBy("doc_id", "_doc", "_shift", "_run").agg(F.min(F.struct("_at", "_own_line", "_word", "_line")).alias("_first"), (F.sum("_n") + PASSAGE - 1).alias("n_words"), F.max("copies").alias("copies"))
+    at_start = lambda c: F.max(F.when(F.col("_start") == 1, F.col(c))).alias(c)
+    runs = runs.groupBy("doc_id", "_doc", "_shift", "_run").agg(at_start("_at"), at_start("_own_line"), at_start("_word"), at_start("_line"), (F.sum("_n") + PASSAGE - 1).alias("n_words"), F.max("copies").alias("copies"))
     runs = written(runs)
     dropped(found, settled)
     removed = (F.col("doc_id") != F.col("_doc")) | (F.col("_shift") != 0)
-    return runs.select("doc_id", F.col("_first._own_line").alias("paragraph"), F.col("_first._at").cast("long").alias("first_word"), "n_words", F.col("_doc").alias("keep_doc_id"), F.col("_first._line").alias("keep_paragraph"), F.col("_first._word").cast("long").alias("keep_first_word"), "copies", removed.alias("removed"))
+    return runs.select("doc_id", F.col("_own_line").alias("paragraph"), F.col("_at").cast("long").alias("first_word"), "n_words", F.col("_doc").alias("keep_doc_id"), F.col("_line").alias("keep_paragraph"), F.col("_word").cast("long").alias("keep_first_word"), "copies", removed.alias("removed"))
 
 
 def repeated_lines(docs: DataFrame, words: int, num: int, den: int, min_words: int) -> DataFrame:
@@ -250,9 +259,9 @@ def repeated_lines(docs: DataFrame, words: int, num: int, den: int, min_words: i
     units = paragraphs(docs, min_words)
     groups = written(near_groups(units, words, num, den, LOSS, ROWS))
     sizes = written(groups.groupBy("group_id").agg(F.count("*").alias("_size")).where("_size > 1"))
-    some = written(meet(groups, sizes, ["group_id"], "_size").join(units.select("unit_id", "doc_id", "paragraph"), "unit_id").select("group_id", "doc_id", "paragraph", "n"))
+    some = written(_meet(groups, sizes, ["group_id"], "_size").join(units.select("unit_id", "doc_id", "paragraph"), "unit_id").select("group_id", "doc_id", "paragraph", "n"))
     keeps = written(some.groupBy("group_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "paragraph")).alias("_keep")))
-    lines = written(meet(some, keeps, ["group_id"], "copies").select("doc_id", "paragraph", F.col("n").alias("n_shingles"), F.col("_keep.doc_id").alias("keep_doc_id"), F.col("_keep.paragraph").alias("keep_paragraph"), "copies"))
+    lines = written(_meet(some, keeps, ["group_id"], "copies").select("doc_id", "paragraph", F.col("n").alias("n_shingles"), F.col("_keep.doc_id").alias("keep_doc_id"), F.col("_keep.paragraph").alias("keep_paragraph"), "copies"))
     dropped(units, groups, sizes, some, keeps)
     return lines
 

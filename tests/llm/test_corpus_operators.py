@@ -246,6 +246,25 @@ def test_what_is_kept_stands_in_text_that_stays(spark):
     assert {w for _, t in rows for w in t.split()} == {w for words in kept for w in words}
 
 
+def test_passages_of_removed_lines_cost_nothing(spark, monkeypatch):
+    """What repeats only in lines that are removed already is neither cut into pieces nor compared."""
+    rng, made, pieces = random.Random(7), [], substring.pieces
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
+    gone = spark.createDataFrame([(i + 20, [0]) for i in range(20)], "doc_id long, lines array<int>")
+    monkeypatch.setattr(substring, "pieces", lambda held: made.append((out := pieces(held)).count()) or out)
+    counts = [(substring.repeated_passages(docs, lines).count(), made.pop()) for lines in (gone, None)]
+    assert counts[0] == (0, 0) and counts[1][0] == 40 and counts[1][1] > 40
+
+
+def test_lines_of_enough_words(spark):
+    texts = ["a b c d e", " a\tb  c\x0bd\re ", "a b c d", "a b c d ", "", " ", "\x85a\u00a0b c d e f", "é b\x0cc 𝒅 e", "abcde", "x" * 10**6 + " y", "a " * 10**5]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for least in (0, 1, 2, 5, 64, 65, 10**5):
+        rows = df.select("text", substring._has_words(df["text"], least).alias("has")).collect()
+        assert [(r.text, r.has) for r in rows] == [(t, len(re.findall(common.WORD, t)) >= least) for t in texts]
+
+
 def test_substring_dedup_takes_any_id_and_awkward_rows(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     big = 1 << 62
