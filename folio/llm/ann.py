@@ -5,7 +5,8 @@ the list of its nearest centroid, and boundary vectors also to that of the next
 centroids with a best-first search of an in-memory graph, keeps those within a ratio of the nearest distance,
 and compares itself with the vectors of their lists. Ratio and number of lists are set on the sample: the
 cheapest pair that finds TARGET of its nearest neighbours there, so vectors that lie in clusters need few
-lists and shapeless ones many.
+lists and shapeless ones many. Lists are packed for the tasks that compare, and a query goes to a pack once,
+with the lists it looks into there: their number does not multiply what is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, solid, written
-from .near import sorted_groups
+from .near import mixed
 
 #: Bounds: sampled vectors (those of smallest hash), lists, vectors of the sample in one list, queries the settings are tried with.
 SAMPLE, MAX_LISTS, LIST_SIZE, TRIED = 20_000, 2_048, 24, 256
@@ -28,8 +29,10 @@ COPIES, CLOSURE = 2, 1.1
 #: Share of the sample's nearest neighbours that its settings find.
 TARGET = 0.96
 NEIGHBOURS, BEAM = 24, 64
-#: A list is cut into blocks of about so many vectors.
-BLOCK = 2_048
+#: Lists make up PACKS packs, or more: a pack has at least so many vectors and about FLOATS components at most, or is cut into blocks.
+PACKS, LEAST_PACK, FLOATS = 32, 1_024, 1 << 24
+#: Vectors of a list that queries are compared with at once.
+PIECE = 4_096
 
 
 @dataclass
@@ -47,7 +50,7 @@ class ListIndex:
         """
         n, many, k = len(x), len(self.centroids), min(k, len(self.centroids))
         beam = min(max(BEAM, k + k // 4), many)
-        wide = max(1, beam // 32)
+        wide = max(1, beam // 8)
         square = (self.centroids**2).sum(1)
         # distances are looked up by centroid: infinite until it is seen
         gaps = np.full((n, many), np.inf)
@@ -148,17 +151,34 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of rows that take part: not null, not zero, of finite components only."""
-    array = F.col("embedding").cast("array<double>")
+    """vec_id, embedding of rows that take part: not null, not zero, of finite components only. Single precision stays so, which halves what is shuffled."""
+    array = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), array.alias("embedding")).where("vec_id is not null and size(embedding) > 0")
     good = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return rows.where(good & F.exists("embedding", lambda v: v != 0))
 
 
-def _place(shared, asks: bool, everywhere: bool = False):
-    """rep, the unit vector, list and dim of each list a vector is held in, or (asks) looks into."""
+def _sampled(unique: DataFrame) -> pd.DataFrame:
+    """embedding (single precision, largest component 1) of the SAMPLE vectors of smallest hash, in its order.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    All but a few more are left out before anything is collected, so what the driver gets does not grow with the tasks.
+    """
+    rows, number, share = unique.withColumn("_hash", F.xxhash64(F.col("embedding").cast("array<double>"))), unique.count(), 1.1
+    while share * SAMPLE < number:
+        few = rows.where(F.col("_hash") < int(share * SAMPLE / number * (1 << 64)) - (1 << 63))
+        if few.count() >= SAMPLE:
+            rows = few
+            break
+        share *= 2
+    scaled = F.transform("embedding", lambda v: v / F.array_max(F.transform("embedding", F.abs))).cast("array<float>")
+    found = rows.select("_hash", F.col("ids")[0].alias("_least"), scaled.alias("embedding")).toArrow().to_pandas()
+    return found.sort_values(["_hash", "_least"], kind="stable").head(SAMPLE)[["embedding"]].reset_index(drop=True)
+
+
+def _places(shared, asks: bool, everywhere: bool = False):
+    """Cuts frames into parts of one length of vectors: the part, its unit vectors, and row and list of each list a vector is held in, or (asks) looks into."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
         for frame in frames:
             for d, own in frame.groupby(frame["embedding"].map(len)):
                 index = shared.value.get(d)
@@ -173,37 +193,144 @@ def _place(shared, asks: bool, everywhere: bool = False):
                         ratio = np.inf if everywhere else index.ratio if asks else CLOSURE
                         r, c = np.nonzero(gaps <= np.maximum(gaps[:, :1], 1e-12) * ratio + 1e-12)
                         lists = found[r, c]
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[r], "unit": list(x[r].astype(np.float32)), "list": lists.astype(np.int32), "dim": np.int32(d)})
+                    yield int(d), part, x.astype(np.float32), r, lists.astype(np.int32)
 
     return run
 
 
+def _post(shared):
+    """Rows with the length of their vectors and the lists these are held in."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d, part, _, r, lists in _places(shared, False)(frames):
+            yield part[["rep", "ids", "embedding"]].assign(dim=np.int32(d), lists=np.split(lists, np.searchsorted(r, np.arange(1, len(part)))))
+
+    return run
+
+
+def _packs(posted: DataFrame) -> pd.DataFrame:
+    """list, dim, pack, blocks of each list that holds something: lists of one length of vectors in a row make up a pack."""
+    sizes = posted.select("dim", F.explode("lists").alias("list")).groupBy("dim", "list").agg(F.count("*").alias("n")).toPandas().sort_values(["dim", "list"])
+    n, d = sizes["n"].to_numpy(dtype=np.int64), sizes["dim"].to_numpy(dtype=np.int64)
+    room = np.minimum(np.maximum(n.sum() // PACKS, LEAST_PACK), np.maximum(FLOATS // np.maximum(d, 1), 1))
+    before = sizes.groupby("dim")["n"].cumsum().to_numpy(dtype=np.int64) - n
+    sizes["pack"] = before // room
+    whole = sizes.groupby(["dim", "pack"])["n"].transform("sum").to_numpy(dtype=np.int64)
+    sizes["blocks"] = -(-whole // (2 * room))
+    return sizes[["list", "dim", "pack", "blocks"]].astype("int32")
+
+
+DEALT = "dim int, pack int, block int, asks boolean, rep long, unit binary, lists binary"
+
+
+def _dealt(d: int, x: np.ndarray, names: np.ndarray, r: np.ndarray, lists: np.ndarray, known: pd.DataFrame, asks: bool) -> Iterator[pd.DataFrame]:
+    """The rows of x in each pack that has lists of theirs, with these as bytes: in one of its blocks, or (asks) in all."""
+    at = known.index.get_indexer(lists)
+    r, lists, at = r[at >= 0], lists[at >= 0], at[at >= 0]
+    pack, blocks = known["pack"].to_numpy()[at], known["blocks"].to_numpy()[at]
+    order = np.lexsort((lists, pack, r))
+    r, lists, pack, blocks = r[order], lists[order], pack[order], blocks[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (pack[1:] != pack[:-1])])[: len(r)])
+    held = [lists[s:e].tobytes() for s, e in zip(first, np.append(first[1:], len(r)), strict=True)]
+    many = blocks[first].astype(np.int64)
+    each = np.repeat(np.arange(len(first)), many if asks else 1)
+    block = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) if asks else (mixed(names[r[first]].astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
+    unit = [row.tobytes() for row in x]
+    for start in range(0, len(each), 10_000):
+        some = each[start : start + 10_000]
+        row = r[first[some]]
+        yield pd.DataFrame({"dim": np.int32(d), "pack": pack[first[some]], "block": block[start : start + 10_000].astype(np.int32), "asks": asks, "rep": names[row], "unit": [unit[i] for i in row], "lists": [held[i] for i in some]})
+
+
+def _hold(packs):
+    """Vectors that know their lists, dealt to the blocks of these."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {d: own.set_index("list") for d, own in packs.value.groupby("dim")}
+        for frame in frames:
+            for d, own in frame.groupby("dim"):
+                for at in range(0, len(own), 512):
+                    part = own.iloc[at : at + 512]
+                    r = np.repeat(np.arange(len(part)), part["lists"].map(len))
+                    yield from _dealt(d, _unit(part["embedding"]).astype(np.float32), part["rep"].to_numpy(), r, np.concatenate(part["lists"].tolist()), known[d], False)
+
+    return run
+
+
+def _ask(shared, packs, everywhere: bool):
+    """Queries, dealt to all blocks of the lists they look into."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {d: own.set_index("list") for d, own in packs.value.groupby("dim")}
+        for d, part, x, r, lists in _places(shared, True, everywhere)(frames):
+            if d in known:
+                yield from _dealt(d, x, part["rep"].to_numpy(), r, lists, known[d], True)
+
+    return run
+
+
+def _best(x: np.ndarray, asked: list[bytes], y: np.ndarray, names: np.ndarray, lists: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, name and cosine of the k + 2 nearest of y for each row of x, among those of the lists asked by it; lists are sorted, place says where in y each one's vectors are."""
+    wide = COPIES * (k + 2)  # a vector may be held in several lists
+    near, best = np.full((len(x), wide), -np.inf, dtype=np.float32), np.full((len(x), wide), -1, dtype=np.int64)
+    wanted = np.frombuffer(b"".join(asked), dtype=np.int32)
+    row = np.repeat(np.arange(len(x)), [len(a) // 4 for a in asked])
+    order = np.argsort(wanted, kind="stable")
+    wanted, row = wanted[order], row[order]
+    for one in np.unique(wanted):
+        rows, (begin, end) = row[slice(*np.searchsorted(wanted, [one, one + 1]))], np.searchsorted(lists, [one, one + 1])
+        for s in range(begin, end, PIECE):
+            own = place[s : min(s + PIECE, end)]
+            cos, top = x[rows] @ y[own].T, min(k + 2, len(own))
+            some = np.argpartition(-cos, top - 1, axis=1)[:, :top]
+            both = np.hstack([near[rows], np.take_along_axis(cos, some, 1)])
+            reps = np.hstack([best[rows], names[own][some]])
+            some = np.argpartition(-both, wide - 1, axis=1)[:, :wide]
+            near[rows], best[rows] = np.take_along_axis(both, some, 1), np.take_along_axis(reps, some, 1)
+    order = np.argsort(best, axis=1, kind="stable")
+    near, best = np.take_along_axis(near, order, 1), np.take_along_axis(best, order, 1)
+    near[:, 1:][best[:, 1:] == best[:, :-1]] = -np.inf
+    some = np.argpartition(-near, k + 1, axis=1)[:, : k + 2]
+    near, best = np.take_along_axis(near, some, 1), np.take_along_axis(best, some, 1)
+    r, c = np.nonzero(np.isfinite(near))
+    return r, best[r, c], near[r, c].astype(np.float64)
+
+
 def _compare(k: int):
-    """The k + 2 nearest of each block for each of its queries; rows arrive sorted by (list, dim, block)."""
+    """The k + 2 nearest of each block for each of its queries; rows arrive sorted by (dim, pack, block, asks), so a block's queries pass by its vectors."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(frames, ["list", "dim", "block"]):
-            asks, held = group[group["asks"]], group[~group["asks"]]
-            if not len(asks) or not len(held):
-                continue
-            y, names = np.array(held["unit"].tolist()), held["rep"].to_numpy()
-            for at in range(0, len(asks), 1024):
-                part = asks.iloc[at : at + 1024]
-                cos = np.array(part["unit"].tolist()) @ y.T
-                top = min(k + 2, len(names))
-                best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
-                yield pd.DataFrame({"query": np.repeat(part["rep"].to_numpy(), top), "rep": names[best].ravel(), "near": np.take_along_axis(cos, best, 1).ravel().astype(np.float64)})
+        key, parts, held = None, [], None
+        for frame in frames:
+            for own, group in frame.groupby(["dim", "pack", "block"], sort=False):
+                if own != key:
+                    key, parts, held = own, [], None
+                asks = group["asks"].to_numpy()
+                if not asks.all():
+                    some = group[~asks]
+                    parts.append((b"".join(some["unit"]), some["rep"].to_numpy(), b"".join(some["lists"]), some["lists"].map(len).to_numpy() // 4))
+                some = group[asks]
+                if not len(some) or not parts and held is None:
+                    continue
+                if held is None:
+                    units, names, lists, many = zip(*parts, strict=True)
+                    parts, lists, many = [], np.frombuffer(b"".join(lists), dtype=np.int32), np.concatenate(many)
+                    order = np.argsort(lists, kind="stable")
+                    held = np.frombuffer(b"".join(units), dtype=np.float32).reshape(-1, own[0]), np.concatenate(names), lists[order], np.repeat(np.arange(len(many)), many)[order]
+                for at in range(0, len(some), 1024):
+                    part = some.iloc[at : at + 1024]
+                    x = np.frombuffer(b"".join(part["unit"]), dtype=np.float32).reshape(-1, own[0])
+                    r, rep, near = _best(x, part["lists"].tolist(), *held, k)
+                    yield pd.DataFrame({"query": part["rep"].to_numpy()[r], "rep": rep, "near": near})
 
     return run
 
 
-def _candidates(posted: DataFrame, probed: DataFrame, k: int) -> DataFrame:
-    """query, rep, near of the nearest of every list that a query looks into."""
-    sizes = posted.groupBy("list", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = posted.join(sizes, ["list", "dim"]).select("list", "dim", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "unit", F.lit(False).alias("asks"))
-    right = probed.join(sizes, ["list", "dim"]).select("list", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "unit", F.lit(True).alias("asks"))
-    rows = left.unionByName(right).repartition("list", "dim", "block").sortWithinPartitions("list", "dim", "block")
-    met = rows.mapInPandas(solid(_compare(k)), "query long, rep long, near double").groupBy("query", "rep").agg(F.max("near").alias("near"))
+def _candidates(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query, rep of the nearest vectors of the lists that a query looks into."""
+    rows = held.unionByName(asked).repartition("dim", "pack", "block").sortWithinPartitions("dim", "pack", "block", "asks")
+    # rows of a query meet once: those of one vector, and the nearest of them
+    met = rows.mapInPandas(solid(_compare(k)), "query long, rep long, near double").repartition("query").groupBy("query", "rep").agg(F.max("near").alias("near"))
     top = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
     # one row is the query's own vector; its copies' ids are candidates like others
     return met.withColumn("_n", F.row_number().over(top)).where(f"_n <= {k + 2}").select("query", "rep")
@@ -214,8 +341,9 @@ def _cosine(a: str, b: str):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
     def scaled(name: str):
-        most = F.array_max(F.transform(name, F.abs))
-        return F.when(most.between(1e-100, 1e100), F.col(name)).otherwise(F.transform(name, lambda v: v / most))
+        array = F.col(name).cast("array<double>")
+        most = F.array_max(F.transform(array, F.abs))
+        return F.when(most.between(1e-100, 1e100), array).otherwise(F.transform(array, lambda v: v / most))
 
     x, y = scaled(a), scaled(b)
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
@@ -235,41 +363,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     rows = valid(vectors)
     # smallest k + 1 ids of every different vector; merging bounded lists keeps the state of a group bounded
-    ids = written(rows.groupBy("embedding", F.floor(F.col("vec_id") / 64).alias("_part")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("embedding", F.slice("ids", 1, k + 1).alias("ids")))
-    spread = ids.select("embedding", F.explode("ids").alias("vec_id"))
-    place = Window.partitionBy("embedding").orderBy("vec_id")
-    few = spread.withColumn("_n", F.row_number().over(place)).where(f"_n <= {k + 1}").groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    ids = rows.groupBy("embedding", F.floor(F.col("vec_id") / 64).alias("_part")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("embedding", F.slice("ids", 1, k + 1).alias("ids"))
     # several vectors may have one id, so they are known by a number of their own
-    unique = written(few.select(F.monotonically_increasing_id().alias("rep"), "ids", "embedding"))
-    dropped(ids)
-    sample = unique.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(SAMPLE).select(F.transform("embedding", lambda v: v / F.array_max(F.transform("embedding", F.abs))).cast("array<float>").alias("embedding")).toPandas()
+    unique = written(ids.select(F.monotonically_increasing_id().alias("rep"), "ids", "embedding", F.xxhash64("embedding").alias("_key")))
+    several = written(unique.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    if not several.isEmpty():  # only what is in several parts is merged
+        spread = unique.join(several, "_key", "left_semi").select("rep", "embedding", F.explode("ids").alias("vec_id"))
+        place = Window.partitionBy("embedding").orderBy("vec_id")
+        few = spread.withColumn("_n", F.row_number().over(place)).where(f"_n <= {k + 1}").groupBy("embedding").agg(F.min("rep").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        ids, unique = unique, written(unique.join(several, "_key", "left_anti").drop("_key").unionByName(few))
+        dropped(ids)
+    sample = _sampled(unique)
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = sample["embedding"].map(len)
     indexes = {int(d): build(_unit(sample["embedding"][sizes == d])) for d in sizes.unique()}
     shared = vectors.sparkSession.sparkContext.broadcast(indexes)
 
-    schema = "rep long, unit array<float>, list int, dim int"
-    posted = written(unique.select("rep", "embedding").mapInPandas(solid(_place(shared, False)), schema))
+    kind = unique.schema["embedding"].dataType.simpleString()
+    posted = written(unique.select("rep", "ids", "embedding").mapInPandas(solid(_post(shared)), f"rep long, ids array<long>, embedding {kind}, dim int, lists array<int>"))
+    dropped(unique)
+    packs = vectors.sparkSession.sparkContext.broadcast(_packs(posted))
+    held = posted.select("rep", "embedding", "dim", "lists").mapInPandas(solid(_hold(packs)), DEALT)
     wanted = written(valid(queries).select("vec_id", "embedding").distinct())
     asked = written(wanted.groupBy("embedding").agg(F.min("vec_id").alias("_least")).select(F.monotonically_increasing_id().alias("rep"), "embedding"))  # equal queries are asked once
     spread_out = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probed = asked.repartition(spread_out).mapInPandas(solid(_place(shared, True)), schema)
+
+    def looks(queries: DataFrame, everywhere: bool = False) -> DataFrame:
+        return queries.repartition(spread_out).mapInPandas(solid(_ask(shared, packs, everywhere)), DEALT)
 
     def named(best: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score of the candidates (query, rep)."""
-        held = best.join(unique.select("rep", "ids", F.col("embedding").alias("other")), "rep")
+        near = written(best).join(posted.select("rep", "ids", F.col("embedding").alias("other")), "rep")
         every = wanted.join(asked.withColumnRenamed("rep", "query"), "embedding").select(F.col("vec_id").alias("query_id"), "query", "embedding")
-        pairs = every.join(held, "query").select("query_id", "embedding", "other", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        pairs = every.join(near, "query").select("query_id", "embedding", "other", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         scored = pairs.select("query_id", "vec_id", _cosine("embedding", "other").alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return scored.withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
-    found = written(named(_candidates(posted, probed, k)))
+    found = written(named(_candidates(held, looks(asked), k)))
     full = found.groupBy("query_id").agg(F.count("*").alias("_n")).where(f"_n >= {k}")
     short = written(asked.join(wanted.join(full, wanted["vec_id"] == full["query_id"], "left_anti").select("embedding").distinct(), "embedding"))
     if not short.isEmpty():
-        again = short.repartition(spread_out).mapInPandas(solid(_place(shared, True, True)), schema)
-        more = written(named(_candidates(posted, again, k)))
+        more = written(named(_candidates(held, looks(short, True), k)))
         found = found.join(more, "query_id", "left_anti").unionByName(more)
     return found
