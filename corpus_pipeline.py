@@ -73,7 +73,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def stage(rows: DataFrame) -> DataFrame:
         taken = mixing.mix(rows).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times"))
         taken = taken.where("_times > 0").withColumnRenamed("doc_id", "_doc")
-        some = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        # texts are never broadcast, however small their files are
+        some = rows.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
         return some.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
 
     return _aside(stage, docs)

@@ -115,7 +115,8 @@ def mix(docs: DataFrame, share: float = 1.0, block: int = BLOCK_WORDS, repeats:
     cells = cells.groupBy("_key", "_cell", "_from", "_to").agg(F.count("*").alias("_times"), F.min("slot").alias("_slot"))
 
     held = placed.where("size > 0").select("_row", "_key", "_start", "size", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))).alias("_cell"))
-    both = held.join(cells, ["_key", "_cell"])
+    # a row for each block of words, which Spark sizes like a row for each text: never broadcast
+    both = held.join(cells.hint("merge"), ["_key", "_cell"])
     common = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("_start") + F.col("size")) - F.greatest("_from", "_start"))
     took = both.groupBy("_row").agg(F.sum(common * F.col("_times")).cast("long").alias("taken"), F.min(F.when(common > 0, F.col("_slot"))).alias("first_slot"))
     named = meet(placed.select("doc_id", "source", "_key", "size", "_row"), targets.select("_key", "source_size", "target", "_rows"), ["_key"], "_rows")

@@ -343,7 +343,8 @@ def near_groups(units: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rights = over.select("key", "id", "comp", place("_m").alias("mb"), every("_r").alias("rb"), F.lit(False).alias("left_side"))
     lefts = over.where("comp <> main").select("key", "id", "comp", every("_m").alias("mb"), place("_r").alias("rb"), F.lit(True).alias("left_side"))
-    blocks = rights.unionByName(lefts).join(sets, "id").repartition("key", "mb", "rb").sortWithinPartitions("key", "mb", "rb")
+    # a row for each block that a member is copied to, which Spark sizes like a row for each member: never broadcast
+    blocks = rights.unionByName(lefts).join(sets.hint("merge"), "id").repartition("key", "mb", "rb").sortWithinPartitions("key", "mb", "rb")
     many = blocks.select("key", "mb", "rb", "id", "comp", "left_side", "n", "sketch", "members").mapInPandas(solid(lambda it: _blocked(it, num, den)), "a long, b long")
     more = _verified(few, sets, num, den).unionByName(many)
 

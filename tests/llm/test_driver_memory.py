@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import ann
+import corpus_pipeline
+from folio.llm import ann, components, mixing, near
 
 
 def broadcast_parts(df):
@@ -80,3 +81,45 @@ def test_small_blocks_find_the_same(spark, shapeless, monkeypatch, floats, piece
     monkeypatch.setattr(ann, "FLOATS", floats)
     monkeypatch.setattr(ann, "PIECE", piece)
     assert sorted(map(tuple, ann.search(both, queries).collect())) == plain
+
+
+def _texts(spark, groups, copies, words):
+    """Near copies: groups of texts that differ in one word or two."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for g in range(groups):
+        own = draw.integers(0, 1 << 40, words).astype(str)
+        for c in range(copies):
+            own[draw.integers(0, words)] = f"w{g}x{c}"
+            rows.append((len(rows), " ".join(own), "en", f"s{g % 3}", 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_blocks_of_words_are_not_broadcast(spark, planned):
+    """mix() has a row for each block of words on both sides of a join, of which Spark took one for a small table."""
+    docs = _texts(spark, 20, 10, 300)
+    planned(mixing)
+    done = mixing.mix(docs)
+    assert not any("_cell" in line for part in broadcast_parts(done) for line in part)
+    got = {r.doc_id: r for r in done.collect()}
+    assert len(got) == 200 and all(0 <= r.taken <= 3 * r.size == 900 for r in got.values())
+
+
+def test_copies_of_members_are_not_broadcast(spark, planned):
+    """near_groups() copies the members of large buckets to several blocks, which Spark took for a small table."""
+    parts = planned(components)
+    units = _texts(spark, 10, 40, 300).select(F.col("doc_id").alias("unit_id"), "text")
+    groups = {}
+    for r in near.near_groups(units, rows=1).collect():
+        groups.setdefault(r.group_id, []).append(r.unit_id)
+    assert not any(re.search(r"Generate explode.*[mr]b#", line) for part in parts for line in part)
+    assert len(groups) >= 10 and all(u // 40 == g // 40 for g, own in groups.items() for u in own)
+
+
+def test_texts_are_not_broadcast(spark, planned, tmp_path):
+    """Texts that compress well look like a small table by the size of their files."""
+    rows = [(i, "word " * 2000 + f"w{i}", "en", f"s{i % 3}", 0) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    done = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    assert not any("text#" in line for part in broadcast_parts(done) for line in part)
+    assert {r.doc_id for r in done.select("doc_id").collect()} <= set(range(200))
